@@ -101,15 +101,35 @@ def second_split(c: Column) -> Column:
                        lambda e: F.regexp_replace(e, F.lit(V.BRACKET_MARKS), F.lit("")))
 
 
-def name_and_alias(entry: Column) -> Column:
-    """``name (alias)`` as an array of two names, anything else as one entry."""
-    names = F.transform(F.regexp_extract_all(entry, F.lit(_NAME_AND_ALIAS), F.lit(1)), strip)
-    aliases = F.transform(F.regexp_extract_all(entry, F.lit(_NAME_AND_ALIAS), F.lit(2)), strip)
-    wide_alias = F.size(F.split(F.get(aliases, F.lit(0)), " ", -1)) >= 2
-    plain_parens = entry.rlike(_WORD_OR_SPACE_IN_PARENS)
-    two_parts = (F.size(names) == 2) | ((F.size(names) == 1) & (wide_alias | plain_parens))
-    return F.when(two_parts, F.array(F.array_join(names, " "), F.array_join(aliases, " "))
-                  ).otherwise(F.array(entry))
+def _through_last_alias(entry: Column) -> Column:
+    """The part of an entry that can hold an alias.
+
+    Without the rest the search below is not tried from every character of a long tail.
+    """
+    tail = F.substring_index(entry, "(", -1)
+    before = F.substring(entry, F.lit(1), F.length(entry) - F.length(tail) - 1)
+    closed = F.concat(before, F.lit("("), F.substring_index(tail, ")", 1), F.lit(")"))
+    open_end = F.substring(entry, F.lit(1), F.length(entry) - F.length(F.substring_index(entry, ")", -1)))
+    part = F.when(tail.contains(")"), closed).otherwise(open_end)
+    return F.when(entry.contains("(") & entry.contains(")"), part).otherwise(F.lit(""))
+
+
+def split_aliases(entries: Column) -> Column:
+    """Entries ``name (alias)`` become two names each, other entries stay."""
+    cut = F.transform(entries, lambda e: F.struct(e.alias("e"), _through_last_alias(e).alias("h")))
+    found = F.transform(cut, lambda s: F.struct(
+        s.e.alias("e"),
+        F.transform(F.regexp_extract_all(s.h, F.lit(_NAME_AND_ALIAS), F.lit(1)), strip).alias("n"),
+        F.transform(F.regexp_extract_all(s.h, F.lit(_NAME_AND_ALIAS), F.lit(2)), strip).alias("a")))
+
+    def parts(s: Column) -> Column:
+        wide_alias = F.size(F.split(F.get(s.a, F.lit(0)), " ", -1)) >= 2
+        two_parts = (F.size(s.n) == 2) | (
+            (F.size(s.n) == 1) & (wide_alias | s.e.rlike(_WORD_OR_SPACE_IN_PARENS)))
+        return F.when(two_parts, F.array(F.array_join(s.n, " "), F.array_join(s.a, " "))
+                      ).otherwise(F.array(s.e))
+
+    return F.flatten(F.transform(found, parts))
 
 
 def split_scripts(entry: Column) -> Column:
@@ -130,11 +150,19 @@ def override_entry(entry: Column) -> Column:
 
 
 def name_case(entry: Column, exceptions: Sequence[str] = V.CASE_EXCEPTIONS) -> Column:
-    """Capital first letter per word, other letters small, listed words unchanged."""
+    """Capital first letter per word, other letters small, listed words unchanged.
+
+    A letter whose capital form has two letters keeps only the first one large.
+    """
     keep = list(exceptions)
     words = F.filter(F.split(strip(entry), r"(?U)\s+"), lambda w: w != "")
-    fixed = F.transform(words, lambda w: F.when(w.isin(*keep), w).otherwise(
-        F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))))
+
+    def capital(w: Column) -> Column:
+        first = F.upper(F.substring(w, 1, 1))
+        return F.concat(F.substring(first, 1, 1), F.lower(F.substring(first, 2, 9)),
+                        F.lower(F.substring(w, 2, 1 << 30)))
+
+    fixed = F.transform(words, lambda w: F.when(w.isin(*keep), w).otherwise(capital(w)))
     return F.array_join(fixed, " ")
 
 
@@ -146,7 +174,7 @@ def clean_names(c: Column) -> Column:
     """Author names of a delimited text, in order; an empty array for NULL."""
     whole = apply_rules(F.array_join(comma_entries(c), ","), V.PHRASE_RULES)
     entries = F.transform(not_stopped(second_split(whole)), strip)
-    entries = F.flatten(F.transform(entries, name_and_alias))
+    entries = split_aliases(entries)
     entries = _each(entries, V.DEGREES)
     entries = F.flatten(F.transform(entries, override_entry))
     entries = _each(entries, V.TITLES_FIRST)
@@ -154,5 +182,5 @@ def clean_names(c: Column) -> Column:
     entries = F.flatten(F.transform(entries, split_scripts))
     entries = _each(entries, V.TITLES_SECOND)
     entries = F.transform(not_stopped(entries), strip)
-    names = F.transform(entries, name_case)
+    names = F.transform(entries, lambda e: name_case(e))
     return F.when(c.isNull(), F.array().cast("array<string>")).otherwise(names)

@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+SMALL_ROWS = 100_000
+
+
+def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Broadcast hint for a table counted to be small; a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def add_target(features: DataFrame, target: DataFrame, key: str) -> DataFrame:
     """Features with their target column; features without a target stay."""
     return features.join(target, key, "left")
@@ -39,7 +47,7 @@ def exists_flag(df: DataFrame, names: DataFrame, name: str, out: str = "class")
 
 def lookup_strict(df: DataFrame, codes: DataFrame, key: str, value: str) -> DataFrame:
     """Every row must find its code: a missing one fails the job."""
-    hit = codes.select(key, F.col(value), F.lit(True).alias("_hit"))
+    hit = small_side(codes.select(key, F.col(value), F.lit(True).alias("_hit")))
     joined = df.join(hit, key, "left")
     message = F.concat(F.lit("no code for "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
     checked = F.when(F.col("_hit"), F.col(value)).otherwise(
@@ -49,7 +57,7 @@ def lookup_strict(df: DataFrame, codes: DataFrame, key: str, value: str) -> Data
 
 def lookup_default(df: DataFrame, codes: DataFrame, key: str, value: str, default: str = "0") -> DataFrame:
     """Code of every row, ``default`` when there is none."""
-    return df.join(codes.select(key, value), key, "left").withColumn(
+    return df.join(small_side(codes.select(key, value)), key, "left").withColumn(
         value, F.coalesce(F.col(value), F.lit(default)))
 
 

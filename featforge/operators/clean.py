@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import BLOCK, ROWS_PER_BLOCK, dense_position, nearest_known
+from .ordered import BLOCK, HOME, ROWS_PER_BLOCK, nearest_known, running_total, with_blocks
 
 
 def interpolate(df: DataFrame, group: list[str], order: list[str], value: str,
@@ -17,8 +17,9 @@ def interpolate(df: DataFrame, group: list[str], order: list[str], value: str,
     Leading gaps stay NULL, trailing gaps take the last value.
     """
     pos = "_pos"
-    df = dense_position(df, group, order, pos, rows_per_block, keep_block=True)
-    df = nearest_known(df, group, pos, F.col(value), "_prev", "_next")
+    blocked, cut = with_blocks(df, group, order[0], rows_per_block)
+    df = running_total(blocked, cut, group, order, F.lit(1), pos)
+    df = nearest_known(df, cut, group, pos, F.col(value), "_prev", "_next")
     p0, v0 = F.col("_prev.p"), F.col("_prev.v")
     p1, v1 = F.col("_next.p"), F.col("_next.v")
     filled = (
@@ -27,7 +28,8 @@ def interpolate(df: DataFrame, group: list[str], order: list[str], value: str,
               v0 + (v1 - v0) * (F.col(pos) - p0) / (p1 - p0))
         .otherwise(v0)
     )
-    return df.withColumn(out or value, filled).drop(pos, "_prev", "_next", BLOCK)
+    return df.withColumn(out or value, filled).drop(
+        pos, "_prev", "_next", BLOCK, HOME)
 
 
 def column_means(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:

@@ -2,14 +2,15 @@
 
 A plain ``row_number() over (partition by g order by t)`` sends every row of
 ``g`` to one task. When one group holds a third of a large table that task is
-the job. The functions here cut large groups into *blocks*, ranges of the
-leading order column, and work in two levels: a window inside each
-``(group, block)`` and a small per-block table that carries totals or
-neighbours across block borders. Small groups stay one block and pay nothing
-but a join against a (nearly empty) table of the large ones.
-
-Everything used to place a row in a block (count, minimum, maximum) is an exact
-aggregate, so a recomputed task places it in the same block again.
+the job. Here large groups are cut into *blocks*, ranges of the leading order
+column, and a result is built in two levels: a window inside each block, and a
+small per-block table that carries totals or neighbours across block borders.
+
+Groups are sized first, in one aggregation over the group and order columns.
+Without large groups (the usual case) what remains is the plain window. Block
+borders come from exact counts, minima and maxima, so a task that runs again
+places its rows in the same blocks. The number of blocks is capped (by making
+blocks larger, never by dropping rows), so the per-block tables may be broadcast.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS_PER_BLOCK = 1 << 18
-BLOCK = "_block"
+ROWS_PER_BLOCK = 1 << 20
+MAX_BLOCKS = 1 << 18
+BLOCK, HOME = "_block", "_home"
 
 
 def order_number(df: DataFrame, name: str, skip_bytes: int = 0) -> Column:
@@ -38,126 +40,122 @@ def order_number(df: DataFrame, name: str, skip_bytes: int = 0) -> Column:
     return c
 
 
-def _same_group(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join of a small per-group table; keys may be NULL."""
-    renamed = b.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                       *[c for c in b.columns if c not in keys])
-    cond = None
-    for k in keys:
-        eq = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        cond = eq if cond is None else cond & eq
-    return a.join(renamed, cond, "left").drop(*[f"_r_{k}" for k in keys])
-
-
 def with_blocks(df: DataFrame, group: list[str], lead: str,
-                rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Add ``_block``: 0 for small groups, a range number for large ones."""
-    if group:
-        v = order_number(df, lead)
-        large = (
-            df.groupBy(*group)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-            .filter(F.col("_n") > rows_per_block)
-            .withColumn("_width", (F.col("_hi") - F.col("_lo")).cast("double")
-                        / F.ceil(F.col("_n") / F.lit(rows_per_block)))
-            .select(*group, "_lo", "_width")
-        )
-        block = F.floor(F.try_divide((v - F.col("_lo")).cast("double"), F.col("_width")))
-        return (_same_group(df, large, group)
-                .withColumn(BLOCK, F.coalesce(block, F.lit(0)).cast("long"))
-                .drop("_lo", "_width"))
-
-    # One group: its three numbers are one row, read on the driver.
+                rows_per_block: int = ROWS_PER_BLOCK) -> tuple[DataFrame, bool]:
+    """Add ``_block`` and ``_home``; also tell whether any group was cut.
+
+    Rows of small groups have 0 in both. A cut group has its own number in
+    ``_home`` and block numbers that no other group uses, ascending with ``lead``.
+    """
     skip = 0
-    if isinstance(df.schema[lead].dataType, T.StringType):
+    if not group and isinstance(df.schema[lead].dataType, T.StringType):
         lo, hi = df.agg(F.min(lead), F.max(lead)).first()
         if lo is not None:
             skip = len(os.path.commonprefix([lo.encode(), hi.encode()]))
     v = order_number(df, lead, skip)
-    n, lo, hi = df.agg(F.count(F.lit(1)), F.min(v), F.max(v)).first()
-    if n <= rows_per_block or lo is None or hi == lo:
-        return df.withColumn(BLOCK, F.lit(0).cast("long"))
-    width = float(hi - lo) / -(-n // rows_per_block)
-    block = F.floor((v - F.lit(lo)).cast("double") / F.lit(width))
-    return df.withColumn(BLOCK, F.coalesce(block, F.lit(0)).cast("long"))
-
-
-def running_total(df: DataFrame, group: list[str], order: list[str], value: Column,
+    sizes = df.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    zero = F.lit(0).cast("long")
+    if largest is None or largest <= rows_per_block:
+        return df.withColumns({BLOCK: zero, HOME: zero}), False
+
+    per_block = max(rows_per_block, -(-total // MAX_BLOCKS))
+    # At most MAX_BLOCKS groups are larger than total / MAX_BLOCKS.
+    large = sizes.filter((F.col("_n") > per_block) & (F.col("_hi") > F.col("_lo"))).collect()
+    if not large:
+        return df.withColumns({BLOCK: zero, HOME: zero}), False
+    rows, base = [], 1
+    for home, r in enumerate(large, 1):
+        n_blocks = -(-r["_n"] // per_block)
+        width = float(r["_hi"] - r["_lo"]) / n_blocks
+        rows.append((*[r[g] for g in group], float(r["_lo"]), width, base, home))
+        base += n_blocks + 1  # the maximum itself falls into the extra block
+    schema = T.StructType([T.StructField(f"_r_{g}", df.schema[g].dataType) for g in group] + [
+        T.StructField("_lo", T.DoubleType()), T.StructField("_width", T.DoubleType()),
+        T.StructField("_base", T.LongType()), T.StructField("_no", T.LongType())])
+    if group:
+        borders = F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+        same = F.lit(True)
+        for g in group:
+            same = same & F.col(g).eqNullSafe(F.col(f"_r_{g}"))
+        joined = df.join(borders, same, "left").drop(*[f"_r_{g}" for g in group])
+    else:
+        lo, width, first, home = rows[0]
+        joined = df.withColumns({"_lo": F.lit(lo), "_width": F.lit(width),
+                                 "_base": F.lit(first).cast("long"), "_no": F.lit(home).cast("long")})
+    step = F.coalesce(F.floor((v.cast("double") - F.col("_lo")) / F.col("_width")), zero)
+    return (joined.withColumn(BLOCK, F.coalesce(F.col("_base") + step, zero))
+            .withColumn(HOME, F.coalesce(F.col("_no"), zero))
+            .drop("_lo", "_width", "_base", "_no")), True
+
+
+def _inside(group: list[str]) -> Window:
+    return Window.partitionBy(*group, BLOCK)
+
+
+def running_total(df: DataFrame, cut: bool, group: list[str], order: list[str], value: Column,
                   out: str) -> DataFrame:
-    """Inclusive running total of ``value``; ``df`` already has ``_block``."""
-    over_blocks = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy(
-        BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        df.groupBy(*group, BLOCK).agg(F.sum(value).alias("_sum"))
-        .withColumn("_before", F.sum("_sum").over(over_blocks))
-        .filter(F.col("_before").isNotNull())
-        .drop("_sum")
-    )
-    inside = Window.partitionBy(*group, BLOCK).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    local = df.withColumn("_local", F.sum(value).over(inside))
-    zero = F.lit(0)
-    return (_same_group(local, before, [*group, BLOCK])
-            .withColumn(out, F.coalesce(F.col("_local"), zero) + F.coalesce(F.col("_before"), zero))
-            .drop("_local", "_before"))
+    """Inclusive running total of ``value`` over a table from ``with_blocks``."""
+    w = _inside(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = F.coalesce(F.sum(value).over(w), F.lit(0))
+    if not cut:
+        return df.withColumn(out, local)
+    earlier = Window.partitionBy(HOME).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    before = (df.filter(F.col(HOME) > 0).groupBy(HOME, BLOCK).agg(F.sum(value).alias("_sum"))
+              .select(BLOCK, F.sum("_sum").over(earlier).alias("_before")))
+    return (df.withColumn(out, local).join(F.broadcast(before), BLOCK, "left")
+            .withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_before"))
 
 
 def dense_position(df: DataFrame, group: list[str], order: list[str], out: str = "pos",
-                   rows_per_block: int = ROWS_PER_BLOCK, keep_block: bool = False) -> DataFrame:
+                   rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """0-based position of every row in its group; ``order`` must be total."""
-    blocked = with_blocks(df, group, order[0], rows_per_block)
-    numbered = running_total(blocked, group, order, F.lit(1), out).withColumn(
-        out, (F.col(out) - 1).cast("long"))
-    return numbered if keep_block else numbered.drop(BLOCK)
-
+    blocked, cut = with_blocks(df, group, order[0], rows_per_block)
+    numbered = running_total(blocked, cut, group, order, F.lit(1), out)
+    return numbered.withColumn(out, (F.col(out) - 1).cast("long")).drop(BLOCK, HOME)
 
-def position_blocks(df: DataFrame, pos: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Blocks of equal size for rows that already have a dense position."""
-    return df.withColumn(BLOCK, F.floor(F.col(pos) / rows_per_block))
 
-
-def nearest_known(df: DataFrame, group: list[str], pos: str, value: Column,
+def nearest_known(df: DataFrame, cut: bool, group: list[str], pos: str, value: Column,
                   before: str = "_before", after: str | None = None) -> DataFrame:
     """Nearest row with a non-null ``value`` at or before / at or after each row.
 
-    Adds structs ``(p, v)``. ``df`` already has ``_block``. The look-ahead runs as
+    Adds structs ``(p, v)`` to a table from ``with_blocks``. The look-ahead runs as
     a look-back over the descending order: an unbounded-following frame would
     cost a rescan per row.
     """
     known = F.when(value.isNotNull(), F.struct(F.col(pos).alias("p"), value.alias("v")))
     df = df.withColumn("_known", known)
-    per_block = df.groupBy(*group, BLOCK).agg(
-        F.min("_known").alias("_first"), F.max("_known").alias("_last"))
-    whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    earlier = whole.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    later = whole.orderBy(F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        per_block
-        .withColumn("_prev_block", F.last("_last", ignorenulls=True).over(earlier))
-        .withColumn("_next_block", F.last("_first", ignorenulls=True).over(later))
-        .filter(F.col("_prev_block").isNotNull() | F.col("_next_block").isNotNull())
-        .drop("_first", "_last")
-    )
-    inside = Window.partitionBy(*group, BLOCK)
-    back = inside.orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = inside.orderBy(F.col(pos).desc()).rowsBetween(
+    back = _inside(group).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = _inside(group).orderBy(F.col(pos).desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    local = df.withColumn(before, F.last("_known", ignorenulls=True).over(back))
+    out = df.withColumn(before, F.last("_known", ignorenulls=True).over(back))
     if after:
-        local = local.withColumn(after, F.last("_known", ignorenulls=True).over(ahead))
-    joined = _same_group(local, carry, [*group, BLOCK])
-    joined = joined.withColumn(before, F.coalesce(F.col(before), F.col("_prev_block")))
+        out = out.withColumn(after, F.last("_known", ignorenulls=True).over(ahead))
+    if not cut:
+        return out.drop("_known")
+
+    whole = Window.partitionBy(HOME)
+    earlier = whole.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    later = whole.orderBy(F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (df.filter(F.col(HOME) > 0).groupBy(HOME, BLOCK)
+             .agg(F.min("_known").alias("_first"), F.max("_known").alias("_last"))
+             .select(BLOCK, F.last("_last", ignorenulls=True).over(earlier).alias("_earlier"),
+                     F.last("_first", ignorenulls=True).over(later).alias("_later")))
+    out = out.join(F.broadcast(carry), BLOCK, "left").withColumn(
+        before, F.coalesce(before, "_earlier"))
     if after:
-        joined = joined.withColumn(after, F.coalesce(F.col(after), F.col("_next_block")))
-    return joined.drop("_known", "_prev_block", "_next_block")
+        out = out.withColumn(after, F.coalesce(after, "_later"))
+    return out.drop("_known", "_earlier", "_later")
 
 
 def with_halo(df: DataFrame, pos: str, behind: int, ahead: int,
               rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Copy rows near a block border into the neighbouring block as well.
 
-    After this, windows over ``(group, _block)`` that look at most ``behind`` rows
-    back and ``ahead`` rows forward see all they need; keep rows with ``_own``.
+    For rows with a dense position. After this, windows over ``(group, _block)``
+    that look at most ``behind`` rows back and ``ahead`` rows forward see all they
+    need; keep rows with ``_own``.
     """
     width = max(rows_per_block, behind, ahead, 1)
     p = F.col(pos)

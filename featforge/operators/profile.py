@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordered import ROWS_PER_BLOCK, dense_position
+from ..session import cut_lineage
+from .ordered import BLOCK, HOME, ROWS_PER_BLOCK, dense_position, running_total, with_blocks
 
 QUARTILES = (0.25, 0.5, 0.75)
 # Up to this many rows the built-in exact percentile (a value map per task) is used.
@@ -174,7 +175,8 @@ def vocabulary(tokens: DataFrame, word: str = "word", first_index: int = 1,
     """
     words = (tokens.filter(F.col(word).isNotNull())
              .groupBy(word).agg(F.count(F.lit(1)).alias("n")))
-    numbered = dense_position(words, [], [word], "idx", rows_per_block)
+    # Read several times below; much smaller than the tokens.
+    numbered = dense_position(cut_lineage(words), [], [word], "idx", rows_per_block)
     return numbered.withColumn("idx", F.col("idx") + first_index)
 
 
@@ -186,10 +188,8 @@ def table_shape(df: DataFrame) -> DataFrame:
 def running_mean(df: DataFrame, group: list[str], order: list[str], value: str,
                  out: str = "running_mean", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Mean of all values up to each row, NULL values not counted."""
-    from .ordered import BLOCK, running_total, with_blocks
-
-    blocked = with_blocks(df, group, order[0], rows_per_block)
-    summed = running_total(blocked, group, order, F.col(value), "_sum")
-    counted = running_total(summed, group, order, F.col(value).isNotNull().cast("int"), "_cnt")
+    blocked, cut = with_blocks(df, group, order[0], rows_per_block)
+    summed = running_total(blocked, cut, group, order, F.col(value), "_sum")
+    counted = running_total(summed, cut, group, order, F.col(value).isNotNull().cast("int"), "_cnt")
     return (counted.withColumn(out, F.when(F.col("_cnt") > 0, F.col("_sum") / F.col("_cnt")))
-            .drop("_sum", "_cnt", BLOCK))
+            .drop("_sum", "_cnt", BLOCK, HOME))

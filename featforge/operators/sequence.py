@@ -39,8 +39,8 @@ def running_segment_ids(segments: DataFrame, file: str, size: int, out: str = "s
     """
     files = segments.groupBy(file).agg(
         F.ceil(F.count(F.lit(1)) / size).alias("_k"))
-    files = running_total(with_blocks(files, [], file, rows_per_block), [], [file],
-                          F.col("_k"), "_end")
+    blocked, cut = with_blocks(files, [], file, rows_per_block)
+    files = running_total(blocked, cut, [], [file], F.col("_k"), "_end")
     first = files.select(file, (F.col("_end") - F.col("_k")).alias("_first"))
     return (segments.join(first, file, "left")
             .withColumn(out, F.col("_first") + F.col("seg")).drop("_first"))

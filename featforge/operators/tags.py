@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import all_digits
-from .ordered import BLOCK, ROWS_PER_BLOCK, nearest_known, position_blocks, with_halo
+from .ordered import BLOCK, HOME, ROWS_PER_BLOCK, nearest_known, with_blocks, with_halo
 
 
 def tag_list(text: Column) -> Column:
     """Tags of a list file ``['O', 'B_X', ...]``, ordered O, B_, I_, E_; others dropped."""
     items = F.filter(F.split(F.regexp_replace(text, r"[\[\]\n' ]", ""), ","), lambda t: t != "")
-    by_class = [F.filter(items, lambda t, p=p: t.startswith(p)) for p in ("O", "B_", "I_", "E_")]
-    return F.concat(*by_class)
+
+    def starting(prefix: str) -> Column:
+        return F.filter(items, lambda t: t.startswith(prefix))
+
+    return F.concat(*[starting(p) for p in ("O", "B_", "I_", "E_")])
 
 
 def correct_tags(df: DataFrame, group: list[str], pos: str, word: str, label: str,
@@ -41,7 +44,8 @@ def correct_tags(df: DataFrame, group: list[str], pos: str, word: str, label: st
     def near(frame: DataFrame) -> Window:
         return Window.partitionBy(*group, BLOCK).orderBy(pos)
 
-    seen = with_halo(df, pos, 0, 2, rows_per_block)
+    placed, cut = with_blocks(df, group, pos, rows_per_block)
+    seen = with_halo(placed.withColumnRenamed(BLOCK, "_b"), pos, 0, 2, rows_per_block)
     seen = (seen.withColumn("_w2", F.lead(word, 2).over(near(seen)))
             .withColumn("_o2", F.lead(label, 2).over(near(seen)))
             .filter("_own").drop("_own", BLOCK))
@@ -54,12 +58,12 @@ def correct_tags(df: DataFrame, group: list[str], pos: str, word: str, label: st
 
     # Flag of every row: does it turn its successor into 15?
     anchor = F.when(~F.col("_free"), F.col("_fires").cast("int"))
-    placed = nearest_known(position_blocks(seen, pos, rows_per_block), group, pos, anchor, "_a")
+    placed = nearest_known(seen.withColumnRenamed("_b", BLOCK), cut, group, pos, anchor, "_a")
     start = F.coalesce(F.col("_a.p"), F.lit(-1))
     fired = F.coalesce(F.col("_a.v"), F.lit(0)) == 1
     odd = (F.col(pos) - start) % 2 == 1
     flag = F.when(F.col("_free"), odd != fired).otherwise(F.col("_fires"))
-    placed = placed.withColumn("_flag", flag).drop(BLOCK, "_a")
+    placed = placed.withColumn("_flag", flag).drop(BLOCK, HOME, "_a")
 
     # Word rules after the previous row had its say, then the look-ahead at class 12.
     linked = with_halo(placed, pos, 2, 1, rows_per_block)
@@ -86,7 +90,8 @@ def entity_spans(df: DataFrame, group: list[str], pos: str, tag: str,
     typ = F.substring(F.coalesce(F.col(tag), F.lit("O")), 2, 1 << 30)
     base = df.select(*group, pos, kind.alias("_k"), typ.alias("_t"))
     near = Window.partitionBy(*group, BLOCK).orderBy(pos)
-    linked = with_halo(base, pos, 1, 1, rows_per_block)
+    base, cut = with_blocks(base, group, pos, rows_per_block)
+    linked = with_halo(base.withColumnRenamed(BLOCK, "_b"), pos, 1, 1, rows_per_block)
     for name, fn in (("_pk", F.lag("_k").over(near)), ("_pt", F.lag("_t").over(near)),
                      ("_nk", F.lead("_k").over(near)), ("_nt", F.lead("_t").over(near))):
         linked = linked.withColumn(name, fn)
@@ -104,8 +109,8 @@ def entity_spans(df: DataFrame, group: list[str], pos: str, tag: str,
 
     k, t = F.col("_k"), F.col("_t")
     start_at = F.when(starts(F.col("_pk"), F.col("_pt"), k, t), F.lit(1))
-    placed = nearest_known(position_blocks(linked.drop("_own", BLOCK), pos, rows_per_block),
-                           group, pos, start_at, "_s")
+    placed = nearest_known(linked.drop("_own", BLOCK).withColumnRenamed("_b", BLOCK), cut, group,
+                           pos, start_at, "_s")
     return (placed.filter(ends(k, t, F.col("_nk"), F.col("_nt")))
             .select(*group, t.alias("type"), F.coalesce(F.col("_s.p"), F.lit(0)).alias("start"),
                     F.col(pos).alias("end")))

@@ -65,6 +65,7 @@ def compare(spark, folder: str, name: str, query, sql: str | None) -> tuple[str,
         return ("ok" if a else "EMPTY"), seconds, len(rows)
     sa, sb = set(a), set(b)
     only_a, only_b = sorted(sa - sb)[:2], sorted(sb - sa)[:2]
+    only_a, only_b = [x[:300] for x in only_a], [x[:300] for x in only_b]
     return (f"DIFF spark={len(a)} sql={len(b)} differing={len(sa - sb)}\n   spark {only_a}\n   sql   {only_b}",
             seconds, len(rows))
 
