@@ -11,6 +11,7 @@ from ..functions.columns import portable_hash, unit_interval
 from ..session import cut_lineage
 from .align import union_rows
 from .ordered import ROWS_PER_BLOCK, dense_position
+from .sequence import positioned
 
 TILE_ROWS = 1024
 # Tile summaries come to the driver; more rows make larger tiles, never more of them.
@@ -99,7 +100,9 @@ def class_neighbours(df: DataFrame, key: str, label: str, vector: str, wanted: C
     pairs = pairs.select("_l", "_a", F.explode(F.sequence("_f", "_z")).alias("_b"))
 
     left = tiled.filter("_w").withColumnRenamed("_t", "_a").join(pairs, ["_l", "_a"])
-    right = tiled.withColumnRenamed("_t", "_b").join(pairs, ["_l", "_b"])
+    right = (tiled.drop("_w", "_r").select(F.col("_l").alias("_rl"), F.col("_t").alias("_rb"), "_k", "_v")
+             .join(pairs.toDF("_rl", "_ra", "_rb"), ["_rl", "_rb"])
+             .toDF("_rl", "_rb", "_k", "_v", "_ra"))
 
     def nearest(mine: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         if mine.empty or other.empty:
@@ -114,11 +117,11 @@ def class_neighbours(df: DataFrame, key: str, label: str, vector: str, wanted: C
             "distance": np.take_along_axis(d, best, axis=1).ravel()})
         return found[np.isfinite(found["distance"])]
 
-    found = left.groupBy("_l", "_a", "_b").cogroup(right.groupBy("_l", "_a", "_b")).applyInPandas(
+    found = left.groupBy("_l", "_a", "_b").cogroup(right.groupBy("_rl", "_ra", "_rb")).applyInPandas(
         nearest, f"_k {ktype}, neighbour {ktype}, distance double")
     best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k)
     return (found.groupBy("_k").agg(best.alias("_b"))
-            .select(F.col("_k").alias(key), F.posexplode("_b").alias("_p", "_e"))
+            .transform(positioned, [F.col("_k").alias(key)], "_b", "_p", "_e")
             .select(key, (F.col("_p") + 1).alias("rank"), "_e.neighbour", "_e.distance"))
 
 

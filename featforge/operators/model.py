@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .align import rows_predicted, union_rows
 from .ordered import ROWS_PER_BLOCK, dense_position
-from .split import shuffled_position
+from .split import shuffled_position, with_folds
 
 # Letters counted as ratio features of a text.
 RATIO_MARKS = {"junk": r"[!?*#%]", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "blank": r"\s",
@@ -69,15 +69,16 @@ def regressor(features: Sequence[str], label: str, kind: str = "boosted", trees:
     return Pipeline(stages=[assemble, model])
 
 
-def leaderboard(train: DataFrame, candidates: dict[str, Pipeline], label: str, folds: int = 3,
+def leaderboard(train: DataFrame, candidates: dict[str, Pipeline], key: str, folds: int = 3,
                 metric: str = "f1", seed: int = 42) -> dict[str, float]:
-    """Cross-validated score per named candidate, best first."""
+    """Cross-validated score per named candidate, best first; folds come from the key's hash."""
+    train = with_folds(train, key, folds, seed, "_fold")
     scores = {}
     for name, pipe in candidates.items():
         judge = MulticlassClassificationEvaluator(labelCol="_y", predictionCol="_p", metricName=metric)
         cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(),
-                            evaluator=judge, numFolds=folds, seed=seed)
-        scores[name] = cv.fit(train).avgMetrics[0]
+                            evaluator=judge, numFolds=folds, foldCol="_fold", seed=seed)
+        scores[name] = float(cv.fit(train).avgMetrics[0])
     return dict(sorted(scores.items(), key=lambda kv: -kv[1]))
 
 

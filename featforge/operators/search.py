@@ -82,14 +82,15 @@ def _tiled(probes: DataFrame, gallery: DataFrame, probe_id: str, gallery_id: str
     salts as keep a group near ``PROBES_PER_GROUP`` rows, with the tile copied to each.
     """
     n_salts = probes.count() // PROBES_PER_GROUP + 1
-    salts = F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1))).cast("long")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_salts - 1).cast("long")))
     tiles = (gallery.select(F.col(gallery_id).cast("long").alias("_g"), F.col(vector).alias("_v"))
              .withColumn("_tile", F.floor(F.col("_g") / tile))
              .groupBy("_tile").agg(F.array_sort(F.collect_list(F.struct("_g", "_v"))).alias("_m")))
     n_tiles = gallery.agg(F.floor(F.max(F.col(gallery_id)) / tile)).first()[0] + 1
     spread = (probes.select(F.col(probe_id).alias("_p"), F.col(vector).alias("_v"))
               .withColumn("_salt", F.pmod(F.xxhash64("_p"), F.lit(n_salts)).cast("long"))
-              .withColumn("_tile", F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1))).cast("long")))
+              .withColumn("_tile", F.explode(
+                  F.sequence(F.lit(0).cast("long"), F.lit(n_tiles - 1).cast("long")))))
     salted = tiles.withColumn("_salt", salts)
 
     def match(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -105,6 +105,17 @@ def pad(array: Column, length: Column | int, value) -> Column:
     return F.concat(array, F.array_repeat(filler, missing))
 
 
+def positioned(df: DataFrame, keys: list, array: str, pos: str = "pos",
+               value: str = "value") -> DataFrame:
+    """One row per element of a computed array column.
+
+    The outer form with its NULL rows removed: the plain form makes the optimizer
+    test the array before exploding it, which computes the column again.
+    """
+    return (df.select(*keys, F.posexplode_outer(array).alias(pos, value))
+            .filter(F.col(pos).isNotNull()))
+
+
 def explode_sequence(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
     """One row per element of parallel arrays: keys, ``pos`` and one column per array."""
     zipped = F.arrays_zip(*[F.col(a).alias(out) for out, a in columns.items()])
@@ -130,7 +141,7 @@ def flatten_map_predictions(df: DataFrame, keys: list[str], predictions: str) ->
 
 def ordinals(df: DataFrame, key: str, items: str, out_key: str = "id", out: str = "name") -> DataFrame:
     """Elements with a 1-based ordinal appended to the key: ``key_1``, ``key_2``."""
-    return (df.select(F.col(key).alias("_k"), F.posexplode(items).alias("_p", out))
+    return (positioned(df, [F.col(key).alias("_k")], items, "_p", out)
             .select(F.concat_ws("_", F.col("_k").cast("string"), (F.col("_p") + 1).cast("string"))
                     .alias(out_key), out))
 

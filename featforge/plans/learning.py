@@ -1 +1,289 @@
-"""."""
+"""Queries for search, balancing, splits, table models, metrics and the stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import align, balance, metrics, model, search, split
+from ..session import scratch_path
+from ..sources.readers import table_of
+from ..streaming import segments as stream
+from .registry import query
+
+# --- vector search ---------------------------------------------------------------
+
+
+def sql_match(threshold: float) -> str:
+    return f"""WITH s AS (SELECT p.vec_id, g.vec_id AS idx,
+    round(list_cosine_similarity(p.embedding :: DOUBLE[], g.embedding :: DOUBLE[]), 9) AS sim
+  FROM embeddings p, embeddings g WHERE p.vec_id >= 22 AND g.vec_id < 22),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, idx) = 1)
+SELECT vec_id, idx, round(sim + 1e-9, 5) + 0.0 AS sim, CASE WHEN sim < {threshold} THEN 22 ELSE idx END AS class FROM b"""
+
+
+def matched(t, threshold, **kw):
+    e = t.embeddings.select("vec_id", "embedding")
+    m = search.top_match(e.filter(F.col("vec_id") >= 22), e.filter(F.col("vec_id") < 22), "vec_id", "vec_id",
+                         "embedding", threshold, **kw)
+    return m.withColumn("sim", C.rounded(F.col("sim"), 5))
+
+
+@query("v1_top_match", sql_match(0.75))
+def v1_match(spark, t):
+    return matched(t, 0.75)
+
+
+@query("v1_top_match_low_threshold", sql_match(0.25))
+def v1_low(spark, t):
+    return matched(t, 0.25)
+
+
+@query("j10_best_of_tiled_gallery", sql_match(-1))
+def j10_tiled(spark, t):
+    """The way for a large gallery: tiles instead of a copy of the gallery per task."""
+    return matched(t, -1.0, gallery_limit=8, tile=8)
+
+
+@query("n3_cosine", """SELECT vec_id, round(list_cosine_similarity(embedding :: DOUBLE[], list_reverse(embedding) :: DOUBLE[]) + 1e-9, 5) + 0.0 AS sim
+FROM embeddings""")
+def n3_cosine(spark, t):
+    e = F.col("embedding")
+    return t.embeddings.select("vec_id", C.rounded(search.cosine(e, F.reverse(e)), 5).alias("sim"))
+
+
+# --- balancing and splits --------------------------------------------------------
+
+
+def sql_hash(key: str, seed: int = 42) -> str:
+    return f"('0x' || substr(md5({key} || ':{seed}'), 1, 8)) :: BIGINT"
+
+
+SQL_OVERSAMPLE = f"""e AS (SELECT vec_id, label, embedding :: DOUBLE[] AS v,
+    row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+d AS (SELECT a.vec_id, b.vec_id AS nn, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) AS d
+  FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id),
+r AS (SELECT vec_id, nn, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, nn) AS rank FROM d QUALIFY rank <= 5)"""
+SQL_SYNTHETIC = f"""{SQL_OVERSAMPLE},
+m AS (SELECT max(n) AS m FROM e),
+j AS (SELECT label, n, unnest(range(0, (SELECT m FROM m) - n)) AS j FROM (SELECT DISTINCT label, n FROM e)),
+s AS (SELECT j.label, j, b.vec_id AS base, b.v AS x, {sql_hash("(j.label || ':' || j)")} % 5 + 1 AS rank,
+    {sql_hash("(j.label || ':' || j)", 43)} / 4294967296.0 AS u
+  FROM j JOIN e b ON b.label = j.label AND b.pos = j.j % j.n),
+y AS (SELECT s.label, s.j, base, r.nn AS neighbour, list_transform(list_zip(x, o.v), lambda z: z[1] + u * (z[2] - z[1])) AS v
+  FROM s JOIN r ON r.vec_id = s.base AND r.rank = s.rank JOIN e o ON o.vec_id = r.nn)"""
+
+
+@query("b1_class_neighbours", f"""WITH {SQL_OVERSAMPLE} SELECT vec_id, rank :: INTEGER AS rank, nn AS neighbour, round(d + 1e-9, 6) + 0.0 AS distance FROM r""")
+def b1_neighbours(spark, t):
+    n = balance.class_neighbours(t.embeddings, "vec_id", "label", "embedding", F.lit(True), 5, tile_rows=32)
+    return n.withColumn("distance", C.rounded(F.col("distance")))
+
+
+@query("b1_synthetic_rows", f"""WITH {SQL_SYNTHETIC} SELECT label, j, base, neighbour, round(v[1] + 1e-9, 5) + 0.0 AS first_value,
+  round(list_sum(v) + 1e-9, 5) + 0.0 AS total FROM y""")
+def b1_synthetic(spark, t):
+    s = balance.synthetic_rows(t.embeddings, "vec_id", "label", "embedding")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v)
+    return s.select("label", "j", "base", "neighbour", C.rounded(F.get("embedding", F.lit(0)), 5).alias("first_value"),
+                    C.rounded(total, 5).alias("total"))
+
+
+@query("b1_oversampled_counts", """SELECT label, max(count(*)) OVER () AS n, max(count(*)) OVER () - count(*) AS synthetic FROM embeddings GROUP BY label""")
+def b1_counts(spark, t):
+    o = balance.oversample(t.embeddings, "vec_id", "label", "embedding")
+    return o.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("synthetic").alias("synthetic"))
+
+
+@query("l1_hash_split", f"SELECT doc_id, CASE WHEN {sql_hash('doc_id')} % 1000 < 800 THEN 1 ELSE 0 END AS is_train FROM documents")
+def l1_hash(spark, t):
+    train, test = split.hash_split(t.documents.select("doc_id"), "doc_id", 0.8)
+    return align.union_rows(train.withColumn("is_train", F.lit(1)), test.withColumn("is_train", F.lit(0)))
+
+
+@query("l1_exact_split", f"""SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {sql_hash('doc_id')}, doc_id) <= floor(0.75 * count(*) OVER ()) THEN 1 ELSE 0 END AS is_train
+FROM documents""")
+def l1_exact(spark, t):
+    return split.exact_split(t.documents.select("doc_id"), "doc_id", 0.75)
+
+
+@query("l2_folds", f"""SELECT o_orderkey, ((row_number() OVER (ORDER BY {sql_hash('o_orderkey')}, o_orderkey) - 1) % 5) :: INTEGER AS fold FROM orders""")
+def l2_folds(spark, t):
+    return split.with_folds(t.orders.select("o_orderkey"), "o_orderkey", 5)
+
+
+# --- metrics -----------------------------------------------------------------------
+
+
+@query("e1_accuracy", "SELECT round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END) + 1e-9, 6) + 0.0 AS accuracy FROM labels")
+def e1_accuracy(spark, t):
+    return metrics.accuracy(t.labels, "toxic", "quality").select(C.rounded(F.col("accuracy")).alias("accuracy"))
+
+
+SQL_FOLD_ERROR = f"""f AS (SELECT (row_number() OVER (ORDER BY {sql_hash('p_partkey')}, p_partkey) - 1) % 5 AS fold,
+    abs(900 + p_partkey / 10.0 - p_retailprice) AS err FROM part)"""
+
+
+def folded_errors(t):
+    p = split.with_folds(t.part.select("p_partkey", "p_retailprice"), "p_partkey", 5)
+    return metrics.mean_absolute_error(p.withColumn("pred", 900 + F.col("p_partkey") / 10.0), "pred", "p_retailprice", "fold")
+
+
+@query("e2_mae_per_fold", f"WITH {SQL_FOLD_ERROR} SELECT fold :: INTEGER AS fold, round(avg(err) + 1e-9, 5) + 0.0 AS mae FROM f GROUP BY fold")
+def e2_folds(spark, t):
+    return folded_errors(t).withColumn("mae", C.rounded(F.col("mae"), 5))
+
+
+@query("e2_mean_of_folds", f"WITH {SQL_FOLD_ERROR}, m AS (SELECT avg(err) AS mae FROM f GROUP BY fold) SELECT round(avg(mae) + 1e-9, 5) + 0.0 AS mae FROM m")
+def e2_mean(spark, t):
+    return metrics.mean_of_folds(folded_errors(t)).select(C.rounded(F.col("mae"), 5).alias("mae"))
+
+
+SQL_SCORES = """c AS (SELECT toxic AS p, quality AS y, count(*) AS n FROM labels GROUP BY 1, 2),
+k AS (SELECT DISTINCT y AS c FROM c UNION SELECT p FROM c),
+s AS (SELECT k.c, coalesce(sum(n) FILTER (p = k.c), 0) AS predicted, coalesce(sum(n) FILTER (y = k.c), 0) AS support,
+  coalesce(sum(n) FILTER (p = k.c AND y = k.c), 0) AS hit FROM k, c GROUP BY k.c)"""
+
+
+@query("e3_class_scores", f"""WITH {SQL_SCORES} SELECT c AS class, round(coalesce(hit / nullif(predicted, 0), 0) + 1e-9, 6) + 0.0 AS precision,
+  round(coalesce(hit / nullif(support, 0), 0) + 1e-9, 6) + 0.0 AS recall, round(coalesce(2 * hit / nullif(predicted + support, 0), 0) + 1e-9, 6) + 0.0 AS f1,
+  support :: BIGINT AS support FROM s""")
+def e3_scores(spark, t):
+    s = metrics.class_scores(t.labels, "toxic", "quality")
+    return s.select("class", *[C.rounded(F.col(c)).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query("e3_weighted_f1", f"WITH {SQL_SCORES} SELECT round(sum(coalesce(2 * hit / nullif(predicted + support, 0), 0) * support) / sum(support) + 1e-9, 6) + 0.0 AS f1_weighted FROM s")
+def e3_weighted(spark, t):
+    return metrics.weighted_f1(t.labels, "toxic", "quality").select(C.rounded(F.col("f1_weighted")).alias("f1_weighted"))
+
+
+@query("e4_confusion", """SELECT toxic, count(*) FILTER (quality = 0) AS "0", count(*) FILTER (quality = 1) AS "1" FROM labels GROUP BY toxic""")
+def e4_confusion(spark, t):
+    return metrics.confusion(t.labels, "toxic", "quality", [0, 1])
+
+
+# --- table models -------------------------------------------------------------------
+
+
+def with_ratios(t):
+    ratios = model.text_ratios(F.col("text"))
+    return t.documents.select("doc_id", "lang", *ratios)
+
+
+FEATURES = [f"r_{name}" for name in model.RATIO_MARKS]
+
+
+def labelled(t):
+    """(labelled, unlabelled) documents with ratio features; the label is ``quality``."""
+    d = with_ratios(t).join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    return d.filter(F.col("quality").isNotNull()), d.filter(F.col("quality").isNull()).drop("quality")
+
+
+def small_forest(label, kind="forest"):
+    return model.classifier(FEATURES, label, kind, trees=10, depth=5)
+
+
+@query("m1_classifier")
+def m1_classifier(spark, t):
+    train, rest = labelled(t)
+    return model.predict(small_forest("quality").fit(train), rest).select("doc_id", "prediction")
+
+
+@query("m1_language_classifier")
+def m1_languages(spark, t):
+    train, test = split.hash_split(with_ratios(t), "doc_id")
+    fitted = small_forest("lang").fit(train)
+    return model.predict(fitted, test).select("doc_id", "lang", "prediction")
+
+
+@query("m2_regressor")
+def m2_regressor(spark, t):
+    train, test = split.hash_split(t.part.select("p_partkey", "p_size", "p_retailprice"), "p_partkey")
+    fitted = model.regressor(["p_partkey", "p_size"], "p_retailprice", "boosted", trees=5).fit(train)
+    return fitted.transform(test).select("p_partkey", "p_retailprice", "prediction")
+
+
+@query("m3_leaderboard")
+def m3_leaderboard(spark, t):
+    train, _ = labelled(t)
+    scores = model.leaderboard(train.cache(), {
+        "gini": small_forest("quality", "gini"), "entropy": small_forest("quality", "entropy"),
+        "logistic": model.classifier(FEATURES, "quality", "logistic")}, "doc_id", folds=3)
+    return table_of(spark, list(scores.items()), "model string, f1 double")
+
+
+@query("m4_refit_full")
+def m4_refit(spark, t):
+    train, rest = labelled(t)
+    part, held_out = split.hash_split(train, "doc_id")
+    return model.predict(model.refit_full(small_forest("quality"), part, held_out), rest).select("doc_id", "prediction")
+
+
+@query("m5_pseudo_label")
+def m5_pseudo(spark, t):
+    train, rest = labelled(t)
+    pipe = small_forest("quality")
+    second = model.pseudo_label(pipe, pipe.fit(train), train, rest, "quality", 0.95)
+    return model.predict(second, rest).select("doc_id", "prediction")
+
+
+@query("m6_blend", """SELECT p_partkey, round(0.6 * p_retailprice + 0.4 * p_size + 1e-9, 4) + 0.0 AS prediction FROM part""")
+def m6_blend(spark, t):
+    return t.part.select("p_partkey", C.rounded(model.blend(F.col("p_retailprice"), F.col("p_size")), 4).alias("prediction"))
+
+
+@query("m6_blended_regression")
+def m6_regression(spark, t):
+    folds = split.with_folds(t.part.select("p_partkey", "p_size", "p_retailprice"), "p_partkey", 2).cache()
+    out = model.cross_validated(folds, "fold", 2, lambda train, test: model.blended_regression(
+        train, test, ["p_partkey", "p_size"], "p_retailprice", 0.6, trees=5))
+    return out.select("p_partkey", "fold", "p_retailprice", "prediction")
+
+
+@query("m7_permutation_importance")
+def m7_importance(spark, t):
+    train, _ = labelled(t)
+    fitted = small_forest("quality").fit(train)
+    return model.permutation_importance(fitted, train, "doc_id", FEATURES, "quality")
+
+
+@query("m8_cascade")
+def m8_cascade(spark, t):
+    """English against the rest, then the languages of the rest."""
+    train, test = split.hash_split(with_ratios(t), "doc_id")
+    first_table, rest = balance.two_stage_tables(train, "lang", "en", "NON_en")
+    first = model.predict(small_forest("lang").fit(first_table), test.drop("lang"))
+    second = small_forest("lang").fit(rest)
+    out = model.cascade(test.drop("lang"), first.select("doc_id", "prediction"), "doc_id", "en", "NON_en",
+                        lambda rows: model.predict(second, rows))
+    return out.join(test.select("doc_id", "lang"), "doc_id")
+
+
+@query("m8_cascade_wiring", """SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN 'en' WHEN n_chars % 3 = 0 THEN 'de' ELSE 'fr' END AS prediction FROM documents""")
+def m8_wiring(spark, t):
+    """The cascade with plain rules as its two models."""
+    d = t.documents.select("doc_id", "n_chars")
+    first = d.select("doc_id", F.when(F.col("n_chars") % 2 == 0, "en").otherwise("NON_en").alias("prediction"))
+    return model.cascade(d, first, "doc_id", "en", "NON_en", lambda rows: rows.withColumn(
+        "prediction", F.when(F.col("n_chars") % 3 == 0, "de").otherwise("fr")))
+
+
+# --- stream --------------------------------------------------------------------------
+
+
+@query("st1_stream_statistics", """WITH w AS (SELECT event_type, epoch(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')) :: BIGINT AS start, value FROM events)
+SELECT event_type, start AS window_start, count(value) AS n, round(avg(value) + 1e-9, 4) + 0.0 AS mean,
+  round(stddev_samp(value) + 1e-9, 4) + 0.0 AS std, round(var_samp(value) + 1e-9, 3) + 0.0 AS var FROM w
+WHERE start + 6 * 3600 <= (SELECT epoch(max(ts)) - 3600 FROM events) GROUP BY 1, 2""")
+def st1_stream(spark, t):
+    """Append mode: windows that the watermark has passed when the data ends."""
+    rows = stream.read_stream(spark, t._folder, t.events.schema, pattern="events.parquet")
+    rows = rows.select("event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    stats = stream.window_statistics(rows, "ts", ["event_type"], "value", "6 hours", "1 hour")
+    path = scratch_path(spark, "stream")
+    stream.write_available(stats, f"{path}/rows", f"{path}/state")
+    back = spark.read.parquet(f"{path}/rows")
+    return back.select("event_type", F.unix_timestamp("window_start").alias("window_start"), "n",
+                       C.rounded(F.col("mean"), 4).alias("mean"), C.rounded(F.col("std"), 4).alias("std"),
+                       C.rounded(F.col("var"), 3).alias("var"))

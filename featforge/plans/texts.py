@@ -22,8 +22,8 @@ def documents_tokens(t):
 
 
 def long_tokens(t):
-    return documents_tokens(t).select("doc_id", F.posexplode("tokens").alias("pos", "word")).withColumn(
-        "pos", F.col("pos").cast("long"))
+    rows = sequence.positioned(documents_tokens(t), ["doc_id"], "tokens", "pos", "word")
+    return rows.withColumn("pos", F.col("pos").cast("long"))
 
 
 # A stand-in tagger for the documents: capital letter, ending, digits.
