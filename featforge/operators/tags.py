@@ -22,6 +22,15 @@ def tag_list(text: Column) -> Column:
     return F.concat(*[starting(p) for p in ("O", "B_", "I_", "E_")])
 
 
+def _neighbourly(df: DataFrame, cut: bool, pos: str, behind: int, ahead: int,
+                 rows_per_block: int) -> DataFrame:
+    """Rows ready for lag and lead; without large groups no row has to move for it."""
+    kept = df.withColumnRenamed(BLOCK, "_b")
+    if cut:
+        return with_halo(kept, pos, behind, ahead, rows_per_block)
+    return kept.withColumns({BLOCK: F.lit(0).cast("long"), "_own": F.lit(True)})
+
+
 def correct_tags(df: DataFrame, group: list[str], pos: str, word: str, label: str,
                  animals: Sequence[str] = V.ANIMAL_WORDS, hunter: str = V.HUNTER_WORD,
                  titles: Sequence[str] = V.TITLE_WORDS, rulers: Sequence[str] = V.RULER_WORDS,
@@ -45,7 +54,7 @@ def correct_tags(df: DataFrame, group: list[str], pos: str, word: str, label: st
         return Window.partitionBy(*group, BLOCK).orderBy(pos)
 
     placed, cut = with_blocks(df, group, pos, rows_per_block)
-    seen = with_halo(placed.withColumnRenamed(BLOCK, "_b"), pos, 0, 2, rows_per_block)
+    seen = _neighbourly(placed, cut, pos, 0, 2, rows_per_block)
     seen = (seen.withColumn("_w2", F.lead(word, 2).over(near(seen)))
             .withColumn("_o2", F.lead(label, 2).over(near(seen)))
             .filter("_own").drop("_own", BLOCK))
@@ -63,10 +72,10 @@ def correct_tags(df: DataFrame, group: list[str], pos: str, word: str, label: st
     fired = F.coalesce(F.col("_a.v"), F.lit(0)) == 1
     odd = (F.col(pos) - start) % 2 == 1
     flag = F.when(F.col("_free"), odd != fired).otherwise(F.col("_fires"))
-    placed = placed.withColumn("_flag", flag).drop(BLOCK, HOME, "_a")
+    placed = placed.withColumn("_flag", flag).drop("_a")
 
     # Word rules after the previous row had its say, then the look-ahead at class 12.
-    linked = with_halo(placed, pos, 2, 1, rows_per_block)
+    linked = _neighbourly(placed, cut, pos, 2, 1, rows_per_block)
     before = F.coalesce(F.lag("_flag", 1).over(near(linked)), F.lit(False))
     carried = F.when(before, F.lit("15")).otherwise(o)
     after_words = (F.when(is_ruler, F.lit("11")).when(is_title, F.lit("9"))
@@ -76,7 +85,7 @@ def correct_tags(df: DataFrame, group: list[str], pos: str, word: str, label: st
                .otherwise(F.col("_p2")))
     final = F.when(F.lead("_p2", 1).over(near(linked)) == "12", F.lit("3")).otherwise(settled)
     return (linked.withColumn(out, final).filter("_own")
-            .drop("_own", BLOCK, "_w2", "_o2", "_r7", "_free", "_fires", "_flag", "_p2"))
+            .drop("_own", BLOCK, "_b", HOME, "_w2", "_o2", "_r7", "_free", "_fires", "_flag", "_p2"))
 
 
 def entity_spans(df: DataFrame, group: list[str], pos: str, tag: str,
@@ -91,7 +100,7 @@ def entity_spans(df: DataFrame, group: list[str], pos: str, tag: str,
     base = df.select(*group, pos, kind.alias("_k"), typ.alias("_t"))
     near = Window.partitionBy(*group, BLOCK).orderBy(pos)
     base, cut = with_blocks(base, group, pos, rows_per_block)
-    linked = with_halo(base.withColumnRenamed(BLOCK, "_b"), pos, 1, 1, rows_per_block)
+    linked = _neighbourly(base, cut, pos, 1, 1, rows_per_block)
     for name, fn in (("_pk", F.lag("_k").over(near)), ("_pt", F.lag("_t").over(near)),
                      ("_nk", F.lead("_k").over(near)), ("_nt", F.lead("_t").over(near))):
         linked = linked.withColumn(name, fn)

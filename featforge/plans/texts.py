@@ -18,7 +18,8 @@ k AS (SELECT doc_id, unnest(range(0, len(tokens))) AS pos, unnest(tokens) AS wor
 
 
 def documents_tokens(t):
-    return t.documents.select("doc_id", X.blank_tokens(F.col("text")).alias("tokens"))
+    d = readers.spread(t.documents.select("doc_id", "text"), "doc_id")
+    return d.select("doc_id", X.blank_tokens(F.col("text")).alias("tokens"))
 
 
 def long_tokens(t):
@@ -302,7 +303,7 @@ def authors(t):
     text = (F.when(m == 1, F.concat(F.lit("Mr."), swap(". ", " (alias one), Dr. ")))
             .when(m == 2, F.concat(swap(". ", ", et al,  M.D. "), F.lit(", Vol.12 x, Assoc. Prof. Dr. MA last")))
             .when(m == 3, F.lit(None)).when(m == 4, swap(" und ", " (der) und (die)")).otherwise(c))
-    return t.documents.select("doc_id", text.alias("c"))
+    return readers.spread(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", text.alias("c"))
 
 
 def strip_sql(x: str) -> str:

@@ -112,6 +112,16 @@ def read_image_manifest(spark: SparkSession, images: str, labels: str | None = N
     return image_manifest(listing(images, pattern), listing(labels, "*.txt") if labels else None)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Split a table over all cores before CPU-bound work.
+
+    Only for an input with fewer splits than cores (a small file, one row group); a
+    large one has its splits already and is returned unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def table_of(spark: SparkSession, rows, schema) -> DataFrame:
     """A small in-memory table."""
     return spark.createDataFrame(rows, schema)
