@@ -123,6 +123,16 @@ def date_parts(text_or_time: Column) -> list[Column]:
     return [F.month(t).alias("month"), F.dayofmonth(t).alias("day"), F.hour(t).alias("hour")]
 
 
+def text_to_int(c: Column, strict: bool = False) -> Column:
+    """Integer of a text. Bad text fails when ``strict``, else it gives NULL.
+
+    The pattern is tested first: ``try_cast`` alone raises and catches an error per bad value.
+    """
+    if strict:
+        return c.cast("int")
+    return F.when(c.rlike(r"^\s*[+-]?[0-9]+\s*$"), c.try_cast("int"))
+
+
 def root(x: Column) -> Column:
     """Square root; NULL for a negative argument."""
     return F.when(x >= 0, F.sqrt(x))

@@ -241,7 +241,7 @@ def p14_assign(spark, t):
 def p15_casts(spark, t):
     return t.lineitem.select(
         "l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("qty"),
-        F.col("l_returnflag").try_cast("int").alias("bad"), F.col("l_extendedprice").cast("string").alias("price_text"))
+        C.text_to_int(F.col("l_returnflag")).alias("bad"), F.col("l_extendedprice").cast("string").alias("price_text"))
 
 
 @query("p16_array_elements", """SELECT vec_id, embedding[1] :: DOUBLE AS first_value, embedding[64] :: DOUBLE AS last_value,

@@ -52,7 +52,7 @@ def line_table(texts: DataFrame, key: str, text: str, drop_last: bool = False,
 
 def read_lines(spark: SparkSession, path, drop_last: bool = False) -> DataFrame:
     """Line files; a file is one row while its lines are numbered."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return line_table(whole.withColumn(SOURCE, F.col("_metadata.file_path")), SOURCE, "value", drop_last)
 
 
