@@ -30,11 +30,12 @@ def class_scores(df: DataFrame, pred: str, truth: str) -> DataFrame:
     # Pre-aggregated cells: the later grouping sees at most classes x classes rows.
     cells = df.groupBy(F.col(pred).alias("p"), F.col(truth).alias("y")).agg(
         F.count(F.lit(1)).alias("n"))
-    as_pred = cells.select(F.col("p").alias("c"), F.col("n").alias("predicted"), F.lit(0).alias("support"),
-                           F.when(F.col("p") == F.col("y"), F.col("n")).otherwise(0).alias("hit"))
-    as_true = cells.select(F.col("y").alias("c"), F.lit(0).alias("predicted"),
-                           F.col("n").alias("support"), F.lit(0).alias("hit"))
-    per = as_pred.unionByName(as_true).groupBy("c").agg(
+    zero, n = F.lit(0).cast("long"), F.col("n")
+    hit = F.when(F.col("p") == F.col("y"), n).otherwise(zero)
+    both = F.array(
+        F.struct(F.col("p").alias("c"), n.alias("predicted"), zero.alias("support"), hit.alias("hit")),
+        F.struct(F.col("y").alias("c"), zero.alias("predicted"), n.alias("support"), zero.alias("hit")))
+    per = cells.select(F.inline(both)).groupBy("c").agg(
         F.sum("predicted").alias("predicted"), F.sum("support").alias("support"), F.sum("hit").alias("hit"))
     zero = F.lit(0.0)
     return (per.withColumn("precision", F.coalesce(F.try_divide("hit", "predicted"), zero))
@@ -59,10 +60,13 @@ def confusion(df: DataFrame, pred: str, truth: str, classes: Sequence | None = N
 def entity_scores(df: DataFrame, group: list[str], pos: str, pred: str, truth: str,
                   rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Entity-level precision, recall and F1: a hit is the same type, start and end."""
-    p = entity_spans(df, group, pos, pred, rows_per_block).withColumn("p", F.lit(1)).withColumn("y", F.lit(0))
-    y = entity_spans(df, group, pos, truth, rows_per_block).withColumn("p", F.lit(0)).withColumn("y", F.lit(1))
-    spans = p.unionByName(y).groupBy(*group, "type", "start", "end").agg(
-        F.max("p").alias("p"), F.max("y").alias("y"))
+    # Both tag columns as one table: a single pass and shuffle for the two.
+    sides = F.array(F.struct(F.lit("p").alias("_side"), F.col(pred).alias("_tag")),
+                    F.struct(F.lit("y").alias("_side"), F.col(truth).alias("_tag")))
+    spans = entity_spans(df.select(*group, pos, F.inline(sides)), [*group, "_side"], pos, "_tag", rows_per_block)
+    spans = spans.groupBy(*group, "type", "start", "end").agg(
+        F.max((F.col("_side") == "p").cast("int")).alias("p"),
+        F.max((F.col("_side") == "y").cast("int")).alias("y"))
     total = spans.agg(F.sum(F.col("p") * F.col("y")).alias("n_hit"), F.sum("p").alias("n_pred"),
                       F.sum("y").alias("n_true"))
     zero = F.lit(0.0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from ..session import cut_lineage
 from .ordered import BLOCK, HOME, ROWS_PER_BLOCK, dense_position, running_total, with_blocks
 
 QUARTILES = (0.25, 0.5, 0.75)
-# Up to this many rows the built-in exact percentile (a value map per task) is used.
-DIRECT_ROWS = 1 << 20
+# Up to this many rows the built-in exact percentile (a map of all values) is used.
+DIRECT_ROWS = 1 << 16
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -25,60 +26,117 @@ def _melt(df: DataFrame, cols: Sequence[str], dtype: str) -> DataFrame:
     return df.select(F.expr(f"stack({len(cols)}, {pairs}) as (column, value)"))
 
 
+@dataclass
+class _Target:
+    """Values wanted at ``ranks`` (0-based) among the ``n`` values of a column in a range."""
+
+    column: str
+    ranks: tuple[int, ...]
+    n: int
+    above: float | None = None       # values > above
+    upto: float | None = None        # values <= upto, or < upto
+    closed: bool = True
+    n_below: int = 0                 # values of the column below the range
+
+    def values(self) -> Column:
+        v = F.col(f"`{self.column}`").cast("double")
+        inside = F.lit(True)
+        if self.above is not None:
+            inside = inside & (v > self.above)
+        if self.upto is not None:
+            inside = inside & ((v <= self.upto) if self.closed else (v < self.upto))
+        return F.when(inside & ~F.isnan(v), v)
+
+
+MARGIN = 0.002
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = QUARTILES,
                     direct_rows: int = DIRECT_ROWS) -> dict[str, list[float | None]]:
     """Exact interpolated quantiles without gathering a column in one task.
 
-    A large column is narrowed first: a sketch proposes a value range around each
-    wanted rank, one pass counts the rows below that range, and only the range
-    is looked at again. The count proves that the rank lies inside, so the answer
-    is exact whatever the sketch said. Only ranks, counts and range ends, a fixed
-    number per column, reach the driver.
+    A sketch proposes a value range around each wanted rank, one pass counts the rows
+    below and inside, and the next round looks only at the range that holds the rank.
+    The counts prove it, so the answer is exact whatever the sketch said. All
+    columns and ranks share the passes of a round (two per round, rarely more than two
+    rounds); a fixed number of values per column reaches the driver.
     """
-    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first()
-    small = [c for c in cols if counts[c] <= direct_rows]
+    counts = df.agg(*[F.count(_Target(c, (), 0).values()).alias(f"c{i}")
+                      for i, c in enumerate(cols)]).first()
+    places: dict[tuple[str, float], float] = {}
+    open_targets: list[_Target] = []
+    for i, c in enumerate(cols):
+        n = counts[i]
+        for p in probs:
+            rank = p * (n - 1)
+            places[c, p] = rank
+            low = int(rank)
+            if n:
+                open_targets.append(_Target(c, (low,) if rank == low else (low, low + 1), n))
+    values: dict[tuple[str, int], float] = {}
+    while any(t.n > direct_rows for t in open_targets):
+        open_targets = _narrow(df, open_targets, direct_rows, values)
+    if open_targets:
+        row = df.agg(*[F.percentile(t.values(), [r / max(t.n - 1, 1) for r in t.ranks]).alias(f"q{i}")
+                       for i, t in enumerate(open_targets)]).first()
+        for t, found in zip(open_targets, row):
+            values.update({(t.column, r + t.n_below): v for r, v in zip(t.ranks, found)})
     out: dict[str, list[float | None]] = {}
-    if small:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), list(probs)).alias(c)
-                       for c in small]).first()
-        out.update({c: row[c] if row[c] is not None else [None] * len(probs) for c in small})
-    for c in cols:
-        if c not in out:
-            data = df.filter(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("v"))
-            out[c] = [_quantile(data, counts[c], p, direct_rows) for p in probs]
+    for i, c in enumerate(cols):
+        out[c] = []
+        for p in probs:
+            if not counts[i]:
+                out[c].append(None)
+                continue
+            low, part = int(places[c, p]), places[c, p] - int(places[c, p])
+            a = values[c, low]
+            out[c].append(a if part == 0 else a + (values[c, low + 1] - a) * part)
     return out
 
 
-def _quantile(data: DataFrame, n: int, p: float, direct_rows: int) -> float:
-    rank = p * (n - 1)
-    low_rank, fraction = int(rank), rank - int(rank)
-    low = _value_at(data, n, low_rank, direct_rows)
-    if fraction == 0:
-        return low
-    high = _value_at(data, n, low_rank + 1, direct_rows)
-    return low + (high - low) * fraction
-
-
-def _value_at(data: DataFrame, n: int, rank: int, direct_rows: int) -> float:
-    """The value at a 0-based rank of ``data`` (``n`` rows)."""
-    while n > direct_rows:
-        p, margin = rank / n, 0.002
-        a, b = data.agg(F.percentile_approx(
-            "v", [max(p - margin, 0.0), min(p + margin, 1.0)], 5000)).first()[0]
-        below, inside, at_a = data.agg(
-            F.count_if(F.col("v") < a), F.count_if((F.col("v") >= a) & (F.col("v") <= b)),
-            F.count_if(F.col("v") == a)).first()
-        if below <= rank < below + at_a:
-            return a
-        if rank < below:
-            data, n = data.filter(F.col("v") < a), below
-        elif rank >= below + inside:
-            data, n, rank = data.filter(F.col("v") > b), n - below - inside, rank - below - inside
-        else:
-            # Strictly above a: equal values are settled, so every round shrinks the range.
-            data = data.filter((F.col("v") > a) & (F.col("v") <= b))
-            n, rank = inside - at_a, rank - below - at_a
-    return data.agg(F.percentile("v", rank / (n - 1) if n > 1 else 0.0)).first()[0]
+def _narrow(df: DataFrame, targets: list[_Target], direct_rows: int,
+            values: dict[tuple[str, int], float]) -> list[_Target]:
+    """One round: every large target gets a smaller range or its values."""
+    large = [t for t in targets if t.n > direct_rows]
+    done = [t for t in targets if t.n <= direct_rows]
+    # Targets over the same range share one sketch.
+    ranges: dict[tuple, list[_Target]] = {}
+    for t in large:
+        ranges.setdefault((t.column, t.above, t.upto, t.closed), []).append(t)
+    sketches = []
+    for group in ranges.values():
+        marks = []
+        for t in group:
+            marks += [max(t.ranks[0] / t.n - MARGIN, 0.0), min((t.ranks[-1] + 1) / t.n + MARGIN, 1.0)]
+        sketches.append(F.percentile_approx(group[0].values(), marks, 5000))
+    ends = [e for found in df.agg(*[s.alias(f"s{i}") for i, s in enumerate(sketches)]).first() for e in found]
+    ordered = [t for group in ranges.values() for t in group]
+    aggs = []
+    for i, t in enumerate(ordered):
+        a, b, v = ends[2 * i], ends[2 * i + 1], t.values()
+        aggs += [F.count_if(v < a), F.count_if(v == a), F.count_if((v > a) & (v <= b))]
+    numbers = df.agg(*[x.alias(f"n{i}") for i, x in enumerate(aggs)]).first()
+    for i, t in enumerate(ordered):
+        a, b = ends[2 * i], ends[2 * i + 1]
+        below, equal, inside = numbers[3 * i:3 * i + 3]
+        parts: dict[str, list[int]] = {}
+        for r in t.ranks:
+            where = ("below" if r < below else "equal" if r < below + equal
+                     else "inside" if r < below + equal + inside else "beyond")
+            parts.setdefault(where, []).append(r)
+        for where, ranks in parts.items():
+            if where == "equal":
+                values.update({(t.column, r + t.n_below): a for r in ranks})
+            elif where == "below":
+                done.append(_Target(t.column, tuple(ranks), below, t.above, a, False, t.n_below))
+            elif where == "inside":
+                done.append(_Target(t.column, tuple(r - below - equal for r in ranks), inside, a, b, True,
+                                    t.n_below + below + equal))
+            else:
+                skipped = below + equal + inside
+                done.append(_Target(t.column, tuple(r - skipped for r in ranks), t.n - skipped, b, t.upto,
+                                    t.closed, t.n_below + skipped))
+    return done
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None, approximate: bool = False,
