@@ -24,6 +24,11 @@ from pyspark.sql import types as T
 ROWS_PER_BLOCK = 1 << 20
 MAX_BLOCKS = 1 << 18
 BLOCK, HOME = "_block", "_home"
+CROWDED = 4        # a range this many times over size is cut again
+MAX_ROUNDS = 6
+TEXT_STEPS = 4
+BORDER_FIELDS = [T.StructField("_depth", T.IntegerType()), T.StructField("_lo", T.DoubleType()),
+                 T.StructField("_width", T.DoubleType())]
 
 
 def order_number(df: DataFrame, name: str, skip_bytes: int = 0) -> Column:
@@ -40,40 +45,60 @@ def order_number(df: DataFrame, name: str, skip_bytes: int = 0) -> Column:
     return c
 
 
+def _order_numbers(df: DataFrame, name: str, skip_bytes: int) -> list[Column]:
+    """Order numbers that decide one after the other: for text, seven bytes each."""
+    steps = TEXT_STEPS if isinstance(df.schema[name].dataType, T.StringType) else 1
+    return [order_number(df, name, skip_bytes + 7 * i).cast("double") for i in range(steps)]
+
+
+def _sizes(df: DataFrame, keys: list[str], numbers: list[Column]) -> DataFrame:
+    ranges = [F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")) for v in numbers]
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.array(*ranges).alias("_ranges"))
+
+
+def _splits(rows, per_block: int):
+    """(row, number of the deciding order number, its minimum, width, count) of parts to cut."""
+    for r in rows:
+        for depth, span in enumerate(r["_ranges"]):
+            if span["hi"] is not None and span["hi"] > span["lo"]:
+                parts = -(-r["_n"] // per_block)
+                yield r, depth, span["lo"], (span["hi"] - span["lo"]) / parts, parts
+                break
+
+
 def with_blocks(df: DataFrame, group: list[str], lead: str,
                 rows_per_block: int = ROWS_PER_BLOCK) -> tuple[DataFrame, bool]:
     """Add ``_block`` and ``_home``; also tell whether any group was cut.
 
     Rows of small groups have 0 in both. A cut group has its own number in
     ``_home`` and block numbers that no other group uses, ascending with ``lead``.
+    A large group is cut into ranges of equal width; a range that still holds too
+    many rows (a burst, a common prefix) is cut again.
     """
     skip = 0
     if not group and isinstance(df.schema[lead].dataType, T.StringType):
         lo, hi = df.agg(F.min(lead), F.max(lead)).first()
         if lo is not None:
             skip = len(os.path.commonprefix([lo.encode(), hi.encode()]))
-    v = order_number(df, lead, skip)
-    sizes = df.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    numbers = _order_numbers(df, lead, skip)
+    sizes = _sizes(df, group, numbers)
     total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
     zero = F.lit(0).cast("long")
+    whole = df.withColumns({BLOCK: zero, HOME: zero})
     if largest is None or largest <= rows_per_block:
-        return df.withColumns({BLOCK: zero, HOME: zero}), False
+        return whole, False
 
     per_block = max(rows_per_block, -(-total // MAX_BLOCKS))
     # At most MAX_BLOCKS groups are larger than total / MAX_BLOCKS.
-    large = sizes.filter((F.col("_n") > per_block) & (F.col("_hi") > F.col("_lo"))).collect()
+    large = list(_splits(sizes.filter(F.col("_n") > per_block).collect(), per_block))
     if not large:
-        return df.withColumns({BLOCK: zero, HOME: zero}), False
+        return whole, False
     rows, base = [], 1
-    for home, r in enumerate(large, 1):
-        n_blocks = -(-r["_n"] // per_block)
-        width = float(r["_hi"] - r["_lo"]) / n_blocks
-        rows.append((*[r[g] for g in group], float(r["_lo"]), width, base, home))
-        base += n_blocks + 1  # the maximum itself falls into the extra block
-    schema = T.StructType([T.StructField(f"_r_{g}", df.schema[g].dataType) for g in group] + [
-        T.StructField("_lo", T.DoubleType()), T.StructField("_width", T.DoubleType()),
-        T.StructField("_base", T.LongType()), T.StructField("_no", T.LongType())])
+    for home, (r, depth, lo, width, parts) in enumerate(large, 1):
+        rows.append((*[r[g] for g in group], depth, lo, width, base, home))
+        base += parts + 2  # one more for the maximum itself, one for rows without a value
+    schema = T.StructType([T.StructField(f"_r_{g}", df.schema[g].dataType) for g in group]
+                          + BORDER_FIELDS + [T.StructField("_base", T.LongType()), T.StructField("_no", T.LongType())])
     if group:
         borders = F.broadcast(df.sparkSession.createDataFrame(rows, schema))
         same = F.lit(True)
@@ -81,13 +106,32 @@ def with_blocks(df: DataFrame, group: list[str], lead: str,
             same = same & F.col(g).eqNullSafe(F.col(f"_r_{g}"))
         joined = df.join(borders, same, "left").drop(*[f"_r_{g}" for g in group])
     else:
-        lo, width, first, home = rows[0]
-        joined = df.withColumns({"_lo": F.lit(lo), "_width": F.lit(width),
-                                 "_base": F.lit(first).cast("long"), "_no": F.lit(home).cast("long")})
-    step = F.coalesce(F.floor((v.cast("double") - F.col("_lo")) / F.col("_width")), zero)
-    return (joined.withColumn(BLOCK, F.coalesce(F.col("_base") + step, zero))
-            .withColumn(HOME, F.coalesce(F.col("_no"), zero))
-            .drop("_lo", "_width", "_base", "_no")), True
+        joined = df.withColumns({f.name: F.lit(x).cast(f.dataType) for f, x in zip(schema, rows[0])})
+    out = (joined.withColumn(BLOCK, F.coalesce(F.col("_base") + _step(numbers), zero))
+           .withColumn(HOME, F.coalesce(F.col("_no"), zero))
+           .drop(*[f.name for f in BORDER_FIELDS], "_base", "_no"))
+
+    for _ in range(MAX_ROUNDS):
+        full = _sizes(out.filter(F.col(HOME) > 0), [BLOCK], numbers).filter(F.col("_n") > CROWDED * per_block)
+        crowded = list(_splits(full.collect(), per_block))
+        factor = max((parts for *_, parts in crowded), default=0) + 3
+        if not crowded or base * factor >= 1 << 60:
+            break
+        finer = F.broadcast(df.sparkSession.createDataFrame(
+            [(r[BLOCK], depth, lo, width) for r, depth, lo, width, _ in crowded],
+            T.StructType([T.StructField(BLOCK, T.LongType()), *BORDER_FIELDS])))
+        out = (out.join(finer, BLOCK, "left")
+               .withColumn(BLOCK, F.col(BLOCK) * factor + _step(numbers))
+               .drop(*[f.name for f in BORDER_FIELDS]))
+        base *= factor
+    return out, True
+
+
+def _step(numbers: list[Column]) -> Column:
+    """Number of the range a row falls into; 0 without a value or without borders."""
+    deciding = numbers[0] if len(numbers) == 1 else F.get(F.array(*numbers), F.col("_depth"))
+    place = F.floor((deciding - F.col("_lo")) / F.col("_width")) + 1
+    return F.coalesce(place, F.lit(0).cast("long"))
 
 
 def _inside(group: list[str]) -> Window:

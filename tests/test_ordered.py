@@ -32,6 +32,30 @@ def test_blocks_are_small_and_numbered_apart(skewed):
     assert not cut
 
 
+def test_rows_without_order_value_come_first(spark):
+    df = spark.range(300).select("id", (F.col("id") % 2).alias("g"),
+                                 F.when(F.col("id") % 7 != 0, F.col("id")).alias("ts"))
+    got = dense_position(df, ["g"], ["ts", "id"], "pos", 20).toPandas()
+    assert len(got) == 300
+    for _, part in got.groupby("g"):
+        want = part.sort_values(["ts", "id"], na_position="first")
+        assert want["pos"].tolist() == list(range(len(part)))
+
+
+def test_bursts_are_cut_again(spark):
+    """Nearly all rows in one moment of a long range, and words that share a long start."""
+    late = spark.range(2000).select(F.lit("g").alias("g"), F.when(F.col("id") < 10, F.col("id") * 10**9)
+                                    .otherwise(10**10 + F.col("id")).alias("ts"))
+    words = spark.range(2000).select(F.concat(F.when(F.col("id") % 10 == 0, F.lit("zz")).otherwise(
+        F.lit("https://example.org/long/")), F.col("id").cast("string")).alias("word"))
+    for df, group, lead in ((late, ["g"], "ts"), (late, [], "ts"), (words, [], "word")):
+        blocked, cut = with_blocks(df, group, lead, 20)
+        assert cut
+        assert blocked.groupBy("_block").count().agg(F.max("count")).first()[0] <= 80
+        got = dense_position(df, group, [lead], "pos", 20).orderBy("pos").toPandas()
+        assert got["pos"].tolist() == list(range(2000)) and got[lead].tolist() == sorted(got[lead])
+
+
 @pytest.mark.parametrize("lead", ["id", "word"])
 def test_global_position(spark, lead):
     df = spark.range(200).select("id", F.concat(F.lit("/data/x"), F.col("id").cast("string")).alias("word"))
