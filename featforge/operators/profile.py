@@ -61,8 +61,13 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
     columns and ranks share the passes of a round (two per round, rarely more than two
     rounds); a fixed number of values per column reaches the driver.
     """
-    counts = df.agg(*[F.count(_Target(c, (), 0).values()).alias(f"c{i}")
-                      for i, c in enumerate(cols)]).first()
+    marks = [m for p in probs for m in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
+    aggs = []
+    for c in cols:
+        v = _Target(c, (), 0).values()
+        aggs += [F.count(v), F.percentile_approx(v, marks, 5000)]
+    first = df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first()
+    counts, sketches = first[0::2], first[1::2]
     places: dict[tuple[str, float], float] = {}
     open_targets: list[_Target] = []
     for i, c in enumerate(cols):
@@ -74,8 +79,12 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
             if n:
                 open_targets.append(_Target(c, (low,) if rank == low else (low, low + 1), n))
     values: dict[tuple[str, int], float] = {}
+    ends = {(c, p): sketches[i][2 * k:2 * k + 2] for i, c in enumerate(cols) if counts[i]
+            for k, p in enumerate(probs)}
+    proposed = [ends[c, p] for c in cols for p in probs if (c, p) in ends]
     while any(t.n > direct_rows for t in open_targets):
-        open_targets = _narrow(df, open_targets, direct_rows, values)
+        open_targets = _narrow(df, open_targets, proposed, direct_rows, values)
+        proposed = None
     if open_targets:
         row = df.agg(*[F.percentile(t.values(), [r / max(t.n - 1, 1) for r in t.ranks]).alias(f"q{i}")
                        for i, t in enumerate(open_targets)]).first()
@@ -94,30 +103,28 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
     return out
 
 
-def _narrow(df: DataFrame, targets: list[_Target], direct_rows: int,
+def _narrow(df: DataFrame, targets: list[_Target], proposed: list | None, direct_rows: int,
             values: dict[tuple[str, int], float]) -> list[_Target]:
-    """One round: every large target gets a smaller range or its values."""
+    """One round: every large target gets a smaller range or its values.
+
+    ``proposed`` holds the ends of a range per target where they are known already.
+    """
     large = [t for t in targets if t.n > direct_rows]
     done = [t for t in targets if t.n <= direct_rows]
-    # Targets over the same range share one sketch.
-    ranges: dict[tuple, list[_Target]] = {}
-    for t in large:
-        ranges.setdefault((t.column, t.above, t.upto, t.closed), []).append(t)
-    sketches = []
-    for group in ranges.values():
-        marks = []
-        for t in group:
-            marks += [max(t.ranks[0] / t.n - MARGIN, 0.0), min((t.ranks[-1] + 1) / t.n + MARGIN, 1.0)]
-        sketches.append(F.percentile_approx(group[0].values(), marks, 5000))
-    ends = [e for found in df.agg(*[s.alias(f"s{i}") for i, s in enumerate(sketches)]).first() for e in found]
-    ordered = [t for group in ranges.values() for t in group]
+    if proposed is None:
+        sketches = [F.percentile_approx(t.values(), [
+            max(t.ranks[0] / t.n - MARGIN, 0.0), min((t.ranks[-1] + 1) / t.n + MARGIN, 1.0)], 5000)
+            for t in large]
+        ends = df.agg(*[s.alias(f"s{i}") for i, s in enumerate(sketches)]).first()
+    else:
+        ends = [e for t, e in zip(targets, proposed) if t.n > direct_rows]
     aggs = []
-    for i, t in enumerate(ordered):
-        a, b, v = ends[2 * i], ends[2 * i + 1], t.values()
+    for i, t in enumerate(large):
+        (a, b), v = ends[i], t.values()
         aggs += [F.count_if(v < a), F.count_if(v == a), F.count_if((v > a) & (v <= b))]
     numbers = df.agg(*[x.alias(f"n{i}") for i, x in enumerate(aggs)]).first()
-    for i, t in enumerate(ordered):
-        a, b = ends[2 * i], ends[2 * i + 1]
+    for i, t in enumerate(large):
+        a, b = ends[i]
         below, equal, inside = numbers[3 * i:3 * i + 3]
         parts: dict[str, list[int]] = {}
         for r in t.ranks:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import align, balance, metrics, model, search, split
-from ..session import scratch_path
-from ..sources.readers import table_of
+from ..session import cut_lineage, scratch_path
+from ..sources.readers import spread, table_of
 from ..streaming import segments as stream
 from .registry import query
 
@@ -167,8 +167,9 @@ def e4_confusion(spark, t):
 
 
 def with_ratios(t):
-    ratios = model.text_ratios(F.col("text"))
-    return t.documents.select("doc_id", "lang", *ratios)
+    """Numeric features of the documents. Written once: fitting reads them many times."""
+    d = spread(t.documents.select("doc_id", "lang", "text"), "doc_id")
+    return cut_lineage(d.select("doc_id", "lang", *model.text_ratios(F.col("text"))))
 
 
 FEATURES = [f"r_{name}" for name in model.RATIO_MARKS]
@@ -207,7 +208,7 @@ def m2_regressor(spark, t):
 @query("m3_leaderboard")
 def m3_leaderboard(spark, t):
     train, _ = labelled(t)
-    scores = model.leaderboard(train.cache(), {
+    scores = model.leaderboard(train, {
         "gini": small_forest("quality", "gini"), "entropy": small_forest("quality", "entropy"),
         "logistic": model.classifier(FEATURES, "quality", "logistic")}, "doc_id", folds=3)
     return table_of(spark, list(scores.items()), "model string, f1 double")
@@ -235,7 +236,7 @@ def m6_blend(spark, t):
 
 @query("m6_blended_regression")
 def m6_regression(spark, t):
-    folds = split.with_folds(t.part.select("p_partkey", "p_size", "p_retailprice"), "p_partkey", 2).cache()
+    folds = split.with_folds(t.part.select("p_partkey", "p_size", "p_retailprice"), "p_partkey", 2)
     out = model.cross_validated(folds, "fold", 2, lambda train, test: model.blended_regression(
         train, test, ["p_partkey", "p_size"], "p_retailprice", 0.6, trees=5))
     return out.select("p_partkey", "fold", "p_retailprice", "prediction")
