@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, licenses, mixing, secrets
-from .common import fold  # noqa: F401
+from . import decontaminate, exact, language, lattice, licenses, mixing, near, quality, secrets, warc
+from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,50 @@ def _op7(spark, folder):
         F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         F.array_join(F.array_sort(base), ",").alias("base_labels"),
         F.array_join(F.array_sort(every), ",").alias("labels"), "score")
+
+
+@_query("op1_decontaminate")
+def _op1(spark, folder):
+    found = decontaminate.overlaps(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", F.col("start").alias("first_word"), F.col("end").alias("end_word"),
+                        F.col("matched").alias("n_matched"), F.col("window").alias("best_window"))
+
+
+@_query("op2_language_id")
+def _op2(spark, folder):
+    held_out = fold("doc_id", 5) == 0
+    found = language.identify_keys(_table(spark, folder, "documents"), allowed=~held_out).withColumnRenamed("row", "doc_id")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("runs").alias("n_runs"))
+
+
+@_query("op4_quality_score")
+def _op4(spark, folder):
+    held_out = fold("doc_id", 3) == 1
+    docs = _table(spark, folder, "documents")
+    forest = quality.train(docs, _table(spark, folder, "labels"), ~held_out)
+    return quality.score(docs, forest).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_query("op8_near_dedup")
+def _op8(spark, folder):
+    found = near.near_groups(_table(spark, folder, "documents"), size=2)
+    return found.select(F.col("k").alias("doc_id"), "n_shingles", "component_id",
+                        F.col("k").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@_query("op9_warc_archive")
+def _op9(spark, folder):
+    found = warc.resolved(warc.archive_and_read(_table(spark, folder, "pages")))
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
+                        "record_type", "refers_to")
+
+
+@_query("op10_lattice_score")
+def _op10(spark, folder):
+    held_out = fold("doc_id", 7) == 2
+    docs = _table(spark, folder, "documents")
+    model = lattice.train(docs, held_out)
+    return lattice.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score", "score")
