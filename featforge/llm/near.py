@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, packed, stored
+from ..session import stored
+from .common import components, packed
 
 SHINGLE, PERCENT = 5, 80
 #: Bands of rows: a pair at similarity 0.8 shares no band with probability (1 - 0.8^5)^32, about 3 in a million.
@@ -24,7 +25,7 @@ SKETCH_BITS, LEAST_ESTIMATE = 512, 0.6
 #: Largest number of key pairs (24 bytes each) that travels to every executor instead of shuffling texts.
 SMALL_TABLE = 1_000_000
 #: A bucket that is compared in full is cut into parts of about so many rows, compared two by two.
-PART = 2048
+PART = 512
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
@@ -162,41 +163,83 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int
     return both.filter(shared * 100 >= union * percent).select("a", "b")
 
 
-def _left_over(members: DataFrame, linked: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Further candidate pairs: of buckets whose rows are not all in one component yet, and more than two.
+def _open_rows(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """Rows (bucket, i, j, own, node, c) of buckets that hold more than two rows and more than one component.
 
-    Each such bucket is compared in full, but across components only and in parts of bounded size; what leaves a
-    task are pairs whose sizes and sketches allow a link.
+    A bucket of many rows is cut into parts by a hash; parts i and j of it meet in one group of bounded size.
+    Rows that were leaders have met all others of their bucket already.
     """
-    placed = members.join(linked, F.col("node") == F.col("id"), "left").withColumn("c", F.coalesce("component", "node")).drop("id", "component")
+    placed = members.join(linked, F.col("node") == F.col("id"), "left").withColumn("c", F.coalesce("component", "node"))
     open_ = (placed.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("c").alias("c1"), F.max("c").alias("c2"))
-             .filter((F.col("rows") > 2) & (F.col("c1") != F.col("c2"))).select("bucket", "rows"))
-    parts = F.ceil(F.col("rows") / PART).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    rows = (placed.filter("node <> leader").join(open_, "bucket").withColumn("parts", parts).withColumn("own", own)
+             .filter((F.col("rows") > 2) & (F.col("c1") != F.col("c2")))
+             .select("bucket", F.ceil(F.col("rows") / PART).cast("int").alias("parts")))
+    return (placed.filter("node <> leader").join(open_, "bucket")
+            .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c")
-            .join(classes.select("node", "n", "sketch"), "node"))
-    limit = most_flips()
+            .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c"))
+
+
+def _possible(group: pd.DataFrame, label: np.ndarray, sketch: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a group the later rows it may be linked with: of another component (``label``), with fitting
+    sizes and sketches, and of the other part if the group holds two."""
+    n, own, limit = group["n"].to_numpy(), group["own"].to_numpy(), most_flips()
+    two = group["i"].iat[0] != group["j"].iat[0]
+    for x in range(len(group) - 1):
+        rest = slice(x + 1, len(group))
+        good = (label[rest] != label[x]) & (np.minimum(n[rest], n[x]) * 100 >= np.maximum(n[rest], n[x]) * percent)
+        if two:
+            good &= own[rest] != own[x]
+        at = np.flatnonzero(good) + x + 1
+        at = at[np.bitwise_count(sketch[at] ^ sketch[x]).sum(axis=1) <= limit]
+        if len(at):
+            yield x, at
+
+
+def _second_pass(members: DataFrame, linked: DataFrame, docs: DataFrame, key: str, text: str, size: int,
+                 classes: DataFrame, percent: int) -> DataFrame:
+    """Further links (a, b), between rows of a bucket of which neither was the leader.
+
+    First sketches alone tell which rows have anything to compare; only those meet with their full sets. Pairs are
+    compared inside the task, each in the first band that both share, and not once both are connected there; what
+    leaves a task are links that join two components, never more than it has rows.
+    """
+    slots = ["bucket", "i", "j"]
+    rows = _open_rows(members, linked).join(classes.select("node", "n", "sketch"), "node")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
+    def sift(group: pd.DataFrame) -> pd.DataFrame:
+        hit = np.zeros(len(group), bool)
         sketch = np.stack(group["sketch"].to_numpy()).view(np.uint64)
-        n, node, c, own = (group[x].to_numpy() for x in ("n", "node", "c", "own"))
+        for x, at in _possible(group, pd.factorize(group["c"])[0], sketch, percent):
+            hit[x] = True
+            hit[at] = True
+        return group.loc[hit, [*slots, "own", "node", "c"]]
+
+    kept = stored(rows.groupBy(*slots).applyInPandas(sift, "bucket long, i int, j int, own int, node binary, c binary"), "sifted")
+    wanted = stored(classes.select("k", "h", "node").join(kept.select("node").distinct(), "node"), "wanted_again")
+    sets = _sets(docs, key, text, size, wanted)
+    full = kept.join(classes.select("node", "n", "sketch", "bands"), "node").join(sets, "node")
+
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        sketch, keys = (np.stack(group[name].to_numpy()) for name in ("sketch", "bands"))
+        sets = [np.asarray(x).view(np.uint64) for x in group["found"]]
+        sizes, node, label = np.array([len(x) for x in sets]), group["node"].to_numpy(), pd.factorize(group["c"])[0]
+        band = int(np.flatnonzero((keys == group["bucket"].iat[0]).all(axis=0))[0])
         a, b = [], []
-        for x in range(len(group)):
-            rest = slice(x + 1, len(group))
-            good = np.bitwise_count(sketch[rest] ^ sketch[x]).sum(axis=1) <= limit
-            good &= (np.minimum(n[rest], n[x]) * 100 >= np.maximum(n[rest], n[x]) * percent) & (c[rest] != c[x])
-            if i != j:
-                good &= own[rest] != own[x]
-            hits = np.flatnonzero(good) + x + 1
-            a += [node[x]] * len(hits)
-            b += list(node[hits])
+        for x, at in _possible(group, label, sketch.view(np.uint64), percent):
+            at = at[~(keys[at, :band] == keys[x, :band]).any(axis=1)]
+            if not len(at):
+                continue
+            joined = np.concatenate([sets[y] for y in at])
+            place = np.minimum(np.searchsorted(sets[x], joined), len(sets[x]) - 1)
+            shared = np.bincount(np.repeat(np.arange(len(at)), sizes[at])[sets[x][place] == joined], minlength=len(at))
+            for y in at[shared * 100 >= (sizes[x] + sizes[at] - shared) * percent]:
+                if label[x] != label[y]:
+                    label[label == label[y]] = label[x]
+                    a.append(node[x])
+                    b.append(node[y])
         return pd.DataFrame({"a": a, "b": b})
 
-    pairs = rows.groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return full.groupBy(*slots).applyInPandas(link, "a binary, b binary")
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -211,6 +254,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     Candidates are (row, leader) for each shared band, one leader per bucket, so their number is linear. What
     passes the odd sketches is confirmed on full sets. Buckets whose rows then lie in several components are
     compared in full in a second pass, so that a link between two rows is found though neither is the leader.
+    No step emits the pairs of a group.
     """
     rows = stored(signatures(docs, key, text, size), "signatures")
     classes = stored(rows.filter("n > 0").dropDuplicates(["node"]), "classes")
@@ -222,9 +266,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     near = stored(_near_enough(pairs.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b"), percent).select("a", "b"), "pairs")
     links = stored(_confirmed(near, docs, key, text, size, classes, percent), "links")
     linked = stored(components(links), "components")
-    more = stored(_left_over(members, linked, classes, percent).join(near, ["a", "b"], "left_anti"), "more_pairs")
-    if more.limit(1).count():
-        added = stored(_confirmed(more, docs, key, text, size, classes, percent), "more_links")
+    added = stored(_second_pass(members, linked, docs, key, text, size, classes, percent), "more_links")
+    if added.limit(1).count():
         linked = stored(components(links.union(added)), "components")
     placed = (rows.select("k", "h", "n", "node").join(linked, F.col("node") == F.col("id"), "left")
               .select("k", "h", "n", F.coalesce("component", "node").alias("c")))
