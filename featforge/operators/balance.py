@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import portable_hash, unit_interval
-from ..session import cut_lineage
+from ..session import stored
 from .align import union_rows
-from .ordered import ROWS_PER_BLOCK, dense_position
+from .ordered import dense_position
 from .sequence import positioned
 
 TILE_ROWS = 1024
@@ -34,7 +34,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def class_neighbours(df: DataFrame, key: str, label: str, vector: str, wanted: Column, k: int = 5,
-                     tile_rows: int = TILE_ROWS, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+                     tile_rows: int = TILE_ROWS) -> DataFrame:
     """Exact ``k`` nearest rows of the same class for every row where ``wanted`` holds.
 
     Returns key, ``rank`` (1-based), ``neighbour`` and squared distance; ties go to the
@@ -59,11 +59,11 @@ def class_neighbours(df: DataFrame, key: str, label: str, vector: str, wanted: C
                      lambda s, v: s + v)
     rings = (base.join(centre, "_l").join(counts, "_l")
              .withColumn("_r", F.round(F.sqrt(sq), DISTANCE_DIGITS)).drop("_c"))
-    placed = dense_position(rings, ["_l"], ["_r", "_k"], "_pos", rows_per_block)
+    placed = dense_position(rings, ["_l"], ["_r", "_k"], "_pos")
     n_tiles = F.ceil(F.col("_n") / size)
     tiled = placed.withColumn("_t", F.floor(F.col("_pos") * n_tiles / F.col("_n"))).drop("_pos", "_n")
     # Everything below reads the tiles several times.
-    tiled = cut_lineage(tiled)
+    tiled = stored(tiled, "tiles")
 
     def reach(pdf: pd.DataFrame) -> pd.DataFrame:
         mine = pdf[pdf["_w"]]
@@ -126,7 +126,7 @@ def class_neighbours(df: DataFrame, key: str, label: str, vector: str, wanted: C
 
 
 def synthetic_rows(df: DataFrame, key: str, label: str, vector: str, k: int = 5, seed: int = 42,
-                   tile_rows: int = TILE_ROWS, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+                   tile_rows: int = TILE_ROWS) -> DataFrame:
     """The rows that lift every class to the size of the largest.
 
     Row j of a class starts from base row ``j mod count`` (in key order), moves a
@@ -136,10 +136,10 @@ def synthetic_rows(df: DataFrame, key: str, label: str, vector: str, k: int = 5,
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     largest = counts.agg(F.max("_n")).first()[0] or 0
     need = F.lit(largest) - F.col("_n")
-    sized = dense_position(df.select(key, label, vector), [label], [key], "_pos", rows_per_block)
+    sized = dense_position(df.select(key, label, vector), [label], [key], "_pos")
     sized = sized.join(counts, label).withColumn("_need", need)
     known = class_neighbours(sized, key, label, vector, F.col("_pos") < F.col("_need"), k,
-                             tile_rows, rows_per_block)
+                             tile_rows)
     choices = known.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("rank", "neighbour"))).alias("_c"))
 

@@ -7,41 +7,39 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import BLOCK, HOME, ROWS_PER_BLOCK, nearest_known, running_total, with_blocks
+from ..functions.columns import no_nan
+from .ordered import BLOCK, PLACE, in_order, nearest_known, number_rows
 
 
-def interpolate(df: DataFrame, group: list[str], order: list[str], value: str,
-                out: str | None = None, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Linear interpolation by row position inside each group.
+def interpolate(df: DataFrame, group: list[str], order: list[str], value: str, out: str | None = None) -> DataFrame:
+    """Linear interpolation by row position inside each group. NULL and NaN are gaps.
 
     Leading gaps stay NULL, trailing gaps take the last value.
     """
-    pos = "_pos"
-    blocked, cut = with_blocks(df, group, order[0], rows_per_block)
-    df = running_total(blocked, cut, group, order, F.lit(1), pos)
-    df = nearest_known(df, cut, group, pos, F.col(value), "_prev", "_next")
+    pos, v = "_pos", no_nan(F.col(value))
+    placed = number_rows(in_order(df, group, order), group, pos)
+    df = nearest_known(placed, group, pos, v, "_prev", "_next")
     p0, v0 = F.col("_prev.p"), F.col("_prev.v")
     p1, v1 = F.col("_next.p"), F.col("_next.v")
     filled = (
-        F.when(F.col(value).isNotNull(), F.col(value))
+        F.when(v.isNotNull(), v)
         .when(F.col("_prev").isNotNull() & F.col("_next").isNotNull(),
               v0 + (v1 - v0) * (F.col(pos) - p0) / (p1 - p0))
         .otherwise(v0)
     )
-    return df.withColumn(out or value, filled).drop(
-        pos, "_prev", "_next", BLOCK, HOME)
+    return df.withColumn(out or value, filled).drop(pos, "_prev", "_next", BLOCK, PLACE)
 
 
 def column_means(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
-    """One mean per column; a single row, so it may come to the driver."""
-    row = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    """One mean per column, NULL and NaN left out; a single row, so it may come to the driver."""
+    row = df.agg(*[F.avg(no_nan(F.col(c))).alias(c) for c in cols]).first()
     return {c: row[c] for c in cols if row[c] is not None}
 
 
 def fill_means(df: DataFrame, cols: Sequence[str], fitted_on: DataFrame | None = None) -> DataFrame:
     """Fill gaps with column means of ``fitted_on`` (the table itself by default)."""
     means = column_means(fitted_on if fitted_on is not None else df, cols)
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in means.items()}
+    filled = {c: F.coalesce(no_nan(F.col(c)).cast("double"), F.lit(m)) for c, m in means.items()}
     return df.withColumns(filled)
 
 

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import ROWS_PER_BLOCK
+from ..functions.columns import no_nan
+from .ordered import BLOCK_ROWS
 from .tags import entity_spans
 
 
@@ -17,7 +18,7 @@ def accuracy(df: DataFrame, pred: str, truth: str) -> DataFrame:
 
 def mean_absolute_error(df: DataFrame, pred: str, truth: str, fold: str | None = None) -> DataFrame:
     """One value, or one per fold."""
-    error = F.avg(F.abs(F.col(pred) - F.col(truth))).alias("mae")
+    error = F.avg(no_nan(F.abs(F.col(pred) - F.col(truth)))).alias("mae")
     return df.groupBy(fold).agg(error) if fold else df.agg(error)
 
 
@@ -58,15 +59,12 @@ def confusion(df: DataFrame, pred: str, truth: str, classes: Sequence | None = N
 
 
 def entity_scores(df: DataFrame, group: list[str], pos: str, pred: str, truth: str,
-                  rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+                  block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Entity-level precision, recall and F1: a hit is the same type, start and end."""
-    # Both tag columns as one table: a single pass and shuffle for the two.
-    sides = F.array(F.struct(F.lit("p").alias("_side"), F.col(pred).alias("_tag")),
-                    F.struct(F.lit("y").alias("_side"), F.col(truth).alias("_tag")))
-    spans = entity_spans(df.select(*group, pos, F.inline(sides)), [*group, "_side"], pos, "_tag", rows_per_block)
+    spans = entity_spans(df.select(*group, pos, F.col(pred).alias("p"), F.col(truth).alias("y")), group, pos, ["p", "y"], block_rows)
     spans = spans.groupBy(*group, "type", "start", "end").agg(
-        F.max((F.col("_side") == "p").cast("int")).alias("p"),
-        F.max((F.col("_side") == "y").cast("int")).alias("y"))
+        F.max((F.col("column") == "p").cast("int")).alias("p"),
+        F.max((F.col("column") == "y").cast("int")).alias("y"))
     total = spans.agg(F.sum(F.col("p") * F.col("y")).alias("n_hit"), F.sum("p").alias("n_pred"),
                       F.sum("y").alias("n_true"))
     zero = F.lit(0.0)

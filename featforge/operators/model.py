@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .align import rows_predicted, union_rows
-from .ordered import ROWS_PER_BLOCK, dense_position
+from .ordered import dense_position
 from .split import shuffled_position, with_folds
 
 # Letters counted as ratio features of a text.
@@ -117,15 +117,14 @@ def cross_validated(df: DataFrame, fold: str, k: int,
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, key: str, features: Sequence[str],
-                           label: str, seed: int = 42,
-                           rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+                           label: str, seed: int = 42) -> DataFrame:
     """Loss of accuracy when one feature is shuffled between rows.
 
     Each row is joined once with the row at its place in hash order; a feature is
     scored by taking that row's value for this feature only.
     """
-    rows = dense_position(df.select(key, label, *features), [], [key], "_at", rows_per_block)
-    donors = shuffled_position(df.select(key, *features), key, seed, "_at", rows_per_block).select(
+    rows = dense_position(df.select(key, label, *features), [], [key], "_at")
+    donors = shuffled_position(df.select(key, *features), key, seed, "_at").select(
         "_at", *[F.col(f).alias(f"_d_{f}") for f in features])
     # Alternatives as one stacked table: a single scoring pass for all features.
     paired = rows.join(donors, "_at")

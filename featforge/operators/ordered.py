@@ -2,206 +2,125 @@
 
 A plain ``row_number() over (partition by g order by t)`` sends every row of
 ``g`` to one task. When one group holds a third of a large table that task is
-the job. Here large groups are cut into *blocks*, ranges of the leading order
-column, and a result is built in two levels: a window inside each block, and a
-small per-block table that carries totals or neighbours across block borders.
-
-Groups are sized first, in one aggregation over the group and order columns.
-Without large groups (the usual case) what remains is the plain window. Block
-borders come from exact counts, minima and maxima, so a task that runs again
-places its rows in the same blocks. The number of blocks is capped (by making
-blocks larger, never by dropping rows), so the per-block tables may be broadcast.
+the job. Here rows are range-partitioned by group and order columns, sorted in
+their partition, numbered there and written to the shared folder: one shuffle,
+whatever the sizes of the groups, and partitions of even size. A partition is a
+*block*. Results are built in two levels: a window inside each block, and a
+small table that carries totals or neighbours from earlier blocks of a group.
+
+Only the first group of a block can have begun in an earlier one, so the carried
+table has at most one row per block; there are no more blocks than shuffle
+partitions, which bounds what is sent to every executor. Whole keys are compared
+by Spark's own ordering (NULL first, NaN last). Rows that agree in all order
+columns stay together, so the order should be total.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-ROWS_PER_BLOCK = 1 << 20
-MAX_BLOCKS = 1 << 18
-BLOCK, HOME = "_block", "_home"
-CROWDED = 4        # a range this many times over size is cut again
-MAX_ROUNDS = 6
-TEXT_STEPS = 4
-BORDER_FIELDS = [T.StructField("_depth", T.IntegerType()), T.StructField("_lo", T.DoubleType()),
-                 T.StructField("_width", T.DoubleType())]
-
-
-def order_number(df: DataFrame, name: str, skip_bytes: int = 0) -> Column:
-    """A numeric column that never decreases while ``name`` increases."""
-    dtype = df.schema[name].dataType
-    c = F.col(name)
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp"))
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(c)
-    if isinstance(dtype, T.StringType):
-        seven = F.substring(c.cast("binary"), skip_bytes + 1, 7)
-        return F.conv(F.rpad(F.hex(seven), 14, "0"), 16, 10).cast("long")
-    return c
-
-
-def _order_numbers(df: DataFrame, name: str, skip_bytes: int) -> list[Column]:
-    """Order numbers that decide one after the other: for text, seven bytes each."""
-    steps = TEXT_STEPS if isinstance(df.schema[name].dataType, T.StringType) else 1
-    return [order_number(df, name, skip_bytes + 7 * i).cast("double") for i in range(steps)]
-
-
-def _sizes(df: DataFrame, keys: list[str], numbers: list[Column]) -> DataFrame:
-    ranges = [F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")) for v in numbers]
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.array(*ranges).alias("_ranges"))
-
-
-def _splits(rows, per_block: int):
-    """(row, number of the deciding order number, its minimum, width, count) of parts to cut."""
-    for r in rows:
-        for depth, span in enumerate(r["_ranges"]):
-            if span["hi"] is not None and span["hi"] > span["lo"]:
-                parts = -(-r["_n"] // per_block)
-                yield r, depth, span["lo"], (span["hi"] - span["lo"]) / parts, parts
-                break
-
-
-def with_blocks(df: DataFrame, group: list[str], lead: str,
-                rows_per_block: int = ROWS_PER_BLOCK) -> tuple[DataFrame, bool]:
-    """Add ``_block`` and ``_home``; also tell whether any group was cut.
-
-    Rows of small groups have 0 in both. A cut group has its own number in
-    ``_home`` and block numbers that no other group uses, ascending with ``lead``.
-    A large group is cut into ranges of equal width; a range that still holds too
-    many rows (a burst, a common prefix) is cut again.
-    """
-    skip = 0
-    if not group and isinstance(df.schema[lead].dataType, T.StringType):
-        lo, hi = df.agg(F.min(lead), F.max(lead)).first()
-        if lo is not None:
-            skip = len(os.path.commonprefix([lo.encode(), hi.encode()]))
-    numbers = _order_numbers(df, lead, skip)
-    sizes = _sizes(df, group, numbers)
-    total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
-    zero = F.lit(0).cast("long")
-    whole = df.withColumns({BLOCK: zero, HOME: zero})
-    if largest is None or largest <= rows_per_block:
-        return whole, False
-
-    per_block = max(rows_per_block, -(-total // MAX_BLOCKS))
-    # At most MAX_BLOCKS groups are larger than total / MAX_BLOCKS.
-    large = list(_splits(sizes.filter(F.col("_n") > per_block).collect(), per_block))
-    if not large:
-        return whole, False
-    rows, base = [], 1
-    for home, (r, depth, lo, width, parts) in enumerate(large, 1):
-        rows.append((*[r[g] for g in group], depth, lo, width, base, home))
-        base += parts + 2  # one more for the maximum itself, one for rows without a value
-    schema = T.StructType([T.StructField(f"_r_{g}", df.schema[g].dataType) for g in group]
-                          + BORDER_FIELDS + [T.StructField("_base", T.LongType()), T.StructField("_no", T.LongType())])
-    if group:
-        borders = F.broadcast(df.sparkSession.createDataFrame(rows, schema))
-        same = F.lit(True)
-        for g in group:
-            same = same & F.col(g).eqNullSafe(F.col(f"_r_{g}"))
-        joined = df.join(borders, same, "left").drop(*[f"_r_{g}" for g in group])
-    else:
-        joined = df.withColumns({f.name: F.lit(x).cast(f.dataType) for f, x in zip(schema, rows[0])})
-    out = (joined.withColumn(BLOCK, F.coalesce(F.col("_base") + _step(numbers), zero))
-           .withColumn(HOME, F.coalesce(F.col("_no"), zero))
-           .drop(*[f.name for f in BORDER_FIELDS], "_base", "_no"))
-
-    for _ in range(MAX_ROUNDS):
-        full = _sizes(out.filter(F.col(HOME) > 0), [BLOCK], numbers).filter(F.col("_n") > CROWDED * per_block)
-        crowded = list(_splits(full.collect(), per_block))
-        factor = max((parts for *_, parts in crowded), default=0) + 3
-        if not crowded or base * factor >= 1 << 60:
-            break
-        finer = F.broadcast(df.sparkSession.createDataFrame(
-            [(r[BLOCK], depth, lo, width) for r, depth, lo, width, _ in crowded],
-            T.StructType([T.StructField(BLOCK, T.LongType()), *BORDER_FIELDS])))
-        out = (out.join(finer, BLOCK, "left")
-               .withColumn(BLOCK, F.col(BLOCK) * factor + _step(numbers))
-               .drop(*[f.name for f in BORDER_FIELDS]))
-        base *= factor
-    return out, True
-
-
-def _step(numbers: list[Column]) -> Column:
-    """Number of the range a row falls into; 0 without a value or without borders."""
-    deciding = numbers[0] if len(numbers) == 1 else F.get(F.array(*numbers), F.col("_depth"))
-    place = F.floor((deciding - F.col("_lo")) / F.col("_width")) + 1
-    return F.coalesce(place, F.lit(0).cast("long"))
-
-
-def _inside(group: list[str]) -> Window:
-    return Window.partitionBy(*group, BLOCK)
-
-
-def running_total(df: DataFrame, cut: bool, group: list[str], order: list[str], value: Column,
-                  out: str) -> DataFrame:
-    """Inclusive running total of ``value`` over a table from ``with_blocks``."""
-    w = _inside(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = F.coalesce(F.sum(value).over(w), F.lit(0))
-    if not cut:
-        return df.withColumn(out, local)
-    earlier = Window.partitionBy(HOME).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    before = (df.filter(F.col(HOME) > 0).groupBy(HOME, BLOCK).agg(F.sum(value).alias("_sum"))
-              .select(BLOCK, F.sum("_sum").over(earlier).alias("_before")))
-    return (df.withColumn(out, local).join(F.broadcast(before), BLOCK, "left")
-            .withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_before"))
 
+from ..session import stored
+
+BLOCK, PLACE = "_block", "_place"
+#: Rows per block where rows have a dense position already.
+BLOCK_ROWS = 1 << 20
+_ROW_BITS = 33  # monotonically_increasing_id: partition number above, row in the partition below
+
+
+def in_order(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """The rows in blocks: adds ``_block`` and ``_place`` (rising within and over blocks)."""
+    ranged = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    placed = stored(ranged.withColumn(PLACE, F.monotonically_increasing_id()), "ordered")
+    return placed.withColumn(BLOCK, F.shiftright(PLACE, _ROW_BITS))
+
+
+def by_position(df: DataFrame, pos: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """The same for rows that have a dense position in their group: no sorting, no job."""
+    return df.withColumns({BLOCK: F.floor(F.col(pos) / rows), PLACE: F.col(pos)})
+
+
+def _upto(group: list[str]) -> Window:
+    return Window.partitionBy(*group, BLOCK).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-def dense_position(df: DataFrame, group: list[str], order: list[str], out: str = "pos",
-                   rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+
+def _other_blocks(group: list[str], later: bool = False) -> Window:
+    step = F.col(BLOCK).desc() if later else F.col(BLOCK)
+    keys = [F.col(g) for g in group] or [F.lit(0)]
+    return Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _attach(df: DataFrame, carried: DataFrame, group: list[str], bounded: bool = True) -> DataFrame:
+    """Join per-block figures; a NULL group meets its own. At most one row per block travels."""
+    names = {g: f"_c_{g}" for g in [*group, BLOCK]}
+    other = carried.select(*[F.col(g).alias(n) for g, n in names.items()],
+                           *[c for c in carried.columns if c not in names])
+    same = F.lit(True)
+    for g, n in names.items():
+        same = same & F.col(g).eqNullSafe(F.col(n))
+    return df.join(F.broadcast(other) if bounded else other, same, "left").drop(*names.values())
+
+
+def running_total(placed: DataFrame, group: list[str], value: Column, out: str) -> DataFrame:
+    """Inclusive running total of ``value``, NULL as nothing, over a table from ``in_order``."""
+    before = (placed.groupBy(*group, BLOCK).agg(F.sum(value).alias("_sum"))
+              .withColumn("_before", F.sum("_sum").over(_other_blocks(group)))
+              .filter(F.col("_before").isNotNull()).drop("_sum"))
+    local = F.coalesce(F.sum(value).over(_upto(group)), F.lit(0))
+    joined = _attach(placed.withColumn(out, local), before, group)
+    return joined.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_before")
+
+
+def dense_position(df: DataFrame, group: list[str], order: list[str], out: str = "pos") -> DataFrame:
     """0-based position of every row in its group; ``order`` must be total."""
-    blocked, cut = with_blocks(df, group, order[0], rows_per_block)
-    numbered = running_total(blocked, cut, group, order, F.lit(1), out)
-    return numbered.withColumn(out, (F.col(out) - 1).cast("long")).drop(BLOCK, HOME)
+    return number_rows(in_order(df, group, order), group, out).drop(BLOCK, PLACE)
+
+
+def number_rows(placed: DataFrame, group: list[str], out: str) -> DataFrame:
+    """0-based positions of a table from ``in_order``. Without groups the row's number in its block and the
+    sizes of earlier blocks are all it takes: no second shuffle."""
+    before = (placed.groupBy(*group, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_before", F.sum("_n").over(_other_blocks(group)))
+              .filter(F.col("_before").isNotNull()).drop("_n"))
+    if group:
+        local = F.row_number().over(Window.partitionBy(*group, BLOCK).orderBy(PLACE)).cast("long") - 1
+    else:
+        local = F.col(PLACE).bitwiseAND((1 << _ROW_BITS) - 1)
+    return (_attach(placed.withColumn(out, local), before, group)
+            .withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_before"))
 
 
-def nearest_known(df: DataFrame, cut: bool, group: list[str], pos: str, value: Column,
-                  before: str = "_before", after: str | None = None) -> DataFrame:
+def nearest_known(placed: DataFrame, group: list[str], pos: str, value: Column, before: str = "_before",
+                  after: str | None = None, bounded: bool = True) -> DataFrame:
     """Nearest row with a non-null ``value`` at or before / at or after each row.
 
-    Adds structs ``(p, v)`` to a table from ``with_blocks``. The look-ahead runs as
-    a look-back over the descending order: an unbounded-following frame would
-    cost a rescan per row.
+    Adds structs ``(p, v)`` to a table in blocks. The look-ahead runs as a look-back over the
+    descending order: an unbounded-following frame would cost a rescan per row.
     """
-    known = F.when(value.isNotNull(), F.struct(F.col(pos).alias("p"), value.alias("v")))
-    df = df.withColumn("_known", known)
-    back = _inside(group).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = _inside(group).orderBy(F.col(pos).desc()).rowsBetween(
+    df = placed.withColumn("_known", F.when(value.isNotNull(), F.struct(F.col(pos).alias("p"), value.alias("v"))))
+    ahead = Window.partitionBy(*group, BLOCK).orderBy(F.col(PLACE).desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    out = df.withColumn(before, F.last("_known", ignorenulls=True).over(back))
+    carried = (df.groupBy(*group, BLOCK).agg(F.min("_known").alias("_first"), F.max("_known").alias("_last"))
+               .withColumn("_earlier", F.last("_last", ignorenulls=True).over(_other_blocks(group)))
+               .withColumn("_later", F.last("_first", ignorenulls=True).over(_other_blocks(group, later=True)))
+               .filter(F.col("_earlier").isNotNull() | F.col("_later").isNotNull()).drop("_first", "_last"))
+    out = df.withColumn(before, F.last("_known", ignorenulls=True).over(_upto(group)))
     if after:
         out = out.withColumn(after, F.last("_known", ignorenulls=True).over(ahead))
-    if not cut:
-        return out.drop("_known")
-
-    whole = Window.partitionBy(HOME)
-    earlier = whole.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    later = whole.orderBy(F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (df.filter(F.col(HOME) > 0).groupBy(HOME, BLOCK)
-             .agg(F.min("_known").alias("_first"), F.max("_known").alias("_last"))
-             .select(BLOCK, F.last("_last", ignorenulls=True).over(earlier).alias("_earlier"),
-                     F.last("_first", ignorenulls=True).over(later).alias("_later")))
-    out = out.join(F.broadcast(carry), BLOCK, "left").withColumn(
-        before, F.coalesce(before, "_earlier"))
+    out = _attach(out, carried, group, bounded).withColumn(before, F.coalesce(before, "_earlier"))
     if after:
         out = out.withColumn(after, F.coalesce(after, "_later"))
     return out.drop("_known", "_earlier", "_later")
 
 
-def with_halo(df: DataFrame, pos: str, behind: int, ahead: int,
-              rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def with_halo(df: DataFrame, pos: str, behind: int, ahead: int, rows: int = BLOCK_ROWS) -> DataFrame:
     """Copy rows near a block border into the neighbouring block as well.
 
     For rows with a dense position. After this, windows over ``(group, _block)``
     that look at most ``behind`` rows back and ``ahead`` rows forward see all they
     need; keep rows with ``_own``.
     """
-    width = max(rows_per_block, behind, ahead, 1)
+    width = max(rows, behind, ahead, 1)
     p = F.col(pos)
     own = F.floor(p / width)
     targets = F.array_distinct(F.array(

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
-from .ordered import BLOCK, HOME, ROWS_PER_BLOCK, dense_position, running_total, with_blocks
+from ..functions.columns import no_nan
+from .ordered import BLOCK, PLACE, dense_position, in_order, running_total
 
 QUARTILES = (0.25, 0.5, 0.75)
 # Up to this many rows the built-in exact percentile (a map of all values) is used.
@@ -22,8 +22,8 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def _melt(df: DataFrame, cols: Sequence[str], dtype: str) -> DataFrame:
-    pairs = ", ".join(f"'{c}', cast(`{c}` as {dtype})" for c in cols)
-    return df.select(F.expr(f"stack({len(cols)}, {pairs}) as (column, value)"))
+    items = [F.struct(F.lit(c).alias("column"), F.when(~_missing(df, c), F.col(f"`{c}`").cast(dtype)).alias("value")) for c in cols]
+    return df.select(F.inline(F.array(*items)))
 
 
 @dataclass
@@ -152,7 +152,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, approximate: bool
     cols = list(cols or numeric_columns(df))
     melted_stats = []
     for c in cols:
-        v = F.col(f"`{c}`").cast("double")
+        v = no_nan(F.col(f"`{c}`").cast("double"))
         melted_stats.append(F.struct(
             F.lit(c).alias("column"), F.count(v).alias("count"), F.avg(v).alias("mean"),
             F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
@@ -175,7 +175,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, approximate: bool
 
 
 def value_counts(df: DataFrame, cols: Sequence[str], keep_null: bool = False) -> DataFrame:
-    """Row count per value of every listed column, in one pass. NULL is left out."""
+    """Row count per value of every listed column, in one pass. Missing values (NULL, NaN) are left out."""
     long = _melt(df, cols, "string")
     if not keep_null:
         long = long.filter(F.col("value").isNotNull())
@@ -222,8 +222,9 @@ def moments(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataF
     """Mean, sample variance and sample standard deviation per column."""
     aggs = []
     for c in cols:
-        aggs += [F.avg(c).alias(f"{c}_mean"), F.var_samp(c).alias(f"{c}_var"),
-                 F.stddev_samp(c).alias(f"{c}_std")]
+        v = no_nan(F.col(f"`{c}`").cast("double"))
+        aggs += [F.avg(v).alias(f"{c}_mean"), F.var_samp(v).alias(f"{c}_var"),
+                 F.stddev_samp(v).alias(f"{c}_std")]
     return df.groupBy(*by).agg(*aggs)
 
 
@@ -232,16 +233,14 @@ def length_range(df: DataFrame, length: Column) -> DataFrame:
                   F.max(length).cast("long").alias("max_len"))
 
 
-def vocabulary(tokens: DataFrame, word: str = "word", first_index: int = 1,
-               rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def vocabulary(tokens: DataFrame, word: str = "word", first_index: int = 1) -> DataFrame:
     """Distinct words with counts and an index by word order.
 
     ``first_index`` is 1 by default: 0 stays free for padding.
     """
     words = (tokens.filter(F.col(word).isNotNull())
              .groupBy(word).agg(F.count(F.lit(1)).alias("n")))
-    # Read several times below; much smaller than the tokens.
-    numbered = dense_position(cut_lineage(words), [], [word], "idx", rows_per_block)
+    numbered = dense_position(words, [], [word], "idx")
     return numbered.withColumn("idx", F.col("idx") + first_index)
 
 
@@ -250,11 +249,10 @@ def table_shape(df: DataFrame) -> DataFrame:
                   F.lit(len(df.columns)).cast("long").alias("n_cols"))
 
 
-def running_mean(df: DataFrame, group: list[str], order: list[str], value: str,
-                 out: str = "running_mean", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Mean of all values up to each row, NULL values not counted."""
-    blocked, cut = with_blocks(df, group, order[0], rows_per_block)
-    summed = running_total(blocked, cut, group, order, F.col(value), "_sum")
-    counted = running_total(summed, cut, group, order, F.col(value).isNotNull().cast("int"), "_cnt")
+def running_mean(df: DataFrame, group: list[str], order: list[str], value: str, out: str = "running_mean") -> DataFrame:
+    """Mean of all values up to each row, NULL and NaN not counted."""
+    v = no_nan(F.col(value))
+    summed = running_total(in_order(df, group, order), group, v, "_sum")
+    counted = running_total(summed, group, v.isNotNull().cast("int"), "_cnt")
     return (counted.withColumn(out, F.when(F.col("_cnt") > 0, F.col("_sum") / F.col("_cnt")))
-            .drop("_sum", "_cnt", BLOCK, HOME))
+            .drop("_sum", "_cnt", BLOCK, PLACE))

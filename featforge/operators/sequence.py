@@ -12,16 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import BLOCK, ROWS_PER_BLOCK, dense_position, running_total, with_blocks, with_halo
+from ..functions.columns import no_nan
+from .ordered import BLOCK, BLOCK_ROWS, dense_position, in_order, running_total, with_halo
 
 
-def segment_rows(df: DataFrame, group: list[str], order: list[str], size: int,
-                 rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def segment_rows(df: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:
     """Tumbling segments of ``size`` rows; the last one of a group may be short.
 
     Adds ``pos`` (in the group), ``seg`` and ``t`` (in the segment).
     """
-    placed = dense_position(df, group, order, "pos", rows_per_block)
+    placed = dense_position(df, group, order, "pos")
     return (placed.withColumn("seg", F.floor(F.col("pos") / size))
             .withColumn("t", F.col("pos") % size))
 
@@ -31,26 +31,21 @@ def segment_labels(segments: DataFrame, group: list[str], label: str) -> DataFra
     return segments.filter(F.col("t") == 0).select(*group, "seg", F.col(label).alias("label"))
 
 
-def running_segment_ids(segments: DataFrame, file: str, size: int, out: str = "segment_id",
-                        rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Number segments through all files in sorted file order.
+def running_segment_ids(segments: DataFrame, file: str, size: int, out: str = "segment_id") -> DataFrame:
+    """Number segments through all files in sorted file order; rows without a file come first.
 
     Only the per-file segment counts are ordered globally, not the rows.
     """
-    files = segments.groupBy(file).agg(
-        F.ceil(F.count(F.lit(1)) / size).alias("_k"))
-    blocked, cut = with_blocks(files, [], file, rows_per_block)
-    files = running_total(blocked, cut, [], [file], F.col("_k"), "_end")
-    first = files.select(file, (F.col("_end") - F.col("_k")).alias("_first"))
-    return (segments.join(first, file, "left")
-            .withColumn(out, F.col("_first") + F.col("seg")).drop("_first"))
+    files = segments.groupBy(F.col(file).alias("_file")).agg(F.ceil(F.count(F.lit(1)) / size).alias("_k"))
+    placed = running_total(in_order(files, [], ["_file"]), [], F.col("_k"), "_end")
+    first = placed.select("_file", (F.col("_end") - F.col("_k")).alias("_first"))
+    return (segments.join(first, F.col(file).eqNullSafe(F.col("_file")), "left")
+            .withColumn(out, F.col("_first") + F.col("seg")).drop("_first", "_file"))
 
 
-def renumber(df: DataFrame, order: list[str], out: str = "id", first: int = 0,
-             rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def renumber(df: DataFrame, order: list[str], out: str = "id", first: int = 0) -> DataFrame:
     """Consecutive numbers in key order over the whole table."""
-    return dense_position(df, [], order, out, rows_per_block).withColumn(
-        out, F.col(out) + first)
+    return dense_position(df, [], order, out).withColumn(out, F.col(out) + first)
 
 
 def first_rows(df: DataFrame, pos: str, n: int) -> DataFrame:
@@ -174,25 +169,26 @@ def transpose(matrix: Column) -> Column:
 
 
 def sliding_windows(df: DataFrame, group: list[str], pos: str, value: str, size: int,
-                    rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Every window of ``size`` rows, step 1, as an array; frame k starts at row k.
+                    block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Every window of ``size`` rows, step 1, as an array; frame k starts at row k. Missing values stay in place.
 
     The window that ends with the last row of the series is not emitted: a series
     of N rows has N - size frames. Rows are sent once (plus a block-border copy),
     not once per frame.
     """
-    shared = with_halo(df.select(*group, pos, value), pos, 0, size, rows_per_block)
+    shared = with_halo(df.select(*group, pos, value), pos, 0, size, block_rows)
     w = Window.partitionBy(*group, BLOCK).orderBy(pos)
+    held = F.struct(F.col(value).alias("v"))  # collecting the bare value would skip NULL
     frames = (shared
-              .withColumn("window", F.collect_list(value).over(w.rowsBetween(0, size - 1)))
+              .withColumn("window", F.collect_list(held).over(w.rowsBetween(0, size - 1)))
               .withColumn("_more", F.lead(pos, size).over(w))
               .filter(F.col("_own") & F.col("_more").isNotNull()))
-    return frames.select(*group, F.col(pos).alias("frame"), "window")
+    return frames.select(*group, F.col(pos).alias("frame"), F.col("window.v").alias("window"))
 
 
 def overlapping_frames(df: DataFrame, group: list[str], pos: str, value: str, size: int,
                        hop: int, zero_edges: bool = False) -> DataFrame:
-    """Frames of ``size`` rows that start every ``hop`` rows, as arrays.
+    """Frames of ``size`` rows that start every ``hop`` rows, as arrays. Missing values stay in place as NULL.
 
     Only complete frames, or with ``zero_edges`` all frames of the series extended
     by half a frame of zeros on both sides. A row is copied ``size / hop`` times.
@@ -210,7 +206,7 @@ def overlapping_frames(df: DataFrame, group: list[str], pos: str, value: str, si
     if zero_edges:
         at = F.map_from_entries("_i")
         window = F.transform(F.sequence(F.lit(0), F.lit(size - 1)),
-                             lambda o: F.coalesce(F.try_element_at(at, o), F.lit(0.0)))
+                             lambda o: F.when(F.map_contains_key(at, o), F.try_element_at(at, o)).otherwise(F.lit(0.0)))
         return framed.select(*group, "frame", window.alias("window"))
     return framed.filter(F.size("_i") == size).select(*group, "frame", F.col("_i.v").alias("window"))
 
@@ -223,11 +219,14 @@ def pack(df: DataFrame, keys: Sequence[str], t: str, value: str, out: str = "ser
 
 
 def z_scores(df: DataFrame, keys: list[str], value: str, out: str = "z") -> DataFrame:
-    """(value - mean) / population deviation per key; 0 where the deviation is 0.
+    """(value - mean) / population deviation per key; 0 where the deviation is 0. NULL is a key, NaN is missing.
 
     Statistics are aggregated first and joined back, so a large group is not sorted.
     """
-    stats = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    centred = F.col(value) - F.col("_m")
-    z = F.when(F.col("_s") > 0, centred / F.col("_s")).when(F.col(value).isNotNull(), F.lit(0.0))
-    return df.join(stats, keys, "left").withColumn(out, z).drop("_m", "_s")
+    v = no_nan(F.col(value))
+    stats = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.avg(v).alias("_m"), F.stddev_pop(v).alias("_s"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    z = F.when(F.col("_s") > 0, (v - F.col("_m")) / F.col("_s")).when(v.isNotNull(), F.lit(0.0))
+    return df.join(stats, same, "left").withColumn(out, z).drop("_m", "_s", *[f"_k_{k}" for k in keys])

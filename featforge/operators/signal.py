@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spectra as S
 from ..functions.columns import decibel
-from .ordered import ROWS_PER_BLOCK
+from .ordered import BLOCK_ROWS
 from .sequence import clip, overlapping_frames, sliding_windows
 
 
@@ -79,9 +79,9 @@ def spectrogram(df: DataFrame, group: list[str], pos: str, value: str, fs: float
 
 
 def sliding_spectrum(df: DataFrame, group: list[str], pos: str, value: str, size: int = 125,
-                     rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+                     block_rows: int = BLOCK_ROWS) -> DataFrame:
     """dB spectrum of every sliding window; ``row`` = frame * size + bin."""
-    frames = sliding_windows(df, group, pos, value, size, rows_per_block)
+    frames = sliding_windows(df, group, pos, value, size, block_rows)
     bins = _bins(frames, [*group, "frame"], S.magnitudes(F.col("window").cast(S.DOUBLES)), "mag")
     return bins.select(*group, "frame", "k", (F.col("frame") * size + F.col("k")).alias("row"),
                        decibel(F.col("mag")).alias("db"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import all_digits
-from .ordered import BLOCK, HOME, ROWS_PER_BLOCK, nearest_known, with_blocks, with_halo
+from .ordered import BLOCK, BLOCK_ROWS, PLACE, by_position, nearest_known, with_halo
 
 
 def tag_list(text: Column) -> Column:
@@ -22,20 +22,11 @@ def tag_list(text: Column) -> Column:
     return F.concat(*[starting(p) for p in ("O", "B_", "I_", "E_")])
 
 
-def _neighbourly(df: DataFrame, cut: bool, pos: str, behind: int, ahead: int,
-                 rows_per_block: int) -> DataFrame:
-    """Rows ready for lag and lead; without large groups no row has to move for it."""
-    kept = df.withColumnRenamed(BLOCK, "_b")
-    if cut:
-        return with_halo(kept, pos, behind, ahead, rows_per_block)
-    return kept.withColumns({BLOCK: F.lit(0).cast("long"), "_own": F.lit(True)})
-
-
 def correct_tags(df: DataFrame, group: list[str], pos: str, word: str, label: str,
                  animals: Sequence[str] = V.ANIMAL_WORDS, hunter: str = V.HUNTER_WORD,
                  titles: Sequence[str] = V.TITLE_WORDS, rulers: Sequence[str] = V.RULER_WORDS,
                  selves: Sequence[str] = V.SELF_WORDS, ordinal: str = V.ORDINAL_WORD,
-                 out: str = "fixed", rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+                 out: str = "fixed", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Word and neighbour rules on predicted classes, as if applied row after row.
 
     The rules in order: animal or hunter word -> 0; title word -> 9; ruler word ->
@@ -53,8 +44,7 @@ def correct_tags(df: DataFrame, group: list[str], pos: str, word: str, label: st
     def near(frame: DataFrame) -> Window:
         return Window.partitionBy(*group, BLOCK).orderBy(pos)
 
-    placed, cut = with_blocks(df, group, pos, rows_per_block)
-    seen = _neighbourly(placed, cut, pos, 0, 2, rows_per_block)
+    seen = with_halo(df, pos, 0, 2, block_rows)
     seen = (seen.withColumn("_w2", F.lead(word, 2).over(near(seen)))
             .withColumn("_o2", F.lead(label, 2).over(near(seen)))
             .filter("_own").drop("_own", BLOCK))
@@ -67,15 +57,15 @@ def correct_tags(df: DataFrame, group: list[str], pos: str, word: str, label: st
 
     # Flag of every row: does it turn its successor into 15?
     anchor = F.when(~F.col("_free"), F.col("_fires").cast("int"))
-    placed = nearest_known(seen.withColumnRenamed("_b", BLOCK), cut, group, pos, anchor, "_a")
+    placed = nearest_known(by_position(seen, pos, block_rows), group, pos, anchor, "_a", bounded=False)
     start = F.coalesce(F.col("_a.p"), F.lit(-1))
     fired = F.coalesce(F.col("_a.v"), F.lit(0)) == 1
     odd = (F.col(pos) - start) % 2 == 1
     flag = F.when(F.col("_free"), odd != fired).otherwise(F.col("_fires"))
-    placed = placed.withColumn("_flag", flag).drop("_a")
+    placed = placed.withColumn("_flag", flag).drop("_a", BLOCK, PLACE)
 
     # Word rules after the previous row had its say, then the look-ahead at class 12.
-    linked = _neighbourly(placed, cut, pos, 2, 1, rows_per_block)
+    linked = with_halo(placed, pos, 2, 1, block_rows)
     before = F.coalesce(F.lag("_flag", 1).over(near(linked)), F.lit(False))
     carried = F.when(before, F.lit("15")).otherwise(o)
     after_words = (F.when(is_ruler, F.lit("11")).when(is_title, F.lit("9"))
@@ -85,28 +75,23 @@ def correct_tags(df: DataFrame, group: list[str], pos: str, word: str, label: st
                .otherwise(F.col("_p2")))
     final = F.when(F.lead("_p2", 1).over(near(linked)) == "12", F.lit("3")).otherwise(settled)
     return (linked.withColumn(out, final).filter("_own")
-            .drop("_own", BLOCK, "_b", HOME, "_w2", "_o2", "_r7", "_free", "_fires", "_flag", "_p2"))
+            .drop("_own", BLOCK, "_w2", "_o2", "_r7", "_free", "_fires", "_flag", "_p2"))
 
 
-def entity_spans(df: DataFrame, group: list[str], pos: str, tag: str,
-                 rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Entities of a tag column: one row per span (type, start, end), both ends included.
+def entity_spans(df: DataFrame, group: list[str], pos: str, tags: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Entities of one or more tag columns: one row per span (column, type, start, end), both ends included.
 
-    A tag is its first letter (B, I, E, S or O) and a type. A span ends after E or
-    S, before B, S or O, or where the type changes.
+    A tag is its first letter (B, I, E, S or O) and a type. A span ends after E or S, before B, S or O, or where
+    the type changes. All tag columns share the sort and the windows.
     """
-    kind = F.substring(F.coalesce(F.col(tag), F.lit("O")), 1, 1)
-    typ = F.substring(F.coalesce(F.col(tag), F.lit("O")), 2, 1 << 30)
-    base = df.select(*group, pos, kind.alias("_k"), typ.alias("_t"))
     near = Window.partitionBy(*group, BLOCK).orderBy(pos)
-    base, cut = with_blocks(base, group, pos, rows_per_block)
-    linked = _neighbourly(base, cut, pos, 1, 1, rows_per_block)
-    for name, fn in (("_pk", F.lag("_k").over(near)), ("_pt", F.lag("_t").over(near)),
-                     ("_nk", F.lead("_k").over(near)), ("_nt", F.lead("_t").over(near))):
-        linked = linked.withColumn(name, fn)
-    linked = (linked.filter("_own")
-              .withColumn("_pk", F.coalesce("_pk", F.lit("O"))).withColumn("_pt", F.coalesce("_pt", F.lit("")))
-              .withColumn("_nk", F.coalesce("_nk", F.lit("O"))).withColumn("_nt", F.coalesce("_nt", F.lit(""))))
+    cells = []
+    for i, tag in enumerate(tags):
+        full = F.coalesce(F.col(tag), F.lit("O"))
+        cells.append(F.struct(F.substring(full, 1, 1).alias("k"), F.substring(full, 2, 1 << 30).alias("t")).alias(f"_{i}"))
+    linked = with_halo(df.select(*group, pos, *cells), pos, 1, 1, block_rows)
+    for i in range(len(tags)):
+        linked = linked.withColumns({f"_p{i}": F.lag(f"_{i}").over(near), f"_n{i}": F.lead(f"_{i}").over(near)})
 
     def starts(pk, pt, k, t):
         opens = k.isin("B", "S") | (pk.isin("E", "S", "O") & k.isin("E", "I"))
@@ -116,10 +101,16 @@ def entity_spans(df: DataFrame, group: list[str], pos: str, tag: str,
         closes = k.isin("E", "S") | (k.isin("B", "I") & nk.isin("B", "S", "O"))
         return closes | ((k != "O") & (k != ".") & (t != nt))
 
-    k, t = F.col("_k"), F.col("_t")
-    start_at = F.when(starts(F.col("_pk"), F.col("_pt"), k, t), F.lit(1))
-    placed = nearest_known(linked.drop("_own", BLOCK).withColumnRenamed("_b", BLOCK), cut, group,
-                           pos, start_at, "_s")
-    return (placed.filter(ends(k, t, F.col("_nk"), F.col("_nt")))
-            .select(*group, t.alias("type"), F.coalesce(F.col("_s.p"), F.lit(0)).alias("start"),
-                    F.col(pos).alias("end")))
+    def beside(name: str) -> tuple[Column, Column]:
+        return F.coalesce(F.col(f"{name}.k"), F.lit("O")), F.coalesce(F.col(f"{name}.t"), F.lit(""))
+
+    placed = by_position(linked.filter("_own").drop("_own", BLOCK), pos, block_rows)
+    found = []
+    for i, tag in enumerate(tags):
+        k, t = F.col(f"_{i}.k"), F.col(f"_{i}.t")
+        start_at = F.when(starts(*beside(f"_p{i}"), k, t), F.lit(1))
+        placed = nearest_known(placed, group, pos, start_at, f"_s{i}", bounded=False)
+        span = F.struct(F.lit(tag).alias("column"), t.alias("type"),
+                        F.coalesce(F.col(f"_s{i}.p"), F.lit(0)).alias("start"), F.col(pos).alias("end"))
+        found.append(F.when(ends(k, t, *beside(f"_n{i}")), span))
+    return placed.select(*group, F.inline(F.array_compact(F.array(*found))))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import align, balance, metrics, model, search, split
-from ..session import cut_lineage, scratch_path
+from ..session import scratch_path, stored
 from ..sources.readers import spread, table_of
 from ..streaming import segments as stream
 from .registry import query
@@ -169,7 +169,7 @@ def e4_confusion(spark, t):
 def with_ratios(t):
     """Numeric features of the documents. Written once: fitting reads them many times."""
     d = spread(t.documents.select("doc_id", "lang", "text"), "doc_id")
-    return cut_lineage(d.select("doc_id", "lang", *model.text_ratios(F.col("text"))))
+    return stored(d.select("doc_id", "lang", *model.text_ratios(F.col("text"))), "ratios")
 
 
 FEATURES = [f"r_{name}" for name in model.RATIO_MARKS]

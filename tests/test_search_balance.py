@@ -73,7 +73,7 @@ def test_far_tiles_are_skipped_and_results_stay(spark):
 
 def test_oversample(spark):
     rows, df = table(spark, {"hot": 60, "b": 17, "c": 4, "one": 1}, grid=50)
-    out = balance.oversample(df, "id", "label", "v", tile_rows=8, rows_per_block=10)
+    out = balance.oversample(df, "id", "label", "v", tile_rows=8)
     again = balance.oversample(df.repartition(2), "id", "label", "v")
     assert {r["label"]: r["count"] for r in out.groupBy("label").count().collect()} == dict.fromkeys(["hot", "b", "c", "one"], 60)
     def key(d):
@@ -85,14 +85,13 @@ def test_oversample(spark):
         assert (np.array(r["v"]) >= lo[r["label"]] - 1e-9).all() and (np.array(r["v"]) <= hi[r["label"]] + 1e-9).all()
 
 
-@pytest.mark.parametrize("size", [50, 1 << 20])
-def test_splits(spark, size):
+def test_splits(spark):
     df = spark.range(1003)
     a, b = split.hash_split(df, "id", 0.8)
     assert a.intersect(b).count() == 0 and a.union(b).distinct().count() == 1003
-    exact = split.exact_split(df, "id", 0.8, rows_per_block=size)
+    exact = split.exact_split(df, "id", 0.8)
     assert exact.agg(F.sum("is_train")).first()[0] == 802
-    folds = {r["fold"]: r["count"] for r in split.with_folds(df, "id", 5, rows_per_block=size).groupBy("fold").count().collect()}
+    folds = {r["fold"]: r["count"] for r in split.with_folds(df, "id", 5).groupBy("fold").count().collect()}
     assert folds == {0: 201, 1: 201, 2: 201, 3: 200, 4: 200}
-    small = {r["id"]: r["fold"] for r in split.with_folds(df, "id", 5, rows_per_block=50).collect()}
+    small = {r["id"]: r["fold"] for r in split.with_folds(df, "id", 5).collect()}
     assert small == {r["id"]: r["fold"] for r in split.with_folds(df.repartition(7), "id", 5).collect()}

@@ -108,8 +108,7 @@ def test_joins(spark):
     files = spark.createDataFrame([("r1", "s", "p1"), ("r1", "s", "p0"), ("r2", "t", "p2")], "id string, kind string, path string")
     got = sorted(map(tuple, align.manifest(files, "id", "kind", "path", {"s": "series", "t": "stamps"}).collect()))
     assert got == [("r1", "p0", None, 1), ("r2", None, "p2", 0)]
-    big = align.small_side(old, 1)
-    assert align.lookup_default(pred.withColumnRenamed("name", "v"), big, "v", "k", "0").count() == 2
+    assert align.lookup_default(pred.withColumnRenamed("name", "v"), old, "v", "k", "0").count() == 2
 
 
 def test_profiles(spark):
@@ -118,6 +117,11 @@ def test_profiles(spark):
     assert {r["column"]: r["n_distinct"] for r in profile.distinct_counts(df, ["s"]).collect()} == {"s": 2}
     assert {r["column"]: r["n_distinct"] for r in profile.distinct_counts(df, ["s"], approximate=True).collect()} == {"s": 2}
     assert [tuple(r) for r in profile.value_counts(df, ["s"]).collect()] == [("s", "a", 2)]
+    assert [tuple(r) for r in profile.value_counts(df, ["x"]).collect()] == [("x", "1.0", 1)]
+    assert [tuple(r) for r in profile.distinct_counts(df, ["x"]).collect()] == [("x", 2)]
+    assert [tuple(r)[1:5] for r in profile.describe(df, ["x"]).collect()] == [(1, 1.0, None, 1.0)]
+    assert [r["x"] for r in clean.fill_means(df, ["x"]).collect()] == [1.0, 1.0, 1.0]
+    assert profile.moments(df, ["x"]).first()["x_mean"] == 1.0
     got = profile.describe(spark.range(1, 102).select(F.col("id").cast("double").alias("v"))).first()
     assert (got["q25"], got["q50"], got["q75"], got["count"]) == (26.0, 51.0, 76.0, 101)
     near = profile.describe(spark.range(1, 102), approximate=True).first()

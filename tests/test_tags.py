@@ -43,7 +43,7 @@ def test_correct_tags(spark, size):
         want.update({(doc, i): v for i, v in enumerate(told_in_order(words, labels))})
         rows += [(doc, i, w, o) for i, (w, o) in enumerate(zip(words, labels))]
     df = spark.createDataFrame(rows, "doc int, pos long, w string, o string")
-    got = tags.correct_tags(df, ["doc"], "pos", "w", "o", rows_per_block=size).collect()
+    got = tags.correct_tags(df, ["doc"], "pos", "w", "o", block_rows=size).collect()
     assert len(got) == len(want)
     assert {(r["doc"], r["pos"]): r["fixed"] for r in got} == want
 
@@ -73,7 +73,7 @@ def test_entity_spans(spark, size):
         want |= {(doc, *s) for s in spans_of(seq)}
     df = spark.createDataFrame(rows, "doc int, pos long, tag string")
     got = {(r["doc"], r["type"], r["start"], r["end"])
-           for r in tags.entity_spans(df, ["doc"], "pos", "tag", size).collect()}
+           for r in tags.entity_spans(df, ["doc"], "pos", ["tag"], size).collect()}
     assert got == want
 
 
