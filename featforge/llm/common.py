@@ -1,11 +1,11 @@
-"""What several corpus operators need: scratch tables, fold flags, word patterns, connected components."""
+"""What several corpus operators need: fold flags, word patterns, connected components."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import stored
 
 #: Runs of anything but the six ASCII white-space characters.
 BLANK = r"[\x20\x09-\x0D]"
@@ -23,14 +23,6 @@ def fold(key: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared folder and read back: computed once, safe when executors go."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def packed(df: DataFrame, **working: Column) -> DataFrame:
     """The whole row as one struct ``row`` beside working columns, so that no name of the table can clash."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, stored
+from ..session import stored
+from .common import packed
 
 #: Leading characters that the second step looks at.
 PREFIX = 128

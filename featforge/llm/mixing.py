@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, packed, stored
+from ..session import stored
+from .common import WORD, packed
 
 #: A source's ranks are cut into so many ranges, and the range with the cut again into so many.
 RANGES = 1 << 10
