@@ -186,29 +186,41 @@ def sliding_windows(df: DataFrame, group: list[str], pos: str, value: str, size:
     return frames.select(*group, F.col(pos).alias("frame"), F.col("window.v").alias("window"))
 
 
-def overlapping_frames(df: DataFrame, group: list[str], pos: str, value: str, size: int,
-                       hop: int, zero_edges: bool = False) -> DataFrame:
+def overlapping_frames(df: DataFrame, group: list[str], pos: str, value: str, size: int | Column,
+                       hop: int | Column, zero_edges: bool = False) -> DataFrame:
     """Frames of ``size`` rows that start every ``hop`` rows, as arrays. Missing values stay in place as NULL.
 
     Only complete frames, or with ``zero_edges`` all frames of the series extended
-    by half a frame of zeros on both sides. A row is copied ``size / hop`` times.
+    by half a frame of zeros on both sides. A row is copied ``size / hop`` times. Size and hop may be
+    columns, constant in a group (see ``frame_size``).
     """
-    p = F.col(pos) + (size // 2 if zero_edges else 0)
-    last = F.floor(p / hop)
-    first = F.greatest(F.floor((p - size + hop) / hop), F.lit(0))
+    size, hop = (x if isinstance(x, Column) else F.lit(x) for x in (size, hop))
+    base = df.select(*group, F.col(pos).alias("_p"), F.col(value).cast("double").alias("_v"),
+                     size.cast("long").alias("_size"), hop.cast("long").alias("_hop"))
+    p = F.col("_p") + (F.floor(F.col("_size") / 2) if zero_edges else F.lit(0))
+    last = F.floor(p / F.col("_hop"))
+    first = F.greatest(F.floor((p - F.col("_size") + F.col("_hop")) / F.col("_hop")), F.lit(0))
     # A row between two frames (hop > size) belongs to none.
     covering = F.when(first <= last, F.sequence(first, last))
-    rows = df.select(*group, p.alias("_p"), F.col(value).cast("double").alias("_v"),
-                     F.explode(covering).alias("frame"))
-    item = F.struct((F.col("_p") - F.col("frame") * hop).cast("int").alias("o"),
-                    F.col("_v").alias("v"))
-    framed = rows.groupBy(*group, "frame").agg(F.array_sort(F.collect_list(item)).alias("_i"))
+    rows = base.select(*group, "_size", "_hop", p.alias("_p"), "_v", F.explode(covering).alias("frame"))
+    item = F.struct((F.col("_p") - F.col("frame") * F.col("_hop")).cast("int").alias("o"), F.col("_v").alias("v"))
+    framed = rows.groupBy(*group, "_size", "frame").agg(F.array_sort(F.collect_list(item)).alias("_i"))
     if zero_edges:
         at = F.map_from_entries("_i")
-        window = F.transform(F.sequence(F.lit(0), F.lit(size - 1)),
+        window = F.transform(F.sequence(F.lit(0), F.col("_size").cast("int") - 1),
                              lambda o: F.when(F.map_contains_key(at, o), F.try_element_at(at, o)).otherwise(F.lit(0.0)))
         return framed.select(*group, "frame", window.alias("window"))
-    return framed.filter(F.size("_i") == size).select(*group, "frame", F.col("_i.v").alias("window"))
+    return framed.filter(F.size("_i") == F.col("_size")).select(*group, "frame", F.col("_i.v").alias("window"))
+
+
+def frame_size(df: DataFrame, group: list[str], pos: str, size: int, out: str = "_frame") -> DataFrame:
+    """Add the frame length of each series: ``size``, or all of a shorter series."""
+    lengths = df.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group]).agg((F.max(pos) + 1).alias("_n"))
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    return (df.join(lengths, same).withColumn(out, F.least(F.lit(size).cast("long"), F.col("_n")))
+            .drop("_n", *[f"_g_{g}" for g in group]))
 
 
 def pack(df: DataFrame, keys: Sequence[str], t: str, value: str, out: str = "series") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import spectra as S
 from ..functions.columns import decibel
 from .ordered import BLOCK_ROWS
-from .sequence import clip, overlapping_frames, sliding_windows
+from .sequence import clip, frame_size, overlapping_frames, sliding_windows
 
 
 def segment_features(segments: DataFrame, keys: list[str], t: str, channels: Sequence[str],
@@ -52,37 +52,48 @@ def spectrum(series: DataFrame, keys: Sequence[str], array: str, fs: float) -> D
 
 
 def _bins(frames: DataFrame, keys: Sequence[str], values: Column, name: str) -> DataFrame:
-    return frames.select(*keys, F.posexplode(values).alias("k", name))
+    """One row per bin; the bins of a frame with a missing value are there too, as NULL."""
+    empty = F.array_repeat(F.lit(None).cast("double"), F.floor(F.size("window") / 2).cast("int") + 1)
+    return (frames.select(*keys, F.size("window").alias("_n"), F.posexplode(F.coalesce(values, empty)).alias("k", name)))
 
 
 def power_spectral_density(df: DataFrame, group: list[str], pos: str, value: str, fs: float,
                            size: int = 256) -> DataFrame:
-    """Power density averaged over frames that overlap by half (Hann)."""
-    frames = overlapping_frames(df, group, pos, value, size, size // 2)
+    """Power density averaged over frames that overlap by half (Hann).
+
+    A series shorter than ``size`` is one frame. Frames overlap by ``size // 2`` rows. NULL where a value of the
+    series is missing.
+    """
+    sized, s = frame_size(df, group, pos, size), F.col("_frame")
+    frames = overlapping_frames(sized, group, pos, value, s, s - F.floor(s / 2))
     bins = _bins(frames, group, S.power_density(F.col("window"), fs), "psd")
-    return (bins.groupBy(*group, "k").agg(F.avg("psd").alias("psd"))
-            .select(*group, "k", (F.col("k") * fs / size).alias("freq"), "psd"))
+    whole = F.count("psd") == F.count(F.lit(1))
+    return (bins.groupBy(*group, "k").agg(F.when(whole, F.avg("psd")).alias("psd"), F.first("_n").alias("_n"))
+            .select(*group, "k", (F.col("k") * fs / F.col("_n")).alias("freq"), "psd"))
 
 
 def stft_magnitude(df: DataFrame, group: list[str], pos: str, value: str,
                    size: int) -> DataFrame:
-    """Short-time Fourier magnitude, half-frame hop, zeros beyond both ends."""
-    frames = overlapping_frames(df, group, pos, value, size, size // 2, zero_edges=True)
-    return _bins(frames, [*group, "frame"], S.windowed_magnitude(F.col("window")), "mag")
+    """Short-time Fourier magnitude, overlap ``size // 2``, zeros beyond both ends."""
+    frames = overlapping_frames(df, group, pos, value, size, size - size // 2, zero_edges=True)
+    return _bins(frames, [*group, "frame"], S.windowed_magnitude(F.col("window")), "mag").drop("_n")
 
 
 def spectrogram(df: DataFrame, group: list[str], pos: str, value: str, fs: float,
                 size: int = 256) -> DataFrame:
-    """Power density per frame, overlap one eighth, tapered-cosine window."""
-    frames = overlapping_frames(df, group, pos, value, size, size - size // 8)
-    return _bins(frames, [*group, "frame"], S.power_density(F.col("window"), fs, "tukey"), "psd")
+    """Power density per frame, overlap one eighth, tapered-cosine window; a shorter series is one frame."""
+    sized, s = frame_size(df, group, pos, size), F.col("_frame")
+    frames = overlapping_frames(sized, group, pos, value, s, s - F.floor(s / 8))
+    return _bins(frames, [*group, "frame"], S.power_density(F.col("window"), fs, "tukey"), "psd").drop("_n")
 
 
 def sliding_spectrum(df: DataFrame, group: list[str], pos: str, value: str, size: int = 125,
                      block_rows: int = BLOCK_ROWS) -> DataFrame:
     """dB spectrum of every sliding window; ``row`` = frame * size + bin."""
     frames = sliding_windows(df, group, pos, value, size, block_rows)
-    bins = _bins(frames, [*group, "frame"], S.magnitudes(F.col("window").cast(S.DOUBLES)), "mag")
+    values = S.magnitudes(F.col("window").cast(S.DOUBLES))
+    empty = F.array_repeat(F.lit(None).cast("double"), size)
+    bins = frames.select(*group, "frame", F.posexplode(F.coalesce(values, empty)).alias("k", "mag"))
     return bins.select(*group, "frame", "k", (F.col("frame") * size + F.col("k")).alias("row"),
                        decibel(F.col("mag")).alias("db"))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import spectra as S
-from ..functions.columns import decibel, rounded
-from ..operators import clean, profile, sequence, signal
+from ..functions.columns import decibel, no_nan, rounded
+from ..operators import align, clean, profile, sequence, signal
 from .registry import query
 
 USER, ORDER, SIZE = ["user_id"], ["ts", "event_id"], 32
@@ -128,14 +128,16 @@ def g2_feature_tables(spark, t):
 @query("g3_spectrum", f"""WITH {SQL_SEG}, {SQL_DFT}
 SELECT user_id, seg, k :: INTEGER AS k, round(k * 64.0 / n, 4) AS freq,
   round(sqrt(re * re + im * im) + 1e-9, 4) + 0.0 AS mag, round(abs(re) + 1e-9, 4) + 0.0 AS abs_real,
-  round(20 * log10(sqrt(re * re + im * im) + 1e-10) + 1e-9, 3) + 0.0 AS mag_db
-FROM dft WHERE k > 0 AND 2 * k < n AND sqrt(re * re + im * im) > 1e-6""")
+  round(20 * log10(greatest(sqrt(re * re + im * im), 1e-4)) + 1e-9, 3) + 0.0 AS mag_db
+FROM dft WHERE k > 0 AND 2 * k < n""")
 def g3_spectrum(spark, t):
     packed = sequence.pack(segments(t), ["user_id", "seg"], "t", "value")
-    s = signal.spectrum(packed, ["user_id", "seg"], "series", 64.0).filter(F.col("mag") > 1e-6)
+    s = signal.spectrum(packed, ["user_id", "seg"], "series", 64.0)
+    # Bins that cancel to rounding noise have no stable decibel value: both sides stop at a floor.
+    floor = F.when(F.col("mag") < 1e-4, F.lit(-80.0)).otherwise(F.col("mag_db"))
     return s.select("user_id", "seg", "k", F.round("freq", 4).alias("freq"),
                     rounded(F.col("mag"), 4).alias("mag"), rounded(F.col("abs_real"), 4).alias("abs_real"),
-                    rounded(F.col("mag_db"), 3).alias("mag_db"))
+                    rounded(floor, 3).alias("mag_db"))
 
 
 def sql_density(window: str, fs: float) -> str:
@@ -180,6 +182,144 @@ def g6_spectrogram(spark, t):
         "psd", rounded(F.col("psd"), 5))
 
 
+def sql_any_frames(size: int, part: int) -> str:
+    """Complete frames of ``size`` rows, or of a whole shorter series, that overlap by size // part."""
+    return f"""{SQL_POS},
+n AS (SELECT user_id, count(*) AS n, least({size}, count(*)) AS s FROM ev GROUP BY 1),
+f AS (SELECT user_id, s, s - s // {part} AS hop, unnest(range(0, (n - s) // (s - s // {part}) + 1)) AS frame FROM n),
+fr AS (SELECT f.user_id, frame, s, pos - frame * hop AS o, value - avg(value) OVER (PARTITION BY f.user_id, frame) AS centred
+  FROM f JOIN ev ON ev.user_id = f.user_id AND pos BETWEEN frame * hop AND frame * hop + s - 1)"""
+
+
+def sql_any_density(window: str) -> str:
+    return f"""w AS (SELECT user_id, frame, s, o, centred * {window} AS x, {window} AS w FROM fr),
+d AS (SELECT user_id, frame, s, k, (power(sum(x * cos(2 * pi() * k * o / s)), 2)
+    + power(sum(x * sin(2 * pi() * k * o / s)), 2)) / (250.0 * sum(w * w))
+    * CASE WHEN k = 0 OR 2 * k = s THEN 1 ELSE 2 END AS psd
+  FROM w, LATERAL (SELECT unnest(range(0, s // 2 + 1)) AS k) r GROUP BY user_id, frame, s, k)"""
+
+
+SQL_ANY_HANN = "(0.5 - 0.5 * cos(2 * pi() * o / s))"
+SQL_ANY_TUKEY = """(CASE WHEN least(o, s - o) < s / 8.0 THEN 0.5 - 0.5 * cos(pi() * least(o, s - o) / (s / 8.0)) ELSE 1 END)"""
+
+
+def _density_query(size: int) -> None:
+    @query(f"g4_power_spectral_density_{size}", f"""WITH {sql_any_frames(size, 2)}, {sql_any_density(SQL_ANY_HANN)}
+SELECT user_id, k :: INTEGER AS k, round(k * 250.0 / s, 6) AS freq, round(avg(psd) + 1e-9, 5) + 0.0 AS psd FROM d GROUP BY user_id, k, s""")
+    def density(spark, t):
+        p = signal.power_spectral_density(segments(t), USER, "pos", "value", 250.0, size)
+        return p.withColumns({"psd": rounded(F.col("psd"), 5), "freq": F.round("freq", 6)})
+
+    @query(f"g6_spectrogram_{size}", f"""WITH {sql_any_frames(size, 8)}, {sql_any_density(SQL_ANY_TUKEY)}
+SELECT user_id, frame, k :: INTEGER AS k, round(psd + 1e-9, 5) + 0.0 AS psd FROM d""")
+    def gram(spark, t):
+        return signal.spectrogram(segments(t), USER, "pos", "value", 250.0, size).withColumn("psd", rounded(F.col("psd"), 5))
+
+
+for _size in (9, 256):
+    _density_query(_size)
+
+
+@query("g5_stft_magnitude_9", f"""WITH {SQL_POS},
+n AS (SELECT user_id, count(*) AS n FROM ev GROUP BY 1),
+f AS (SELECT user_id, unnest(range(0, (n + 3) // 5 + 1)) AS frame FROM n),
+x AS (SELECT f.user_id, frame, pos + 4 - frame * 5 AS o, value FROM f JOIN ev ON ev.user_id = f.user_id
+  AND pos + 4 BETWEEN frame * 5 AND frame * 5 + 8),
+m AS (SELECT user_id, frame, k, sqrt(power(sum(value * (0.5 - 0.5 * cos(2 * pi() * o / 9)) * cos(2 * pi() * k * o / 9)), 2)
+    + power(sum(value * (0.5 - 0.5 * cos(2 * pi() * o / 9)) * sin(2 * pi() * k * o / 9)), 2)) / 4.5 AS mag
+  FROM x, (SELECT unnest(range(0, 5)) AS k) r GROUP BY user_id, frame, k)
+SELECT user_id, frame, k :: INTEGER AS k, round(mag + 1e-9, 4) + 0.0 AS mag FROM m""")
+def g5_stft_odd(spark, t):
+    return signal.stft_magnitude(segments(t), USER, "pos", "value", 9).withColumn("mag", rounded(F.col("mag"), 4))
+
+
+# Errors hide the value of their event: NULL for even ids, NaN for odd ones.
+SQL_GAPS = """gev AS (SELECT *, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS v,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)"""
+
+
+def with_gaps(t):
+    hidden = F.when(F.col("event_type") != "error", F.col("value")).when(F.col("event_id") % 2 == 1, F.lit(float("nan")))
+    return t.events.select("event_id", "ts", "user_id", "event_type", hidden.alias("v"))
+
+
+@query("w5_sliding_windows_gaps", f"""WITH {SQL_GAPS},
+n AS (SELECT user_id, count(*) AS n FROM gev GROUP BY 1),
+f AS (SELECT user_id, unnest(range(0, n - 4)) AS frame FROM n)
+SELECT f.user_id, f.frame, list(round(v, 4) ORDER BY pos) AS w
+FROM f JOIN gev ON gev.user_id = f.user_id AND pos BETWEEN frame AND frame + 3 GROUP BY ALL""")
+def w5_sliding_gaps(spark, t):
+    placed = sequence.segment_rows(with_gaps(t), USER, ORDER, SIZE).withColumn("v", no_nan(F.col("v")))
+    w = sequence.sliding_windows(placed, USER, "pos", "v", 4)
+    return w.select("user_id", "frame", F.transform("window", lambda x: F.round(x, 4)).alias("w"))
+
+
+@query("w6_overlapping_frames_gaps", f"""WITH {SQL_GAPS},
+n AS (SELECT user_id, count(*) AS n FROM gev GROUP BY 1),
+f AS (SELECT user_id, n, unnest(range(0, (n + 1) // 2 + 1)) AS frame FROM n),
+o AS (SELECT *, unnest(range(0, 4)) AS o FROM f WHERE frame <= (n + 1) // 2)
+SELECT o.user_id, o.frame, list(CASE WHEN gev.user_id IS NULL THEN 0.0 ELSE round(v, 4) END ORDER BY o) AS w
+FROM o LEFT JOIN gev ON gev.user_id = o.user_id AND gev.pos = o.frame * 2 + o.o - 2 GROUP BY ALL""")
+def w6_frames_gaps(spark, t):
+    placed = sequence.segment_rows(with_gaps(t), USER, ORDER, SIZE).withColumn("v", no_nan(F.col("v")))
+    w = sequence.overlapping_frames(placed, USER, "pos", "v", 4, 2, zero_edges=True)
+    return w.select("user_id", "frame", F.transform("window", lambda x: F.round(x, 4)).alias("w"))
+
+
+@query("n5_z_scores_gaps", f"""WITH {SQL_GAPS},
+g AS (SELECT event_id, CASE WHEN event_type <> 'view' THEN event_type END AS kind, v FROM gev),
+s AS (SELECT kind, avg(v) AS m, stddev_pop(v) AS s FROM g GROUP BY 1)
+SELECT event_id, CASE WHEN v IS NOT NULL THEN round(CASE WHEN s > 0 THEN (v - m) / s ELSE 0 END + 1e-9, 6) + 0.0 END AS z
+FROM g JOIN s ON g.kind IS NOT DISTINCT FROM s.kind""")
+def n5_z_gaps(spark, t):
+    rows = with_gaps(t).withColumn("kind", F.when(F.col("event_type") != "view", F.col("event_type")))
+    return sequence.z_scores(rows, ["kind"], "v").select("event_id", rounded(F.col("z")).alias("z"))
+
+
+@query("w2_running_segment_ids_gaps", """WITH e AS (SELECT event_id, ts, nullif(user_id % 7, 3) AS file FROM events),
+p AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ts, event_id) - 1 AS pos FROM e),
+k AS (SELECT file, (count(*) + 31) // 32 AS k FROM p GROUP BY 1),
+o AS (SELECT file, (sum(k) OVER (ORDER BY file NULLS FIRST) - k) :: BIGINT AS first FROM k)
+SELECT event_id, first + pos // 32 AS segment_id FROM p JOIN o ON p.file IS NOT DISTINCT FROM o.file""")
+def w2_running_gaps(spark, t):
+    rows = t.events.select("event_id", "ts", F.nullif(F.col("user_id") % 7, F.lit(3)).alias("file"))
+    segs = sequence.segment_rows(rows, ["file"], ORDER, SIZE)
+    return sequence.running_segment_ids(segs, "file", SIZE).select("event_id", "segment_id")
+
+
+@query("c1_interpolate_gaps", f"""WITH {SQL_GAPS},
+b AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN pos END IGNORE NULLS) OVER w AS p0,
+    last_value(v IGNORE NULLS) OVER w AS v0,
+    first_value(CASE WHEN v IS NOT NULL THEN pos END IGNORE NULLS) OVER x AS p1, first_value(v IGNORE NULLS) OVER x AS v1
+  FROM gev WINDOW w AS (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    x AS (PARTITION BY user_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT event_id, round(CASE WHEN v IS NOT NULL THEN v WHEN v0 IS NOT NULL AND v1 IS NOT NULL
+  THEN v0 + (v1 - v0) * (pos - p0) / (p1 - p0) ELSE v0 END + 1e-9, 6) + 0.0 AS v FROM b""")
+def c1_interpolate_gaps(spark, t):
+    return clean.interpolate(with_gaps(t), USER, ORDER, "v").select("event_id", rounded(F.col("v")).alias("v"))
+
+
+@query("a_profiles_gaps", f"""WITH {SQL_GAPS},
+m AS (SELECT count(v) AS n, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS lo, max(v) AS hi,
+  quantile_cont(v, [0.25, 0.5, 0.75]) AS q, count(DISTINCT v) + max((v IS NULL)::INT) AS n_distinct FROM gev)
+SELECT 'count' AS what, n :: DOUBLE AS x FROM m UNION ALL SELECT 'mean', round(mean + 1e-9, 6) FROM m
+UNION ALL SELECT 'std', round(std + 1e-9, 6) FROM m UNION ALL SELECT 'min', round(lo + 1e-9, 6) FROM m
+UNION ALL SELECT 'max', round(hi + 1e-9, 6) FROM m UNION ALL SELECT 'q25', round(q[1] + 1e-9, 6) FROM m
+UNION ALL SELECT 'q50', round(q[2] + 1e-9, 6) FROM m UNION ALL SELECT 'q75', round(q[3] + 1e-9, 6) FROM m
+UNION ALL SELECT 'distinct', n_distinct FROM m
+UNION ALL SELECT 'values', (SELECT count(*) FROM (SELECT v FROM gev WHERE v IS NOT NULL GROUP BY v))
+UNION ALL SELECT 'filled', round((SELECT sum(coalesce(v, (SELECT mean FROM m))) FROM gev) + 1e-9, 3)""")
+def a_profiles_gaps(spark, t):
+    df = with_gaps(t).select("v")
+    d = profile.describe(df, ["v"])
+    parts = [d.select(F.lit(c).alias("what"), rounded(F.col(c).cast("double")).alias("x"))
+             for c in ("count", "mean", "std", "min", "max", "q25", "q50", "q75")]
+    parts += [profile.distinct_counts(df, ["v"]).select(F.lit("distinct").alias("what"), F.col("n_distinct").cast("double").alias("x")),
+              profile.value_counts(df, ["v"]).agg(F.count(F.lit(1)).cast("double").alias("x")).select(F.lit("values").alias("what"), "x"),
+              clean.fill_means(df, ["v"]).agg(rounded(F.sum("v"), 3).alias("x")).select(F.lit("filled").alias("what"), "x")]
+    return align.union_rows(*parts)
+
+
 SQL_ARRAYS = """x AS (SELECT vec_id, unnest(range(0, 64)) AS t, unnest(embedding) :: DOUBLE AS v FROM embeddings)"""
 SQL_ARRAY_DFT = f"""{SQL_ARRAYS},
 z AS (SELECT vec_id, k, sum(v * cos(2 * pi() * k * t / 64)) AS re, -sum(v * sin(2 * pi() * k * t / 64)) AS im
@@ -246,13 +386,13 @@ x AS (SELECT f.user_id, frame, pos - frame AS o, abs(value) AS v FROM f JOIN ev
 m AS (SELECT user_id, frame, k, sqrt(power(sum(v * cos(2 * pi() * k * o / 16)), 2)
   + power(sum(v * sin(2 * pi() * k * o / 16)), 2)) AS mag
   FROM x, (SELECT unnest(range(0, 16)) AS k) r GROUP BY user_id, frame, k)
-SELECT user_id, frame, k :: INTEGER AS k, frame * 16 + k AS row, round(10 * log10(mag + 1e-10) + 1e-9, 3) + 0.0 AS db
-FROM m WHERE mag > 1e-4""")
+SELECT user_id, frame, k :: INTEGER AS k, frame * 16 + k AS row, round(10 * log10(greatest(mag, 1e-4)) + 1e-9, 3) + 0.0 AS db
+FROM m""")
 def g11_sliding_spectrum(spark, t):
     s = segments(t).withColumn("value", F.abs("value"))
     out = signal.sliding_spectrum(s, USER, "pos", "value", 16)
-    # Bins that cancel to rounding noise have no stable decibel value.
-    return out.filter(F.col("db") > -40).withColumn("db", rounded(F.col("db"), 3))
+    # Bins that cancel to rounding noise have no stable decibel value: both sides stop at a floor.
+    return out.withColumn("db", rounded(F.greatest(F.col("db"), F.lit(-40.0)), 3))
 
 
 @query("g12_chunk_preprocessing", f"""WITH c AS (SELECT vec_id, list_slice(embedding, 8, 57) AS e FROM embeddings),
