@@ -153,16 +153,17 @@ def index_blocks(benchmark: DataFrame, item: str, text: str, block: int = BLOCK_
         yield Index.of([(r["item"], r["t"]) for r in part.orderBy("item", "t").collect()])
 
 
-def _parts(texts: list[bytes], size: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts in parts of bounded size, with the number of the first one."""
-    first, held = 0, 0
+def _parts(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts in parts of bounded size, with the number of the first one; NULL is empty."""
+    first, part, held = 0, [], 0
     for i, t in enumerate(texts):
-        held += len(t)
+        part.append(t.as_py() or b"")
+        held += len(part[-1])
         if held >= size:
-            yield first, texts[first:i + 1]
-            first, held = i + 1, 0
-    if first < len(texts):
-        yield first, texts[first:]
+            yield first, part
+            first, part, held = i + 1, [], 0
+    if part:
+        yield first, part
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
@@ -187,7 +188,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
         def find(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(*shared.value)
             for batch in batches:
-                found = [(first + t, *rest) for first, part in _parts(batch.column(1).cast(pa.binary()).to_pylist())
+                found = [(first + t, *rest) for first, part in _parts(batch.column(1).cast(pa.binary()))
                          for t, *rest in index.search(part)]
                 if found:
                     text_at, item_at, *numbers = zip(*found)
@@ -203,16 +204,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
                       item_text: str = "text") -> DataFrame:
     """The documents that share no passage with the benchmark, with all their columns (see ``overlaps``)."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    inside = docs.columns.index(text)
     for index in index_blocks(benchmark, item, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(index.parts())
 
         def clean(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(*shared.value)
             for batch in batches:
-                hit = {first + t for first, part in _parts(batch.column(1).cast(pa.binary()).to_pylist())
-                       for t, *_ in index.search(part)}
-                yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)]))
+                texts = batch.column(0).field(inside).cast(pa.binary())
+                hit = {first + t for first, part in _parts(texts) for t, *_ in index.search(part)}
+                yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
 
         rows = rows.mapInArrow(clean, rows.schema)
     return rows.select("row.*")

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -194,7 +195,7 @@ SCHEMA_TAIL = [
 class Tagger:
     """Labels batches of texts; what a word contributes is kept while the words of a task fit."""
 
-    def __init__(self, chain: Chain, cached: int = 400_000):
+    def __init__(self, chain: Chain, cached: int = 200_000):
         self.chain, self.cached = chain, cached
         self._clear()
 
@@ -253,18 +254,19 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: st
     texts without a letter are ``und`` with score 0; without labelled rows all are. Labels of rows, their keys
     and further columns never enter a prediction.
     """
-    return _identify(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), key, text, label, allowed, per_label, window)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return _identify(docs, docs.select(whole.alias("row")), docs.columns.index(text), key, text, label, allowed, per_label, window)
 
 
 def identify_keys(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang",
                   allowed: Column | None = None, per_label: int = PER_LABEL, window: int = WINDOW) -> DataFrame:
     """The same as ``identify`` with the key alone as ``row``."""
-    return _identify(docs, F.col(key), key, text, label, allowed, per_label, window)
+    return _identify(docs, docs.select(F.col(key).alias("row"), F.col(text).alias("t")), None, key, text, label, allowed, per_label, window)
 
 
-def _identify(docs, carried, key, text, label, allowed, per_label, window) -> DataFrame:
+def _identify(docs, rows, inside, key, text, label, allowed, per_label, window) -> DataFrame:
+    """rows: (row, t), or (row) with the text as field number ``inside`` of it."""
     sample = training_sample(docs, F.lit(True) if allowed is None else allowed, key, text, label, per_label, window)
-    rows = docs.select(carried.alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     schema = T.StructType([rows.schema["row"], *SCHEMA_TAIL])
     fitted = fit_chain(sample) if sample else None
     chain = docs.sparkSession.sparkContext.broadcast(
@@ -273,18 +275,22 @@ def _identify(docs, carried, key, text, label, allowed, per_label, window) -> Da
     def tag(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(Chain(*chain.value)) if chain.value else None
         for batch in batches:
-            words = [t.lower().split() for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            out: list = [(UNKNOWN, 0.0, [])] * len(words)
-            order = sorted((i for i, w in enumerate(words) if w), key=lambda i: -len(words[i])) if tagger else []
-            part, held = [], 0
-            for i in [*order, None]:
-                if part and (i is None or (held + len(words[i])) * len(tagger.chain.labels) > HELD):
-                    for j, found in zip(part, tagger.label([words[j] for j in part])):
+            texts = (batch.column(1) if inside is None else batch.column(0).field(inside)).cast(pa.binary())
+            out: list = [(UNKNOWN, 0.0, [])] * len(texts)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(False)
+            part: list[int] = []
+            words: list[list[bytes]] = []
+            held = 0
+            for i in [*np.argsort(-sizes, kind="stable").tolist(), None] if tagger else []:
+                mine = texts[i].as_py().lower().split() if i is not None and sizes[i] else []
+                if part and (i is None or held + len(mine) > HELD // len(tagger.chain.labels)):
+                    for j, found in zip(part, tagger.label(words)):
                         out[j] = found
-                    part, held = [], 0
-                if i is not None:
+                    part, words, held = [], [], 0
+                if mine:
+                    held += len(mine)
                     part.append(i)
-                    held += len(words[i])
+                    words.append(mine)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.float64()),
                  pa.array([[dict(zip(("start", "end", "lang"), r)) for r in o[2]] for o in out],
