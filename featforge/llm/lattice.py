@@ -21,12 +21,15 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 LONGEST_PIECE = 16
 #: Words above this many bytes are summed one by one instead of in batches of equal length.
 LONG_WORD = 256
-#: So many frequent words of at most so many bytes travel to every task; all others are joined.
-FREQUENT, FREQUENT_BYTES = 1 << 16, 48
+#: Words that make up at least one in so many tokens, so never more than that, and have at most so many bytes,
+#: travel to every task; all others are joined.
+FREQUENT, FREQUENT_BYTES = 1 << 18, 48
 #: Weight (in pieces) of the vocabulary's own scores beside what the training texts count.
 PRIOR = 1000.0
 #: Distinct words that a task of the training step takes.
 WORDS_PER_TASK = 50_000
+#: Rows that a scoring task holds before it hands them on.
+ROWS_OUT = 50_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 END = b""
 LOG10 = math.log(10)
@@ -169,8 +172,8 @@ class Lattice:
 
 def _tokens(texts: pa.Array) -> Iterator[list[bytes]]:
     """Words of each text, A-Z in lower case; on bytes both touch ASCII only."""
-    for text in texts.cast(pa.binary()).to_pylist():
-        yield (text or b"").lower().split()
+    for text in texts.cast(pa.binary()):
+        yield (text.as_py() or b"").lower().split()
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,13 +260,13 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     ``score`` is log10 of the probability of the text: over its words and one end, the sum over all
     segmentations. No piece spans two words, so the sum of a text is the product of the sums of its words.
-    The most frequent words travel to the tasks (a fixed number of short ones); every other word of a text is
-    counted inside the text and joined with the table, so nothing is left out. NULL text counts as empty: one
+    Words above a fixed share of all tokens travel to the tasks; every other word of a text is counted inside the
+    text and joined with the table, so nothing is left out. NULL text counts as empty: one
     token, the end. Rows that repeat key and text get the same result each.
     """
     spark = docs.sparkSession
-    common = (model.words.filter((F.octet_length("word") <= FREQUENT_BYTES) & (F.col("c") > 0))
-              .orderBy(F.desc("c"), "word").limit(FREQUENT).collect())
+    often = (F.col("c") > 0) & (F.col("c") * FREQUENT >= model.tokens)
+    common = model.words.filter(often & (F.octet_length("word") <= FREQUENT_BYTES)).select("word", "base", "lat").collect()
     near = spark.sparkContext.broadcast({bytes(r["word"]): (r["base"], r["lat"]) for r in common})
     kind = docs.schema[key].dataType
     schema = T.StructType([
@@ -273,26 +276,32 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = near.value
+        kinds = [pa.binary()] + [pa.int64()] * 4 + [pa.float64()] * 2
+
+        def close(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+            at, *columns = zip(*rows)
+            at = pa.array(at, pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at)] + [pa.array(c, k) for c, k in zip(columns, kinds)], schema.names)
+
         for batch in batches:
-            rows, word, n, docs_, tokens, known, base, lat = [], [], [], [], [], [], [], []
-            hashes = batch.column(1).to_pylist()
+            rows, hashes = [], batch.column(1).to_pylist()
             for row, words in enumerate(_tokens(batch.column(2))):
                 words.append(END)
                 k, b, s = 0, 0.0, 0.0
                 for w, times in Counter(words).items():
                     found = table.get(w)
                     if found is None:
-                        rows.append(row), word.append(w), n.append(times), docs_.append(0), tokens.append(0)
-                        known.append(0), base.append(0.0), lat.append(0.0)
+                        rows.append((row, w, times, 0, 0, 0, 0.0, 0.0))
                     else:
                         k, b, s = k + times, b + times * found[0], s + times * found[1]
-                rows.append(row), word.append(b" %d" % hashes[row]), n.append(0), docs_.append(1), tokens.append(len(words))
-                known.append(k), base.append(b), lat.append(s)
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(word, pa.binary())]
-                + [pa.array(x, pa.int64()) for x in (n, docs_, tokens, known)] + [pa.array(base, pa.float64()), pa.array(lat, pa.float64())],
-                schema.names)
+                # One row per text with what is known here; the blank keeps its key apart from all words.
+                rows.append((row, b" %d" % hashes[row], 0, 1, len(words), k, b, s))
+                if len(rows) > ROWS_OUT:
+                    yield close(batch, rows)
+                    rows = []
+            if rows:
+                yield close(batch, rows)
 
     content = F.coalesce(F.col(text), F.lit(""))
     parts = docs.select(F.col(key).alias("k"), F.xxhash64(content).alias("h"), content.alias("t")).mapInArrow(dealt, schema)
