@@ -71,7 +71,7 @@ def scored(docs, held=None):
 
 
 def test_base_score_and_counts_against_brute_force(docs_of, monkeypatch):
-    monkeypatch.setattr(L, "FREQUENT", 20)
+    monkeypatch.setattr(L, "FREQUENT", 40)
     rng = random.Random(4)
     vocabulary = ["the", "The", "of", "été", "ÉTÉ", "x" * 60] + [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(0, 40)))) for i in range(150)] + [(900, None), (901, " \t\n"), (902, "y" * 3000)]
