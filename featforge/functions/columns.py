@@ -117,9 +117,9 @@ def unit_interval(hash32: Column) -> Column:
     return hash32 / F.lit(4294967296.0)
 
 
-def date_parts(text_or_time: Column) -> list[Column]:
-    """month, day and hour of a timestamp or of text ``YYYY-MM-DD HH:...``."""
-    t = F.try_to_timestamp(text_or_time.cast("string"))
+def date_parts(text_or_time: Column, is_time: bool = False) -> list[Column]:
+    """month, day and hour of text ``YYYY-MM-DD HH:...``, or of a timestamp (``is_time``)."""
+    t = text_or_time if is_time else F.try_to_timestamp(text_or_time)
     return [F.month(t).alias("month"), F.dayofmonth(t).alias("day"), F.hour(t).alias("hour")]
 
 

@@ -7,11 +7,11 @@ from collections.abc import Callable, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .align import rows_predicted, union_rows
@@ -34,7 +34,9 @@ def classifier(features: Sequence[str], label: str, kind: str = "forest", trees:
     """Classifier over numeric columns; the decoded class goes to ``prediction``."""
     index = StringIndexer(inputCol=label, outputCol="_y", handleInvalid="error",
                           stringOrderType="alphabetAsc")
-    assemble = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep")
+    # A gap in a feature takes the feature's mean.
+    gaps = Imputer(inputCols=list(features), outputCols=[f"_f_{f}" for f in features])
+    assemble = VectorAssembler(inputCols=[f"_f_{f}" for f in features], outputCol="_x", handleInvalid="keep")
     if kind == "logistic":
         model = LogisticRegression(featuresCol="_x", labelCol="_y", predictionCol="_p",
                                    probabilityCol="probability", maxIter=50, regParam=1e-3)
@@ -44,17 +46,18 @@ def classifier(features: Sequence[str], label: str, kind: str = "forest", trees:
             featuresCol="_x", labelCol="_y", predictionCol="_p", probabilityCol="probability",
             numTrees=trees, maxDepth=depth, seed=seed,
             impurity="entropy" if kind == "entropy" else "gini")
-    return Pipeline(stages=[index, assemble, model])
+    return Pipeline(stages=[index, gaps, assemble, model])
 
 
 def predict(model: PipelineModel, df: DataFrame, out: str = "prediction") -> DataFrame:
     """Predicted class by name and its probability; needs no label column."""
     labels = model.stages[0].labels
-    scored = model.stages[1].transform(df)
-    scored = model.stages[2].transform(scored)
+    scored = df
+    for stage in model.stages[1:]:
+        scored = stage.transform(scored)
     decoded = IndexToString(inputCol="_p", outputCol=out, labels=labels).transform(scored)
     return decoded.withColumn("confidence", F.array_max(vector_to_array("probability"))).drop(
-        "_x", "_p", "rawPrediction", "probability")
+        "_x", "_p", "rawPrediction", "probability", *model.stages[1].getOutputCols())
 
 
 def regressor(features: Sequence[str], label: str, kind: str = "boosted", trees: int = 20,
@@ -136,13 +139,13 @@ def permutation_importance(model: PipelineModel, df: DataFrame, key: str, featur
     scored = predict(model, stacked, "_c")
     hits = scored.groupBy("feature").agg(
         F.avg((F.col("_c") == F.col(label).cast("string")).cast("double")).alias("acc"))
-    base = hits.filter(F.col("feature") == "").first()["acc"]
-    return hits.filter(F.col("feature") != "").select(
-        "feature", (F.lit(base) - F.col("acc")).alias("importance"))
+    whole = F.max(F.when(F.col("feature") == "", F.col("acc"))).over(Window.partitionBy(F.lit(0)))  # one row per feature
+    return (hits.withColumn("importance", whole - F.col("acc"))
+            .filter(F.col("feature") != "").select("feature", "importance"))
 
 
 def model_importance(model: PipelineModel, features: Sequence[str]) -> dict[str, float]:
-    return dict(zip(features, model.stages[2].featureImportances.toArray().tolist()))
+    return dict(zip(features, model.stages[-1].featureImportances.toArray().tolist()))
 
 
 def cascade(test: DataFrame, first: DataFrame, key: str, single: str, rest: str,
@@ -150,8 +153,11 @@ def cascade(test: DataFrame, first: DataFrame, key: str, single: str, rest: str,
     """Join the two stages: rows predicted ``single`` keep that, the rest get a second opinion.
 
     ``first`` has key and ``prediction``. ``second_stage`` maps the remaining rows to key
-    and ``prediction``. Sort the result with ``writers.write_sorted`` when a file is wanted.
+    and ``prediction``. A first prediction that is neither fails the job. Sort the result with ``writers.write_sorted`` when a file is wanted.
     """
+    asked = F.coalesce(F.col("prediction").isin(single, rest), F.lit(False))
+    wrong = F.raise_error(F.concat(F.lit("first stage predicted neither class: "), F.coalesce(F.col("prediction"), F.lit("NULL"))))
+    first = first.withColumn("prediction", F.when(asked, F.col("prediction")).otherwise(wrong.cast("string")))
     remaining = rows_predicted(test, first, key, "prediction", rest)
     done = first.filter(F.col("prediction") == single).select(key, "prediction")
     return union_rows(done, second_stage(remaining).select(key, "prediction"))

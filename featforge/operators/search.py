@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A gallery up to this many vectors travels inside the function; a larger one is joined in tiles.
-GALLERY_LIMIT = 4096
-TILE = 1024
-PROBES_PER_GROUP = 20_000
+#: Bytes of gallery vectors that travel to the tasks at a time.
+TILE_BYTES = 64 << 20
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -27,85 +28,60 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norms, out=np.full_like(m, np.nan), where=norms > 0)
 
 
-def _best(probes: pd.Series, gallery: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
-    """Best similarity (rounded to 9 digits, so that equal means equal) and lowest id."""
-    idx = np.full(len(probes), -1, dtype="int64")
-    sim = np.full(len(probes), np.nan)
-    ok = np.array([v is not None and len(v) == gallery.shape[1] for v in probes], dtype=bool)
-    if ok.any() and len(gallery):
-        m = _unit(np.stack([np.asarray(v, dtype="float64") for v in probes[ok]]))
+def _best(vectors: list, gallery: np.ndarray, ids: np.ndarray, idx: np.ndarray, sim: np.ndarray) -> None:
+    """Improve the best similarity (rounded to 9 digits, so that equal means equal) and the lowest id in place."""
+    ok = np.flatnonzero([v is not None and len(v) == gallery.shape[1] for v in vectors])
+    for rows in np.array_split(ok, max(1, len(ok) * len(ids) // 4_000_000)):
+        if not len(rows):
+            continue
+        m = _unit(np.array([vectors[i] for i in rows], dtype="float64"))
         s = np.nan_to_num(np.round(m @ gallery.T, 9), nan=-2.0)
         arg = s.argmax(axis=1)
         best = s[np.arange(len(s)), arg]
-        idx[ok] = np.where(best > -2.0, ids[arg], -1)
-        sim[ok] = np.where(best > -2.0, best, np.nan)
-    return pd.DataFrame({"idx": idx, "sim": sim})
+        better = (best > sim[rows]) | ((best == sim[rows]) & (best > -2.0) & (ids[arg] < idx[rows]))
+        sim[rows[better]], idx[rows[better]] = best[better], ids[arg[better]]
+
+
+def _tiles(gallery: DataFrame, gallery_id: str, vector: str, size: int, width: int, tile_bytes: int) -> Iterator[tuple]:
+    """The gallery as (ids, unit vectors) of bounded size, ids rising inside a tile."""
+    tiles = max(1, -(-size * width * 8 // tile_bytes))
+    rows = gallery.select(F.col(gallery_id).cast("long").alias("g"), F.col(vector).alias("v")).filter("g IS NOT NULL AND v IS NOT NULL")
+    for t in range(tiles):
+        part = rows.filter(F.pmod(F.xxhash64("g"), F.lit(tiles)) == t).collect()
+        part.sort(key=lambda r: r["g"])
+        part = [r for r in part if len(r["v"]) == width]
+        if part:
+            yield np.array([r["g"] for r in part], dtype="int64"), _unit(np.array([r["v"] for r in part], dtype="float64"))
 
 
 def top_match(probes: DataFrame, gallery: DataFrame, probe_id: str, gallery_id: str, vector: str,
-              threshold: float = 0.75, reject: int | None = None,
-              gallery_limit: int = GALLERY_LIMIT, tile: int = TILE) -> DataFrame:
+              threshold: float = 0.75, reject: int | None = None, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """Best gallery id per probe by cosine similarity, ``reject`` below the threshold.
 
-    ``gallery_id`` is a 0-based index. Ties go to the lowest index. ``reject``
-    defaults to the gallery size. Returns probe id, ``idx``, ``sim``, ``class``.
-    """
-    head = gallery.select(gallery_id, vector).limit(gallery_limit + 1).collect()
-    if len(head) <= gallery_limit:
-        size = len(head)
-        rows = sorted((r[0], r[1]) for r in head)
-        ids = np.array([r[0] for r in rows], dtype="int64")
-        matrix = _unit(np.array([r[1] for r in rows], dtype="float64"))
-
-        @F.pandas_udf("idx long, sim double")
-        def best(v: pd.Series) -> pd.DataFrame:
-            return _best(v, matrix, ids)
-
-        scored = probes.select(probe_id, best(F.col(vector)).alias("_b")).select(
-            probe_id, F.when(F.col("_b.idx") >= 0, F.col("_b.idx")).alias("idx"),
-            F.when(F.col("_b.idx") >= 0, F.col("_b.sim")).alias("sim"))
-    else:
-        size = gallery.count()
-        scored = _tiled(probes, gallery, probe_id, gallery_id, vector, tile)
-    reject = size if reject is None else reject
-    cls = F.when(F.col("sim").isNull() | (F.col("sim") < threshold), F.lit(reject)).otherwise(
-        F.col("idx"))
-    return scored.withColumn("class", cls.cast("long"))
-
-
-def _tiled(probes: DataFrame, gallery: DataFrame, probe_id: str, gallery_id: str, vector: str,
-           tile: int) -> DataFrame:
-    """Exact search for a large gallery.
-
-    The gallery is packed into tiles; a probe meets a tile as two matrices, so only
-    one best row per probe and tile leaves the task. Probes are spread over as many
-    salts as keep a group near ``PROBES_PER_GROUP`` rows, with the tile copied to each.
+    ``gallery_id`` is an integer. Ties go to the lowest one. ``reject`` defaults to the gallery size. Returns
+    probe id, ``idx``, ``sim``, ``class``, one row per probe row: ids of probes may be NULL or repeat. Exact: the
+    gallery, a stated set, travels in tiles of bounded bytes; every tile passes over all probes and the best so
+    far stays with its row, so nothing is shuffled. Vectors of another length than the gallery's longest match
+    nothing.
     """
-    n_salts = probes.count() // PROBES_PER_GROUP + 1
-    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_salts - 1).cast("long")))
-    tiles = (gallery.select(F.col(gallery_id).cast("long").alias("_g"), F.col(vector).alias("_v"))
-             .withColumn("_tile", F.floor(F.col("_g") / tile))
-             .groupBy("_tile").agg(F.array_sort(F.collect_list(F.struct("_g", "_v"))).alias("_m")))
-    n_tiles = gallery.agg(F.floor(F.max(F.col(gallery_id)) / tile)).first()[0] + 1
-    spread = (probes.select(F.col(probe_id).alias("_p"), F.col(vector).alias("_v"))
-              .withColumn("_salt", F.pmod(F.xxhash64("_p"), F.lit(n_salts)).cast("long"))
-              .withColumn("_tile", F.explode(
-                  F.sequence(F.lit(0).cast("long"), F.lit(n_tiles - 1).cast("long")))))
-    salted = tiles.withColumn("_salt", salts)
-
-    def match(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if right.empty or left.empty:
-            return pd.DataFrame({"_p": [], "idx": [], "sim": []})
-        members = right["_m"].iloc[0]
-        ids = np.array([m["_g"] for m in members], dtype="int64")
-        matrix = _unit(np.array([m["_v"] for m in members], dtype="float64"))
-        found = _best(left["_v"], matrix, ids)
-        found.insert(0, "_p", left["_p"].to_numpy())
-        return found[found["idx"] >= 0]
-
-    ptype = probes.schema[probe_id].dataType.simpleString()
-    pairs = (spread.groupBy("_tile", "_salt").cogroup(salted.groupBy("_tile", "_salt"))
-             .applyInPandas(match, f"_p {ptype}, idx long, sim double"))
-    best = pairs.groupBy("_p").agg(F.max(F.struct("sim", (-F.col("idx")).alias("i"))).alias("_b"))
-    return (probes.select(F.col(probe_id)).join(best, F.col(probe_id) == F.col("_p"), "left")
-            .select(probe_id, (-F.col("_b.i")).alias("idx"), F.col("_b.sim").alias("sim")))
+    size, width = gallery.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vector)), F.lit(0))).first()
+    schema = T.StructType([T.StructField(probe_id, probes.schema[probe_id].dataType),
+                           T.StructField("_v", T.ArrayType(T.DoubleType())),
+                           T.StructField("idx", T.LongType()), T.StructField("sim", T.DoubleType())])
+    scored = probes.select(probe_id, F.col(vector).cast("array<double>").alias("_v"),
+                           F.lit(-1).cast("long").alias("idx"), F.lit(-2.0).alias("sim"))
+    for tile in _tiles(gallery, gallery_id, vector, size, width, tile_bytes):
+        shared = probes.sparkSession.sparkContext.broadcast(tile)
+
+        def improve(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, matrix = shared.value
+            for batch in batches:
+                idx, sim = batch.column(2).to_numpy(False).copy(), batch.column(3).to_numpy(False).copy()
+                _best(batch.column(1).to_pylist(), matrix, ids, idx, sim)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(idx), pa.array(sim)], schema.names)
+
+        scored = scored.mapInArrow(improve, schema)
+    found = F.col("idx") >= 0
+    cls = F.when(found & (F.col("sim") >= threshold), F.col("idx")).otherwise(F.lit(size if reject is None else reject))
+    return scored.select(probe_id, F.when(found, F.col("idx")).alias("idx"), F.when(found, F.col("sim")).alias("sim"),
+                         cls.cast("long").alias("class"))

@@ -114,9 +114,7 @@ def g2_feature_tables(spark, t):
     """Train rows are numbered in (file, segment) order; test rows keep their file name as id."""
     f = features(t)
     held_out = F.col("user_id") % 5 == 0
-    # (user, segment) in one order number: a user has far fewer than 2^20 segments of 32 rows.
-    key = (F.col("user_id") * (1 << 20) + F.col("seg")).alias("_key")
-    train = sequence.renumber(f.filter(~held_out).select("*", key), ["_key"], "_id")
+    train = sequence.renumber(f.filter(~held_out), ["user_id", "seg"], "_id")
     train = train.select(F.lit("train").alias("part"), F.col("_id").cast("string").alias("id"), "label",
                          "value_mean", "value_fourier_mean")
     test = f.filter(held_out).select(

@@ -52,7 +52,7 @@ def p8_length(spark, t):
 @query("p9_first_rows", """SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents
   QUALIFY row_number() OVER (ORDER BY doc_id) <= 200""")
 def p9_first(spark, t):
-    return sequence.first_rows(sequence.renumber(t.documents.select("doc_id"), ["doc_id"], "pos"), "pos", 200)
+    return sequence.renumber(t.documents.select("doc_id").orderBy("doc_id").limit(200), ["doc_id"], "pos")
 
 
 @query("w3_token_chunks", f"""WITH {SQL_LONG} SELECT doc_id, (pos // 20) :: INTEGER AS chunk,
@@ -293,7 +293,8 @@ SQL_ALIAS = r"'([^\(]+)\(([^\)]+)\)'"
 # Some documents become author lists with titles, aliases and stop entries.
 SQL_AUTHORS = r"""raw AS (SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'Mr.' || replace(text, '. ', ' (alias one), Dr. ')
     WHEN doc_id % 5 = 2 THEN replace(text, '. ', ', et al,  M.D. ') || ', Vol.12 x, Assoc. Prof. Dr. MA last'
-    WHEN doc_id % 5 = 3 THEN NULL WHEN doc_id % 5 = 4 THEN replace(text, ' und ', ' (der) und (die)') ELSE text END AS c FROM documents)"""
+    WHEN doc_id % 5 = 4 THEN replace(text, ' und ', ' (der) und (die)') ELSE text END AS c FROM documents
+  UNION ALL SELECT -1 - doc_id, NULL FROM documents WHERE doc_id % 5 = 3)"""
 
 
 def authors(t):
@@ -302,8 +303,10 @@ def authors(t):
         return F.replace(c, F.lit(a), F.lit(b))
     text = (F.when(m == 1, F.concat(F.lit("Mr."), swap(". ", " (alias one), Dr. ")))
             .when(m == 2, F.concat(swap(". ", ", et al,  M.D. "), F.lit(", Vol.12 x, Assoc. Prof. Dr. MA last")))
-            .when(m == 3, F.lit(None)).when(m == 4, swap(" und ", " (der) und (die)")).otherwise(c))
-    return readers.spread(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", text.alias("c"))
+            .when(m == 4, swap(" und ", " (der) und (die)")).otherwise(c))
+    rows = readers.spread(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", text.alias("c"))
+    missing = t.documents.filter(F.col("doc_id") % 5 == 3).select((-1 - F.col("doc_id")).alias("doc_id"), F.lit(None).cast("string").alias("c"))
+    return rows.union(missing)
 
 
 def strip_sql(x: str) -> str:

@@ -113,13 +113,8 @@ def read_image_manifest(spark: SparkSession, images: str, labels: str | None = N
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Split a table over all cores before CPU-bound work.
-
-    Only for an input with fewer splits than cores (a small file, one row group); a
-    large one has its splits already and is returned unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """Deal rows out by key before CPU-bound work: a file may hold one split, however many cores there are."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def table_of(spark: SparkSession, rows, schema) -> DataFrame:

@@ -36,7 +36,37 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int |
 
 def write_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
                     timeout: int | None = None) -> None:
-    """Run the stream over all data present and stop; restarts continue from ``checkpoint``."""
+    """Run the stream over all data present and stop; restarts continue from ``checkpoint``.
+
+    Raises if the data are not read through within ``timeout`` seconds.
+    """
     query = (df.writeStream.outputMode(mode).format("parquet").option("path", path)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination(timeout)
+    _finish(query, timeout)
+
+
+def write_latest(df: DataFrame, path: str, checkpoint: str, timeout: int | None = None) -> None:
+    """Like ``write_available`` for results that still change: every batch writes what it updated, with its number.
+
+    The last version of each row (see ``latest``) equals the batch result, windows that are still open included.
+    """
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    query = (df.writeStream.outputMode("update").foreachBatch(keep)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    _finish(query, timeout)
+
+
+def latest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last version of each row of a table from ``write_latest``."""
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+    return last.select(*keys, "_v.*")
+
+
+def _finish(query, timeout: int | None) -> None:
+    done = query.awaitTermination(timeout)
+    if timeout is not None and not done:
+        query.stop()
+        raise TimeoutError(f"the stream has not read all data within {timeout} s")

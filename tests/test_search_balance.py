@@ -14,12 +14,12 @@ def vectors(spark):
     return rows, spark.createDataFrame(rows, "id long, v array<double>")
 
 
-@pytest.mark.parametrize("limit", [1000, 3])
-def test_top_match(vectors, limit):
+@pytest.mark.parametrize("tile_bytes", [1 << 20, 100])
+def test_top_match(vectors, tile_bytes):
     rows, df = vectors
     gallery, probes = df.filter("id < 20"), df.filter("id >= 20")
     got = {r["id"]: r for r in search.top_match(
-        probes, gallery, "id", "id", "v", 0.75, gallery_limit=limit, tile=6).collect()}
+        probes, gallery, "id", "id", "v", 0.75, tile_bytes=tile_bytes).collect()}
     g = {i: np.array(v) for i, v in rows[:20] if np.any(v)}
     assert len(got) == 130
     for i, v in rows[20:]:
@@ -34,6 +34,17 @@ def test_top_match(vectors, limit):
         assert got[i]["class"] == (want if best >= 0.75 else 20)
 
 
+@pytest.mark.parametrize("tile_bytes", [1 << 20, 16])
+def test_top_match_of_odd_rows(spark, tile_bytes):
+    """NULL and repeated probe ids keep their rows; sparse, NULL and short gallery vectors; an empty gallery."""
+    probes = spark.createDataFrame([(None, [1.0, 0.0]), (None, [0.0, 1.0]), (7, [1.0, 0.1]), (7, [0.1, 1.0]), (8, None), (9, [1.0])], "id long, v array<double>")
+    gallery = spark.createDataFrame([(10**12, [2.0, 0.0]), (3, [0.0, 5.0]), (None, [1.0, 0.0]), (4, None), (5, [1.0])], "id long, v array<double>")
+    got = sorted(map(str, search.top_match(probes, gallery, "id", "id", "v", 0.5, tile_bytes=tile_bytes).select("id", "idx", "class").collect()))
+    want = [(None, 10**12), (None, 3), (7, 10**12), (7, 3), (8, None), (9, None)]
+    assert got == sorted(f"Row(id={i}, idx={x}, class={x if x is not None else 5})" for i, x in want)
+    assert {r["class"] for r in search.top_match(probes, gallery.limit(0), "id", "id", "v").collect()} == {0}
+
+
 def test_cosine_of_zero_vector_is_null(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0]), ([1.0, 1.0], [1.0, 0.0])], "a array<double>, b array<double>")
     got = [r[0] for r in df.select(search.cosine(F.col("a"), F.col("b"))).collect()]

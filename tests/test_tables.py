@@ -171,6 +171,37 @@ def test_stream_equals_batch_and_drops_late_rows(spark):
     assert got == want and len(got) == 3
 
 
+def test_updated_windows_equal_batch(spark):
+    path = scratch_path(spark, "stream-update")
+    def batch(rows, n):
+        spark.createDataFrame([(dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), k, float(v)) for s, k, v in rows],
+                              "ts timestamp, k string, v double").coalesce(1).write.parquet(f"{path}/in/{n}")
+    batch([(1, "a", 1), (2, "a", 3), (31, "b", 5)], 0)
+    batch([(3, "a", 7), (40, "b", 7), (400, "a", 1)], 1)
+    whole = spark.read.parquet(f"{path}/in/0", f"{path}/in/1")
+    rows = stream.read_stream(spark, f"{path}/in/*", whole.schema, files_per_trigger=1)
+    stats = stream.window_statistics(rows, "ts", ["k"], "v", "30 seconds", "10 minutes")
+    stream.write_latest(stats, f"{path}/out", f"{path}/state", timeout=120)
+    got = stream.latest(spark.read.parquet(f"{path}/out"), ["k", "window_start"])
+    want = stream.window_statistics(whole, "ts", ["k"], "v", "30 seconds")
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and want.count() == 3
+
+
+def test_cascade_refuses_other_classes(spark):
+    df = spark.createDataFrame([(1,), (2,)], "k int")
+    first = spark.createDataFrame([(1, "en"), (2, "xx")], "k int, prediction string")
+    with pytest.raises(Exception, match="neither class: xx"):
+        model.cascade(df, first, "k", "en", "rest", lambda rows: rows.withColumn("prediction", F.lit("de"))).collect()
+
+
+def test_gaps_in_features(spark):
+    rows = [(float(i), None if i % 7 == 0 else float(i % 5), "a" if i < 50 else "b") for i in range(100)]
+    df = spark.createDataFrame(rows, "x double, y double, c string")
+    for kind in ("forest", "logistic"):
+        out = model.predict(model.classifier(["x", "y"], "c", kind, trees=5, depth=3).fit(df), df)
+        assert metrics.accuracy(out, "prediction", "c").first()[0] > 0.9 and set(out.columns) == {"x", "y", "c", "prediction", "confidence"}
+
+
 def test_model_quality_floor(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = docs.select("doc_id", "lang", *model.text_ratios(F.col("text")))
