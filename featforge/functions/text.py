@@ -19,9 +19,13 @@ _NAME_AND_ALIAS = r"([^\(]+)\(([^\)]+)\)"
 _THAI_THEN_LATIN = r"[\u0E00-\u0E7F]+ [a-zA-Z0-9]+"
 
 
+# The characters that Unicode counts as white space, and the four separators U+001C to U+001F.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Trim all Unicode white space, not only blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def strip_line(c: Column) -> Column:

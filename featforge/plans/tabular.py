@@ -56,6 +56,22 @@ def s4_lines(spark, t):
     return readers.line_table(t.documents, "doc_id", "text", drop_last=True)
 
 
+@query("s4_line_files", r"""WITH l AS (SELECT doc_id % 8 AS part, doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS i,
+    unnest(string_split(text, chr(10))) AS line FROM documents),
+s AS (SELECT *, replace(regexp_replace(line, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), chr(160), '') AS word FROM l)
+SELECT part :: INTEGER AS part, (row_number() OVER (PARTITION BY part ORDER BY doc_id, i) - 1) :: BIGINT AS pos,
+  CASE WHEN word = '' THEN '_' ELSE word END AS word FROM s""")
+def s4_line_files(spark, t):
+    """Text files of many documents each, written and read back line by line."""
+    path = scratch_path(spark, "lines")
+    part = (F.col("doc_id") % 8).alias("part")
+    (t.documents.select("doc_id", "text", part).repartition(8, "part").sortWithinPartitions("part", "doc_id")
+     .select("text", "part").write.partitionBy("part").text(path))
+    back = readers.read_lines(spark, f"{path}/*/*.txt", drop_last=True)
+    number = F.split(readers.directory_value(F.col(readers.SOURCE)), "=")[1].cast("int")
+    return back.select(number.alias("part"), "pos", "word")
+
+
 @query("s5_array_files", """SELECT 'v' || vec_id AS id, unnest(range(0, 64)) // 8 AS t,
   (unnest(range(0, 64)) % 8) :: INTEGER AS channel, unnest(embedding) :: DOUBLE AS value FROM embeddings""")
 def s5_arrays(spark, t):

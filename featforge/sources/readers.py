@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import base_name, blank_to_mark, extension, lines, stem, strip_line
 from ..operators.align import exists_flag
+from ..operators.ordered import dense_position
 
 SOURCE = "source_file"
 
@@ -25,8 +26,12 @@ def read_csv(spark: SparkSession, path, schema=None) -> DataFrame:
 
 
 def read_csv_files(spark: SparkSession, path, schema, recursive: bool = False) -> DataFrame:
-    """Many CSV files as one table; the file path of each row is ``source_file``."""
-    return (spark.read.schema(schema).option("header", True)
+    """Many CSV files as one table; the file path of each row is ``source_file``.
+
+    The header of every file must name the columns of the schema in its order; another order is an error, so
+    that no column is read under a wrong name.
+    """
+    return (spark.read.schema(schema).option("header", True).option("enforceSchema", False)
             .option("recursiveFileLookup", recursive).csv(path)
             .withColumn(SOURCE, F.col("_metadata.file_path")))
 
@@ -51,9 +56,24 @@ def line_table(texts: DataFrame, key: str, text: str, drop_last: bool = False,
 
 
 def read_lines(spark: SparkSession, path, drop_last: bool = False) -> DataFrame:
-    """Line files; a file is one row while its lines are numbered."""
-    whole = spark.read.text(path, wholetext=True)
-    return line_table(whole.withColumn(SOURCE, F.col("_metadata.file_path")), SOURCE, "value", drop_last)
+    """Line files to rows (source_file, pos, word), as ``line_table`` gives for whole texts.
+
+    Files are split like any text; lines are put in order by file, by the start of their split and by their
+    place in it, so a file of any size is numbered without being one row or one task. A file that ends with a
+    line feed has an empty last line.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias(SOURCE), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_line"), F.col("_metadata.file_size").alias("_size"), "value")
+    placed = dense_position(rows, [SOURCE], ["_start", "_line"], "pos")
+    files = placed.groupBy(SOURCE).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.octet_length("value") + 1).alias("_bytes"))
+    open_end = F.col("_bytes") > F.col("_size")  # the last line has no line feed
+    if drop_last:
+        placed = placed.join(files, SOURCE).filter(~(open_end & (F.col("pos") == F.col("_n") - 1)))
+    else:
+        ends = placed.join(files, SOURCE).filter(~open_end & (F.col("pos") == F.col("_n") - 1))
+        placed = placed.unionByName(ends.select(SOURCE, "_start", "_line", "_size", F.lit("").alias("value"), (F.col("pos") + 1).alias("pos")))
+    return placed.select(SOURCE, "pos", blank_to_mark(strip_line(F.col("value"))).alias("word"))
 
 
 def decode_arrays(files: DataFrame) -> DataFrame:

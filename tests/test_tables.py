@@ -45,6 +45,10 @@ def test_csv_files(spark, tmp_path):
     got = sorted((r["a"], r["ค่า"], r[readers.SOURCE].rsplit("/", 1)[1]) for r in df.collect())
     assert got == [(1, None, "x.csv"), (2, "b", "x.csv"), (3, "c", "y.csv")]
     assert readers.read_csv(spark, str(tmp_path)).schema["a"].dataType.simpleString() == "int"
+    (tmp_path / "z").mkdir()
+    (tmp_path / "z" / "swapped.csv").write_text("b,a\nx,1\n", encoding="utf-8")
+    with pytest.raises(Exception, match="header"):
+        readers.read_csv_files(spark, str(tmp_path / "z"), "a int, b string").collect()
     assert C.missing_codes_to_null(df, (2,)).filter("a is null").count() == 1
 
 

@@ -84,6 +84,22 @@ def test_read_lines(spark, tmp_path):
     (tmp_path / "t.txt").write_text("one\n\n two  \nlast", encoding="utf-8")
     got = readers.read_lines(spark, str(tmp_path), drop_last=True).orderBy("pos").collect()
     assert [(r["pos"], r["word"]) for r in got] == [(0, "one"), (1, "_"), (2, "two")]
+    (tmp_path / "t.txt").write_text("one\n two\n", encoding="utf-8")
+    for drop_last, want in ((True, ["one", "two"]), (False, ["one", "two", "_"])):
+        assert [r["word"] for r in readers.read_lines(spark, str(tmp_path), drop_last).orderBy("pos").collect()] == want
+
+
+def test_read_lines_of_a_file_larger_than_a_split(spark, tmp_path):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        (tmp_path / "a.txt").write_text("".join(f"line {i}\n" for i in range(5000)), encoding="utf-8")
+        (tmp_path / "b.txt").write_text("x\ny", encoding="utf-8")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+        got = readers.read_lines(spark, str(tmp_path), drop_last=True).orderBy("source_file", "pos").collect()
+        assert [(r["pos"], r["word"]) for r in got] == [(i, f"line {i}") for i in range(5000)] + [(0, "x")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 @pytest.mark.parametrize("n, want", [(49, None), (50, (0, 50)), (51, (1, 51)), (52, (1, 51)), (53, (2, 52)), (55, (3, 53))])
