@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -204,17 +204,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
                       item_text: str = "text") -> DataFrame:
     """The documents that share no passage with the benchmark, with all their columns (see ``overlaps``)."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    inside = docs.columns.index(text)
     for index in index_blocks(benchmark, item, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(index.parts())
+        docs = docs.filter(_clean(docs.sparkSession.sparkContext.broadcast(index.parts()), F.col(text)))
+    return docs
 
-        def clean(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(*shared.value)
-            for batch in batches:
-                texts = batch.column(0).field(inside).cast(pa.binary())
-                hit = {first + t for first, part in _parts(texts) for t, *_ in index.search(part)}
-                yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
 
-        rows = rows.mapInArrow(clean, rows.schema)
-    return rows.select("row.*")
+def _clean(shared, text: Column) -> Column:
+    """True for texts that share no passage with the items of one index."""
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = Index(*shared.value)
+        for texts in batches:
+            hit = {first + t for first, part in _parts(texts.cast(pa.binary())) for t, *_ in index.search(part)}
+            yield pa.array([i not in hit for i in range(len(texts))], pa.bool_())
+
+    return clean(text)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import BLANK
 
@@ -23,7 +22,7 @@ HASHED = 1 << 17
 EPOCHS, BATCH, RATE, RIDGE = 3, 64, 0.3, 1e-4
 UNKNOWN = "und"
 #: Rows (tokens times labels) that one forward-backward pass holds, unless a single text has more.
-HELD = 2_000_000
+HELD = 1_000_000
 
 
 def _codes(rows: np.ndarray, places: slice | list[int], kind: int) -> np.ndarray:
@@ -186,10 +185,7 @@ def training_sample(docs: DataFrame, allowed: Column, key: str, text: str, label
     return out
 
 
-SCHEMA_TAIL = [
-    T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
-    T.StructField("runs", T.ArrayType(T.StructType([
-        T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())])))]
+RUNS = "array<struct<start:int,end:int,lang:string>>"
 
 
 class Tagger:
@@ -244,9 +240,42 @@ class Tagger:
         return out
 
 
+def _labelled(texts: pa.Array, tagger: Tagger | None) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+    """(language, score, runs) per text. The longest texts come first, and only some are split at a time."""
+    out: list = [(UNKNOWN, 0.0, [])] * len(texts)
+    if tagger is None:
+        return out
+    texts = texts.cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    part, words, held = [], [], 0
+    for i in [*np.argsort(-sizes, kind="stable").tolist(), None]:
+        mine = texts[i].as_py().lower().split() if i is not None and sizes[i] else []
+        if part and (i is None or held + len(mine) > HELD // len(tagger.chain.labels)):
+            for j, found in zip(part, tagger.label(words)):
+                out[j] = found
+            part, words, held = [], [], 0
+        if mine:
+            part.append(i)
+            words.append(mine)
+            held += len(mine)
+    return out
+
+
+def _fitted(docs: DataFrame, key: str, text: str, label: str, allowed: Column | None, per_label: int, window: int):
+    """The fitted field as plain values, sent to the executors."""
+    sample = training_sample(docs, F.lit(True) if allowed is None else allowed, key, text, label, per_label, window)
+    fitted = fit_chain(sample) if sample else None
+    return docs.sparkSession.sparkContext.broadcast(
+        fitted and (fitted.labels, fitted.weights, fitted.transitions, fitted.lexicon))
+
+
+def _tagger(chain) -> Tagger | None:
+    return Tagger(Chain(*chain.value)) if chain.value else None
+
+
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang",
              allowed: Column | None = None, per_label: int = PER_LABEL, window: int = WINDOW) -> DataFrame:
-    """One row per document with all its columns packed in ``row``: (row, lang_pred, score, runs).
+    """One row per document: (key, lang_pred, score, runs).
 
     The field is fitted on a bounded sample of the labelled rows that ``allowed`` admits; every word of every
     whole text is then labelled by forward-backward. ``lang_pred`` has the largest posterior, averaged over words
@@ -254,54 +283,31 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: st
     texts without a letter are ``und`` with score 0; without labelled rows all are. Labels of rows, their keys
     and further columns never enter a prediction.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return _identify(docs, docs.select(whole.alias("row")), docs.columns.index(text), key, text, label, allowed, per_label, window)
-
+    chain = _fitted(docs, key, text, label, allowed, per_label, window)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
-def identify_keys(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang",
-                  allowed: Column | None = None, per_label: int = PER_LABEL, window: int = WINDOW) -> DataFrame:
-    """The same as ``identify`` with the key alone as ``row``."""
-    return _identify(docs, docs.select(F.col(key).alias("row"), F.col(text).alias("t")), None, key, text, label, allowed, per_label, window)
+    @F.arrow_udf(f"lang string, score double, runs {RUNS}")
+    def tag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tagger = _tagger(chain)
+        for texts in batches:
+            out = _labelled(texts, tagger)
+            runs = pa.array([[dict(zip(("start", "end", "lang"), r)) for r in o[2]] for o in out], kind)
+            yield pa.StructArray.from_arrays(
+                [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), runs], ["lang", "score", "runs"])
 
-
-def _identify(docs, rows, inside, key, text, label, allowed, per_label, window) -> DataFrame:
-    """rows: (row, t), or (row) with the text as field number ``inside`` of it."""
-    sample = training_sample(docs, F.lit(True) if allowed is None else allowed, key, text, label, per_label, window)
-    schema = T.StructType([rows.schema["row"], *SCHEMA_TAIL])
-    fitted = fit_chain(sample) if sample else None
-    chain = docs.sparkSession.sparkContext.broadcast(
-        fitted and (fitted.labels, fitted.weights, fitted.transitions, fitted.lexicon))
-
-    def tag(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(Chain(*chain.value)) if chain.value else None
-        for batch in batches:
-            texts = (batch.column(1) if inside is None else batch.column(0).field(inside)).cast(pa.binary())
-            out: list = [(UNKNOWN, 0.0, [])] * len(texts)
-            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(False)
-            part: list[int] = []
-            words: list[list[bytes]] = []
-            held = 0
-            for i in [*np.argsort(-sizes, kind="stable").tolist(), None] if tagger else []:
-                mine = texts[i].as_py().lower().split() if i is not None and sizes[i] else []
-                if part and (i is None or held + len(mine) > HELD // len(tagger.chain.labels)):
-                    for j, found in zip(part, tagger.label(words)):
-                        out[j] = found
-                    part, words, held = [], [], 0
-                if mine:
-                    held += len(mine)
-                    part.append(i)
-                    words.append(mine)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.float64()),
-                 pa.array([[dict(zip(("start", "end", "lang"), r)) for r in o[2]] for o in out],
-                          pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))],
-                schema.names)
-
-    return rows.mapInArrow(tag, schema)
+    found = docs.select(F.col(key), tag(F.col(text)).alias("_found"))
+    return found.select(key, F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"), F.col("_found.runs").alias("runs"))
 
 
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang",
-                    least: float = 0.5, **bounds) -> DataFrame:
+                    least: float = 0.5, allowed: Column | None = None, per_label: int = PER_LABEL, window: int = WINDOW) -> DataFrame:
     """The documents whose language is known with at least the given mean posterior, with all their columns."""
-    found = identify(docs, key, text, label, **bounds)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    chain = _fitted(docs, key, text, label, allowed, per_label, window)
+
+    @F.arrow_udf("boolean")
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tagger = _tagger(chain)
+        for texts in batches:
+            yield pa.array([lang != UNKNOWN and score >= least for lang, score, _ in _labelled(texts, tagger)], pa.bool_())
+
+    return docs.filter(known(F.col(text)))

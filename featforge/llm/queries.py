@@ -109,7 +109,7 @@ def _op1(spark, folder):
 @_query("op2_language_id")
 def _op2(spark, folder):
     held_out = fold("doc_id", 5) == 0
-    found = language.identify_keys(_table(spark, folder, "documents"), allowed=~held_out).withColumnRenamed("row", "doc_id")
+    found = language.identify(_table(spark, folder, "documents"), allowed=~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("runs").alias("n_runs"))
 
 
