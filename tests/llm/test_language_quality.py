@@ -50,7 +50,7 @@ def test_languages_of_held_out_texts_and_of_mixed_ones(docs_of):
     rows += [(1000, mixed, None), (1001, None, "en"), (1002, "", "en"), (1003, "123 -- !!", "en"), (1004, "12 " + prose(rng, "fr", 9), None),
              (1005, prose(rng, "en", 30000), None)]
     held = fold("doc_id", 5) == 0
-    got = {r["row"]: r for r in L.identify_keys(docs_of(rows), allowed=~held, per_label=40).collect()}
+    got = {r["doc_id"]: r for r in L.identify(docs_of(rows), allowed=~held, per_label=40).collect()}
     assert len(got) == len(rows)
     assert all(got[i]["lang_pred"] == lang for i, _, lang in rows[:240])
     assert [got[i]["lang_pred"] for i in (1001, 1002, 1003)] == ["und"] * 3
@@ -64,10 +64,10 @@ def test_languages_of_held_out_texts_and_of_mixed_ones(docs_of):
 def test_labels_of_the_scored_rows_do_not_matter(docs_of):
     rows = labelled(random.Random(6), 100)
     held = fold("doc_id", 5) == 0
-    one = {r["row"]: r["score"] for r in L.identify_keys(docs_of(rows), allowed=~held).collect()}
+    one = {r["doc_id"]: r["score"] for r in L.identify(docs_of(rows), allowed=~held).collect()}
     crc = {r["doc_id"] for r in docs_of(rows).filter(held).collect()}
     other = [(i, t, "xx" if i in crc else lang, "other") for i, t, lang in rows]
-    assert one == {r["row"]: r["score"] for r in L.identify_keys(docs_of(other), allowed=~held).collect()}
+    assert one == {r["doc_id"]: r["score"] for r in L.identify(docs_of(other), allowed=~held).collect()}
 
 
 def test_language_filter(docs_of, clashing):
