@@ -4,18 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import portable_hash, unit_interval
 from ..session import stored
 from .align import union_rows
 from .ordered import dense_position
-from .sequence import positioned
 
 TILE_ROWS = 1024
 # Tile summaries come to the driver; more rows make larger tiles, never more of them.
-MAX_TILES = 1 << 17
 DISTANCE_DIGITS = 9
 
 
@@ -48,19 +46,19 @@ def class_neighbours(df: DataFrame, key: str, label: str, vector: str, wanted: C
     base = df.select(F.col(key).alias("_k"), F.col(label).alias("_l"),
                      F.col(vector).cast("array<double>").alias("_v"), wanted.alias("_w"))
 
-    n_total = base.count()
-    size = max(tile_rows, -(-n_total // MAX_TILES))
     dims = base.select("_l", F.posexplode("_v").alias("_i", "_x"))
     centre = (dims.groupBy("_l", "_i").agg(F.avg("_x").alias("_m"))
               .groupBy("_l").agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_c"))
-              .select("_l", F.col("_c._m").alias("_c")))
-    counts = base.groupBy("_l").agg(F.count(F.lit(1)).alias("_n"))
+              .select(F.col("_l").alias("_cl"), F.col("_c._m").alias("_c")))
+    counts = base.groupBy(F.col("_l").alias("_nl")).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per class; read back, its size is known when the next join is planned.
+    classes = stored(counts.join(centre, F.col("_nl").eqNullSafe(F.col("_cl"))).drop("_cl"), "classes")
     sq = F.aggregate(F.zip_with("_v", "_c", lambda x, m: (x - m) * (x - m)), F.lit(0.0),
                      lambda s, v: s + v)
-    rings = (base.join(centre, "_l").join(counts, "_l")
+    rings = (base.join(classes, F.col("_l").eqNullSafe(F.col("_nl"))).drop("_nl")
              .withColumn("_r", F.round(F.sqrt(sq), DISTANCE_DIGITS)).drop("_c"))
     placed = dense_position(rings, ["_l"], ["_r", "_k"], "_pos")
-    n_tiles = F.ceil(F.col("_n") / size)
+    n_tiles = F.ceil(F.col("_n") / tile_rows)
     tiled = placed.withColumn("_t", F.floor(F.col("_pos") * n_tiles / F.col("_n"))).drop("_pos", "_n")
     # Everything below reads the tiles several times.
     tiled = stored(tiled, "tiles")
@@ -81,27 +79,19 @@ def class_neighbours(df: DataFrame, key: str, label: str, vector: str, wanted: C
             out["need_hi"] = [(mine["_r"].to_numpy() + kth).max()]
         return pd.DataFrame(out)
 
-    summary = tiled.groupBy("_l", "_t").applyInPandas(
-        reach, f"_l {ltype}, _t long, lo double, hi double, need_lo double, need_hi double"
-    ).toPandas()  # at most MAX_TILES rows plus one per class
-    summary = summary.sort_values(["_l", "_t"])
-    ranges = []
-    for lab, part in summary.groupby("_l", sort=False):
-        los, his = part["lo"].to_numpy(), part["hi"].to_numpy()
-        for t, nlo, nhi in zip(part["_t"], part["need_lo"], part["need_hi"]):
-            if not np.isnan(nlo):
-                first = int(np.searchsorted(his, nlo, side="left"))
-                last = int(np.searchsorted(los, nhi, side="right")) - 1
-                ranges.append((lab, int(t), first, last))
-    spark = df.sparkSession
-    pairs = (spark.createDataFrame(pd.DataFrame(ranges, columns=["_l", "_a", "_f", "_z"]),
-                                   f"_l {ltype}, _a long, _f long, _z long")
-             if ranges else spark.createDataFrame([], f"_l {ltype}, _a long, _f long, _z long"))
-    pairs = pairs.select("_l", "_a", F.explode(F.sequence("_f", "_z")).alias("_b"))
-
-    left = tiled.filter("_w").withColumnRenamed("_t", "_a").join(pairs, ["_l", "_a"])
-    right = (tiled.drop("_w", "_r").select(F.col("_l").alias("_rl"), F.col("_t").alias("_rb"), "_k", "_v")
-             .join(pairs.toDF("_rl", "_ra", "_rb"), ["_rl", "_rb"])
+    summary = stored(tiled.groupBy("_l", "_t").applyInPandas(
+        reach, f"_l {ltype}, _t long, lo double, hi double, need_lo double, need_hi double"), "reach")
+    a, b = summary.alias("a"), summary.alias("b")
+    touches = (F.col("b.hi") >= F.col("a.need_lo")) & (F.col("b.lo") <= F.col("a.need_hi"))
+    pairs = stored(a.filter("NOT isnan(need_lo)").join(b, F.col("a._l").eqNullSafe(F.col("b._l")) & touches).select(
+        F.col("a._l").alias("_l"), F.col("a._t").alias("_a"), F.col("b._t").alias("_b")), "tile_pairs")
+
+    mine = pairs.toDF("_pl", "_pa", "_b")
+    left = (tiled.filter("_w").select("_l", F.col("_t").alias("_a"), "_k", "_v")
+            .join(mine, F.col("_l").eqNullSafe(F.col("_pl")) & (F.col("_a") == F.col("_pa"))).drop("_pl", "_pa"))
+    other = pairs.toDF("_pl", "_ra", "_pb")
+    right = (tiled.select(F.col("_l").alias("_rl"), F.col("_t").alias("_rb"), "_k", "_v")
+             .join(other, F.col("_rl").eqNullSafe(F.col("_pl")) & (F.col("_rb") == F.col("_pb"))).drop("_pl", "_pb")
              .toDF("_rl", "_rb", "_k", "_v", "_ra"))
 
     def nearest(mine: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
@@ -119,10 +109,10 @@ def class_neighbours(df: DataFrame, key: str, label: str, vector: str, wanted: C
 
     found = left.groupBy("_l", "_a", "_b").cogroup(right.groupBy("_rl", "_ra", "_rb")).applyInPandas(
         nearest, f"_k {ktype}, neighbour {ktype}, distance double")
-    best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k)
-    return (found.groupBy("_k").agg(best.alias("_b"))
-            .transform(positioned, [F.col("_k").alias(key)], "_b", "_p", "_e")
-            .select(key, (F.col("_p") + 1).alias("rank"), "_e.neighbour", "_e.distance"))
+    # The rank limit is applied before rows are shuffled to their key, too.
+    rank = F.row_number().over(Window.partitionBy("_k").orderBy("distance", "neighbour"))
+    return (found.withColumn("rank", rank).filter(F.col("rank") <= k)
+            .select(F.col("_k").alias(key), "rank", "neighbour", "distance"))
 
 
 def synthetic_rows(df: DataFrame, key: str, label: str, vector: str, k: int = 5, seed: int = 42,
@@ -137,7 +127,8 @@ def synthetic_rows(df: DataFrame, key: str, label: str, vector: str, k: int = 5,
     largest = counts.agg(F.max("_n")).first()[0] or 0
     need = F.lit(largest) - F.col("_n")
     sized = dense_position(df.select(key, label, vector), [label], [key], "_pos")
-    sized = sized.join(counts, label).withColumn("_need", need)
+    counts = stored(counts.withColumnRenamed(label, "_cl"), "class_counts")  # one row per class
+    sized = sized.join(counts, F.col(label).eqNullSafe(F.col("_cl"))).drop("_cl").withColumn("_need", need)
     known = class_neighbours(sized, key, label, vector, F.col("_pos") < F.col("_need"), k,
                              tile_rows)
     choices = known.groupBy(key).agg(

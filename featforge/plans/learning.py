@@ -222,8 +222,10 @@ def held_out_score(pipe, train):
 @query("m1_classifier", f"SELECT d.doc_id, true AS known, true AS good {SQL_UNLABELLED}")
 def m1_classifier(spark, t):
     train, rest = labelled(t)
-    score = held_out_score(forest("quality"), train)
-    return judged(model.predict(forest("quality").fit(train), rest), "doc_id", ("0", "1"), score, 0.75)
+    part, held_out = split.hash_split(train, "doc_id")
+    fitted = forest("quality").fit(part)
+    score = right(model.predict(fitted, held_out.drop("quality")).join(held_out.select("doc_id", "quality"), "doc_id"), "quality")
+    return judged(model.predict(fitted, rest), "doc_id", ("0", "1"), score, 0.75)
 
 
 @query("m1_language_classifier", f"SELECT doc_id, true AS known, true AS good FROM documents WHERE {SQL_TEST}")
