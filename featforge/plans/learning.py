@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import align, balance, metrics, model, search, split
 from ..session import scratch_path, stored
+from ..sources import readers, writers
 from ..sources.readers import spread, table_of
 from ..streaming import segments as stream
 from .registry import query
@@ -335,6 +336,24 @@ def m8_cascade(spark, t):
     return judged(out, "doc_id", LANGUAGES, right(out, "lang"), 0.9)
 
 
+@query("chain_balanced_cascade", f"SELECT doc_id, true AS known, true AS good FROM documents WHERE {SQL_TEST}")
+def chain_cascade(spark, t):
+    """Ratio features -> balanced classes -> two-stage cascade -> file sorted by key, read back."""
+    d = with_ratios(t)
+    train, test = split.hash_split(d, "doc_id")
+    even = stored(balance.oversample(train.withColumn("_v", F.array(*FEATURES)), "doc_id", "lang", "_v"), "balanced")
+    even = even.select("lang", *[F.col("_v")[i].alias(f) for i, f in enumerate(FEATURES)])
+    first_table, rest = balance.two_stage_tables(even, "lang", "en", "NON_en")
+    first = model.predict(forest("lang").fit(first_table), test.drop("lang"))
+    second = forest("lang").fit(rest)
+    out = model.cascade(test.drop("lang"), first.select("doc_id", "prediction"), "doc_id", "en", "NON_en",
+                        lambda rows: model.predict(second, rows))
+    path = scratch_path(spark, "answers")
+    writers.write_sorted(out, path, "doc_id")
+    back = readers.read_csv_files(spark, path, "doc_id long, prediction string").drop(readers.SOURCE)
+    return judged(back, "doc_id", LANGUAGES, right(back.join(test.select("doc_id", "lang"), "doc_id"), "lang"), 0.8)
+
+
 @query("m8_cascade_wiring", """SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN 'en' WHEN n_chars % 3 = 0 THEN 'de' ELSE 'fr' END AS prediction FROM documents""")
 def m8_wiring(spark, t):
     """The cascade with plain rules as its two models."""

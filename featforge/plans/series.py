@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import spectra as S
 from ..functions.columns import decibel, no_nan, rounded
 from ..operators import align, clean, profile, sequence, signal
+from ..session import scratch_path
+from ..sources import readers
 from .registry import query
 
 USER, ORDER, SIZE = ["user_id"], ["ts", "event_id"], 32
@@ -123,6 +125,26 @@ def g2_feature_tables(spark, t):
     return train.unionByName(test)
 
 
+@query("chain_sensor_files", f"""WITH g AS ({SQL_FEATURES}),
+c(label, code) AS (VALUES ('click', 0), ('error', 1), ('purchase', 2), ('signup', 3), ('view', 4))
+SELECT user_id || '-' || seg AS id, code :: VARCHAR AS class, value_mean, value_fourier_mean FROM g JOIN c USING (label)
+UNION ALL SELECT 'none-0', '', NULL, NULL""")
+def chain_sensor_files(spark, t):
+    """Sensor files -> segments -> features -> class table -> answers in the rows of a template."""
+    path = scratch_path(spark, "sensor")
+    (t.events.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "user_id", "event_type", "value")
+     .repartition(4, "user_id").write.option("header", True).csv(path))
+    rows = readers.read_csv_files(spark, path, "event_id long, ts long, user_id long, event_type string, value double")
+    segs = sequence.segment_rows(rows, USER, ORDER, SIZE)
+    f = signal.segment_features(segs, ["user_id", "seg"], "t", ["value"], "event_type")
+    codes = readers.table_of(spark, list(zip(("click", "error", "purchase", "signup", "view"), range(5))), "label string, code int")
+    named = align.lookup_strict(f.withColumn("code", F.col("label")), codes.withColumnRenamed("code", "class").withColumnRenamed("label", "code"), "code", "class")
+    answers = named.select(F.concat_ws("-", "user_id", "seg").alias("id"), F.col("class").cast("string").alias("class"),
+                           rounded(F.col("value_mean"), 4).alias("value_mean"), rounded(F.col("value_fourier_mean"), 4).alias("value_fourier_mean"))
+    template = align.union_rows(answers.select("id"), readers.table_of(spark, [("none-0",)], "id string"))
+    return align.fill_template(template, answers, "id")
+
+
 @query("g3_spectrum", f"""WITH {SQL_SEG}, {SQL_DFT}
 SELECT user_id, seg, k :: INTEGER AS k, round(k * 64.0 / n, 4) AS freq,
   round(sqrt(re * re + im * im) + 1e-9, 4) + 0.0 AS mag, round(abs(re) + 1e-9, 4) + 0.0 AS abs_real,

@@ -446,3 +446,18 @@ names AS (SELECT doc_id, list_transform(e, lambda e: {sql_case('e')}) AS e FROM
 def x_clean(spark, t):
     cleaned = authors(t).select("doc_id", X.clean_names(F.col("c")).alias("names"))
     return sequence.ordinals(cleaned, "doc_id", "names")
+
+
+@query("chain_author_names", f"""WITH {SQL_CLEAN},
+n AS (SELECT doc_id || '_' || unnest(range(1, len(e) + 1)) AS id, unnest(e) AS name FROM names),
+a AS (SELECT * FROM n UNION ALL SELECT doc_id || '_0', '' FROM raw)
+SELECT id, {sql_literals('name')} AS name, {sql_literals('name')} IS DISTINCT FROM name AS changed FROM a""")
+def chain_author_names(spark, t):
+    """Author texts -> names -> rows of a template -> second rule pass -> difference to the first."""
+    raw = authors(t)
+    names = sequence.ordinals(raw.select("doc_id", X.clean_names(F.col("c")).alias("names")), "doc_id", "names")
+    asked = raw.select(F.concat_ws("_", F.col("doc_id").cast("string"), F.lit("0")).alias("id"))
+    first = align.fill_template(align.union_rows(names.select("id"), asked), names, "id")
+    second = first.select("id", X.apply_literals(F.col("name")).alias("name"))
+    changed = align.changed_rows(first, second, "id", "name").select("id")
+    return align.exists_flag(second, changed, "id", "changed").withColumn("changed", F.col("changed") == 1)
