@@ -24,8 +24,8 @@ BANDS, ROWS = 32, 5
 SKETCH_BITS, LEAST_ESTIMATE = 512, 0.6
 #: Largest number of key pairs (24 bytes each) that travels to every executor instead of shuffling texts.
 SMALL_TABLE = 1_000_000
-#: A bucket that is compared in full is cut into parts of about so many rows, compared two by two.
-PART = 512
+#: A bucket that is compared in full is cut into parts of about so many rows and shingles, compared two by two.
+PART_ROWS, PART_SHINGLES = 2048, 2_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
@@ -163,20 +163,21 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int
     return both.filter(shared * 100 >= union * percent).select("a", "b")
 
 
-def _open_rows(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """Rows (bucket, i, j, own, node, c) of buckets that hold more than two rows and more than one component.
+def _open_rows(members: DataFrame, linked: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (bucket, i, j, own, node, c, n, sketch) of buckets with more than two rows and more than one component.
 
-    A bucket of many rows is cut into parts by a hash; parts i and j of it meet in one group of bounded size.
-    Rows that were leaders have met all others of their bucket already.
+    A bucket with many rows or large sets is cut into parts by a hash; parts i and j of it meet in one group of
+    bounded size. Rows that were leaders have met all others of their bucket already.
     """
-    placed = members.join(linked, F.col("node") == F.col("id"), "left").withColumn("c", F.coalesce("component", "node"))
-    open_ = (placed.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("c").alias("c1"), F.max("c").alias("c2"))
-             .filter((F.col("rows") > 2) & (F.col("c1") != F.col("c2")))
-             .select("bucket", F.ceil(F.col("rows") / PART).cast("int").alias("parts")))
+    placed = (members.join(linked, F.col("node") == F.col("id"), "left").withColumn("c", F.coalesce("component", "node"))
+              .join(classes.select("node", "n", "sketch"), "node"))
+    parts = F.ceil(F.greatest(F.col("rows") / PART_ROWS, F.col("total") / PART_SHINGLES)).cast("int")
+    open_ = (placed.groupBy("bucket").agg(F.count("*").alias("rows"), F.sum("n").alias("total"), F.min("c").alias("c1"), F.max("c").alias("c2"))
+             .filter((F.col("rows") > 2) & (F.col("c1") != F.col("c2"))).select("bucket", parts.alias("parts")))
     return (placed.filter("node <> leader").join(open_, "bucket")
             .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c"))
+            .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c", "n", "sketch"))
 
 
 def _possible(group: pd.DataFrame, label: np.ndarray, sketch: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -204,7 +205,7 @@ def _second_pass(members: DataFrame, linked: DataFrame, docs: DataFrame, key: st
     leaves a task are links that join two components, never more than it has rows.
     """
     slots = ["bucket", "i", "j"]
-    rows = _open_rows(members, linked).join(classes.select("node", "n", "sketch"), "node")
+    rows = _open_rows(members, linked, classes)
 
     def sift(group: pd.DataFrame) -> pd.DataFrame:
         hit = np.zeros(len(group), bool)
