@@ -65,7 +65,7 @@ def test_second_pass_finds_what_leaders_miss(spark, docs_of, monkeypatch):
     """All texts in one bucket under one leader that is linked with none: every link is left to the second pass."""
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(near, "PART", 8)
+    monkeypatch.setattr(near, "PART_ROWS", 8)
     rows = [r for r in corpus(9) if r[1] and len(r[1].split()) > 100]
     docs = docs_of(rows)
     signed = near.signatures(docs, "doc_id", "text", 2).dropDuplicates(["node"])
