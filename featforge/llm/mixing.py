@@ -48,7 +48,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
          .withColumn("w_left", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(earlier), F.lit(0.0)))
          .withColumn("level", F.col("left") / F.col("w_left"))
          .withColumn("capped", F.col("cap") <= F.col("w") * F.col("level")))
-    open_level = F.min(F.when(~F.col("capped"), F.struct(F.col("cap") / F.col("w"), "level"))).over(everything)["level"]
+    # Up to the first source that is not capped the level rises, after it it falls.
+    open_level = F.max(F.when(~F.col("capped"), F.col("level"))).over(everything)
     return t.select("source", F.row_number().over(order).alias("sid"), "source_size",
                     F.when(F.col("capped"), F.col("cap")).otherwise(F.col("w") * open_level).alias("target"))
 

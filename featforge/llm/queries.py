@@ -64,7 +64,7 @@ def _op5(spark, folder):
     t AS (
         SELECT source, source_size,
                CASE WHEN cap <= w * level THEN cap
-                    ELSE w * arg_min(level, cap / w) FILTER (WHERE cap > w * level) OVER () END AS target
+                    ELSE w * max(level) FILTER (WHERE cap > w * level) OVER () END AS target
         FROM l),
     e AS (
         SELECT d.*, source_size, target, least(2.0::DOUBLE, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS expected
