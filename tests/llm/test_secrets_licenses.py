@@ -55,7 +55,7 @@ def test_entropy_of_windows_against_counting_anew(spark):
 def test_random_strings_are_found_and_the_allow_list_is_not(docs_of):
     rows = [
         (1, "key kJ8sL2mQ9zX4vB7nR1tY6wPq0 end"), (2, "id 123e4567-e89b-12d3-a456-426614174000 end"),
-        (3, "see 0123456789abcdefghijklmnop"), (4, "number 12345678901234567890123456"), (5, "example-kJ8sL2mQ9zX4vB7nR1tY6w"),
+        (3, "see 0123456789abcdefghijklmnop"), (4, "number 1234567890123456789012"), (5, "example-kJ8sL2mQ9zX4vB7nR1tY6w"),
         (6, "thetionofatandthereisaword1 plain"), (7, "token=kJ8sL2mQ9zX4vB7nR1tY6wPq0"), (8, "A1" * 40)]
     got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.find_secrets(docs_of(rows)).collect()}
     assert got == {1: ["entropy"], 2: [], 3: [], 4: [], 5: [], 6: [], 7: ["assign"], 8: []}
