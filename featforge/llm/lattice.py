@@ -23,7 +23,7 @@ LONGEST_PIECE = 16
 LONG_WORD = 256
 #: Words that make up at least one in so many tokens, so never more than that, and have at most so many bytes,
 #: travel to every task; all others are joined.
-FREQUENT, FREQUENT_BYTES = 1 << 18, 48
+FREQUENT, FREQUENT_BYTES = 1 << 20, 48
 #: Weight (in pieces) of the vocabulary's own scores beside what the training texts count.
 PRIOR = 1000.0
 #: Distinct words that a task of the training step takes.
