@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DOUBLES = T.ArrayType(T.DoubleType())
+MATRIX = T.ArrayType(DOUBLES)
 
 
 def _usable(a) -> bool:
@@ -39,6 +40,28 @@ def _apply(series: pd.Series, fn: Callable[[np.ndarray], list]) -> pd.Series:
     return pd.Series(out, dtype="object")
 
 
+def _apply_channels(series: pd.Series, fn: Callable[[np.ndarray], list]) -> pd.Series:
+    """The same for (time, channel) arrays: ``fn`` sees one row per channel; the result is transposed back."""
+    out: list = [None] * len(series)
+    for i, a in enumerate(series):
+        if not _usable(a) or any(row is None or len(row) != len(a[0]) or not len(row) for row in a):
+            continue
+        matrix = np.array([np.asarray(row, dtype="float64") for row in a]).T
+        if not np.isnan(matrix).any():
+            results = fn(matrix)
+            if all(r is not None for r in results):
+                out[i] = np.stack(results, axis=1).tolist()
+    return pd.Series(out, dtype="object")
+
+
+def _each(series: Column, fn: Callable[[np.ndarray], list], channels: bool) -> Column:
+    @F.pandas_udf(MATRIX if channels else DOUBLES)
+    def run(s: pd.Series) -> pd.Series:
+        return _apply_channels(s, fn) if channels else _apply(s, fn)
+
+    return run(series)
+
+
 def hann(n: int) -> np.ndarray:
     """Periodic Hann window."""
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
@@ -120,52 +143,69 @@ def windowed_magnitude(frame: Column) -> Column:
     return run(frame)
 
 
-def autocorrelation(series: Column) -> Column:
-    """Circular autocorrelation: inverse transform of the squared magnitudes."""
-    @F.pandas_udf(DOUBLES)
-    def run(s: pd.Series) -> pd.Series:
-        return _apply(s, lambda m: list(np.fft.irfft(
-            np.abs(np.fft.rfft(m, axis=1)) ** 2, n=m.shape[1], axis=1)))
+def autocorrelation(series: Column, channels: bool = False) -> Column:
+    """Circular autocorrelation: inverse transform of the squared magnitudes.
 
-    return run(series)
+    With ``channels`` an array holds (time, channel) and every channel is transformed, here and below.
+    """
+    return _each(series, lambda m: list(np.fft.irfft(
+        np.abs(np.fft.rfft(m, axis=1)) ** 2, n=m.shape[1], axis=1)), channels)
 
 
-def band_pass(series: Column, low: float, high: float, fs: float, order: int = 5) -> Column:
+def band_pass(series: Column, low: float, high: float, fs: float, order: int = 5, channels: bool = False) -> Column:
     """Zero-phase Butterworth band-pass in the frequency domain.
 
     Bins are multiplied with the squared gain of the digital filter (bilinear
     form), which is what a forward and backward run gives away from the edges.
     """
-    @F.pandas_udf(DOUBLES)
-    def run(s: pd.Series) -> pd.Series:
-        w1, w2 = np.tan(np.pi * low / fs), np.tan(np.pi * high / fs)
+    w1, w2 = np.tan(np.pi * low / fs), np.tan(np.pi * high / fs)
 
-        def filtered(m: np.ndarray) -> list:
-            n = m.shape[1]
-            warped = np.tan(np.pi * np.minimum(np.arange(n // 2 + 1) / n, 0.5 - 1e-12))
-            with np.errstate(divide="ignore"):
-                x = (warped ** 2 - w1 * w2) / ((w2 - w1) * warped)
-                gain = 1.0 / (1.0 + x ** (2 * order))
-            return list(np.fft.irfft(np.fft.rfft(m, axis=1) * gain, n=n, axis=1))
-        return _apply(s, filtered)
+    def filtered(m: np.ndarray) -> list:
+        n = m.shape[1]
+        warped = np.tan(np.pi * np.minimum(np.arange(n // 2 + 1) / n, 0.5 - 1e-12))
+        with np.errstate(divide="ignore"):
+            x = (warped ** 2 - w1 * w2) / ((w2 - w1) * warped)
+            gain = 1.0 / (1.0 + x ** (2 * order))
+        return list(np.fft.irfft(np.fft.rfft(m, axis=1) * gain, n=n, axis=1))
 
-    return run(series)
+    return _each(series, filtered, channels)
 
 
-def resample_half(series: Column) -> Column:
+def resample_half(series: Column, channels: bool = False) -> Column:
     """Fourier resampling to N // 2 points."""
-    @F.pandas_udf(DOUBLES)
+    def half(m: np.ndarray) -> list:
+        n = m.shape[1]
+        num = n // 2
+        if num == 0:
+            return [None] * len(m)
+        spectrum = np.fft.rfft(m, axis=1)[:, :num // 2 + 1].copy()
+        if num % 2 == 0:
+            spectrum[:, num // 2] *= 2
+        return list(np.fft.irfft(spectrum, n=num, axis=1) * num / n)
+
+    return _each(series, half, channels)
+
+
+def short_time_magnitude(series: Column, size: int, channels: bool = False) -> Column:
+    """Short-time Fourier magnitudes of whole arrays as (frame, bin), with ``channels`` as (frame, bin, channel).
+
+    Hann frames that overlap by ``size // 2``, zeros beyond both ends, scaled by the window sum.
+    """
+    hop, half = size - size // 2, size // 2
+
+    def frames(m: np.ndarray) -> np.ndarray:
+        count = (m.shape[1] - 1 + half) // hop + 1
+        padded = np.zeros((len(m), (count - 1) * hop + size))
+        padded[:, half:half + m.shape[1]] = m
+        cut = np.stack([padded[:, f * hop:f * hop + size] for f in range(count)], axis=1)
+        return np.abs(np.fft.rfft(cut * hann(size), axis=2)) / hann(size).sum()
+
+    @F.pandas_udf(T.ArrayType(MATRIX) if channels else MATRIX)
     def run(s: pd.Series) -> pd.Series:
-        def half(m: np.ndarray) -> list:
-            n = m.shape[1]
-            num = n // 2
-            if num == 0:
-                return [None] * len(m)
-            spectrum = np.fft.rfft(m, axis=1)[:, :num // 2 + 1].copy()
-            if num % 2 == 0:
-                spectrum[:, num // 2] *= 2
-            return list(np.fft.irfft(spectrum, n=num, axis=1) * num / n)
-        return _apply(s, half)
+        if not channels:
+            return _apply(s, lambda m: [x.tolist() for x in frames(m)])
+        return _apply_channels(s, lambda m: list(frames(m))).map(
+            lambda x: None if x is None else np.moveaxis(np.array(x), 1, 2).tolist())
 
     return run(series)
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import spectra as S
 from ..functions.columns import decibel
@@ -110,23 +111,26 @@ STEPS = ("clip", "band", "down")
 
 
 def preprocess_chunks(df: DataFrame, array: str, length: int, low: float, high: float, fs: float,
-                      order: int = 5, steps: Sequence[str] = STEPS) -> DataFrame:
-    """Clip, band-pass and halve every chunk, in the order of ``steps``.
+                      order: int = 5, steps: Sequence[str] = STEPS, frame: int = 256) -> DataFrame:
+    """Clip, band-pass and halve every chunk, in the order of ``steps``; further steps are ``autocorrelate`` and,
+    as the last one, ``stft`` with frames of ``frame`` values.
 
-    One projection: nothing is shuffled. ``fs`` is the rate of the input; the
-    filter that runs after halving sees half of it. A chunk shorter than ``length``
-    gives NULL.
+    A chunk is an array of values or of (time, channel). One projection: nothing is shuffled. ``fs`` is the rate
+    of the input; the filter that runs after halving sees half of it. A chunk shorter than ``length`` gives NULL.
     """
-    rate, c = fs, F.col(array).cast(S.DOUBLES)
+    channels = isinstance(df.schema[array].dataType.elementType, T.ArrayType)
+    rate, c = fs, F.col(array).cast(S.MATRIX if channels else S.DOUBLES)
     for step in steps:
         if step == "clip":
             c = clip(c, length)
         elif step == "band":
-            c = S.band_pass(c, low, high, rate, order)
+            c = S.band_pass(c, low, high, rate, order, channels)
         elif step == "down":
-            c, rate = S.resample_half(c), rate / 2
+            c, rate = S.resample_half(c, channels), rate / 2
         elif step == "autocorrelate":
-            c = S.autocorrelation(c)
+            c = S.autocorrelation(c, channels)
+        elif step == "stft" and step is steps[-1]:
+            c = S.short_time_magnitude(c, frame, channels)
         else:
             raise ValueError(f"unknown step: {step}")
     return df.withColumn(array, c)

@@ -484,3 +484,27 @@ def n7_transpose(spark, t):
     c = t.embeddings.select("vec_id", F.posexplode(sequence.transpose(steps)).alias("channel", "c"))
     return c.select("vec_id", "channel", F.posexplode("c").alias("t", "value")).withColumn(
         "value", rounded(F.col("value").cast("double")))
+
+
+@query("g12_chunk_channels", """WITH x AS (SELECT vec_id, i // 4 AS t, i % 4 AS channel, v FROM
+    (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding) :: DOUBLE AS v FROM embeddings) WHERE i < 56)
+SELECT a.vec_id, lag :: INTEGER AS t, a.channel :: INTEGER AS channel, round(sum(a.v * b.v) + 1e-9, 5) + 0.0 AS corr
+FROM x a, (SELECT unnest(range(0, 14)) AS lag) l, x b
+WHERE b.vec_id = a.vec_id AND b.channel = a.channel AND b.t = (a.t + lag) % 14 GROUP BY a.vec_id, lag, a.channel""")
+def g12_channels(spark, t):
+    """Chunks of (time, channel): 14 rows of four channels, autocorrelated channel by channel."""
+    rows = F.transform(F.sequence(F.lit(0), F.lit(13)), lambda i: F.slice("embedding", i * 4 + 1, 4))
+    done = signal.preprocess_chunks(t.embeddings.select("vec_id", rows.alias("m")), "m", 14, 13, 32, 125.0, steps=("clip", "autocorrelate"))
+    out = done.select("vec_id", F.posexplode("m").alias("t", "row"))
+    return out.select("vec_id", "t", F.posexplode("row").alias("channel", "corr")).withColumn("corr", rounded(F.col("corr"), 5))
+
+
+@query("g12_chunk_frames", f"""WITH {SQL_ARRAYS}, f AS (SELECT unnest(range(0, 9)) AS frame),
+y AS (SELECT vec_id, frame, t + 8 - frame * 8 AS o, v FROM x, f WHERE t + 8 BETWEEN frame * 8 AND frame * 8 + 15)
+SELECT vec_id, frame :: INTEGER AS frame, k :: INTEGER AS k, round(sqrt(power(sum(v * {SQL_HANN} * cos(2 * pi() * k * o / 16)), 2)
+    + power(sum(v * {SQL_HANN} * sin(2 * pi() * k * o / 16)), 2)) / 8 + 1e-9, 5) + 0.0 AS mag
+  FROM y, (SELECT unnest(range(0, 9)) AS k) r GROUP BY vec_id, frame, k""")
+def g12_frames(spark, t):
+    done = signal.preprocess_chunks(t.embeddings.select("vec_id", "embedding"), "embedding", 64, 13, 32, 125.0, steps=("clip", "stft"), frame=16)
+    out = done.select("vec_id", F.posexplode("embedding").alias("frame", "bins"))
+    return out.select("vec_id", "frame", F.posexplode("bins").alias("k", "mag")).withColumn("mag", rounded(F.col("mag"), 5))

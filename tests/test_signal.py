@@ -113,3 +113,17 @@ def test_preprocess_orders_and_quarantine(spark):
     assert len(two[0]) == 25 and two[2] is None
     with pytest.raises(ValueError):
         signal.preprocess_chunks(df, "a", 50, 13, 32, 125.0, steps=("melt",))
+
+
+@pytest.mark.parametrize("steps", [("clip", "band", "down"), ("clip", "down", "band", "autocorrelate"), ("clip", "stft")])
+def test_channels_equal_single_arrays(spark, steps):
+    rng = np.random.default_rng(8)
+    data = [rng.normal(size=(n, 3)) for n in (50, 57, 63)]
+    args = (50, 13, 32, 125.0)
+    both = spark.createDataFrame([(i, d.tolist()) for i, d in enumerate(data)] + [(9, data[0][:20].tolist())], "i int, a array<array<double>>")
+    got = {r["i"]: r["a"] for r in signal.preprocess_chunks(both, "a", *args, steps=steps, frame=16).collect()}
+    assert got[9] is None
+    for c in range(3):
+        one = spark.createDataFrame([(i, d[:, c].tolist()) for i, d in enumerate(data)], "i int, a array<double>")
+        for r in signal.preprocess_chunks(one, "a", *args, steps=steps, frame=16).collect():
+            np.testing.assert_allclose(np.array(got[r["i"]])[..., c], np.array(r["a"]), atol=1e-9)
