@@ -129,7 +129,11 @@ def _op8(spark, folder):
                         F.col("k").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-@_query("op9_warc_archive")
+@_query("op9_warc_archive", """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN nullif(min(page_id) OVER (PARTITION BY payload_digest), page_id) END AS refers_to FROM p)
+    SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+           CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM f""")
 def _op9(spark, folder):
     found = warc.resolved(warc.archive_and_read(_table(spark, folder, "pages")))
     return found.select(F.col("key").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
