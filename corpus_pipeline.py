@@ -9,7 +9,7 @@ from featforge.session import scratch_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or without a language that holds half of their words on average, go."""
+    """Texts without a letter go, and those whose words fit no language: their largest posteriors average below 0.5."""
     return language.keep_identified(docs)
 
 

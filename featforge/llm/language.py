@@ -211,8 +211,9 @@ class Tagger:
                 any(map(str.isalpha, w.decode("utf-8", "replace"))) for w in fresh]])
         return np.fromiter((self.place[w] for ws in words for w in ws), np.int64)
 
-    def label(self, words: list[list[bytes]]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-        """(language, its mean posterior, runs of words of one language) for each list of words, all non-empty."""
+    def label(self, words: list[list[bytes]]) -> list[tuple[str, float, list[tuple[int, int, str]], float]]:
+        """(language, its mean posterior, runs of words of one language, mean over words of each word's largest
+        posterior) for each list of words, all non-empty."""
         labels, lengths = self.chain.labels, np.array([len(w) for w in words])
         order = np.argsort(-lengths, kind="stable")
         words = [words[i] for i in order]
@@ -229,6 +230,7 @@ class Tagger:
         sums = np.stack([np.bincount(owner[counted], post[counted, y], len(sizes)) for y in range(len(labels))], axis=1)
         n = np.bincount(owner[counted], minlength=len(sizes))
         best = post.argmax(axis=1)
+        sure = np.bincount(owner[counted], post.max(axis=1)[counted], len(sizes))
         new = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])]))
         runs: list[list[tuple[int, int, str]]] = [[] for _ in sizes]
         for i, j in zip(new, np.append(new[1:], len(ids))):
@@ -236,13 +238,14 @@ class Tagger:
         out: list = [None] * len(sizes)
         for d, source in enumerate(order):
             y = int(sums[d].argmax())
-            out[source] = ((labels[y], min(1.0, float(sums[d, y] / n[d])), runs[d]) if n[d] else (UNKNOWN, 0.0, runs[d]))
+            out[source] = ((labels[y], min(1.0, float(sums[d, y] / n[d])), runs[d], min(1.0, float(sure[d] / n[d])))
+                           if n[d] else (UNKNOWN, 0.0, runs[d], 0.0))
         return out
 
 
-def _labelled(texts: pa.Array, tagger: Tagger | None) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-    """(language, score, runs) per text. The longest texts come first, and only some are split at a time."""
-    out: list = [(UNKNOWN, 0.0, [])] * len(texts)
+def _labelled(texts: pa.Array, tagger: Tagger | None) -> list[tuple[str, float, list[tuple[int, int, str]], float]]:
+    """(language, score, runs, sureness of its words) per text. The longest texts come first, and only some are split at a time."""
+    out: list = [(UNKNOWN, 0.0, [], 0.0)] * len(texts)
     if tagger is None:
         return out
     texts = texts.cast(pa.binary())
@@ -301,13 +304,21 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: st
 
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang",
                     least: float = 0.5, allowed: Column | None = None, per_label: int = PER_LABEL, window: int = WINDOW) -> DataFrame:
-    """The documents whose language is known with at least the given mean posterior, with all their columns."""
+    """The documents whose words have a known language, with all their columns.
+
+    Each word with a letter counts with its largest posterior, whichever language that is; the mean over a text is
+    at least ``least``. A text that switches between languages stays if its words are clear. Without labelled rows
+    nothing is fitted and nothing can be told apart: then every text with a letter stays.
+    """
     chain = _fitted(docs, key, text, label, allowed, per_label, window)
 
     @F.arrow_udf("boolean")
     def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tagger = _tagger(chain)
         for texts in batches:
-            yield pa.array([lang != UNKNOWN and score >= least for lang, score, _ in _labelled(texts, tagger)], pa.bool_())
+            if tagger is None:
+                yield pa.array([any(map(str.isalpha, t.as_py() or "")) for t in texts], pa.bool_())
+            else:
+                yield pa.array([lang != UNKNOWN and sure >= least for lang, _, _, sure in _labelled(texts, tagger)], pa.bool_())
 
     return docs.filter(known(F.col(text)))

@@ -80,6 +80,19 @@ def test_language_filter(docs_of, clashing):
     assert {r["lang_pred"] for r in L.identify(docs_of([(1, "words", None)])).collect()} == {"und"}
 
 
+def test_language_filter_keeps_texts_that_switch(docs_of):
+    rng = random.Random(11)
+    rows = labelled(rng) + [(1000, " ".join(prose(rng, lang, 25) for lang in sorted(SYLLABLES)), None)]
+    found = {r["doc_id"]: r["score"] for r in L.identify(docs_of(rows)).collect()}
+    assert found[1000] < 0.5
+    assert sorted(r["doc_id"] for r in L.keep_identified(docs_of(rows)).collect()) == [*range(240), 1000]
+
+
+def test_language_filter_without_any_label(docs_of):
+    rows = [(1, "some words", None), (2, "123 \u00e9", None), (3, "123 -- !!", None), (4, "", None), (5, None, None)]
+    assert sorted(r["doc_id"] for r in L.keep_identified(docs_of(rows)).collect()) == [1, 2]
+
+
 def test_small_parts_give_the_same(docs_of, monkeypatch):
     rows = labelled(random.Random(8), 80)
     chain = L.fit_chain([(lang, t.encode().lower().split()) for _, t, lang in rows])
