@@ -18,7 +18,6 @@ from ..session import stored
 
 #: Public byte-level vocabulary for many languages; one line per piece: base-64 bytes, rank.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-LONGEST_PIECE = 16
 #: Words above this many bytes are summed one by one instead of in batches of equal length.
 LONG_WORD = 256
 #: Words that make up at least one in so many tokens, so never more than that, and have at most so many bytes,
@@ -38,8 +37,8 @@ LOG10 = math.log(10)
 def read_pieces(spark: SparkSession, path: str = VOCABULARY) -> dict[bytes, float]:
     """Pieces and their scores: log of 1 / (rank + 2.7), the usual law of word frequencies by rank.
 
-    Pieces that no lower-cased word can hold (capitals, inner white space) and pieces of more than 16 bytes are
-    left out; all single bytes stay, so every word has a segmentation. A vocabulary has a fixed, small size.
+    Pieces that no lower-cased word can hold (capitals, inner white space) are left out, whatever their length all
+    others stay, as do all single bytes, so every word has a segmentation. A vocabulary has a fixed, small size.
     """
     with open(path, "rb") as lines:
         rows = [line.split() for line in lines if line.strip()]
@@ -47,7 +46,7 @@ def read_pieces(spark: SparkSession, path: str = VOCABULARY) -> dict[bytes, floa
     for piece, rank in rows:
         piece = base64.b64decode(piece)
         inner = piece[1:] if piece[:1] == b" " and len(piece) > 1 else piece
-        if len(piece) == 1 or len(piece) <= LONGEST_PIECE and inner == inner.lower() and len(inner.split()) == 1 and inner.split()[0] == inner:
+        if len(piece) == 1 or inner == inner.lower() and len(inner.split()) == 1 and inner.split()[0] == inner:
             found[piece] = -math.log(int(rank) + 2.7)
     for byte in range(256):
         found.setdefault(bytes([byte]), -math.log(len(rows) + 2.7))
@@ -88,7 +87,7 @@ class Lattice:
     def _arcs(self, rows: np.ndarray) -> dict[int, np.ndarray]:
         """Per piece length: the piece that starts at each place of each word; the last id means none."""
         prefix, power, arcs = self._prefix(rows), np.uint64(1), {}
-        for k in range(1, min(rows.shape[1], LONGEST_PIECE) + 1):
+        for k in range(1, min(rows.shape[1], max(self.tables)) + 1):
             power = power * BASE
             if k not in self.tables:
                 continue
@@ -133,7 +132,7 @@ class Lattice:
         """The same recursion for one long word: forward values and the arcs that end at each place."""
         alpha, arcs, index, log_p = [0.0], [[]], self.index, self.log_p
         for j in range(1, len(word) + 1):
-            ends = [(k, i) for k in range(1, min(j, LONGEST_PIECE) + 1)
+            ends = [(k, i) for k in self.tables if k <= j
                     if (i := index.get(word[j - k:j])) is not None]
             terms = [alpha[j - k] + log_p[i] for k, i in ends]
             top = max(terms)

@@ -40,6 +40,20 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [math.log(every_segmentation(b" " + w, table)) for w in words])
 
 
+def test_pieces_of_any_length_take_part(spark, monkeypatch):
+    pieces, log_p = small_vocabulary()
+    pieces, log_p = pieces + [b" " + b"ab" * 16, b"the" * 7], np.append(log_p, [-2.0, -3.0])
+    table = dict(zip(pieces, log_p))
+    words = [b"ab" * 16, b"x" + b"the" * 7, b"ab" * 15]
+    want = [math.log(every_segmentation(b" " + w, table)) for w in words]
+    lattice = L.Lattice(pieces, log_p)
+    assert np.allclose(lattice.log_probability(words), want)
+    monkeypatch.setattr(L, "LONG_WORD", 5)
+    assert np.allclose(lattice.log_probability(words), want)
+    read = L.read_pieces(spark)
+    assert b" responsibilities" in read and max(map(len, read)) == 33
+
+
 def test_long_words_agree_with_batches(monkeypatch):
     pieces, log_p = small_vocabulary()
     lattice = L.Lattice(pieces, log_p)
