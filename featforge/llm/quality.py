@@ -125,19 +125,22 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_i
     """Fit on at most ``sample`` labelled rows that ``allowed`` (a condition on the key) admits.
 
     The sampled labels go to the documents, so texts are not shuffled; statistics are taken in the tasks and only
-    they reach the driver. NULL labels are left out; a key with several labels counts with each.
+    they reach the driver. NULL labels are left out; a key with several labels counts with each. Rows that repeat key
+    and text count once; if keys repeat so that more than twice ``sample`` rows are left, a hash of both chooses.
     """
     chosen = (labels.filter(allowed & F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("double").alias("y"))
               .orderBy(F.xxhash64("k"), "k", "y").limit(sample))
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    joined = rows.join(F.broadcast(chosen), "k").select("y", "t")
+    joined = rows.join(F.broadcast(chosen), "k").select("y", F.xxhash64("k", "t").alias("h"), "t")
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
+            x = _matrix(batch.column(2))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["y", "h", "x"])
 
-    found = joined.mapInArrow(measure, "y double, x array<double>").limit(2 * sample).collect()
+    measured = joined.mapInArrow(measure, "y double, h long, x array<double>").groupBy("y", "h").agg(F.first("x").alias("x"))
+    found = measured.orderBy("h", "y").limit(2 * sample).collect()
     found.sort(key=lambda r: (r["y"], r["x"]))
     x = np.array([r["x"] for r in found], dtype=float).reshape(len(found), len(FEATURES))
     return fit(x, np.array([r["y"] for r in found], dtype=float))

@@ -150,3 +150,16 @@ def test_quality_without_labels_and_rows(spark, docs_of, clashing):
     one = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
     assert all(r["score"] > 0.5 for r in Q.score(docs, Q.train(docs, one, F.lit(True))).collect())
     assert Q.score(docs_of([]), forest).count() == 0
+
+
+def test_rows_to_learn_from_are_not_chosen_by_chance(spark):
+    labels = spark.createDataFrame([(i, int(i == 0)) for i in range(5)], "doc_id long, quality int")
+    others = [(i, f"text {i}") for i in range(1, 5)]
+
+    def start(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        return Q.train(docs, labels, F.lit(True), sample=5).start
+
+    assert start([(0, "same")] * 50 + others) == start([(0, "same")] + others)
+    rows = [(0, f"other {i}") for i in range(12)] + others
+    assert start(rows) == start(rows[::-1])
