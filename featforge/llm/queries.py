@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, language, lattice, licenses, mixing, near, quality, secrets, warc
+from . import decontaminate, exact, language, lattice, licenses, manifest, mixing, near, quality, secrets, warc
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,60 @@ def _op10(spark, folder):
     return lattice.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
         "base_score", "score")
+
+
+def _manifest_sql(levels: int = 12) -> str:
+    """Trees level by level, for up to 8**levels leaves; a group whose nodes have become one stays as it is."""
+    value = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')".format
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    leaf, given = ("sha256(" + " || ".join(map(value, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+                   for text in ("text", f"translate(text, '{upper}', '{lower}')"))
+    crc = ("xor(list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),"
+           " lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384), 4294967295::BIGINT), 4294967295::BIGINT)")
+
+    def tree(t: str, g: str) -> list[str]:
+        steps = []
+        for i in range(levels):
+            steps += [f"""
+    {t}{i + 1} AS (
+        SELECT {g}, CASE WHEN any_value(c) = 1 THEN min(p) ELSE p // 8 END AS p,
+               CASE WHEN any_value(c) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY p)) END AS h, (any_value(c) + 7) // 8 AS c
+        FROM {t}{i} GROUP BY {g}, p // 8)""", f"""
+    {t}_sides{i} AS (
+        SELECT {g}, p, CASE WHEN c = 1 THEN p ELSE p // 8 END AS parent, c > 1 AS inner_node,
+               coalesce(string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+               coalesce(string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+        FROM {t}{i} WINDOW run AS (PARTITION BY {g}, p // 8 ORDER BY p))"""]
+        return steps
+
+    def climb(u: str, t: str, g: str, start: str) -> list[str]:
+        return [f"""
+    {u}{i} AS (
+        SELECT d.doc_id, d.lang, d.leaf, d.subroot, s.parent AS p, proof || l || r AS proof,
+               CASE WHEN inner_node THEN sha256(l || fold || r) ELSE fold END AS fold
+        FROM {f"{u}{i - 1}" if i else start} d JOIN {t}_sides{i} s ON d.{g} IS NOT DISTINCT FROM s.{g} AND d.p = s.p)""" for i in range(levels)]
+
+    steps = [f"""
+    d AS (SELECT doc_id, lang, {leaf} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {given} ELSE {leaf} END AS fold FROM documents),
+    q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY lang) AS c,
+                 '' AS proof, NULL::VARCHAR AS subroot FROM d),
+    a0 AS (SELECT lang, p, leaf AS h, c FROM q)""", *tree("a", "lang"), f"""
+    b0 AS (SELECT 0 AS one, lang, row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS p, h, count(*) OVER () AS c FROM a{levels})""",
+             *tree("b", "one"), *climb("u", "a", "lang", "q"), f"""
+    v AS (SELECT 0 AS one, u.* EXCLUDE (p, subroot), b.p, b.h AS subroot FROM u{levels - 1} u JOIN b0 b ON u.lang IS NOT DISTINCT FROM b.lang)""",
+             *[s.replace("d.lang,", "d.lang, d.one,") for s in climb("w", "b", "one", "v")]]
+    return "WITH" + ",".join(steps) + f"""
+    SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = h AS verified
+    FROM w{levels - 1}, (SELECT h FROM b{levels})"""
+
+
+@_query("op12_merkle_manifest", _manifest_sql())
+def _op12(spark, folder):
+    docs = _table(spark, folder, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars"]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.col("doc_id").isNotNull() & (fold("doc_id", 3) == 0), manifest.digest([*[F.col(c) for c in columns], lowered]))
+    found = manifest.manifest(docs, claimed=tampered)
+    root = manifest.folded(F.coalesce("claimed", "leaf"), F.col("path"))
+    return found.select(F.col("k").alias("doc_id"), "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"),
+                        root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
