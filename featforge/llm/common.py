@@ -57,3 +57,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if before == state:
             roots = links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             return links.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, rows: int = 4096) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which holds each key once; a key with many rows is not one task.
+
+    Keys with more than ``rows`` rows get a part for each ``rows`` of them: their row of ``one`` is copied to every
+    part, their rows of ``many`` are dealt by the hash of ``by``. Their list is at most as long as ``many`` divided by
+    ``rows``. NULL keys join with nothing.
+    """
+    heavy = stored(many.groupBy(F.col(key).alias("_key")).agg(F.ceil(F.count("*") / rows).alias("_parts"))
+                   .filter("_parts > 1"), "heavy")
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    left = (many.join(heavy, F.col(key) == F.col("_key"), "left")
+            .withColumn("_part", F.pmod(F.xxhash64(by), parts)).drop("_key", "_parts"))
+    right = (one.join(heavy, F.col(key) == F.col("_key"), "left")
+             .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_key", "_parts"))
+    return left.join(right, [key, "_part"]).drop("_part")

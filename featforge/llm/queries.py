@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, language, lattice, licenses, manifest, mixing, near, quality, secrets, warc
+from . import collocations, decontaminate, exact, language, lattice, licenses, manifest, mixing, near, neighbours, quality, secrets, warc
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +205,37 @@ def _op12(spark, folder):
     root = manifest.folded(F.coalesce("claimed", "leaf"), F.col("path"))
     return found.select(F.col("k").alias("doc_id"), "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"),
                         root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@_query("op11_nearest_vectors")
+def _op11(spark, folder):
+    found = neighbours.nearest(_table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+@_query("op13_collocations", r"""
+    WITH p AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents),
+    w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+    g AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+          FROM w, (VALUES (1), (2), (3)) sizes(size)),
+    f AS (SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY ALL),
+    n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+    cuts AS (
+        SELECT c.*, k, l.a AS l, r.a AS r, ((1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a))::BIGINT AS score
+        FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM f WHERE size > 1 AND a >= 10) c
+        JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ')
+        JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:], ' ')),
+    best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    longer AS (
+        SELECT lang, inner_phrase, max(a) AS most
+        FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS inner_phrase FROM best WHERE size = 3)
+        GROUP BY ALL)
+    SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+    FROM best b JOIN n ON n.lang = b.lang LEFT JOIN longer o ON o.lang = b.lang AND o.inner_phrase = b.phrase
+    WHERE coalesce(100 * most, 0) < 50 * a
+    QUALIFY rank <= 2000""")
+def _op13(spark, folder):
+    return collocations.collocations(_table(spark, folder, "documents"))
