@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Bytes of gallery vectors that travel to the tasks at a time.
-TILE_BYTES = 64 << 20
+from ..session import stored
+
+#: Bytes of vectors in a gallery tile and in a block of probes; tiles are cut from stretches of so many tiles.
+TILE_BYTES, BLOCK_BYTES, STRETCH = 1 << 20, 1 << 18, 32
+#: Tiles listed in one page of the directory, on average.
+PAGE_TILES = 2048
+#: Similarities are rounded to so many digits, so that equal means equal; angles (in radians) this close may tie.
+DIGITS, SAME_ANGLE = 9, 1e-4
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -23,35 +28,129 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.divide(m, norms, out=np.full_like(m, np.nan), where=norms > 0)
-
-
-def _best(vectors: list, gallery: np.ndarray, ids: np.ndarray, idx: np.ndarray, sim: np.ndarray) -> None:
-    """Improve the best similarity (rounded to 9 digits, so that equal means equal) and the lowest id in place."""
-    ok = np.flatnonzero([v is not None and len(v) == gallery.shape[1] for v in vectors])
-    for rows in np.array_split(ok, max(1, len(ok) * len(ids) // 4_000_000)):
-        if not len(rows):
-            continue
-        m = _unit(np.array([vectors[i] for i in rows], dtype="float64"))
-        s = np.nan_to_num(np.round(m @ gallery.T, 9), nan=-2.0)
-        arg = s.argmax(axis=1)
-        best = s[np.arange(len(s)), arg]
-        better = (best > sim[rows]) | ((best == sim[rows]) & (best > -2.0) & (ids[arg] < idx[rows]))
-        sim[rows[better]], idx[rows[better]] = best[better], ids[arg[better]]
-
-
-def _tiles(gallery: DataFrame, gallery_id: str, vector: str, size: int, width: int, tile_bytes: int) -> Iterator[tuple]:
-    """The gallery as (ids, unit vectors) of bounded size, ids rising inside a tile."""
-    tiles = max(1, -(-size * width * 8 // tile_bytes))
-    rows = gallery.select(F.col(gallery_id).cast("long").alias("g"), F.col(vector).alias("v")).filter("g IS NOT NULL AND v IS NOT NULL")
-    for t in range(tiles):
-        part = rows.filter(F.pmod(F.xxhash64("g"), F.lit(tiles)) == t).collect()
-        part.sort(key=lambda r: r["g"])
-        part = [r for r in part if len(r["v"]) == width]
-        if part:
-            yield np.array([r["g"] for r in part], dtype="int64"), _unit(np.array([r["v"] for r in part], dtype="float64"))
+def _vectors(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the rows that have ``width`` finite components and a direction, and the numbers of those rows."""
+    values, start = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    full = np.flatnonzero((np.diff(start) == width) & column.is_valid().to_numpy(zero_copy_only=False)) if width else np.zeros(0, int)
+    m = values[start[full][:, None] + np.arange(width)].astype("float64")
+    norms = np.sqrt((m * m).sum(axis=1))
+    good = np.isfinite(norms) & (norms > 0)
+    return m[good] / norms[good, None], full[good]
+
+
+def _groups(m: np.ndarray, rows: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Row numbers in groups of at most ``most``, cut along the line between two far points at the widest gap of the middle half."""
+    if len(rows) <= most:
+        yield rows
+        return
+    own = m[rows]
+    far = own[np.argmin(own @ own.mean(axis=0))]
+    along = own @ (far - own[np.argmin(own @ far)])
+    order = np.argsort(along, kind="stable")
+    first = len(rows) // 4
+    cut = first + 1 + int(np.argmax(np.diff(along[order][first:len(rows) - first])))
+    for part in (order[:cut], order[cut:]):
+        yield from _groups(m, rows[part], most)
+
+
+def _pack(width: int, most: int, keep_rest: bool) -> Callable:
+    """Arrow batches (key, id, vector) to groups: keys, ids, matrix, mean direction, greatest and least angle to it.
+
+    Groups are cut from stretches of ``STRETCH`` groups. Rows without a usable vector are dropped or, with
+    ``keep_rest``, go on in groups without a matrix.
+    """
+    def emit(keys: pa.Array, ids: pa.Array, m: np.ndarray | None) -> pa.RecordBatch:
+        near = far = mean = data = None
+        if m is not None:
+            centre = m.sum(axis=0)
+            norm = np.sqrt((centre * centre).sum())
+            centre = centre / norm if norm > 1e-9 else m[0]
+            angles = np.arccos(np.clip(m @ centre, -1, 1))
+            near, far, mean, data = float(angles.min()), float(angles.max()), centre.tolist(), m.tobytes()
+        return pa.RecordBatch.from_arrays(
+            [_listed(keys), _listed(ids), pa.array([data], pa.binary()), pa.array([mean], pa.list_(pa.float64())),
+             pa.array([far], pa.float64()), pa.array([near], pa.float64())], ["keys", "ids", "matrix", "mean", "far", "near"])
+
+    def cut(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys, ids = (pa.concat_arrays([h[i] for h in held]) for i in (0, 1))
+        m = np.concatenate([h[2] for h in held])
+        for rows in _groups(m, np.arange(len(m)), most):
+            rows = np.sort(rows)
+            yield emit(keys.take(pa.array(rows)), ids.take(pa.array(rows)), m[rows])
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            m, good = _vectors(batch.column(2), width)
+            rest = np.setdiff1d(np.arange(batch.num_rows), good)
+            if keep_rest and len(rest):
+                yield emit(batch.column(0).take(pa.array(rest)), batch.column(1).take(pa.array(rest)), None)
+            if len(good):
+                held.append((batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good)), m))
+                n += len(good)
+            if n >= most * STRETCH:
+                yield from cut(held)
+                held, n = [], 0
+        if held:
+            yield from cut(held)
+    return pack
+
+
+def _listed(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _tiles(gallery: DataFrame, gallery_id: str, vector: str, width: int, most: int) -> DataFrame:
+    """The gallery as rows (tile, keys, matrix, mean, far, near) of bounded bytes, written once."""
+    rows = gallery.select(F.col(gallery_id).cast("long").alias("k"), F.col(gallery_id).cast("long").alias("i"),
+                          F.col(vector).cast("array<double>").alias("v")).filter("k IS NOT NULL AND v IS NOT NULL")
+    packed = rows.mapInArrow(_pack(width, most, False), "keys array<long>, ids array<long>, matrix binary, mean array<double>, far double, near double")
+    return stored(packed.withColumn("tile", F.monotonically_increasing_id()).drop("ids"), "tiles")
+
+
+def _reachable(block_mean: Column, block_far: Column, tiles: Column) -> Column:
+    """Numbers of the tiles that can hold the best match of a row of the block.
+
+    By the triangle inequality of angles some vector of a tile lies within (angle of the means + both spreads) of every
+    row, and none nearer than (angle of the means - both spreads).
+    """
+    def angle(t: Column) -> Column:
+        dot = F.aggregate(F.zip_with(block_mean, t["mean"], lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+        return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))
+
+    bounds = F.transform(tiles, lambda t: F.struct(t["tile"].alias("tile"), angle(t).alias("a"), t["far"].alias("far"), t["near"].alias("near")))
+    reach = F.array_min(F.transform(bounds, lambda b: b["a"] + block_far + b["near"])) + SAME_ANGLE
+    return F.transform(F.filter(bounds, lambda b: b["a"] - block_far - b["far"] <= reach), lambda b: b["tile"])
+
+
+def _best(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Best gallery id of a tile for every row of a block, ties to the lowest; NULL where there is no tile or vector."""
+    for batch in batches:
+        keys, ids, matrix, gallery, tile = batch.columns
+        for i in range(batch.num_rows):
+            rows, names = keys[i].values, ids[i].values
+            idx, sim = np.full(len(rows), -1), np.full(len(rows), np.nan)
+            if tile[i].is_valid:
+                probes = np.frombuffer(matrix[i].as_buffer()).reshape(-1, width)
+                numbers = gallery[i].values.to_numpy()
+                order = np.argsort(numbers, kind="stable")
+                s = np.round(probes @ np.frombuffer(tile[i].as_buffer()).reshape(-1, width)[order].T, DIGITS) + 0.0
+                at = s.argmax(axis=1)
+                idx, sim = numbers[order][at], s[np.arange(len(s)), at]
+            none = np.isnan(sim)
+            yield pa.RecordBatch.from_arrays([rows, names, pa.array(idx, pa.int64(), mask=none), pa.array(sim, mask=none)], ["row", "id", "idx", "sim"])
+
+
+def _visits(probes: DataFrame, probe_id: str, vector: str, width: int, tiles: DataFrame, pages: int) -> DataFrame:
+    """Blocks of probes, once for every tile they have to meet (NULL: none)."""
+    directory = (tiles.groupBy(F.pmod(F.xxhash64("tile"), F.lit(pages)).alias("page"))
+                 .agg(F.collect_list(F.struct("tile", "mean", "far", "near")).alias("listed")))
+    kind = probes.schema[probe_id].dataType.simpleString()
+    rows = probes.select(F.monotonically_increasing_id().alias("k"), F.col(probe_id).alias("i"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = rows.mapInArrow(_pack(width, max(1, BLOCK_BYTES // (8 * max(1, width))), True),
+                             f"keys array<long>, ids array<{kind}>, matrix binary, mean array<double>, far double, near double")
+    return (blocks.withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(pages - 1)))).join(directory, "page", "left")
+            .withColumn("tile", F.explode_outer(F.when(F.col("matrix").isNotNull(), _reachable(F.col("mean"), F.col("far"), F.col("listed"))))))
 
 
 def top_match(probes: DataFrame, gallery: DataFrame, probe_id: str, gallery_id: str, vector: str,
@@ -59,29 +158,23 @@ def top_match(probes: DataFrame, gallery: DataFrame, probe_id: str, gallery_id:
     """Best gallery id per probe by cosine similarity, ``reject`` below the threshold.
 
     ``gallery_id`` is an integer. Ties go to the lowest one. ``reject`` defaults to the gallery size. Returns
-    probe id, ``idx``, ``sim``, ``class``, one row per probe row: ids of probes may be NULL or repeat. Exact: the
-    gallery, a stated set, travels in tiles of bounded bytes; every tile passes over all probes and the best so
-    far stays with its row, so nothing is shuffled. Vectors of another length than the gallery's longest match
-    nothing.
+    probe id, ``idx``, ``sim``, ``class``, one row per probe row: ids of probes may be NULL or repeat, and so may those
+    of the gallery (NULL matches nothing). Exact. Vectors of another length than the gallery's longest, without a
+    direction or with a component that is not finite match nothing.
+
+    Tasks pack the gallery into tiles and the probes into blocks, neighbours together. A block meets the tiles that can
+    hold a best match of its rows, and no others; the best of its tiles is each row's result. No vector meets the
+    driver. A small table of tiles travels to the probes, a large one is joined by tile number.
     """
     size, width = gallery.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vector)), F.lit(0))).first()
-    schema = T.StructType([T.StructField(probe_id, probes.schema[probe_id].dataType),
-                           T.StructField("_v", T.ArrayType(T.DoubleType())),
-                           T.StructField("idx", T.LongType()), T.StructField("sim", T.DoubleType())])
-    scored = probes.select(probe_id, F.col(vector).cast("array<double>").alias("_v"),
-                           F.lit(-1).cast("long").alias("idx"), F.lit(-2.0).alias("sim"))
-    for tile in _tiles(gallery, gallery_id, vector, size, width, tile_bytes):
-        shared = probes.sparkSession.sparkContext.broadcast(tile)
-
-        def improve(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            for batch in batches:
-                idx, sim = batch.column(2).to_numpy(False).copy(), batch.column(3).to_numpy(False).copy()
-                _best(batch.column(1).to_pylist(), matrix, ids, idx, sim)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(idx), pa.array(sim)], schema.names)
-
-        scored = scored.mapInArrow(improve, schema)
-    found = F.col("idx") >= 0
-    cls = F.when(found & (F.col("sim") >= threshold), F.col("idx")).otherwise(F.lit(size if reject is None else reject))
-    return scored.select(probe_id, F.when(found, F.col("idx")).alias("idx"), F.when(found, F.col("sim")).alias("sim"),
-                         cls.cast("long").alias("class"))
+    width = max(width, 0)
+    tiles = _tiles(gallery, gallery_id, vector, width, max(1, tile_bytes // (8 * max(1, width))))
+    visits = _visits(probes, probe_id, vector, width, tiles, 1 + size * width * 8 // (tile_bytes * PAGE_TILES))
+    right = tiles.select("tile", F.col("keys").alias("gallery"), F.col("matrix").alias("vectors"))
+    kind = probes.schema[probe_id].dataType.simpleString()
+    scored = visits.join(right, "tile", "left").select("keys", "ids", "matrix", "gallery", "vectors").mapInArrow(
+        lambda batches: _best(batches, width), f"row long, id {kind}, idx long, sim double")
+    best = scored.groupBy("row", "id").agg(F.max(F.when(F.col("idx").isNotNull(), F.struct("sim", (-F.col("idx")).alias("i")))).alias("m"))
+    found = best.select(F.col("id").alias(probe_id), (-F.col("m.i")).alias("idx"), F.col("m.sim").alias("sim"))
+    cls = F.when(F.col("sim") >= threshold, F.col("idx")).otherwise(F.lit(size if reject is None else reject))
+    return found.withColumn("class", cls.cast("long"))

@@ -45,6 +45,33 @@ def test_top_match_of_odd_rows(spark, tile_bytes):
     assert {r["class"] for r in search.top_match(probes, gallery.limit(0), "id", "id", "v").collect()} == {0}
 
 
+def test_tiles_out_of_reach_are_skipped(spark, monkeypatch):
+    """Probes and gallery in five directions: a block meets the tiles of its own, and the result is that of all pairs."""
+    rng = np.random.default_rng(6)
+    centres = np.linalg.qr(rng.normal(size=(8, 8)))[0][:5]
+    x = centres[np.arange(1000) % 5] + rng.normal(size=(1000, 8)) * 0.01
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").coalesce(1)
+    gallery, probes = df.filter("id < 500"), df.filter("id >= 500")
+    monkeypatch.setattr(search, "BLOCK_BYTES", 8 * 8 * 20)
+    tiles = search._tiles(gallery, "id", "v", 8, 32)
+    assert tiles.selectExpr("sum(size(keys))").first()[0] == 500 and tiles.selectExpr("max(size(keys))").first()[0] <= 32
+    for pages in (1, 3):
+        visits = search._visits(probes, "id", "v", 8, tiles, pages)
+        assert visits.filter("tile IS NOT NULL").count() < visits.select("keys").distinct().count() * tiles.count() / (3 if pages == 1 else 1)
+    got = {r["id"]: r["idx"] for r in search.top_match(probes, gallery, "id", "id", "v", tile_bytes=8 * 8 * 32).collect()}
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    want = np.round(unit[500:] @ unit[:500].T, 9).argmax(axis=1)
+    assert got == {500 + i: int(j) for i, j in enumerate(want)}
+
+
+def test_repeated_gallery_ids_and_other_probe_types(spark):
+    probes = spark.createDataFrame([("a", [1.0, 0.2]), ("a", [0.0, 2.0]), (None, [1.0, float("nan")])], "id string, v array<double>")
+    gallery = spark.createDataFrame([(4, [1.0, 0.0])] * 50 + [(4, [0.0, 1.0]), (2, [0.0, 3.0]), (None, [0.0, 1.0])], "g int, v array<double>")
+    for tile_bytes in (16, 1 << 20):
+        got = search.top_match(probes, gallery, "id", "g", "v", tile_bytes=tile_bytes).collect()
+        assert sorted((str(r["id"]), str(r["idx"]), r["class"]) for r in got) == [("None", "None", 53), ("a", "2", 2), ("a", "4", 4)]
+
+
 def test_cosine_of_zero_vector_is_null(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0]), ([1.0, 1.0], [1.0, 0.0])], "a array<double>, b array<double>")
     got = [r[0] for r in df.select(search.cosine(F.col("a"), F.col("b"))).collect()]
