@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from ..session import stored
 from .align import union_rows
 from .ordered import dense_position
 
-TILE_ROWS = 1024
-# Tile summaries come to the driver; more rows make larger tiles, never more of them.
+#: Rows of a tile, and reference points at most; a class uses as many of them as it has tiles.
+TILE_ROWS, PIVOTS = 1024, 64
 DISTANCE_DIGITS = 9
 
 
@@ -27,88 +29,193 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(out, DISTANCE_DIGITS)
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype="float64") for v in column])
+def _vectors(column: pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist(), dtype="float64").reshape(len(column), -1)
+
+
+def _matrix(cell: pa.Scalar, rows: int) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer()).reshape(rows, -1)
+
+
+def _listed(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _tiles(base: DataFrame, pivots: np.ndarray, tile_rows: int) -> DataFrame:
+    """The rows of each class by nearest reference point and distance to it, in tiles (one row each), written once."""
+    ktype, ltype = (base.schema[c].dataType.simpleString() for c in ("_k", "_l"))
+    counts = stored(base.groupBy(F.col("_l").alias("_cl")).agg(F.count("*").alias("_n")), "classes")  # one row per class
+    used = F.least(F.lit(len(pivots)), F.ceil(F.col("_n") / tile_rows)).cast("int")
+    sized = base.join(counts, F.col("_l").eqNullSafe(F.col("_cl"))).select("_k", "_l", "_w", "_v", used.alias("_u"))
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, used = _vectors(batch.column(3)), batch.column(4).to_numpy()
+            d = np.sqrt(_distances(own, pivots)) if len(own) else np.zeros((0, len(pivots)))
+            d[np.arange(len(pivots)) >= used[:, None]] = np.inf
+            near = d.argmin(axis=1) if len(own) else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(near, pa.int32()), pa.array(d[np.arange(len(own)), near])], [*batch.schema.names, "_p", "_r"])
+
+    placed = stored(sized.mapInArrow(place, f"_k {ktype}, _l {ltype}, _w boolean, _v array<double>, _u int, _p int, _r double"), "placed")
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, on = [], 0, None
+
+        def tile() -> pa.RecordBatch:
+            t = pa.concat_batches(held)
+            r = t.column(6).to_numpy()
+            return pa.RecordBatch.from_arrays(
+                [t.column(1)[:1], t.column(5)[:1], t.column(4)[:1], pa.array([len(r)]), pa.array([r.min()]), pa.array([r.max()]),
+                 _listed(t.column(0)), _listed(t.column(2)), pa.array([_vectors(t.column(3)).tobytes()], pa.binary())],
+                ["l", "p", "used", "n", "lo", "hi", "keys", "wanted", "matrix"])
+
+        for batch in batches:
+            cells = list(zip(batch.column(1).to_pylist(), batch.column(5).to_pylist()))
+            at = 0
+            while at < len(cells):
+                if n and (cells[at] != on or n == tile_rows):
+                    yield tile()
+                    held, n = [], 0
+                on, end = cells[at], at
+                while end < len(cells) and cells[end] == on and end - at < tile_rows - n:
+                    end += 1
+                held.append(batch.slice(at, end - at))
+                n, at = n + end - at, end
+        if n:
+            yield tile()
+
+    packed = placed.repartitionByRange("_l", "_p", "_r", "_k").sortWithinPartitions("_l", "_p", "_r", "_k").mapInArrow(
+        pack, f"l {ltype}, p int, used int, n long, lo double, hi double, keys array<{ktype}>, wanted array<boolean>, matrix binary")
+    return stored(packed.withColumn("tile", F.monotonically_increasing_id()), "tiles")
+
+
+def _asking(tiles: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
+    """Tiles with wanted rows: those rows, how far the k-th neighbour of each can be, and for each reference point the
+    band of distances from it in which a neighbour can lie."""
+    types = tiles.schema["l"].dataType.simpleString(), tiles.schema["keys"].dataType.simpleString()
+    # A class has a bound for each reference point at most: a whole tile of more than k rows lies within it.
+    full = (tiles.filter(F.col("n") > k).groupBy("l", "p").agg(F.min("hi").alias("hi"))
+            .groupBy(F.col("l").alias("_bl")).agg(F.collect_list(F.struct("p", "hi")).alias("full")))
+    some = tiles.filter(F.exists("wanted", lambda w: w))
+    rows = some.join(stored(full, "bounds"), F.col("l").eqNullSafe(F.col("_bl")), "left").select(
+        "l", "tile", "p", "used", "n", "keys", "wanted", "matrix", "full")
+
+    def reach(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                label, tile, p, used, n, keys, wanted, matrix, full = (c[i] for c in batch.columns)
+                every, used = _matrix(matrix, n.as_py()), used.as_py()
+                mine = np.flatnonzero(wanted.values.to_numpy(zero_copy_only=False))
+                own = every[mine]
+                to = np.sqrt(_distances(own, pivots[:used]))
+                bound = np.full(len(own), np.inf)
+                if len(every) > k:
+                    bound = np.sqrt(np.partition(_distances(own, every), k, axis=1)[:, k])  # one of them is the row itself
+                for f in full.as_py() or []:
+                    bound = np.minimum(bound, to[:, f["p"]] + f["hi"])
+                bound = bound * (1 + 1e-6) + 1e-6
+                bands = [{"p": j, "from": float((to[:, j] - bound).min()), "to": float((to[:, j] + bound).max())} for j in range(used)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([label.as_py()], label.type), pa.array([tile.as_py()]), pa.array([p.as_py()], pa.int32()),
+                     _listed(keys.values.take(pa.array(mine))), pa.array([own.tobytes()], pa.binary()), _listed(pa.array(bound)),
+                     pa.array([bands], pa.list_(pa.struct([("p", pa.int32()), ("from", pa.float64()), ("to", pa.float64())])))],
+                    ["l", "tile", "p", "keys", "matrix", "bound", "bands"])
+
+    return stored(rows.mapInArrow(reach, f"l {types[0]}, tile long, p int, keys {types[1]}, matrix binary, bound array<double>, "
+                                         "bands array<struct<p:int,`from`:double,`to`:double>>"), "asking")
+
+
+def _meetings(asking: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Pairs of tiles (tile, other, q, lo, hi) whose rings a band touches, by a band join.
+
+    Distances from a reference point are cut into as many bins as its class has tiles there; band and ring meet in the
+    first bin that both have.
+    """
+    rings = tiles.select("l", "p", "lo", "hi", F.col("tile").alias("other"))
+    scale = rings.groupBy(F.col("l").alias("_sl"), F.col("p").alias("_sp")).agg(F.max("hi").alias("top"), F.count("*").alias("bins"))
+    scale = stored(scale, "scales")  # at most one row per class and reference point
+
+    def binned(df: DataFrame, low: str, high: str) -> DataFrame:
+        def at(x: Column) -> Column:
+            share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(x, F.col("top"))))
+            return F.floor(F.coalesce(share, F.lit(0.0)) * F.col("bins"))
+        return (df.join(scale, F.col("l").eqNullSafe(F.col("_sl")) & (F.col("p") == F.col("_sp")))
+                .withColumn("first", at(F.col(low))).withColumn("bin", F.explode(F.sequence("first", at(F.col(high)))))
+                .drop("_sl", "_sp", "top", "bins"))
+
+    bands = asking.select("l", "tile", F.inline("bands")).filter("`to` >= 0")
+    a, b = binned(bands, "from", "to").alias("a"), binned(rings, "lo", "hi").alias("b")
+    touch = (F.col("a.from") <= F.col("b.hi")) & (F.col("b.lo") <= F.col("a.to"))
+    once = F.col("a.bin") == F.greatest("a.first", "b.first")
+    same = F.col("a.l").eqNullSafe(F.col("b.l")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.bin") == F.col("b.bin"))
+    return a.join(b, same & touch & once).select("a.tile", "b.other", F.col("b.p").alias("q"), "b.lo", "b.hi")
+
+
+def _visitors(asking: DataFrame, meetings: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Of each pair of tiles the rows (other, keys, matrix, bound) of the first that can have a neighbour in the other."""
+    ktype = asking.schema["keys"].dataType.simpleString()
+    pairs = asking.select("tile", "p", "keys", "matrix", "bound").join(stored(meetings, "meetings"), "tile").select(
+        "other", "q", "lo", "hi", "p", "keys", "matrix", "bound")
+
+    def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                other, q, lo, hi, p, keys, matrix, bound = (c[i] for c in batch.columns)
+                reach = bound.values.to_numpy()
+                own = _matrix(matrix, len(reach))
+                p, q, lo, hi = p.as_py(), q.as_py(), lo.as_py(), hi.as_py()
+                far = np.sqrt(_distances(own, pivots[[p, q]]))
+                apart = np.sqrt(((pivots[p] - pivots[q]) ** 2).sum())
+                may = (far[:, 1] - reach <= hi) & (far[:, 1] + reach >= lo)
+                if apart > 0:  # the other cell lies beyond the plane half-way between the reference points
+                    may &= (far[:, 1] ** 2 - far[:, 0] ** 2) / (2 * apart) <= reach
+                if may.any():
+                    take = pa.array(np.flatnonzero(may))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([other.as_py()]), _listed(keys.values.take(take)), pa.array([own[may].tobytes()], pa.binary()),
+                         _listed(bound.values.take(take))], ["other", "keys", "matrix", "bound"])
+
+    return pairs.mapInArrow(choose, f"other long, keys {ktype}, matrix binary, bound array<double>")
 
 
 def class_neighbours(df: DataFrame, key: str, label: str, vector: str, wanted: Column, k: int = 5,
-                     tile_rows: int = TILE_ROWS) -> DataFrame:
+                     tile_rows: int = TILE_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """Exact ``k`` nearest rows of the same class for every row where ``wanted`` holds.
 
-    Returns key, ``rank`` (1-based), ``neighbour`` and squared distance; ties go to the
-    lower key. No pair of rows is ever shuffled. Rows of a class are sorted by their
-    distance to the class mean and cut into tiles. A first look inside the own tile
-    bounds the distance of the k-th neighbour; by the triangle inequality only tiles
-    whose ring touches that reach can hold a nearer row, and only those meet.
+    Returns key, ``rank`` (1-based), ``neighbour`` and squared distance; ties go to the lower key. Rows without a
+    vector take no part. Rows belong to the nearest of a few reference points (rows chosen by hash) and lie in tiles by
+    their distance from it. The own tile, or a whole tile elsewhere, bounds how far the k-th neighbour is; by the
+    triangle inequality only rows whose distance from a reference point lies in a band can be nearer, so a tile meets
+    the tiles whose rings touch the band, and sends them only the rows that need them. What leaves a task are at most
+    ``k`` rows within the bound for each row and tile.
     """
+    base = df.select(F.col(key).alias("_k"), F.col(label).alias("_l"), F.col(vector).cast("array<double>").alias("_v"),
+                     F.coalesce(wanted, F.lit(False)).alias("_w")).filter("_v IS NOT NULL")
     ktype = df.schema[key].dataType.simpleString()
-    ltype = df.schema[label].dataType.simpleString()
-    base = df.select(F.col(key).alias("_k"), F.col(label).alias("_l"),
-                     F.col(vector).cast("array<double>").alias("_v"), wanted.alias("_w"))
-
-    dims = base.select("_l", F.posexplode("_v").alias("_i", "_x"))
-    centre = (dims.groupBy("_l", "_i").agg(F.avg("_x").alias("_m"))
-              .groupBy("_l").agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_c"))
-              .select(F.col("_l").alias("_cl"), F.col("_c._m").alias("_c")))
-    counts = base.groupBy(F.col("_l").alias("_nl")).agg(F.count(F.lit(1)).alias("_n"))
-    # One row per class; read back, its size is known when the next join is planned.
-    classes = stored(counts.join(centre, F.col("_nl").eqNullSafe(F.col("_cl"))).drop("_cl"), "classes")
-    sq = F.aggregate(F.zip_with("_v", "_c", lambda x, m: (x - m) * (x - m)), F.lit(0.0),
-                     lambda s, v: s + v)
-    rings = (base.join(classes, F.col("_l").eqNullSafe(F.col("_nl"))).drop("_nl")
-             .withColumn("_r", F.round(F.sqrt(sq), DISTANCE_DIGITS)).drop("_c"))
-    placed = dense_position(rings, ["_l"], ["_r", "_k"], "_pos")
-    n_tiles = F.ceil(F.col("_n") / tile_rows)
-    tiled = placed.withColumn("_t", F.floor(F.col("_pos") * n_tiles / F.col("_n"))).drop("_pos", "_n")
-    # Everything below reads the tiles several times.
-    tiled = stored(tiled, "tiles")
-
-    def reach(pdf: pd.DataFrame) -> pd.DataFrame:
-        mine = pdf[pdf["_w"]]
-        out = {"_l": [pdf["_l"].iloc[0]], "_t": [pdf["_t"].iloc[0]],
-               "lo": [pdf["_r"].min()], "hi": [pdf["_r"].max()],
-               "need_lo": [np.nan], "need_hi": [np.nan]}
-        if len(mine):
-            if len(pdf) > k:
-                d = np.sort(_distances(_matrix(mine["_v"]), _matrix(pdf["_v"])), axis=1)
-                kth = np.sqrt(d[:, k])  # column 0 is the row itself
-            else:
-                kth = np.full(len(mine), np.inf)
-            kth = kth * (1 + 1e-6) + 1e-6
-            out["need_lo"] = [(mine["_r"].to_numpy() - kth).min()]
-            out["need_hi"] = [(mine["_r"].to_numpy() + kth).max()]
-        return pd.DataFrame(out)
-
-    summary = stored(tiled.groupBy("_l", "_t").applyInPandas(
-        reach, f"_l {ltype}, _t long, lo double, hi double, need_lo double, need_hi double"), "reach")
-    a, b = summary.alias("a"), summary.alias("b")
-    touches = (F.col("b.hi") >= F.col("a.need_lo")) & (F.col("b.lo") <= F.col("a.need_hi"))
-    pairs = stored(a.filter("NOT isnan(need_lo)").join(b, F.col("a._l").eqNullSafe(F.col("b._l")) & touches).select(
-        F.col("a._l").alias("_l"), F.col("a._t").alias("_a"), F.col("b._t").alias("_b")), "tile_pairs")
-
-    mine = pairs.toDF("_pl", "_pa", "_b")
-    left = (tiled.filter("_w").select("_l", F.col("_t").alias("_a"), "_k", "_v")
-            .join(mine, F.col("_l").eqNullSafe(F.col("_pl")) & (F.col("_a") == F.col("_pa"))).drop("_pl", "_pa"))
-    other = pairs.toDF("_pl", "_ra", "_pb")
-    right = (tiled.select(F.col("_l").alias("_rl"), F.col("_t").alias("_rb"), "_k", "_v")
-             .join(other, F.col("_rl").eqNullSafe(F.col("_pl")) & (F.col("_rb") == F.col("_pb"))).drop("_pl", "_pb")
-             .toDF("_rl", "_rb", "_k", "_v", "_ra"))
-
-    def nearest(mine: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        if mine.empty or other.empty:
-            return pd.DataFrame({"_k": [], "neighbour": [], "distance": []})
-        other = other.sort_values("_k", ignore_index=True)
-        d = _distances(_matrix(mine["_v"]), _matrix(other["_v"]))
-        d[mine["_k"].to_numpy()[:, None] == other["_k"].to_numpy()[None, :]] = np.inf
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        found = pd.DataFrame({
-            "_k": np.repeat(mine["_k"].to_numpy(), best.shape[1]),
-            "neighbour": other["_k"].to_numpy()[best.ravel()],
-            "distance": np.take_along_axis(d, best, axis=1).ravel()})
-        return found[np.isfinite(found["distance"])]
-
-    found = left.groupBy("_l", "_a", "_b").cogroup(right.groupBy("_rl", "_ra", "_rb")).applyInPandas(
-        nearest, f"_k {ktype}, neighbour {ktype}, distance double")
+    chosen = base.select("_v", portable_hash(F.col("_k").cast("string")).alias("h"), "_k").orderBy("h", "_k").limit(pivots).collect()
+    points = np.array([r["_v"] for r in chosen] or [[0.0]], dtype="float64")  # a fixed number of rows
+    tiles = _tiles(base, points, tile_rows)
+    asking = _asking(tiles, points, k)
+    visits = _visitors(asking, _meetings(asking, tiles), points)
+    met = visits.join(tiles.select(F.col("tile").alias("other"), F.col("keys").alias("others"), F.col("matrix").alias("vectors")), "other")
+
+    def nearest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, matrix, bound, others, vectors = (c[i] for c in batch.columns)
+                mine, names = keys.values, others.values
+                order = names.to_numpy(zero_copy_only=False).argsort(kind="stable")
+                names = names.take(pa.array(order))
+                d = _distances(_matrix(matrix, len(mine)), _matrix(vectors, len(names))[order])
+                d[mine.to_numpy(zero_copy_only=False)[:, None] == names.to_numpy(zero_copy_only=False)[None, :]] = np.inf
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                near = np.take_along_axis(d, best, axis=1)
+                row, at = np.nonzero(np.isfinite(near) & (np.sqrt(near) <= bound.values.to_numpy()[:, None]))
+                yield pa.RecordBatch.from_arrays(
+                    [mine.take(pa.array(row)), names.take(pa.array(best[row, at])), pa.array(near[row, at])], ["_k", "neighbour", "distance"])
+
+    found = met.select("keys", "matrix", "bound", "others", "vectors").mapInArrow(nearest, f"_k {ktype}, neighbour {ktype}, distance double")
     # The rank limit is applied before rows are shuffled to their key, too.
     rank = F.row_number().over(Window.partitionBy("_k").orderBy("distance", "neighbour"))
     return (found.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -109,6 +109,33 @@ def test_far_tiles_are_skipped_and_results_stay(spark):
     assert len(got) == 400 and all(r["distance"] == 1.0 for r in got)
 
 
+@pytest.mark.parametrize("dim, most", [(16, 0.2), (64, 0.35)])
+def test_clusters_meet_few_other_rows(spark, dim, most):
+    """Of all pairs of rows only a small share is looked at, and the neighbours are those of all pairs."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(20, dim))[rng.integers(0, 20, 2000)] * 2 + rng.normal(size=(2000, dim)) * 0.2
+    df = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(x)], "_k long, _l string, _v array<double>").withColumn("_w", F.lit(True))
+    points = x[:64]
+    tiles = balance._tiles(df, points, 64)
+    assert tiles.agg(F.max("n")).first()[0] <= 64 and tiles.agg(F.sum("n")).first()[0] == 2000
+    asking = balance._asking(tiles, points, 5)
+    visits = balance._visitors(asking, balance._meetings(asking, tiles), points)
+    looked = visits.join(tiles.select(F.col("tile").alias("other"), "n"), "other").agg(F.sum(F.size("keys") * F.col("n"))).first()[0]
+    assert looked < most * 2000 ** 2
+    got = balance.class_neighbours(df, "_k", "_l", "_v", F.col("_k") < 100, 3, 64).toPandas().sort_values(["_k", "rank"])
+    d = np.round(((x[:100, None] - x[None]) ** 2).sum(axis=2), 9)
+    d[np.arange(100), np.arange(100)] = np.inf
+    assert (got["neighbour"].to_numpy().reshape(100, 3) == np.argsort(d, axis=1, kind="stable")[:, :3]).all()
+
+
+def test_neighbours_of_null_labels_missing_vectors_and_other_keys(spark):
+    rows = [(f"k{i}", None if i % 2 else "x", [float(i * i)] if i != 4 else None) for i in range(12)]
+    df = spark.createDataFrame(rows, "id string, label string, v array<double>")
+    got = {r["id"]: r["neighbour"] for r in balance.class_neighbours(df, "id", "label", "v", F.col("id") != "k0", 1, 2).collect()}
+    assert got == {"k1": "k3", "k3": "k1", "k5": "k3", "k7": "k5", "k9": "k7", "k11": "k9", "k2": "k0", "k6": "k8", "k8": "k6", "k10": "k8"}
+    assert balance.class_neighbours(df.filter("false"), "id", "label", "v", F.lit(True)).collect() == []
+
+
 def test_oversample(spark):
     rows, df = table(spark, {"hot": 60, "b": 17, "c": 4, "one": 1}, grid=50)
     out = balance.oversample(df, "id", "label", "v", tile_rows=8)
