@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import align, balance, metrics, model, search, split
+from ..operators import align, balance, metrics, model, search, split, trees
+from ..operators.ordered import dense_position
 from ..session import scratch_path, stored
 from ..sources import readers, writers
 from ..sources.readers import spread, table_of
@@ -202,38 +203,41 @@ SQL_TEST = f"{sql_hash('doc_id')} % 1000 >= 800"
 LANGUAGES = ("de", "en", "es", "fr")
 
 
-def right(predictions, truth: str):
-    """Share of right predictions, as a table of one row."""
-    return predictions.agg(F.avg((F.col("prediction") == F.col(truth).cast("string")).cast("double")).alias("_right"))
+def beats_constant(predicted, truth: str, share: float = 0.75) -> bool:
+    """Whether the errors are at most ``share`` of those of always naming the largest class."""
+    hit = (F.col("prediction") == F.col(truth).cast("string")).cast("double")
+    per_class = predicted.groupBy(truth).agg(F.count("*").alias("n"), F.sum(F.coalesce(hit, F.lit(0.0))).alias("hits"))
+    n, hits, largest = per_class.agg(F.sum("n"), F.sum("hits"), F.max("n")).first()
+    return bool(n) and n - hits <= share * (n - largest)
 
 
-def judged(rows, key, domain, score, floor):
-    """Every key with two facts about its prediction: it is one of the classes, and the model's score (a table of
-    one row) reaches a stated floor."""
-    met = score.first()[0]
-    return rows.select(key, F.col("prediction").isin(*domain).alias("known"), F.lit(met is not None and met >= floor).alias("good"))
+def judged(rows, key, domain, good: bool):
+    """Every key with two facts about its prediction: it is one of the classes, and the model beats the constant one."""
+    return rows.select(key, F.col("prediction").isin(*domain).alias("known"), F.lit(good).alias("good"))
 
 
-def held_out_score(pipe, train):
-    """Accuracy on labelled rows that the fit did not see."""
-    part, held_out = split.hash_split(train, "doc_id")
-    return right(model.predict(pipe.fit(part), held_out.drop("quality")).join(held_out.select("doc_id", "quality"), "doc_id"), "quality")
+def held_out_rows(learned, held_out, truth: str):
+    """Predictions of rows that the fit did not see, with their true classes."""
+    return learned(held_out.drop(truth)).join(held_out.select("doc_id", truth), "doc_id")
+
+
+def fitted(kind: str = "forest", label: str = "quality"):
+    return model.piped(kind, forest(label, kind)).fit
 
 
 @query("m1_classifier", f"SELECT d.doc_id, true AS known, true AS good {SQL_UNLABELLED}")
 def m1_classifier(spark, t):
     train, rest = labelled(t)
     part, held_out = split.hash_split(train, "doc_id")
-    fitted = forest("quality").fit(part)
-    score = right(model.predict(fitted, held_out.drop("quality")).join(held_out.select("doc_id", "quality"), "doc_id"), "quality")
-    return judged(model.predict(fitted, rest), "doc_id", ("0", "1"), score, 0.75)
+    learned = fitted()(part)
+    return judged(learned(rest), "doc_id", ("0", "1"), beats_constant(held_out_rows(learned, held_out, "quality"), "quality"))
 
 
 @query("m1_language_classifier", f"SELECT doc_id, true AS known, true AS good FROM documents WHERE {SQL_TEST}")
 def m1_languages(spark, t):
     train, test = split.hash_split(with_ratios(t), "doc_id")
-    out = model.predict(forest("lang").fit(train), test)
-    return judged(out, "doc_id", LANGUAGES, right(out, "lang"), 0.9)
+    out = fitted(label="lang")(train)(test)
+    return judged(out, "doc_id", LANGUAGES, beats_constant(out, "lang", 0.25))
 
 
 @query("m2_regressor", f"SELECT p_partkey, true AS better_than_mean FROM part WHERE {sql_hash('p_partkey')} % 1000 >= 800")
@@ -249,21 +253,85 @@ def better_than_mean(out, mean):
     return out.select("p_partkey", (F.lit(own < plain) & F.col("prediction").isNotNull()).alias("better_than_mean"))
 
 
-@query("m3_leaderboard", """SELECT unnest(['entropy', 'gini', 'logistic']) AS model, true AS good""")
+def candidates():
+    return [model.piped("gini", forest("quality", "gini")), model.piped("entropy", forest("quality", "entropy")),
+            model.piped("logistic", model.classifier(FEATURES, "quality", "logistic")),
+            model.extra_trees("extra_trees", FEATURES, "quality", trees=40, depth=12, tries=6)]
+
+
+@query("m3_leaderboard", """SELECT model, count(*) AS n, true AS good FROM labels, (VALUES ('entropy'), ('extra_trees'), ('gini'), ('logistic')) m(model)
+  WHERE doc_id IN (SELECT doc_id FROM documents) GROUP BY model""")
 def m3_leaderboard(spark, t):
+    """Every labelled row is predicted by a fit on other folds; a constant model has half of each class right on average."""
     train, _ = labelled(t)
-    scores = model.leaderboard(train, {
-        "gini": forest("quality", "gini"), "entropy": forest("quality", "entropy"),
-        "logistic": model.classifier(FEATURES, "quality", "logistic")}, "doc_id", folds=3)
-    return table_of(spark, [(name, score >= 0.7) for name, score in scores.items()], "model string, good boolean")
+    scores = model.leaderboard(train, candidates(), "doc_id", "quality", folds=3)
+    return scores.select(F.col("name").alias("model"), "n", (F.col("balanced") >= 0.6).alias("good"))
 
 
-@query("m4_refit_full", f"SELECT d.doc_id, true AS known, true AS good {SQL_UNLABELLED}")
-def m4_refit(spark, t):
+@query("m3_extra_trees", f"SELECT d.doc_id, true AS known, true AS good {SQL_UNLABELLED}")
+def m3_extra_trees(spark, t):
     train, rest = labelled(t)
     part, held_out = split.hash_split(train, "doc_id")
-    score = held_out_score(forest("quality"), train)
-    return judged(model.predict(model.refit_full(forest("quality"), part, held_out), rest), "doc_id", ("0", "1"), score, 0.75)
+    learned = candidates()[3].fit(part)
+    return judged(learned(rest), "doc_id", ("0", "1"), beats_constant(held_out_rows(learned, held_out, "quality"), "quality"))
+
+
+def sql_draw(use: str) -> str:
+    return f"('0x' || substr(md5('{use}:7:' || tree || ':1:' || j), 1, 8)) :: BIGINT / 4294967296.0 :: DOUBLE"
+
+
+@query("m3_extra_tree_roots", f"""WITH x AS (SELECT label, unnest(embedding[1:6]) :: DOUBLE AS v, generate_subscripts(embedding[1:6], 1) - 1 AS j FROM embeddings),
+b AS (SELECT j, min(v) AS low, max(v) AS high FROM x GROUP BY j),
+d AS (SELECT tree, j, low + {sql_draw("cut")} * (high - low) AS cut,
+    row_number() OVER (PARTITION BY tree ORDER BY {sql_draw("feature")}, j) AS nth FROM b, range(5) t(tree) QUALIFY nth <= 3),
+c AS (SELECT tree, d.j, nth, cut, label, count(*) FILTER (v <= cut) AS l, count(*) FILTER (v > cut) AS r FROM d JOIN x ON x.j = d.j GROUP BY ALL),
+g AS (SELECT tree, j, nth, cut, sum(l) :: BIGINT AS n_left, sum(r) :: BIGINT AS n_right, sum(l) - sum(l * l) / sum(l) + sum(r) - sum(r * r) / sum(r) AS gini
+  FROM c GROUP BY ALL HAVING sum(l) > 0 AND sum(r) > 0)
+SELECT tree, j AS feature, round(cut + 1e-9, 6) + 0.0 AS cut, n_left, n_right FROM g QUALIFY row_number() OVER (PARTITION BY tree ORDER BY gini, nth) = 1""")
+def m3_roots(spark, t):
+    """First cut of each of five trees over vector components: feature, cut and rows on both sides."""
+    names = [f"x{i}" for i in range(6)]
+    rows = t.embeddings.select("label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)])
+    grown = trees.fit(rows, names, "label", trees=5, depth=1, tries=3, seed=7)
+    found = [(i, int(x.feature[0]), float(x.cut[0]), *(int(x.counts[x.left[0] + side].sum()) for side in (0, 1))) for i, x in enumerate(grown.trees)]
+    return table_of(spark, found, "tree long, feature long, cut double, n_left long, n_right long").withColumn("cut", C.rounded(F.col("cut"), 6))
+
+
+HALVING = [model.extra_trees(f"trees_{n}_{depth}", FEATURES, "quality", trees=n, depth=depth, tries=6)
+           for n in (10, 40) for depth in (2, 12)]
+SQL_VALID = f"{sql_hash('doc_id')} % 1000 >= 800"
+
+
+def halved(t):
+    train, rest = labelled(t)
+    part, valid = split.hash_split(train, "doc_id")
+    return (*model.successive_halving(part, valid, HALVING, "doc_id", "quality", seed=5), part, valid, rest)
+
+
+@query("m4_successive_halving", f"""WITH l AS (SELECT doc_id, {SQL_VALID} AS valid, {sql_hash('doc_id', 5)} / 4294967296.0 AS u FROM labels
+    WHERE doc_id IN (SELECT doc_id FROM documents)),
+r AS (SELECT unnest([1, 2, 3]) AS rung, unnest([4, 2, 1]) AS candidates, unnest([0.25, 0.5, 1.0]) AS share)
+SELECT rung, candidates :: BIGINT AS candidates, count(*) FILTER (NOT valid AND u < share) AS n_train, count(*) FILTER (valid) AS n_valid,
+  true AS best_go_on, true AS chosen FROM r, l GROUP BY rung, candidates""")
+def m4_halving(spark, t):
+    """Four settings on nested samples; the written scores say which go on, and whether the chosen one is the best."""
+    scores, chosen, *_ = halved(t)
+    scores.createOrReplaceTempView("halving_scores")
+    return spark.sql(f"""
+        WITH s AS (SELECT *, row_number() OVER (PARTITION BY rung ORDER BY n_right DESC, name) AS nth, count(*) OVER (PARTITION BY rung) AS c FROM halving_scores)
+        SELECT s.rung, max(s.c) AS candidates, max(s.n_train) AS n_train, max(s.n_valid) AS n_valid,
+               bool_and((n.name IS NOT NULL) = (s.nth <= s.c div 2)) AS best_go_on,
+               bool_or(s.nth = 1 AND s.name = '{chosen.name}') OR max(s.rung) < 3 AS chosen
+        FROM s LEFT JOIN halving_scores n ON n.rung = s.rung + 1 AND n.name = s.name GROUP BY s.rung""")
+
+
+@query("m4_refit_full", f"SELECT d.doc_id, true AS known, true AS good {SQL_UNLABELLED}")
+def m4_refit(spark, t):
+    """The chosen setting, fitted on the training rows for its score and on all rows for the predictions."""
+    scores, chosen, part, valid, rest = halved(t)
+    largest = valid.groupBy("quality").count().agg(F.max("count")).first()[0]
+    n, hits = scores.orderBy(F.desc("rung")).select("n_valid", "n_right").first()
+    return judged(model.refit(chosen, part, valid)(rest), "doc_id", ("0", "1"), n - hits <= 0.75 * (n - largest))
 
 
 @query("m5_pseudo_label", f"SELECT d.doc_id, true AS known, true AS good {SQL_UNLABELLED}")
@@ -272,8 +340,8 @@ def m5_pseudo(spark, t):
     part, held_out = split.hash_split(train, "doc_id")
     pipe = forest("quality")
     second = model.pseudo_label(pipe, pipe.fit(part), part, rest, "quality", 0.95)
-    score = right(model.predict(second, held_out.drop("quality")).join(held_out.select("doc_id", "quality"), "doc_id"), "quality")
-    return judged(model.predict(second, rest), "doc_id", ("0", "1"), score, 0.75)
+    score = held_out_rows(lambda d: model.predict(second, d), held_out, "quality")
+    return judged(model.predict(second, rest), "doc_id", ("0", "1"), beats_constant(score, "quality"))
 
 
 @query("m6_blend", """SELECT p_partkey, round(0.6 * p_retailprice + 0.4 * p_size + 1e-9, 4) + 0.0 AS prediction FROM part""")
@@ -307,20 +375,56 @@ def sql_names(names) -> str:
     return ", ".join(f"'{n}'" for n in names)
 
 
-@query("m7_permutation_importance", f"SELECT unnest([{sql_names(FEATURES)}]) AS feature, true AS in_range")
+PLANTED = ["planted", "constant", *FEATURES]
+
+
+def planted(t):
+    """Classes by hash, told by one feature (which errs in one row of ten); the texts' features know nothing of them."""
+    kind, wrong = F.pmod(C.portable_hash(F.col("doc_id"), 3), F.lit(3)), C.portable_hash(F.col("doc_id"), 4)
+    told = F.when(wrong % 10 == 0, F.pmod(wrong, F.lit(3))).otherwise(kind)
+    d = with_ratios(t).select("doc_id", *FEATURES, kind.cast("string").alias("kind"), told.cast("double").alias("planted"), F.lit(1.0).alias("constant"))
+    return stored(d, "planted")
+
+
+@query("m7_permutation_importance", f"""SELECT unnest([{sql_names(PLANTED)}]) AS feature, feature = 'planted' AS first, feature = 'planted' AS above_error,
+  CASE WHEN feature = 'constant' THEN 0.0 :: DOUBLE END AS exactly, true AS has_error""")
 def m7_importance(spark, t):
-    """Every feature once; a shuffled feature costs at most all accuracy."""
-    train, _ = labelled(t)
-    out = model.permutation_importance(forest("quality").fit(train), train, "doc_id", FEATURES, "quality")
-    return out.select("feature", F.col("importance").between(-1, 1).alias("in_range"))
+    """The planted feature comes first and stands out of its error, the constant one costs exactly nothing."""
+    rows = planted(t)
+    fit = model.classifier(PLANTED, "kind", trees=20, depth=6).fit(rows)
+    out = model.permutation_importance(lambda d: model.predict(fit, d), rows, "doc_id", PLANTED, "kind", repeats=3)
+    best = out.agg(F.max_by("feature", "importance")).first()[0]
+    return out.select("feature", (F.col("feature") == best).alias("first"),
+                      ((F.col("importance") > 0.2) & (F.col("importance") > 3 * F.col("error"))).alias("above_error"),
+                      F.when(F.col("feature") == "constant", F.col("importance")).alias("exactly"), (F.col("error") >= 0).alias("has_error"))
+
+
+def sql_number(i: int, x: str) -> str:
+    return f"('0x' || substr(md5('42:' || repeat || ':{i}:' || {x}), 1, 8)) :: BIGINT"
+
 
+SQL_ROUNDS = ", ".join(f"(l{i} + {sql_number(2 * i, f'r{i}')}) % a AS l{i + 1}, (r{i} + {sql_number(2 * i + 1, f'l{i + 1}')}) % b AS r{i + 1}" for i in range(4))
 
-@query("m7_model_importance", f"SELECT unnest([{sql_names(FEATURES)}]) AS feature, true AS in_range, 1.0 :: DOUBLE AS total")
+
+@query("m7_donors", f"""WITH RECURSIVE p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents),
+s AS (SELECT *, floor(sqrt(n - 1)) :: BIGINT + 1 AS a FROM p), q AS (SELECT *, (n + a - 1) // a AS b FROM s),
+w AS (SELECT doc_id, repeat, n, a, b, pos AS x, 0 AS step FROM q, (VALUES (1), (2), (3)) t(repeat)
+  UNION ALL SELECT doc_id, repeat, n, a, b, l4 * b + r4, step + 1 FROM (SELECT *, x // b AS l0, x % b AS r0, {SQL_ROUNDS} FROM w WHERE step = 0 OR x >= n))
+SELECT w.doc_id, repeat, d.doc_id AS donor FROM w JOIN p d ON d.pos = x WHERE step > 0 AND x < w.n""")
+def m7_donors(spark, t):
+    """Which document gives its value to which, in three repeats."""
+    rows = stored(dense_position(t.documents.select("doc_id"), [], ["doc_id"], "_at"), "numbered")
+    given = rows.select(F.col("_at").alias("_from"), F.col("doc_id").alias("donor"))
+    return rows.join(model.donors(rows, "doc_id", 3), "_at").join(given, "_from").select("doc_id", "repeat", "donor")
+
+
+@query("m7_model_importance", f"""SELECT unnest([{sql_names(PLANTED)}]) AS feature, feature = 'planted' AS first,
+  CASE WHEN feature = 'constant' THEN 0.0 :: DOUBLE END AS exactly, 1.0 :: DOUBLE AS total""")
 def m7_model_importance(spark, t):
-    train, _ = labelled(t)
-    found = model.model_importance(forest("quality").fit(train), FEATURES)
-    total = round(sum(found.values()), 6)
-    return table_of(spark, [(f, 0.0 <= x <= 1.0, total) for f, x in found.items()], "feature string, in_range boolean, total double")
+    found = model.model_importance(model.classifier(PLANTED, "kind", trees=20, depth=6).fit(planted(t)), PLANTED)
+    total, best = round(sum(found.values()), 6), max(found, key=found.get)
+    return table_of(spark, [(f, f == best, x if f == "constant" else None, total) for f, x in found.items()],
+                    "feature string, first boolean, exactly double, total double")
 
 
 @query("m8_cascade", f"SELECT doc_id, true AS known, true AS good FROM documents WHERE {SQL_TEST}")
@@ -333,7 +437,7 @@ def m8_cascade(spark, t):
     out = model.cascade(test.drop("lang"), first.select("doc_id", "prediction"), "doc_id", "en", "NON_en",
                         lambda rows: model.predict(second, rows))
     out = stored(out.join(test.select("doc_id", "lang"), "doc_id"), "cascade")
-    return judged(out, "doc_id", LANGUAGES, right(out, "lang"), 0.9)
+    return judged(out, "doc_id", LANGUAGES, beats_constant(out, "lang", 0.25))
 
 
 @query("chain_balanced_cascade", f"SELECT doc_id, true AS known, true AS good FROM documents WHERE {SQL_TEST}")
@@ -351,7 +455,7 @@ def chain_cascade(spark, t):
     path = scratch_path(spark, "answers")
     writers.write_sorted(out, path, "doc_id")
     back = readers.read_csv_files(spark, path, "doc_id long, prediction string").drop(readers.SOURCE)
-    return judged(back, "doc_id", LANGUAGES, right(back.join(test.select("doc_id", "lang"), "doc_id"), "lang"), 0.8)
+    return judged(back, "doc_id", LANGUAGES, beats_constant(back.join(test.select("doc_id", "lang"), "doc_id"), "lang", 0.5))
 
 
 @query("m8_cascade_wiring", """SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN 'en' WHEN n_chars % 3 = 0 THEN 'de' ELSE 'fr' END AS prediction FROM documents""")

@@ -213,11 +213,46 @@ def test_model_quality_floor(spark):
     train, test = rows.filter("doc_id % 4 <> 0"), rows.filter("doc_id % 4 = 0")
     fitted = model.classifier(names, "lang", trees=10, depth=6).fit(train)
     assert metrics.accuracy(model.predict(fitted, test), "prediction", "lang").first()[0] > 0.85
-    importance = model.permutation_importance(fitted, train.limit(200), "doc_id", names, "lang").collect()
+    importance = model.permutation_importance(lambda d: model.predict(fitted, d), train.limit(200), "doc_id", names, "lang", repeats=2).collect()
     assert len(importance) == len(names) and max(r["importance"] for r in importance) > 0.05
     assert sum(model.model_importance(fitted, names).values()) == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 257, 1000])
+def test_every_row_gives_once(spark, n):
+    """A bijection for every size, another one for another key."""
+    rows = spark.range(n).withColumnRenamed("id", "_at")
+    found = [r[0] for r in rows.select(model.permuted(F.col("_at"), n, "a")).collect()]
+    assert sorted(found) == list(range(n))
+    if n > 16:
+        other = [r[0] for r in rows.select(model.permuted(F.col("_at"), n, "b")).collect()]
+        assert found != other and sum(i == x for i, x in enumerate(found)) < 10
+
+
+def test_halving_keeps_the_best_and_sees_all_rows(spark):
+    """Candidates that learn nothing but the rows' number: who goes on, and on which rows."""
+    seen = {}
+
+    def candidate(name, wrong):
+        def fit(rows):
+            seen.setdefault(name, []).append({r["k"] for r in rows.collect()})
+            return lambda df: df.withColumn("prediction", F.when(F.col("k") % 10 < wrong, "no").otherwise(F.col("y")))
+        return model.Candidate(name, fit)
+
+    df = spark.range(1000).select(F.col("id").alias("k"), F.lit("yes").alias("y"))
+    train, valid = df.filter("k < 800"), df.filter("k >= 800")
+    scores, chosen = model.successive_halving(train, valid, [candidate(f"c{w}", w) for w in (5, 3, 1, 4, 2)], "k", "y", 0.2)
+    with pytest.raises(ValueError, match="repeat"):
+        model.successive_halving(train, valid, [candidate("c", 1)] * 2, "k", "y")
+    assert chosen.name == "c1" and max(seen["c1"], key=len) == set(range(800))
+    got = {(r["rung"], r["name"]): (r["n_valid"], r["n_right"]) for r in scores.collect()}
+    assert got[(1, "c5")] == (200, 100) and got[(1, "c3")] == (200, 140) and (2, "c5") not in got
+    sizes = sorted(seen["c1"], key=len)
+    assert all(a <= b for a, b in zip(sizes, sizes[1:]))
+    model.refit(chosen, train, valid)
+    assert len(seen["c1"][-1]) == 1000
+
+
 def test_regression_beats_the_mean(spark):
     part = spark.read.parquet("/root/testdata/sf0.01/part.parquet").select("p_partkey", "p_retailprice")
     train, test = part.filter("p_partkey % 4 <> 0"), part.filter("p_partkey % 4 = 0")
