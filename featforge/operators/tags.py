@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
 from ..functions.text import all_digits
-from .ordered import BLOCK, BLOCK_ROWS, PLACE, by_position, nearest_known, with_halo
+from ..session import stored
+from .ordered import BLOCK, BLOCK_ROWS, by_position, nearest_known, with_halo
 
 
 def tag_list(text: Column) -> Column:
@@ -22,60 +27,171 @@ def tag_list(text: Column) -> Column:
     return F.concat(*[starting(p) for p in ("O", "B_", "I_", "E_")])
 
 
-def correct_tags(df: DataFrame, group: list[str], pos: str, word: str, label: str,
-                 animals: Sequence[str] = V.ANIMAL_WORDS, hunter: str = V.HUNTER_WORD,
-                 titles: Sequence[str] = V.TITLE_WORDS, rulers: Sequence[str] = V.RULER_WORDS,
-                 selves: Sequence[str] = V.SELF_WORDS, ordinal: str = V.ORDINAL_WORD,
-                 out: str = "fixed", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Word and neighbour rules on predicted classes, as if applied row after row.
+class Rule(NamedTuple):
+    """What a row does when its turn comes, on the classes so far.
 
-    The rules in order: animal or hunter word -> 0; title word -> 9; ruler word ->
-    11; class 12 turns the previous row into 3; self word -> 0; the ordinal word two
-    rows before a number -> 4; class 4 two rows before class 17 makes the row
-    between 15. The last rule feeds the next row. That chain is settled without a
-    loop: a row whose outcome depends only on its predecessor flips the flag of the
-    last row that does not, so the distance to it (odd or even) decides.
+    It asks for one of ``words`` or a word that contains ``part``, for the row's class, for a number as the word some
+    rows on, for the class some (two or more) rows on: all that are given must hold. It sets the class of the row
+    before (-1), of its own (0) or of the next (1).
     """
-    w, o = F.col(word), F.col(label)
-    is_animal = w.isin(*animals) | w.contains(hunter)
-    is_title, is_ruler, is_self = w.isin(*titles), w.isin(*rulers), w.isin(*selves)
-    before_number = (w == ordinal) & F.coalesce(all_digits(F.col("_w2")), F.lit(False))
-
-    def near(frame: DataFrame) -> Window:
-        return Window.partitionBy(*group, BLOCK).orderBy(pos)
-
-    seen = with_halo(df, pos, 0, 2, block_rows)
-    seen = (seen.withColumn("_w2", F.lead(word, 2).over(near(seen)))
-            .withColumn("_o2", F.lead(label, 2).over(near(seen)))
-            .filter("_own").drop("_own", BLOCK))
-    two_ahead = F.coalesce(F.col("_o2") == "17", F.lit(False))
-    hit = F.coalesce(is_animal | is_title | is_ruler | is_self, F.lit(False))
-    r7 = F.coalesce(before_number, F.lit(False))
-    seen = (seen.withColumn("_r7", r7)
-            .withColumn("_free", two_ahead & ~r7 & F.coalesce(o == "4", F.lit(False)) & ~hit)
-            .withColumn("_fires", two_ahead & r7))
-
-    # Flag of every row: does it turn its successor into 15?
-    anchor = F.when(~F.col("_free"), F.col("_fires").cast("int"))
-    placed = nearest_known(by_position(seen, pos, block_rows), group, pos, anchor, "_a", bounded=False)
-    start = F.coalesce(F.col("_a.p"), F.lit(-1))
-    fired = F.coalesce(F.col("_a.v"), F.lit(0)) == 1
-    odd = (F.col(pos) - start) % 2 == 1
-    flag = F.when(F.col("_free"), odd != fired).otherwise(F.col("_fires"))
-    placed = placed.withColumn("_flag", flag).drop("_a", BLOCK, PLACE)
-
-    # Word rules after the previous row had its say, then the look-ahead at class 12.
-    linked = with_halo(placed, pos, 2, 1, block_rows)
-    before = F.coalesce(F.lag("_flag", 1).over(near(linked)), F.lit(False))
-    carried = F.when(before, F.lit("15")).otherwise(o)
-    after_words = (F.when(is_ruler, F.lit("11")).when(is_title, F.lit("9"))
-                   .when(is_animal, F.lit("0")).otherwise(carried))
-    linked = linked.withColumn("_p2", after_words)
-    settled = (F.when(F.col("_r7"), F.lit("4")).when(is_self, F.lit("0"))
-               .otherwise(F.col("_p2")))
-    final = F.when(F.lead("_p2", 1).over(near(linked)) == "12", F.lit("3")).otherwise(settled)
-    return (linked.withColumn(out, final).filter("_own")
-            .drop("_own", BLOCK, "_w2", "_o2", "_r7", "_free", "_fires", "_flag", "_p2"))
+
+    sets: tuple[int, str]
+    words: tuple[str, ...] = ()
+    part: str | None = None
+    label: str | None = None
+    number_at: int | None = None
+    label_at: tuple[int, str] | None = None
+
+
+def name_rules(animals: Sequence[str] = V.ANIMAL_WORDS, hunter: str = V.HUNTER_WORD, titles: Sequence[str] = V.TITLE_WORDS,
+               rulers: Sequence[str] = V.RULER_WORDS, selves: Sequence[str] = V.SELF_WORDS, ordinal: str = V.ORDINAL_WORD) -> list[Rule]:
+    """The correction of predicted name tags, in order."""
+    return [Rule((0, "0"), words=tuple(animals), part=hunter), Rule((0, "9"), words=tuple(titles)), Rule((0, "11"), words=tuple(rulers)),
+            Rule((-1, "3"), label="12"), Rule((0, "0"), words=tuple(selves)), Rule((0, "4"), words=(ordinal,), number_at=2),
+            Rule((1, "15"), label="4", label_at=(2, "17"))]
+
+
+#: Bit of a row whose word is a number; the bits below say which rules' words it is.
+_NUMBER = 62
+
+
+def _steps(rules: Sequence[Rule], names: list[str], states: list[int], hits: np.ndarray, code: np.ndarray, run: np.ndarray) -> tuple:
+    """For every row and state it can be met in: its class, the class it gives the row before (-1: none), the next state.
+
+    State 0 leaves a row's own class, the others are classes that the row before has set.
+    """
+    n = len(code)
+
+    def ahead(values: np.ndarray, d: int, none: int) -> np.ndarray:
+        out = np.full(n, none, dtype=values.dtype)
+        same = run[d:] == run[:n - d] if d < n else np.zeros(0, bool)
+        out[:len(same)][same] = values[d:][same]
+        return out
+
+    own, back, following = (np.empty((n, len(states)), dtype="int64") for _ in range(3))
+    for s, forced in enumerate(states):
+        now = code.copy() if s == 0 else np.full(n, forced)
+        before, after = np.full(n, -1), np.zeros(n, dtype="int64")
+        for i, rule in enumerate(rules):
+            hit = np.ones(n, bool)
+            if rule.words or rule.part is not None:
+                hit &= (hits >> i) & 1 == 1
+            if rule.label is not None:
+                hit &= now == names.index(rule.label)
+            if rule.number_at is not None:
+                hit &= (ahead(hits, rule.number_at, 0) >> _NUMBER) & 1 == 1
+            if rule.label_at is not None:
+                hit &= ahead(code, rule.label_at[0], -2) == names.index(rule.label_at[1])
+            where, to = rule.sets[0], names.index(rule.sets[1])
+            if where == 0:
+                now[hit] = to
+            elif where < 0:
+                before[hit] = to
+            else:
+                after[hit] = states.index(to)
+        own[:, s], back[:, s], following[:, s] = now, before, after
+    return own, back, following
+
+
+def _settled(own: np.ndarray, back: np.ndarray, following: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all rows, and the state after each, for every state in which its run can begin.
+
+    Maps from the first state of a run to the state after a row are composed over 1, 2, 4, ... rows.
+    """
+    n, states = own.shape
+    at = np.arange(n)
+    first = np.maximum.accumulate(np.where(start, at, 0))
+    to = following.copy()
+    d = 1
+    while d <= (at - first).max(initial=0):
+        inside = np.flatnonzero(at - d >= first)
+        to[inside] = np.take_along_axis(to[inside], to[inside - d], axis=1)
+        d *= 2
+    into = np.tile(np.arange(states), (n, 1))
+    later = np.flatnonzero(~start)
+    into[later] = to[later - 1]
+    code, given = np.take_along_axis(own, into, axis=1), np.take_along_axis(back, into, axis=1)
+    rows = later - 1
+    code[rows] = np.where(given[later] >= 0, given[later], code[rows])
+    return code, to
+
+
+def apply_rules(df: DataFrame, group: list[str], pos: str, word: str, label: str, rules: Sequence[Rule], out: str = "fixed",
+                block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rules on predicted classes as if applied row after row: adds the final class ``out``.
+
+    ``pos`` is the dense position in the group. The class that a row may set for the next is the state of a machine
+    with a handful of states, a row is a map of states. Rows are sorted once, in blocks with a few rows of the next
+    block; a task composes the maps of a block for every state in which it can begin, and a table of one map per block
+    (of groups with several) tells in which it does. NULL words and classes meet no rule; a look beyond the end fails.
+    """
+    for r in rules:
+        if r.sets[0] not in (-1, 0, 1) or (r.label_at and r.label_at[0] < 2) or (r.number_at is not None and r.number_at < 1):
+            raise ValueError(f"a rule reaches too far or not far enough: {r}")
+    if len(rules) >= _NUMBER:
+        raise ValueError("too many rules")
+    rules = list(rules)
+    names = sorted({r.sets[1] for r in rules} | {r.label for r in rules if r.label is not None} | {r.label_at[1] for r in rules if r.label_at})
+    states = [-1, *sorted({names.index(r.sets[1]) for r in rules if r.sets[0] == 1})]
+    reach = 1 + max([0, *(r.label_at[0] for r in rules if r.label_at), *(r.number_at for r in rules if r.number_at)])
+    w = F.col(word)
+    bits = F.when(F.coalesce(all_digits(w), F.lit(False)), F.lit(1 << _NUMBER)).otherwise(F.lit(0).cast("long"))
+    for i, r in enumerate(rules):
+        hit = w.isin(*r.words) if r.words else F.lit(False)
+        hit = hit | w.contains(r.part) if r.part is not None else hit
+        bits = bits + F.when(F.coalesce(hit, F.lit(False)), F.lit(1 << i)).otherwise(F.lit(0).cast("long"))
+    known = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in names]), F.col(label)) - 1, F.lit(-1))
+    seen = with_halo(df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
+                               F.col(pos).cast("long").alias("_at"), bits.cast("long").alias("_hits"), known.cast("int").alias("_code")),
+                     "_at", 0, reach, block_rows)
+    keys = [f"_g{i}" for i in range(len(group))]
+    placed = seen.repartition(*keys, BLOCK).sortWithinPartitions(*keys, BLOCK, "_at")
+    schema = placed.select("_row", *keys, F.col(BLOCK).cast("long").alias(BLOCK)).schema
+    schema = schema.add("_codes", T.ArrayType(T.IntegerType())).add("_map", T.ArrayType(T.IntegerType()))
+    columns = placed.select("_row", *keys, F.col(BLOCK).cast("long").alias(BLOCK), "_at", "_own", "_hits", "_code")
+    n_keys = len(keys)
+    width = max(block_rows, reach, 1)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def settle(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+            block, at, own, hits, code = (t.column(n_keys + 1 + i).to_numpy(zero_copy_only=False) for i in range(5))
+            start = at == block * width
+            codes, after = _settled(*_steps(rules, names, states, hits, code.astype("int64"), np.cumsum(start)), start)
+            last = own & ~np.append(own[1:], True)  # own rows that rows of the next block follow
+            mine = np.flatnonzero(own)
+            pack = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * len(states), pa.int32()), pa.array(m.ravel().astype("int32")))
+            maps = pack(after[mine]).filter(pa.array(last[mine]))
+            spots = np.full(len(mine), -1)
+            spots[last[mine]] = np.arange(int(last[mine].sum()))
+            maps = maps.take(pa.array(spots, mask=spots < 0))
+            t = t.take(pa.array(mine))
+            yield pa.RecordBatch.from_arrays([*t.columns[:n_keys + 2], pack(codes[mine]), maps], schema.names)
+
+        for batch in batches:
+            starts = np.flatnonzero(batch.column(n_keys + 2).to_numpy() == batch.column(n_keys + 1).to_numpy() * width)
+            if len(starts) and (held or starts[-1]):
+                held.append(batch.slice(0, starts[-1]))
+                yield from settle(held)
+                held, batch = [], batch.slice(starts[-1])
+            held.append(batch)
+        if held:
+            yield from settle(held)
+
+    done = columns.mapInArrow(run, schema)
+    done = stored(done, "ruled")
+    maps = done.filter("_map IS NOT NULL").select(*keys, BLOCK, "_map")
+    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = stored(maps.select(*[F.col(k).alias(f"_c{k}") for k in keys], (F.col(BLOCK) + 1).alias("_cb"), F.aggregate(
+        F.collect_list("_map").over(earlier), F.lit(0), lambda s, m: m[s]).alias("_state")), "states")
+    same = F.col(BLOCK) == F.col("_cb")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_c{k}"))
+    code = F.col("_codes")[F.coalesce("_state", F.lit(0))]
+    final = F.when(code >= 0, F.array(*[F.lit(x) for x in names])[F.greatest(code, F.lit(0))]).otherwise(F.col(f"_row.{label}"))
+    return done.join(carried, same, "left").select("_row.*", final.alias(out))
 
 
 def entity_spans(df: DataFrame, group: list[str], pos: str, tags: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -193,28 +193,52 @@ def classes(word):
     return F.when(n == 2, "4").when(n == 3, "17").when(n == 4, "12").when(n == 5, "4").otherwise("1")
 
 
-SQL_RULES = f"""WITH {SQL_LONG},
-s AS (SELECT doc_id, pos, word, {SQL_CLASS} AS o FROM k),
-f AS (SELECT *, coalesce(lead(o, 2) OVER w = '17', false) AS q,
-    coalesce(word = 'in' AND regexp_matches(lead(word, 2) OVER w, '^[0-9]+$'), false) AS r7,
-    CASE WHEN word IN ('of', 'und') THEN '11' WHEN word IN ('of', 'de', 'en') THEN '9'
-      WHEN word IN ('the', 'der', 'le') OR contains(word, 'tion') THEN '0' END AS forced,
-    word IN ('and', 'la') AS self FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-g AS (SELECT *, q AND NOT r7 AND o = '4' AND forced IS NULL AND NOT self AS free FROM f),
-h AS (SELECT *, last_value(CASE WHEN NOT free THEN pos END IGNORE NULLS) OVER w AS a,
-    last_value(CASE WHEN NOT free THEN q AND r7 END IGNORE NULLS) OVER w AS fa FROM g
-  WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
-i AS (SELECT *, CASE WHEN free THEN ((pos - coalesce(a, -1)) % 2 = 1) <> coalesce(fa, false) ELSE q AND r7 END AS flag FROM h),
-j AS (SELECT *, coalesce(forced, CASE WHEN lag(flag, 1, false) OVER w THEN '15' ELSE o END) AS p2 FROM i
-  WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
-SELECT doc_id, pos, CASE WHEN lead(p2) OVER (PARTITION BY doc_id ORDER BY pos) = '12' THEN '3'
-  WHEN r7 THEN '4' WHEN self THEN '0' ELSE p2 END AS fixed FROM j"""
+def sql_walk(states: str, fields: str, outcome: str, before: str) -> str:
+    """Rules row after row: ``states`` is a text of the next state for each state a row is met in, ``outcome`` the class
+    in state ``s``, ``before`` the class that the next row, met in state ``s``, gives (NULL: none)."""
+    return f"""WITH {SQL_LONG}, s AS (SELECT doc_id, pos, word, {SQL_CLASS} AS o FROM k),
+f AS (SELECT *, {fields} FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+n AS (SELECT doc_id, list({states} ORDER BY pos) AS n FROM f GROUP BY doc_id),
+v AS (SELECT doc_id, list_reduce(n, lambda met, x: met || x[right(met, 1) :: INTEGER + 1], '0') AS met FROM n),
+i AS (SELECT f.*, met[pos + 1] AS s FROM f JOIN v USING (doc_id)),
+j AS (SELECT doc_id, pos, {outcome} AS own, lead({before}) OVER (PARTITION BY doc_id ORDER BY pos) AS given FROM i)
+SELECT doc_id, pos, coalesce(given, own) AS fixed FROM j"""
+
+
+SQL_WORDS = """CASE WHEN word IN ('of', 'und') THEN '11' WHEN word IN ('of', 'de', 'en') THEN '9'
+  WHEN word IN ('the', 'der', 'le') OR contains(word, 'tion') THEN '0' END"""
+SQL_LAST = """CASE WHEN r7 THEN '4' WHEN word IN ('and', 'la') THEN '0' ELSE coalesce(forced, {carried}) END"""
+SQL_RULES = sql_walk(
+    f"(CASE WHEN q AND {SQL_LAST.format(carried='o')} = '4' THEN '1' ELSE '0' END) || (CASE WHEN q AND {SQL_LAST.format(carried=chr(39) + '15' + chr(39))} = '4' THEN '1' ELSE '0' END)",
+    f"""coalesce(lead(o, 2) OVER w = '17', false) AS q, {SQL_WORDS} AS forced,
+    coalesce(word = 'in' AND regexp_matches(lead(word, 2) OVER w, '^[0-9]+$'), false) AS r7""",
+    SQL_LAST.format(carried="CASE s WHEN '1' THEN '15' ELSE o END"),
+    "CASE WHEN coalesce(forced, CASE s WHEN '1' THEN '15' ELSE o END) = '12' THEN '3' END")
 
 
 @query("t12_tag_rules", SQL_RULES)
 def t12_rules(spark, t):
     tokens = long_tokens(t).withColumn("o", classes(F.col("word")))
-    return tags.correct_tags(tokens, ["doc_id"], "pos", "word", "o", **RULES).select("doc_id", "pos", "fixed")
+    return tags.apply_rules(tokens, ["doc_id"], "pos", "word", "o", tags.name_rules(**RULES)).select("doc_id", "pos", "fixed")
+
+
+#: Another list: three states, a class that hands itself on, a look at one's own class after it was set.
+CHAIN = [tags.Rule((1, "7"), words=("the", "la", "de")), tags.Rule((1, "8"), label="7"), tags.Rule((0, "2"), label="8", label_at=(3, "12")),
+         tags.Rule((-1, "6"), label="2"), tags.Rule((1, "7"), label="17"), tags.Rule((0, "1"), label="4", number_at=1)]
+SQL_STEP = """CASE WHEN {l} = '17' THEN '1' WHEN {l} = '7' THEN '2' WHEN word IN ('the', 'la', 'de') THEN '1' ELSE '0' END"""
+SQL_NOW = "(CASE WHEN {l} = '8' AND far THEN '2' ELSE {l} END)"
+SQL_MET = "(CASE s WHEN '1' THEN '7' WHEN '2' THEN '8' ELSE o END)"
+SQL_CHAIN = sql_walk(
+    " || ".join(SQL_STEP.format(l=x) for x in ("o", "'7'", "'8'")),
+    "coalesce(lead(o, 3) OVER w = '12', false) AS far, coalesce(regexp_matches(lead(word) OVER w, '^[0-9]+$'), false) AS number",
+    f"CASE WHEN {SQL_NOW.format(l=SQL_MET)} = '4' AND number THEN '1' ELSE {SQL_NOW.format(l=SQL_MET)} END",
+    f"CASE WHEN {SQL_NOW.format(l=SQL_MET)} = '2' THEN '6' END")
+
+
+@query("t12_rule_chain", SQL_CHAIN)
+def t12_chain(spark, t):
+    tokens = long_tokens(t).withColumn("o", classes(F.col("word")))
+    return tags.apply_rules(tokens, ["doc_id"], "pos", "word", "o", CHAIN).select("doc_id", "pos", "fixed")
 
 
 @query("e5_entity_scores", f"""WITH {SQL_LONG},

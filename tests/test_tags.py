@@ -33,7 +33,7 @@ def told_in_order(words, labels):
 
 
 @pytest.mark.parametrize("size", [6, 1 << 20])
-def test_correct_tags(spark, size):
+def test_name_rules(spark, size):
     rng = random.Random(3)
     rows, want = [], {}
     for doc in range(40):
@@ -43,11 +43,56 @@ def test_correct_tags(spark, size):
         want.update({(doc, i): v for i, v in enumerate(told_in_order(words, labels))})
         rows += [(doc, i, w, o) for i, (w, o) in enumerate(zip(words, labels))]
     df = spark.createDataFrame(rows, "doc int, pos long, w string, o string")
-    got = tags.correct_tags(df, ["doc"], "pos", "w", "o", block_rows=size).collect()
+    got = tags.apply_rules(df, ["doc"], "pos", "w", "o", tags.name_rules(), block_rows=size).collect()
     assert len(got) == len(want)
     assert {(r["doc"], r["pos"]): r["fixed"] for r in got} == want
 
 
+def walked(rules, words, labels):
+    """Any rule list, applied row after row."""
+    p, n = dict(enumerate(labels)), len(words)
+    for i in range(n):
+        for r in rules:
+            word_hit = not (r.words or r.part is not None) or words[i] is not None and (
+                words[i] in r.words or r.part is not None and r.part in words[i])
+            number = r.number_at is None or i + r.number_at < n and (words[i + r.number_at] or "").isdigit()
+            later = r.label_at is None or i + r.label_at[0] < n and p[i + r.label_at[0]] == r.label_at[1]
+            if word_hit and number and later and (r.label is None or p[i] == r.label) and 0 <= i + r.sets[0] < n:
+                p[i + r.sets[0]] = r.sets[1]
+    return [p[i] for i in range(n)]
+
+
+@pytest.mark.parametrize("size", [3, 10, 1 << 20])
+def test_any_rules_in_any_blocks(spark, size):
+    """Random rule lists, NULL words, classes and groups; chains that run over many blocks."""
+    rng = random.Random(size)
+    names, words = ["a", "b", "c", None], ["x", "y", "yz", "1", None]
+    for trial in range(3):
+        rules = []
+        for _ in range(6):
+            rules.append(tags.Rule((rng.choice([-1, 0, 1, 1]), rng.choice("abc")), words=rng.choice([(), (), ("x",), ("y", "1")]),
+                                   part=rng.choice([None, None, "z"]), label=rng.choice([None, "a", "b", "c"]),
+                                   number_at=rng.choice([None, None, 1, 2]), label_at=rng.choice([None, None, (2, "a"), (3, "b")])))
+        rules.append(tags.Rule((1, "a"), label="a"))
+        rows, want = [], {}
+        for doc in [None, *range(8)]:
+            n = rng.choice([1, 2, 15, 90])
+            w, p = rng.choices(words, k=n), rng.choices(names, k=n)
+            want.update({(doc, i): x for i, x in enumerate(walked(rules, w, p))})
+            rows += [(doc, i, a, b, "kept") for i, (a, b) in enumerate(zip(w, p))]
+        df = spark.createDataFrame(rows, "doc int, pos long, w string, o string, _row string").repartition(3)
+        got = tags.apply_rules(df, ["doc"], "pos", "w", "o", rules, block_rows=size).collect()
+        assert {(r["doc"], r["pos"]): r["fixed"] for r in got} == want and {r["_row"] for r in got} == {"kept"}
+
+
+def test_rules_that_reach_too_far(spark):
+    df = spark.createDataFrame([], "d int, p long, w string, o string")
+    for rule in (tags.Rule((2, "a")), tags.Rule((0, "a"), label_at=(1, "b"))):
+        with pytest.raises(ValueError, match="reaches"):
+            tags.apply_rules(df, ["d"], "p", "w", "o", [rule])
+    assert tags.apply_rules(df, ["d"], "p", "w", "o", [tags.Rule((0, "a"))]).collect() == []
+
+
 def spans_of(seq):
     """Entities of one tag list, found by walking over it."""
     out, start, prev = set(), None, ("O", "")
