@@ -484,3 +484,74 @@ def st1_stream(spark, t):
     return back.select("event_type", F.unix_timestamp("window_start").alias("window_start"), "n",
                        C.rounded(F.col("mean"), 4).alias("mean"), C.rounded(F.col("std"), 4).alias("std"),
                        C.rounded(F.col("var"), 3).alias("var"))
+
+
+# Arrival of the events: by quarter of the time range, some a quarter later, some two; the last quarter ends the stream.
+SQL_ARRIVAL = f"""e AS (SELECT *, min(ts) OVER () AS t0, max(ts) OVER () AS t1, {sql_hash('event_id')} AS h FROM events),
+d AS (SELECT *, least(3, floor(4 * (epoch_us(ts) - epoch_us(t0)) / (epoch_us(t1) - epoch_us(t0) + 1)))::INTEGER AS due FROM e),
+a AS (SELECT *, least(3, due + CASE WHEN h % 7 = 0 THEN 2 WHEN h % 5 = 0 THEN 1 ELSE 0 END) AS batch FROM d),
+m AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 12 HOUR AS mark FROM a GROUP BY batch),
+w AS (SELECT a.*, mark, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start FROM a JOIN m USING (batch))"""
+
+
+def arriving(spark, t, again: bool = False) -> tuple:
+    """(stream, start) where ``start(i)`` delivers batch i as one file; ``again`` delivers some events twice."""
+    e = t.events.select("event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    t0, t1 = e.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    h = C.portable_hash(F.col("event_id"))
+    due = F.least(F.lit(3), F.floor(4 * (F.unix_micros("ts") - t0) / (t1 - t0 + 1)))
+    late = F.when(h % 7 == 0, 2).when(h % 5 == 0, 1).otherwise(0)
+    batch = F.least(F.lit(3), due + late).cast("int")
+    if again:  # on time, and once more in the same or the next batch
+        e = e.withColumn("_b", F.explode(F.when(h % 3 == 0, F.array(due, due, F.least(F.lit(3), due + 1))).otherwise(F.array(due))))
+    else:
+        e = e.withColumn("_b", batch)
+    e, path = stored(e, "arrivals"), scratch_path(spark, "arriving")
+
+    def deliver(i: int) -> None:
+        e.filter(F.col("_b") == i).drop("_b").coalesce(1).write.parquet(f"{path}/delivery{i}")
+
+    deliver(0)
+    return stream.read_stream(spark, f"{path}/*", e.drop("_b").schema, files_per_trigger=1), deliver
+
+
+@query("st1_append_late_rows", f"""WITH {SQL_ARRIVAL}
+SELECT event_type, epoch(start) :: BIGINT AS window_start, count(value) AS n, round(avg(value) + 1e-9, 4) + 0.0 AS mean FROM w
+WHERE (mark IS NULL OR start + INTERVAL 6 HOUR > mark) AND start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 12 HOUR FROM a)
+GROUP BY ALL""")
+def st1_append(spark, t):
+    """Append mode over four deliveries, restarted from the checkpoint for each: rows whose window has closed are
+    dropped, windows come out once, when the watermark has passed them."""
+    rows, deliver = arriving(spark, t)
+    stats = stream.window_statistics(rows, "ts", ["event_type"], "value", "6 hours", "12 hours")
+    path = scratch_path(spark, "stream")
+    for i in range(4):
+        if i:
+            deliver(i)
+        stream.write_available(stats, f"{path}/rows", f"{path}/state")
+    return spark.read.parquet(f"{path}/rows").select("event_type", F.unix_timestamp("window_start").alias("window_start"), "n",
+                                                     C.rounded(F.col("mean"), 4).alias("mean"))
+
+
+@query("st1_dropped_rows", f"""WITH {SQL_ARRIVAL} SELECT event_id, batch :: INTEGER AS batch FROM w WHERE start + INTERVAL 6 HOUR <= mark""")
+def st1_dropped(spark, t):
+    """The rows that come too late for their window, told from the deliveries alone."""
+    e = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    t0, t1 = e.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    h = C.portable_hash(F.col("event_id"))
+    due = F.least(F.lit(3), F.floor(4 * (F.unix_micros("ts") - t0) / (t1 - t0 + 1)))
+    placed = e.withColumn("batch", F.least(F.lit(3), due + F.when(h % 7 == 0, 2).when(h % 5 == 0, 1).otherwise(0)).cast("int"))
+    return stream.late_rows(placed, "ts", "batch", "6 hours", "12 hours").select("event_id", "batch")
+
+
+@query("st1_duplicates_within_watermark", "SELECT event_id, event_type FROM events")
+def st1_duplicates(spark, t):
+    """Events delivered up to three times come out once, over a restart."""
+    rows, deliver = arriving(spark, t, again=True)
+    once = stream.without_duplicates(rows, ["event_id"], "ts", "100 days")
+    path = scratch_path(spark, "stream")
+    for batches in ((1,), (2, 3)):
+        for i in batches:
+            deliver(i)
+        stream.write_available(once.select("event_id", "event_type"), f"{path}/rows", f"{path}/state")
+    return spark.read.parquet(f"{path}/rows")

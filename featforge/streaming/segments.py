@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,25 @@ def window_statistics(df: DataFrame, time: str, keys: Sequence[str], value: str,
             .select(*keys, F.col("_w.start").alias("window_start"), "n", "mean", "std", "var"))
 
 
+def without_duplicates(df: DataFrame, keys: Sequence[str], time: str, delay: str) -> DataFrame:
+    """Rows of a stream whose keys have not come before within ``delay`` of event time; state is kept no longer."""
+    return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
+def late_rows(df: DataFrame, time: str, batch: str, length: str, delay: str) -> DataFrame:
+    """The rows that ``window_statistics`` drops in append mode when rows arrive in the batches that ``batch`` numbers.
+
+    A batch's watermark is the greatest time of all earlier batches less ``delay``; a row is late when its window ends
+    at or before it. A batch is what one run of ``write_available`` reads; inside a run of several micro-batches the
+    mark lags by one more. For checking a stream against its input; there is one figure for each batch.
+    """
+    greatest = df.groupBy(F.col(batch).alias("_b")).agg(F.max(time).alias("_t"))
+    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    marks = greatest.select("_b", (F.max("_t").over(earlier) - F.expr(f"INTERVAL {delay}")).alias("_mark"))
+    end = F.window(F.col(time), length)["end"]
+    return df.join(marks, F.col(batch) == F.col("_b")).filter(end <= F.col("_mark")).drop("_b", "_mark")
+
+
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None,
                 pattern: str | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
