@@ -14,7 +14,7 @@ from ..functions import fixed_values as V
 from ..functions import text as X
 from ..operators import align, balance, clean, profile, sequence
 from ..session import scratch_path
-from ..sources import readers, writers
+from ..sources import named_files, readers, writers
 from .registry import query
 
 # --- sources and sinks ---------------------------------------------------------
@@ -75,7 +75,7 @@ def s4_line_files(spark, t):
 @query("s5_array_files", """SELECT 'v' || vec_id AS id, unnest(range(0, 64)) // 8 AS t,
   (unnest(range(0, 64)) % 8) :: INTEGER AS channel, unnest(embedding) :: DOUBLE AS value FROM embeddings""")
 def s5_arrays(spark, t):
-    """Array files as the binary source lists them: a path and the bytes of a (time, 8) array."""
+    """Every vector as a (time, 8) array in a file of its own, written, listed and read."""
     def encode(batches):
         for b in batches:
             content = []
@@ -83,10 +83,11 @@ def s5_arrays(spark, t):
                 buffer = io.BytesIO()
                 np.save(buffer, np.asarray(v, dtype="float32").reshape(-1, 8))
                 content.append(buffer.getvalue())
-            yield pd.DataFrame({"path": "/recordings/v" + b["vec_id"].astype(str) + ".npy", "content": content})
+            yield pd.DataFrame({"name": "v" + b["vec_id"].astype(str) + ".npy", "content": content})
 
-    files = t.embeddings.select("vec_id", "embedding").mapInPandas(encode, "path string, content binary")
-    return readers.decode_arrays(files)
+    path = scratch_path(spark, "recordings")
+    named_files.write_named_files(t.embeddings.select("vec_id", "embedding").mapInPandas(encode, "name string, content binary"), "name", "content", path)
+    return readers.read_array_files(spark, path)
 
 
 @query("s6_nested_table", """SELECT vec_id, label, len(embedding) AS n, embedding[1] :: DOUBLE AS first_value FROM embeddings""")
@@ -95,13 +96,16 @@ def s6_nested(spark, t):
                                C.at_index(F.col("embedding"), 0).cast("double").alias("first_value"))
 
 
-@query("s7_image_manifest", """SELECT 'd' || d.doc_id || '.v1.jpg' AS file_name, n_chars AS length,
+@query("s7_image_manifest", """SELECT 'd' || d.doc_id || '.v1.jpg' AS file_name, coalesce(n_chars, 0) + 3 AS length,
   CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END AS class FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def s7_manifest(spark, t):
-    name = F.concat(F.lit("/images/d"), F.col("doc_id"), F.lit(".v1.jpg"))
-    images = t.documents.select(name.alias("path"), F.col("n_chars").alias("length"))
-    marks = t.labels.select(F.concat(F.lit("/labels/d"), F.col("doc_id"), F.lit(".txt")).alias("path"))
-    return readers.image_manifest(images, marks)
+    """Folders with an image file for each document and a label file for each labelled one, written and listed."""
+    path = scratch_path(spark, "images")
+    images = t.documents.select(F.concat(F.lit("d"), F.col("doc_id"), F.lit(".v1.jpg")).alias("name"), F.repeat(F.lit("."), F.coalesce(F.col("n_chars"), F.lit(0)).cast("int") + 3).alias("content"))
+    marks = t.labels.select(F.concat(F.lit("d"), F.col("doc_id"), F.lit(".txt")).alias("name"), F.lit("0 0 0 1 1").alias("content"))
+    named_files.write_named_files(images, "name", "content", f"{path}/images")
+    named_files.write_named_files(marks, "name", "content", f"{path}/labels")
+    return readers.read_image_manifest(spark, f"{path}/images", f"{path}/labels")
 
 
 @query("s8_literal_table", """SELECT o_orderkey, v.code FROM orders JOIN (VALUES ('F', 0), ('O', 1), ('P', 2)) v(s, code)
