@@ -113,7 +113,7 @@ STEPS = ("clip", "band", "down")
 def preprocess_chunks(df: DataFrame, array: str, length: int, low: float, high: float, fs: float,
                       order: int = 5, steps: Sequence[str] = STEPS, frame: int = 256) -> DataFrame:
     """Clip, band-pass and halve every chunk, in the order of ``steps``; further steps are ``autocorrelate`` and,
-    as the last one, ``stft`` with frames of ``frame`` values.
+    as the last one, ``stft`` with frames of ``frame`` values. ``recursive`` is the band-pass by recursion.
 
     A chunk is an array of values or of (time, channel). One projection: nothing is shuffled. ``fs`` is the rate
     of the input; the filter that runs after halving sees half of it. A chunk shorter than ``length`` gives NULL.
@@ -125,6 +125,8 @@ def preprocess_chunks(df: DataFrame, array: str, length: int, low: float, high:
             c = clip(c, length)
         elif step == "band":
             c = S.band_pass(c, low, high, rate, order, channels)
+        elif step == "recursive":
+            c = S.recursive_band_pass(c, low, high, rate, order, channels)
         elif step == "down":
             c, rate = S.resample_half(c, channels), rate / 2
         elif step == "autocorrelate":

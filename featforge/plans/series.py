@@ -374,6 +374,46 @@ def g8_band_pass(spark, t):
     return elements(t.embeddings.select("vec_id", band.alias("b")), ["vec_id"], "b", "filtered")
 
 
+def sql_sections(sections, edge: int, n: int) -> str:
+    """The filter as a recursion over time, all sections in one step, forward and then backward."""
+    k = len(sections)
+
+    def start(x: str) -> str:
+        b0, b1, b2, _, _ = (float(v) for v in sections[0])
+        zero = ", ".join(f"0.0 :: DOUBLE AS p{i}, 0.0 :: DOUBLE AS q{i}" for i in range(1, k))
+        return f"({b1!r} + {b2!r}) * {x} AS p0, {b2!r} * {x} AS q0" + (f", {zero}" if zero else "")
+
+    def step(x: str) -> str:
+        parts, last = [], x
+        for i, row in enumerate(sections):
+            b0, b1, b2, a1, a2 = (f"({float(v)!r})" for v in row)
+            parts.append(f"{b0} * {last} + p{i} AS y{i}, {b1} * {last} - {a1} * y{i} + q{i} AS np{i}, {b2} * {last} - {a2} * y{i} AS nq{i}")
+            last = f"y{i}"
+        return ", ".join(parts)
+
+    state = ", ".join(f"p{i}, q{i}" for i in range(k))
+    new = ", ".join(f"np{i}, nq{i}" for i in range(k))
+
+    def walk(name: str, source: str) -> str:
+        return f"""{name} AS (SELECT vec_id, x, 0 AS t, 0.0 :: DOUBLE AS y, {start("x[1]")} FROM {source}
+  UNION ALL SELECT vec_id, x, t + 1, y{k - 1}, {new} FROM (SELECT *, {step("x[t + 1]")} FROM {name} WHERE t < len(x)))"""
+
+    return f"""WITH RECURSIVE e AS (SELECT vec_id, embedding :: DOUBLE[] AS v FROM embeddings),
+x0 AS (SELECT vec_id, list_concat(list_transform(range({edge}, 0, -1), lambda i: 2 * v[1] - v[i + 1]), v,
+  list_transform(range(1, {edge + 1}), lambda i: 2 * v[{n}] - v[{n} - i])) AS x FROM e),
+{walk("f", "x0")},
+x1 AS (SELECT vec_id, list(y ORDER BY t DESC) AS x FROM f WHERE t > 0 GROUP BY vec_id),
+{walk("b", "x1")}
+SELECT vec_id, ({n + 2 * edge} - t - {edge}) :: INTEGER AS t, round(y + 1e-9, 5) + 0.0 AS filtered FROM b WHERE t BETWEEN {edge + 1} AND {n + edge}"""
+
+
+@query("g8_recursive_band_pass", sql_sections(S.band_pass_sections(13, 32, 125.0, 5), 33, 64))
+def g8_recursive(spark, t):
+    """Forward and backward by recursion, edges included."""
+    band = S.recursive_band_pass(F.col("embedding").cast(S.DOUBLES), 13, 32, 125.0, 5)
+    return elements(t.embeddings.select("vec_id", band.alias("b")), ["vec_id"], "b", "filtered")
+
+
 @query("g8_band_energy", f"""WITH {SQL_ARRAY_DFT}
 SELECT vec_id, round(sum(re * re + im * im) + 1e-9, 5) + 0.0 AS energy FROM z
 WHERE k * 125.0 / 64 BETWEEN 13 AND 32 AND k BETWEEN 1 AND 31 GROUP BY vec_id""")

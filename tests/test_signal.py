@@ -127,3 +127,28 @@ def test_channels_equal_single_arrays(spark, steps):
         one = spark.createDataFrame([(i, d[:, c].tolist()) for i, d in enumerate(data)], "i int, a array<double>")
         for r in signal.preprocess_chunks(one, "a", *args, steps=steps, frame=16).collect():
             np.testing.assert_allclose(np.array(got[r["i"]])[..., c], np.array(r["a"]), atol=1e-9)
+
+
+def test_sections_have_the_gain_of_the_filter():
+    """Squared gain 1 / (1 + x ** 2n) at every frequency, for narrow, wide and odd bands."""
+    for low, high, fs, order in ((13, 32, 125.0, 5), (0.5, 60, 125.0, 4), (10, 10.5, 250.0, 2), (1, 40, 100.0, 1), (1, 49, 100.0, 3)):
+        sections = S.band_pass_sections(low, high, fs, order)
+        assert sections.shape == (order, 5)
+        freq = np.linspace(0.01, fs / 2 - 0.01, 200)
+        z = np.exp(-2j * np.pi * freq / fs)
+        gain = np.prod([(b0 + b1 * z + b2 * z * z) / (1 + a1 * z + a2 * z * z) for b0, b1, b2, a1, a2 in sections], axis=0)
+        w, w1, w2 = np.tan(np.pi * freq / fs), np.tan(np.pi * low / fs), np.tan(np.pi * high / fs)
+        assert np.allclose(np.abs(gain) ** 2, 1 / (1 + ((w * w - w1 * w2) / ((w2 - w1) * w)) ** (2 * order)), atol=1e-8)
+
+
+def test_recursive_band_pass_keeps_the_band_and_drops_the_rest(spark):
+    t = np.arange(500) / 125.0
+    inside, outside = np.sin(2 * np.pi * 20 * t), np.sin(2 * np.pi * 3 * t) + 5
+    rows = [(0, (inside + outside).tolist()), (1, [7.0] * 500), (2, [1.0] * 33), (3, None), (4, [1.0, None] * 250)]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    got = {r["id"]: r["b"] for r in df.select("id", S.recursive_band_pass(F.col("v"), 13, 32, 125.0, 5).alias("b")).collect()}
+    assert np.abs(np.array(got[0])[100:-100] - inside[100:-100]).max() < 0.02
+    assert np.abs(np.array(got[1])).max() < 1e-9 and got[2] is None and got[3] is None and got[4] is None
+    both = spark.createDataFrame([(np.stack([inside + outside, inside], axis=1).tolist(),)], "v array<array<double>>")
+    two = np.array(both.select(S.recursive_band_pass(F.col("v"), 13, 32, 125.0, 5, channels=True).alias("b")).first()["b"])
+    assert two.shape == (500, 2) and np.allclose(two[:, 0], got[0])
