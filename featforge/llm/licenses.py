@@ -34,8 +34,8 @@ TEMPLATES = {
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CONTAINMENT = 0.8
-#: Words per text block; blocks overlap by half, so a passage of half that length stands in one block as a whole.
-BLOCK = 64
+#: A notice may be stretched to so many times its words; no window is shorter than the second figure.
+STRETCH, WINDOW = 4, 64
 
 
 def words(text: Column) -> Column:
@@ -93,56 +93,81 @@ def prefixes(sets: dict[str, list[str]], frequency: dict[str, int], containment:
     return out
 
 
+def window_of(template: str) -> int:
+    """Words of the windows a template is looked for in: the first of 64, 128, 256, ... that holds it stretched."""
+    table = str.maketrans(UPPER, UPPER.lower())
+    size = WINDOW
+    while size < STRETCH * len(re.findall(PLAIN_WORD, template.translate(table))):
+        size *= 2
+    return size
+
+
 def notice_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None,
-                   containment: float = CONTAINMENT, block: int = BLOCK) -> DataFrame:
-    """Every (text block, template) with enough of the template's words in the block.
+                   containment: float = CONTAINMENT) -> DataFrame:
+    """Every (text block, template) where some window in the block holds enough of the template's words.
 
-    Returns (key, _text, template, block_start, block_end, overlap, containment): ``_text`` is a hash of the
-    text, positions count words from 0, the end is exclusive.
+    Returns (key, _text, template, start, end, overlap, containment) with the best window of each block (the first of
+    equal ones): ``_text`` is a hash of the text, positions count words from 0, the end is exclusive. The length of the
+    windows follows from the template, see ``window_of``. Blocks are twice as long and overlap by half, so every window
+    of the text lies in a block.
     Exact join by prefix filter: words are ordered by their frequency in the whole table, rarest first; a block
-    with the needed overlap must hold one of the template's first words. Blocks with fewer distinct words than
+    with the needed overlap must hold one of the template's first words. Blocks with fewer of the words than
     needed fall to the length filter; the place of the shared word in the template bounds what can still be
-    shared (positional filter). What remains is intersected in full. The template side is a fixed short list;
+    shared (positional filter). In what remains the windows are gone through. The template side is a stated list;
     no rows are shuffled by text.
     """
-    sets = {n: t for n, t in template_words(templates or TEMPLATES).items() if t}
+    templates = TEMPLATES if templates is None else templates
+    sets = {n: t for n, t in template_words(templates).items() if t}
+    size = {n: window_of(templates[n]) for n in sets}
     vocabulary = sorted({t for tokens in sets.values() for t in tokens})
     frequency = {r["token"]: r["n"] for r in token_frequencies(docs, text, vocabulary).collect()}
-    rows = [(token, name, place, len(ordered), need, ordered)
+    rows = [(token, size[name], name, place, len(ordered), need, ordered)
             for name, (ordered, need, length) in prefixes(sets, frequency, containment).items()
             for place, token in enumerate(ordered[:length])]
     starts = docs.sparkSession.createDataFrame(
-        rows, "token string, template string, place int, m int, need int, ordered array<string>")
-    first = F.array(*[F.lit(t) for t in sorted({r[0] for r in rows})])
-    step = max(1, block // 2)
+        rows, "token string, win int, template string, place int, m int, need int, ordered array<string>")
     tokens = docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"),
                          words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    blocks = (tokens.filter(F.arrays_overlap("w", first))
-              .select("k", "t", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - step - 1), F.lit(step))).alias("at"))
-              .select("k", "t", "at", F.slice("w", F.col("at") + 1, block).alias("b")))
-    distinct = blocks.select("k", "t", "at", F.least(F.col("at") + block, F.col("at") + F.size("b")).alias("to"),
-                             F.array_distinct("b").alias("b"))
-    shared = distinct.select("k", "t", "at", "to", "b", F.explode(F.array_intersect("b", first)).alias("token"))
-    pairs = shared.join(F.broadcast(starts), "token")
-    overlap = F.size(F.array_intersect("ordered", "b"))
-    before = F.size(F.array_intersect(F.slice("ordered", 1, F.col("place")), "b"))
-    found = (pairs.filter(F.size("b") >= F.col("need"))
-             .filter(before + F.col("m") - F.col("place") >= F.col("need"))
-             .withColumn("overlap", overlap).filter(F.col("overlap") >= F.col("need")))
+    groups = []
+    for win in sorted(set(size.values())):
+        first = F.array(*[F.lit(t) for t in sorted({r[0] for r in rows if r[1] == win})])
+        every = F.array(*[F.lit(t) for t in sorted({t for n, x in sets.items() if size[n] == win for t in x})])
+        spots = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - win - 1), F.lit(win))
+        groups.append((win, first, every, F.when(F.arrays_overlap("w", first), spots)))
+    blocks = None
+    for win, first, every, spots in groups:
+        own = (tokens.select("k", "t", "w", F.explode(spots).alias("at"))
+               .select("k", "t", "at", F.slice("w", F.col("at") + 1, 2 * win).alias("b"))
+               .withColumn("hit", F.array_intersect("b", every))
+               .select("k", "t", "at", "b", "hit", F.lit(win).alias("win"), F.explode(F.array_intersect("hit", first)).alias("token")))
+        blocks = own if blocks is None else blocks.union(own)
+    pairs = blocks.join(F.broadcast(starts), ["token", "win"])
+    before = F.size(F.array_intersect(F.slice("ordered", 1, F.col("place")), "hit"))
+    likely = (pairs.filter(F.size("hit") >= F.col("need"))
+              .filter(before + F.col("m") - F.col("place") >= F.col("need"))
+              .filter(F.size(F.array_intersect("ordered", "hit")) >= F.col("need")))
+    shown = F.filter(F.transform("b", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda h: F.array_contains("ordered", h["x"]))
+    best = F.array_max(F.transform("shown", lambda h: F.struct(F.size(F.array_distinct(F.transform(
+        F.filter("shown", lambda g: (g["i"] >= h["i"]) & (g["i"] < h["i"] + F.col("win"))), lambda g: g["x"]))).alias("overlap"),
+        (-h["i"]).alias("i"))))
+    found = (likely.select("k", "t", "at", "b", "win", "template", "m", "need", shown.alias("shown")).distinct()
+             .withColumn("best", best).filter(F.col("best.overlap") >= F.col("need")))
+    start = F.col("at") - F.col("best.i")
     return found.select(
-        F.col("k").alias(key), F.col("t").alias("_text"), "template", F.col("at").alias("block_start"),
-        F.col("to").alias("block_end"), "overlap", (F.col("overlap") / F.col("m")).alias("containment")).distinct()
+        F.col("k").alias(key), F.col("t").alias("_text"), "template", start.alias("start"),
+        F.least(start + F.col("win"), F.col("at") + F.size("b")).alias("end"), F.col("best.overlap").alias("overlap"),
+        (F.col("best.overlap") / F.col("m")).alias("containment"))
 
 
 def find_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None,
-                  containment: float = CONTAINMENT, block: int = BLOCK) -> DataFrame:
+                  containment: float = CONTAINMENT) -> DataFrame:
     """One row per document: (key, n_words, places, notices, score).
 
     ``places`` are the base phrases (start, label), ``notices`` the distinct templates found with their best
     containment (label, containment); ``score`` is the best containment, 1 with a base phrase, 0 without either.
     NULL text counts as empty: no words, empty arrays. Rows that repeat key and text get the same result each.
     """
-    best = (notice_matches(docs, key, text, templates, containment, block)
+    best = (notice_matches(docs, key, text, templates, containment)
             .groupBy(F.col(key).alias("_k"), F.col("_text").alias("_t"), "template")
             .agg(F.max("containment").alias("c"))
             .groupBy("_k", "_t")

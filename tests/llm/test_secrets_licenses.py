@@ -95,17 +95,39 @@ def test_phrases_and_notices_against_brute_force(docs_of):
                         if words[s:s + len(phrase.split())] == phrase.split())
         assert got[i]["n_words"] == len(words)
         assert [tuple(p) for p in got[i]["places"]] == places
-        step, best = licenses.BLOCK // 2, {}
-        for at in range(0, max(0, len(words) - step - 1) + 1, step):
-            block = set(words[at:at + licenses.BLOCK])
-            for name, tokens in sets.items():
-                if len(block & tokens) >= math.ceil(0.8 * len(tokens) - 1e-9):
-                    best[name] = max(best.get(name, 0), len(block & tokens) / len(tokens))
+        best = {}
+        for name, tokens in sets.items():
+            size = licenses.window_of(licenses.TEMPLATES[name])
+            most = max(len(tokens.intersection(words[at:at + size])) for at in range(max(1, len(words) - size + 1)))  # all windows
+            if most >= math.ceil(0.8 * len(tokens) - 1e-9):
+                best[name] = most / len(tokens)
         assert {n["label"]: n["containment"] for n in got[i]["notices"]} == best, text
         some += bool(best)
     assert some > 40
 
 
+def test_stretched_notices_at_every_offset(docs_of):
+    """Twelve words five apart are found wherever they begin."""
+    names = WORD.findall(licenses.TEMPLATES["gpl-3.0"].translate(LOWER))
+    stretched = " ".join(w + " x" * 4 for w in names)
+    rows = [(i, "y " * i + stretched + " y" * 70) for i in range(0, 140)]
+    got = {r["doc_id"]: [n["label"] for n in r["notices"]] for r in licenses.find_licenses(docs_of(rows)).collect()}
+    assert all("gpl-3.0" in got[i] for i in range(140))
+
+
+def test_long_templates_and_long_texts(docs_of):
+    """A template of 100 distinct words, whole, spread out and with a fifth missing; one text of 30,000 words."""
+    template = {"long": " ".join(f"t{i}" for i in range(100))}
+    tokens = template["long"].split()
+    rows = [(0, "a " * 77 + template["long"] + " b" * 200), (1, "c " * 3 + " ".join(t + " z z" for t in tokens)),
+            (2, " ".join(tokens[:80])), (3, " ".join(tokens[:79])), (4, " ".join(t + " z" * 12 for t in tokens)),
+            (5, "d " * 30_000 + template["long"])]
+    got = {r["doc_id"]: (r["score"], [(n["label"], n["containment"]) for n in r["notices"]]) for r in licenses.find_licenses(docs_of(rows), templates=template).collect()}
+    assert got == {0: (1.0, [("long", 1.0)]), 1: (1.0, [("long", 1.0)]), 2: (0.8, [("long", 0.8)]), 3: (0.0, []), 4: (0.0, []), 5: (1.0, [("long", 1.0)])}
+    where = licenses.notice_matches(docs_of(rows[:1]), templates=template).first()
+    assert (where["start"], where["end"]) == (77, 377)
+
+
 def test_licenses_empty_repeated_and_clashing(docs_of, clashing):
     assert licenses.find_licenses(docs_of([])).count() == 0
     rows = licenses.find_licenses(clashing(docs_of([(1, "All rights reserved"), (1, "All rights reserved"), (None, "cc by"), (2, None)]))).collect()
