@@ -17,6 +17,10 @@ columns stay together, so the order should be total.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,3 +131,16 @@ def with_halo(df: DataFrame, pos: str, behind: int, ahead: int, rows: int = BLOC
         F.floor(F.greatest(p - ahead, F.lit(0)) / width), own, F.floor((p + behind) / width)))
     return (df.withColumn(BLOCK, F.explode(targets))
             .withColumn("_own", F.col(BLOCK) == own))
+
+
+def whole_runs(batches: Iterable[pa.RecordBatch], starts: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut anew so that each holds whole runs of rows; ``starts`` marks the first row of every run."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        first = np.flatnonzero(starts(batch))
+        if len(first) and (held or first[-1]):
+            yield pa.concat_batches([*held, batch.slice(0, first[-1])])
+            held, batch = [], batch.slice(first[-1])
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)

@@ -7,13 +7,16 @@ that already sit in one array cell are cut inside the row, without a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import no_nan
-from .ordered import BLOCK, BLOCK_ROWS, dense_position, in_order, running_total, with_halo
+from .ordered import BLOCK, BLOCK_ROWS, dense_position, in_order, running_total, whole_runs, with_halo
 
 
 def segment_rows(df: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:
@@ -168,22 +171,47 @@ def transpose(matrix: Column) -> Column:
 # --- windows over positioned rows --------------------------------------------------
 
 
+#: Values of the windows that leave a task at a time.
+SLIDING_VALUES = 1 << 20
+
+
+def sliding(df: DataFrame, group: list[str], pos: str, value: Column, size: int, out: str, kind: T.DataType,
+            make: Callable[[pa.Array, np.ndarray], pa.Array], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``make(values, first)`` for every window of ``size`` rows, step 1: group, ``frame`` (its first row) and ``out``.
+
+    ``first`` are places in ``values`` at which windows begin; the result has one value of type ``kind`` for each. The
+    window that ends with the last row of the series is not made: a series of N rows has N - size frames. Rows are sent
+    and held once, by blocks with ``size`` rows of the next; what is made for windows leaves in bounded batches.
+    """
+    shared = with_halo(df.select(*group, F.col(pos).cast("long").alias("_at"), value.alias("_value")), "_at", 0, size, block_rows)
+    placed = shared.repartition(*group, BLOCK).sortWithinPartitions(*group, BLOCK, "_at").select(
+        *group, F.col("_at").alias("frame"), F.col(BLOCK).cast("long").alias(BLOCK), "_own", "_value")
+    schema = T.StructType([*placed.schema.fields[:len(group) + 1], T.StructField(out, kind)])
+    keys, width = len(group), max(block_rows, size, 1)
+
+    def starts(t: pa.RecordBatch) -> np.ndarray:
+        return t.column(keys).to_numpy() == t.column(keys + 1).to_numpy() * width
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_runs(batches, starts):
+            runs, own = np.cumsum(starts(t)), t.column(keys + 2).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(own[:-size] & (runs[size:] == runs[:-size])) if size < len(own) else np.zeros(0, int)
+            for part in np.array_split(first, max(1, -(-len(first) * size // SLIDING_VALUES))):
+                if len(part):
+                    rows = t.select(range(keys + 1)).take(pa.array(part))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, make(t.column(keys + 3), part)], schema.names)
+
+    return placed.mapInArrow(run, schema)
+
+
 def sliding_windows(df: DataFrame, group: list[str], pos: str, value: str, size: int,
                     block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Every window of ``size`` rows, step 1, as an array; frame k starts at row k. Missing values stay in place.
+    """Every window of ``size`` rows, step 1, as an array ``window``; see ``sliding``. Missing values stay in place."""
+    def window(values: pa.Array, first: np.ndarray) -> pa.Array:
+        cut = values.take(pa.array((first[:, None] + np.arange(size)).ravel()))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * size, pa.int32()), cut)
 
-    The window that ends with the last row of the series is not emitted: a series
-    of N rows has N - size frames. Rows are sent once (plus a block-border copy),
-    not once per frame.
-    """
-    shared = with_halo(df.select(*group, pos, value), pos, 0, size, block_rows)
-    w = Window.partitionBy(*group, BLOCK).orderBy(pos)
-    held = F.struct(F.col(value).alias("v"))  # collecting the bare value would skip NULL
-    frames = (shared
-              .withColumn("window", F.collect_list(held).over(w.rowsBetween(0, size - 1)))
-              .withColumn("_more", F.lead(pos, size).over(w))
-              .filter(F.col("_own") & F.col("_more").isNotNull()))
-    return frames.select(*group, F.col(pos).alias("frame"), F.col("window.v").alias("window"))
+    return sliding(df, group, pos, F.col(value), size, "window", T.ArrayType(df.schema[value].dataType), window, block_rows)
 
 
 def overlapping_frames(df: DataFrame, group: list[str], pos: str, value: str, size: int | Column,

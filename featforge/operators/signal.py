@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions import spectra as S
 from ..functions.columns import decibel
 from .ordered import BLOCK_ROWS
-from .sequence import clip, frame_size, overlapping_frames, sliding_windows
+from .sequence import clip, frame_size, overlapping_frames, sliding
 
 
 def segment_features(segments: DataFrame, keys: list[str], t: str, channels: Sequence[str],
@@ -91,10 +93,13 @@ def spectrogram(df: DataFrame, group: list[str], pos: str, value: str, fs: float
 def sliding_spectrum(df: DataFrame, group: list[str], pos: str, value: str, size: int = 125,
                      block_rows: int = BLOCK_ROWS) -> DataFrame:
     """dB spectrum of every sliding window; ``row`` = frame * size + bin."""
-    frames = sliding_windows(df, group, pos, value, size, block_rows)
-    values = S.magnitudes(F.col("window").cast(S.DOUBLES))
-    empty = F.array_repeat(F.lit(None).cast("double"), size)
-    bins = frames.select(*group, "frame", F.posexplode(F.coalesce(values, empty)).alias("k", "mag"))
+    def magnitudes(values: pa.Array, first: np.ndarray) -> pa.Array:
+        v = values.to_numpy(zero_copy_only=False)  # a missing value is NaN and stays in the windows that hold it
+        spectra = np.abs(np.fft.fft(np.lib.stride_tricks.sliding_window_view(v, size)[first], axis=1)).ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * size, pa.int32()), pa.array(spectra, mask=np.isnan(spectra)))
+
+    frames = sliding(df, group, pos, F.col(value).cast("double"), size, "_mags", S.DOUBLES, magnitudes, block_rows)
+    bins = frames.select(*group, "frame", F.posexplode("_mags").alias("k", "mag"))
     return bins.select(*group, "frame", "k", (F.col("frame") * size + F.col("k")).alias("row"),
                        decibel(F.col("mag")).alias("db"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions import fixed_values as V
 from ..functions.text import all_digits
 from ..session import stored
-from .ordered import BLOCK, BLOCK_ROWS, by_position, nearest_known, with_halo
+from .ordered import BLOCK, BLOCK_ROWS, by_position, nearest_known, whole_runs, with_halo
 
 
 def tag_list(text: Column) -> Column:
@@ -153,33 +153,24 @@ def apply_rules(df: DataFrame, group: list[str], pos: str, word: str, label: str
     width = max(block_rows, reach, 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        def starts(t: pa.RecordBatch) -> np.ndarray:
+            return t.column(n_keys + 2).to_numpy() == t.column(n_keys + 1).to_numpy() * width
 
-        def settle(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-            block, at, own, hits, code = (t.column(n_keys + 1 + i).to_numpy(zero_copy_only=False) for i in range(5))
-            start = at == block * width
+        def pack(m: np.ndarray) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * len(states), pa.int32()), pa.array(m.ravel().astype("int32")))
+
+        for t in whole_runs(batches, starts):
+            own, hits, code = (t.column(n_keys + 3 + i).to_numpy(zero_copy_only=False) for i in range(3))
+            start = starts(t)
             codes, after = _settled(*_steps(rules, names, states, hits, code.astype("int64"), np.cumsum(start)), start)
             last = own & ~np.append(own[1:], True)  # own rows that rows of the next block follow
             mine = np.flatnonzero(own)
-            pack = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * len(states), pa.int32()), pa.array(m.ravel().astype("int32")))
-            maps = pack(after[mine]).filter(pa.array(last[mine]))
             spots = np.full(len(mine), -1)
-            spots[last[mine]] = np.arange(int(last[mine].sum()))
-            maps = maps.take(pa.array(spots, mask=spots < 0))
+            spots[last[mine]] = np.arange(int(last.sum()))
+            maps = pack(after[last]).take(pa.array(spots, mask=spots < 0))
             t = t.take(pa.array(mine))
             yield pa.RecordBatch.from_arrays([*t.columns[:n_keys + 2], pack(codes[mine]), maps], schema.names)
 
-        for batch in batches:
-            starts = np.flatnonzero(batch.column(n_keys + 2).to_numpy() == batch.column(n_keys + 1).to_numpy() * width)
-            if len(starts) and (held or starts[-1]):
-                held.append(batch.slice(0, starts[-1]))
-                yield from settle(held)
-                held, batch = [], batch.slice(starts[-1])
-            held.append(batch)
-        if held:
-            yield from settle(held)
-
     done = columns.mapInArrow(run, schema)
     done = stored(done, "ruled")
     maps = done.filter("_map IS NOT NULL").select(*keys, BLOCK, "_map")

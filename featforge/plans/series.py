@@ -455,6 +455,22 @@ def g11_sliding_spectrum(spark, t):
     return out.withColumn("db", rounded(F.greatest(F.col("db"), F.lit(-40.0)), 3))
 
 
+@query("g11_long_windows_gaps", f"""WITH {SQL_GAPS},
+e AS (SELECT event_type, v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos FROM gev),
+n AS (SELECT event_type, count(*) AS n FROM e GROUP BY 1),
+f AS (SELECT event_type, unnest(range(0, n - 125)) AS frame FROM n),
+x AS (SELECT f.event_type, frame, pos - frame AS o, v, count(v) OVER (PARTITION BY f.event_type, frame) AS known
+  FROM f JOIN e ON e.event_type = f.event_type AND pos BETWEEN frame AND frame + 124)
+SELECT event_type, frame, k :: INTEGER AS k, CASE WHEN any_value(known) = 125 THEN round(10 * log10(greatest(sqrt(power(sum(v * cos(2 * pi() * k * o / 125)), 2)
+  + power(sum(v * sin(2 * pi() * k * o / 125)), 2)), 1e-4)) + 1e-9, 3) + 0.0 END AS db
+FROM x, (SELECT unnest([0, 5, 62]) AS k) r GROUP BY event_type, frame, k""")
+def g11_long(spark, t):
+    """Windows of 125 rows over series with gaps; three of the bins."""
+    placed = sequence.segment_rows(with_gaps(t), ["event_type"], ORDER, SIZE).withColumn("v", no_nan(F.col("v")))
+    out = signal.sliding_spectrum(placed, ["event_type"], "pos", "v", 125).filter(F.col("k").isin(0, 5, 62))
+    return out.select("event_type", "frame", "k", rounded(F.col("db"), 3).alias("db"))
+
+
 @query("g12_chunk_preprocessing", f"""WITH c AS (SELECT vec_id, list_slice(embedding, 8, 57) AS e FROM embeddings),
 x AS (SELECT vec_id, unnest(range(0, 50)) AS t, unnest(e) :: DOUBLE AS v FROM c),
 z AS (SELECT vec_id, k, sum(v * cos(2 * pi() * k * t / 50)) AS re, -sum(v * sin(2 * pi() * k * t / 50)) AS im
