@@ -13,7 +13,7 @@ from ..functions import columns as C
 from ..functions import fixed_values as V
 from ..functions import text as X
 from ..operators import align, balance, clean, profile, sequence
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from ..sources import named_files, readers, writers
 from .registry import query
 
@@ -388,6 +388,24 @@ def a1_describe(spark, t):
         C.rounded(F.col(c), 4).alias(c) for c in ("mean", "std", "q25", "q50", "q75")], "min", "max")
 
 
+@query("a1_merged_sketches", " UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) AS "count", min({c}) :: DOUBLE AS min, max({c}) :: DOUBLE AS max,
+  round(avg({c} :: DOUBLE) + 1e-9, 4) + 0.0 AS mean, round(stddev_samp({c} :: DOUBLE) + 1e-9, 4) + 0.0 AS std, true AS ranks_hold, true AS distinct_holds FROM lineitem""" for c in NUMERIC))
+def a1_sketches(spark, t):
+    """A profile from the written sketches of three parts; ranks lie within 2 %, distinct values within 5 %."""
+    rows = t.lineitem.select("l_orderkey", *NUMERIC)
+    parts = [stored(profile.sketches(rows.filter(F.col("l_orderkey") % 3 == i), NUMERIC), "sketches") for i in range(3)]
+    found = stored(profile.sketch_profile(profile.merged_sketches(parts)), "profile")
+    quartiles = {r["column"]: r["quantiles"] for r in found.collect()}  # one row per column
+    exact = rows.agg(F.array(*[F.struct(
+        F.lit(c).alias("c"), F.countDistinct(c).alias("d"), F.count(c).alias("n"), F.array(*[
+            F.array(F.count_if(F.col(c) < q), F.count_if(F.col(c) <= q)) for q in quartiles[c]]).alias("at")) for c in NUMERIC]).alias("e")).select(F.inline("e"))
+    probs = F.array(*[F.lit(p) for p in profile.QUARTILES])
+    inside = F.forall(F.zip_with("at", probs, lambda a, p: (a[0] <= (p + 0.02) * F.col("n")) & (a[1] >= (p - 0.02) * F.col("n"))), lambda x: x)
+    return found.join(exact, F.col("column") == F.col("c")).select(
+        "column", "count", "min", "max", C.rounded(F.col("mean"), 4).alias("mean"), C.rounded(F.col("std"), 4).alias("std"),
+        inside.alias("ranks_hold"), (F.abs(F.col("n_distinct") - F.col("d")) <= 0.05 * F.col("d")).alias("distinct_holds"))
+
+
 @query("a2_value_counts", """SELECT 'event_type' AS "column", event_type AS value, count(*) AS n FROM events GROUP BY 2
 UNION ALL SELECT 'user_id', user_id :: VARCHAR, count(*) FROM events GROUP BY 2""")
 def a2_counts(spark, t):

@@ -261,3 +261,20 @@ def test_regression_beats_the_mean(spark):
     mae = metrics.mean_absolute_error(out, "prediction", "p_retailprice").first()[0]
     base = metrics.mean_absolute_error(out.withColumn("m", F.lit(mean)), "m", "p_retailprice").first()[0]
     assert mae < 0.8 * base
+
+
+def test_sketches_merge_to_the_profile_of_the_whole(spark):
+    """Parts of any size, empty and missing ones included, give the figures of all rows."""
+    from featforge.operators import profile
+
+    rows = [(i % 3, float(i), None if i % 5 == 0 else float(i % 10), None) for i in range(9000)] + [(3, float("nan"), None, None)]
+    df = spark.createDataFrame(rows, "part int, x double, y double, z double")
+    parts = [profile.sketches(df.filter(F.col("part") == p), ["x", "y", "z"]) for p in (0, 1, 2, 3, 4)]
+    got = {r["column"]: r for r in profile.sketch_profile(profile.merged_sketches(parts)).collect()}
+    assert (got["x"]["count"], got["x"]["n_missing"], got["x"]["min"], got["x"]["max"]) == (9000, 1, 0.0, 8999.0)
+    assert got["x"]["mean"] == pytest.approx(4499.5) and got["x"]["std"] == pytest.approx(2598.2206)
+    assert all(abs(q - p * 9000) < 180 for q, p in zip(got["x"]["quantiles"], (0.25, 0.5, 0.75)))
+    assert abs(got["x"]["n_distinct"] - 9000) < 450 and got["y"]["n_distinct"] == 8
+    assert (got["z"]["count"], got["z"]["n_missing"], got["z"]["quantiles"], got["z"]["n_distinct"]) == (0, 9001, None, 0)
+    by_part = profile.merged_sketches([profile.sketches(df, ["x"], by=["part"])])
+    assert profile.sketch_profile(by_part).first()["count"] == 9000
