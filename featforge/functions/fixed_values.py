@@ -129,3 +129,8 @@ LITERAL_RULES = (
     (" .", ""),
     ("สำนักส่งเสริมวิชาการและงานทะเบียน มรภ.วไลยอลงกรณ์ ในพระบรมราชูปถัมภ์", ""),
 )
+
+# Patterns of the name rules: a word or blanks in brackets, a name with an alias in brackets, Thai followed by Latin.
+WORD_OR_SPACE_IN_PARENS = r"\([\p{L}\p{N}_\s]+\)"
+NAME_AND_ALIAS = r"([^\(]+)\(([^\)]+)\)"
+THAI_THEN_LATIN = r"[\u0E00-\u0E7F]+ [a-zA-Z0-9]+"

@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 
 from . import fixed_values as V
 
-_WORD_OR_SPACE_IN_PARENS = r"\([\p{L}\p{N}_\s]+\)"
-_NAME_AND_ALIAS = r"([^\(]+)\(([^\)]+)\)"
-_THAI_THEN_LATIN = r"[\u0E00-\u0E7F]+ [a-zA-Z0-9]+"
-
 
 # The characters that Unicode counts as white space, and the four separators U+001C to U+001F.
 WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -123,13 +119,13 @@ def split_aliases(entries: Column) -> Column:
     cut = F.transform(entries, lambda e: F.struct(e.alias("e"), _through_last_alias(e).alias("h")))
     found = F.transform(cut, lambda s: F.struct(
         s.e.alias("e"),
-        F.transform(F.regexp_extract_all(s.h, F.lit(_NAME_AND_ALIAS), F.lit(1)), strip).alias("n"),
-        F.transform(F.regexp_extract_all(s.h, F.lit(_NAME_AND_ALIAS), F.lit(2)), strip).alias("a")))
+        F.transform(F.regexp_extract_all(s.h, F.lit(V.NAME_AND_ALIAS), F.lit(1)), strip).alias("n"),
+        F.transform(F.regexp_extract_all(s.h, F.lit(V.NAME_AND_ALIAS), F.lit(2)), strip).alias("a")))
 
     def parts(s: Column) -> Column:
         wide_alias = F.size(F.split(F.get(s.a, F.lit(0)), " ", -1)) >= 2
         two_parts = (F.size(s.n) == 2) | (
-            (F.size(s.n) == 1) & (wide_alias | s.e.rlike(_WORD_OR_SPACE_IN_PARENS)))
+            (F.size(s.n) == 1) & (wide_alias | s.e.rlike(V.WORD_OR_SPACE_IN_PARENS)))
         return F.when(two_parts, F.array(F.array_join(s.n, " "), F.array_join(s.a, " "))
                       ).otherwise(F.array(s.e))
 
@@ -139,7 +135,7 @@ def split_aliases(entries: Column) -> Column:
 def split_scripts(entry: Column) -> Column:
     """Two Thai words followed by two Latin words are two names."""
     words = F.split(entry, " ", -1)
-    pair = entry.rlike(_THAI_THEN_LATIN) & (F.size(words) == 4)
+    pair = entry.rlike(V.THAI_THEN_LATIN) & (F.size(words) == 4)
     return F.when(pair, F.array(
         F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1))),
         F.concat_ws(" ", F.get(words, F.lit(2)), F.get(words, F.lit(3))),

@@ -201,6 +201,18 @@ def p5_codes(spark, t):
         "back", C.decode(F.col("code"), codes))
 
 
+@query("p5_fixed_codes", """WITH d AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'MDF' WHEN 'fr' THEN 'DDF' WHEN 'de' THEN 'DEF' ELSE lang END AS forest,
+  CASE lang WHEN 'en' THEN [110, 120] WHEN 'fr' THEN [150] ELSE [110, 7] END AS marks FROM documents)
+SELECT doc_id, CASE forest WHEN 'MDF' THEN 0 WHEN 'DDF' THEN 1 WHEN 'DEF' THEN 2 END AS forest,
+  list_transform(marks, lambda m: CASE m WHEN 110 THEN 0 WHEN 120 THEN 1 WHEN 150 THEN 2 END) AS marks FROM d""")
+def p5_fixed(spark, t):
+    """The two code lists of the material: a column and an array, unknown values give NULL."""
+    lang = F.col("lang")
+    forest = F.when(lang == "en", "MDF").when(lang == "fr", "DDF").when(lang == "de", "DEF").otherwise(lang)
+    marks = F.when(lang == "en", F.array(F.lit(110), F.lit(120))).when(lang == "fr", F.array(F.lit(150))).otherwise(F.array(F.lit(110), F.lit(7)))
+    return t.documents.select("doc_id", C.encode(forest, V.FOREST_CODES).alias("forest"), C.encode_array(marks, V.IMAGERY_CODES).alias("marks"))
+
+
 @query("p5_unknown_codes", """SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus NOT IN ('F', 'O') GROUP BY 1""")
 def p5_unknown(spark, t):
     return C.unknown_codes(t.orders, "o_orderstatus", {"F": 0, "O": 1})
