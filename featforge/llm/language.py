@@ -73,8 +73,8 @@ class Chain:
         return out
 
 
-def forward_backward(scores: np.ndarray, active: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Posteriors of the labels of many sequences at once.
+def forward_backward(scores: np.ndarray, active: np.ndarray, transitions: np.ndarray, forward: np.ndarray | None = None) -> np.ndarray:
+    """Posteriors of the labels of many sequences at once; an array given as ``forward`` takes the forward values.
 
     scores: one row per word, all first words, then all second words, and so on; active[t] sequences have a word
     t, the longest stand first. Both passes are scaled to sum to one at every step.
@@ -89,6 +89,8 @@ def forward_backward(scores: np.ndarray, active: np.ndarray, transitions: np.nda
         now = (now[:active[t]] @ a) * e[at[t]:at[t + 1]]
         now /= now.sum(axis=1, keepdims=True)
         alpha[at[t]:at[t + 1]] = now
+    if forward is not None:
+        forward[:] = alpha
     beta = np.ones((active[-1], e.shape[1]))
     for t in range(len(active) - 1, -1, -1):
         here = slice(at[t], at[t + 1])
@@ -101,6 +103,21 @@ def forward_backward(scores: np.ndarray, active: np.ndarray, transitions: np.nda
     return alpha / alpha.sum(axis=1, keepdims=True)
 
 
+def expected_pairs(forward: np.ndarray, post: np.ndarray, active: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """How often each label is expected to follow each other one, over all sequences.
+
+    A pair's probability is (forward value of the earlier word) * transition * (posterior of the later word), the last
+    divided by what the first two bring to its label.
+    """
+    a = np.exp(transitions - transitions.max())
+    at = np.concatenate([[0], np.cumsum(active)])
+    pairs = np.zeros_like(a)
+    for t in range(1, len(active)):
+        before, later = forward[at[t - 1]:at[t - 1] + active[t]], post[at[t]:at[t + 1]]
+        pairs += a * (before.T @ (later / np.maximum(before @ a, 1e-300)))
+    return pairs
+
+
 def fit_chain(samples: list[tuple[str, list[bytes]]], seed: int = 7) -> Chain:
     """Learn weights and transitions from labelled word lists, by gradient steps on the likelihood of the chain.
 
@@ -140,21 +157,18 @@ def fit_chain(samples: list[tuple[str, list[bytes]]], seed: int = 7) -> Chain:
             flat = np.concatenate([features[j] for j in ids])
             owner = np.repeat(np.arange(len(ids)), [len(features[j]) for j in ids])
             scores = np.stack([np.bincount(owner, weights[flat, y], len(ids)) for y in range(k)], axis=1)
-            post = forward_backward(scores, active, transitions)
+            forward = np.empty_like(scores)
+            post = forward_backward(scores, active, transitions, forward)
             error = post.copy()
             error[np.arange(len(ids)), truth] -= 1
             gradient = np.stack([np.bincount(flat, error[owner, y], len(weights)) for y in range(k)], axis=1)
             gradient = gradient / len(rows) + RIDGE * weights
             squares += gradient ** 2
             weights -= RATE * gradient / np.sqrt(squares)
-            pairs = np.zeros((k, k))
+            pairs = expected_pairs(forward, post, active, transitions)
             at = np.concatenate([[0], np.cumsum(active)])
             for t in range(1, len(active)):
-                before, here = slice(at[t - 1], at[t - 1] + active[t]), slice(at[t], at[t + 1])
-                joint = post[before][:, :, None] * np.exp(transitions)[None] * (
-                    post[here] / np.maximum(post[before] @ np.exp(transitions), 1e-12))[:, None, :]
-                pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-                np.add.at(pairs, (truth[before], truth[here]), -1.0)
+                np.add.at(pairs, (truth[at[t - 1]:at[t - 1] + active[t]], truth[at[t]:at[t + 1]]), -1.0)
             step = pairs / len(rows) + RIDGE * transitions
             t_squares += step ** 2
             transitions -= RATE * step / np.sqrt(t_squares)

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from featforge.llm import language as L
@@ -15,6 +16,34 @@ def prose(rng, lang, n):
     return " ".join("".join(rng.choices(SYLLABLES[lang], k=rng.randrange(1, 4))) for _ in range(n))
 
 
+@pytest.mark.parametrize("scale", [0.3, 1.0, 4.0])
+def test_transition_gradient_equals_differences(scale):
+    """Expected pairs are the derivative of the log of the sum over all paths."""
+    rng = np.random.default_rng(1)
+    lengths = [6, 4, 1]
+    scores, transitions = [rng.normal(size=(n, 3)) * scale for n in lengths], rng.normal(size=(3, 3)) * scale
+    active = np.array([sum(n > t for n in lengths) for t in range(6)])
+    timed = np.concatenate([[scores[s][t] for s in range(n)] for t, n in enumerate(active)])
+
+    def log_sum(tr):
+        total = 0.0
+        for e in scores:
+            now = e[0]
+            for x in e[1:]:
+                now = np.log(np.exp(now[:, None] + tr).sum(axis=0)) + x
+            total += np.log(np.exp(now).sum())
+        return total
+
+    forward = np.empty_like(timed)
+    pairs = L.expected_pairs(forward, L.forward_backward(timed, active, transitions, forward), active, transitions)
+    for i in range(3):
+        for j in range(3):
+            step = np.zeros((3, 3))
+            step[i, j] = 1e-5
+            assert pairs[i, j] == pytest.approx((log_sum(transitions + step) - log_sum(transitions - step)) / 2e-5, abs=1e-6)
+    assert pairs.sum() == pytest.approx(5 + 3)
+
+
 def test_forward_backward_against_all_paths():
     rng = np.random.default_rng(3)
     lengths, k = [4, 3, 3, 1], 3
