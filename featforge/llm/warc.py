@@ -24,8 +24,8 @@ REVISIT_FROM = 100
 ARCHIVE_BYTES = 8 << 20
 #: The dictionary of an archive: its size, and how many of the first records and their bytes it is trained on.
 DICTIONARY_BYTES, TRAIN_RECORDS, TRAIN_BYTES = 16 << 10, 200, 1 << 20
-#: So many groups of equal payloads (72 bytes each) travel to every executor; more are joined by shuffle.
-SMALL_TABLE = 200_000
+#: Equal payloads meet their group's row in so many parts, so that one large group is not one task.
+PARTS = 16
 LEVEL, DATE = 3, "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SLICE = 1 << 16
@@ -138,14 +138,17 @@ def with_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", html
                   least: int = REVISIT_FROM) -> DataFrame:
     """Rows (key, url, payload, digest, refers_to): of equal payloads of ``least`` bytes or more the one with the
     smallest key is stored, the others refer to it. Digests are grouped with counts and minima, combined before
-    the shuffle; only groups of two or more go back to the pages, as a broadcast while their number is checked
-    to be small. A NULL key is never referred to unless all of its group are NULL, which are then all stored."""
+    the shuffle; only groups of two or more go back to the pages, in ``PARTS`` copies, by the join that the optimizer
+    chooses from their bytes. A NULL key is never referred to unless all of its group are NULL, which are then all
+    stored. Keys that are not integers are an error: records name pages by number."""
+    if not isinstance(pages.schema[key].dataType, T.IntegralType):
+        raise ValueError(f"page keys must be integers: {key}")
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     first = stored(rows.filter(F.octet_length("payload") >= least).groupBy("digest")
                    .agg(F.count("*").alias("n"), F.min("key").alias("first")).filter("n > 1").drop("n"), "equal_payloads")
-    small = first.count() <= SMALL_TABLE
-    joined = rows.join(F.broadcast(first) if small else first, "digest", "left")
+    copies = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    joined = rows.withColumn("part", F.pmod(F.xxhash64("key", "url"), F.lit(PARTS)).cast("int")).join(copies, ["digest", "part"], "left")
     return joined.select("key", "url", "payload", "digest",
                          F.when(~F.col("first").eqNullSafe(F.col("key")), F.col("first")).alias("refers_to"))
 

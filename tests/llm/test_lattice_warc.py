@@ -211,3 +211,17 @@ def test_records_are_validated():
 def test_empty_inputs(spark):
     assert A.resolved(A.archive_and_read(spark.createDataFrame([], PAGES))).count() == 0
     assert A.read_archives(spark.createDataFrame([("a", None), ("b", b"")], "path string, content binary")).count() == 0
+
+
+def test_archive_of_text_keys_is_refused(spark):
+    pages = spark.createDataFrame([("a", "u", "x" * 200)], "page_id string, url string, html string")
+    with pytest.raises(ValueError, match="integers"):
+        A.with_revisits(pages)
+
+
+def test_one_large_group_of_equal_payloads(spark):
+    rows = [(i, f"u{i % 3}", "same " * 50 if i % 2 else f"page {i} " * 30) for i in range(1, 400)] + [(None, "u", "same " * 50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = A.resolved(A.archive_and_read(pages)).collect()
+    assert len(got) == 400 and sum(r["record_type"] == "revisit" for r in got) == 200
+    assert {r["refers_to"] for r in got if r["record_type"] == "revisit"} == {1}
