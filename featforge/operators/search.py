@@ -13,6 +13,9 @@ from ..session import stored
 
 #: Bytes of vectors in a gallery tile and in a block of probes; tiles are cut from stretches of so many tiles.
 TILE_BYTES, BLOCK_BYTES, STRETCH = 1 << 20, 1 << 18, 32
+#: A large gallery lies in about so many tiles, larger than asked for, and blocks are as large: a probe travels at most once
+#: for each. Bytes of the largest tiles and of the rows a task holds to cut them; similarities computed at once.
+TILES, MOST_BYTES, HELD_BYTES, PAIRS = 64, 1 << 23, 1 << 26, 1 << 21
 #: Tiles listed in one page of the directory, on average.
 PAGE_TILES = 2048
 #: Similarities are rounded to so many digits, so that equal means equal; angles (in radians) this close may tie.
@@ -56,9 +59,11 @@ def _groups(m: np.ndarray, rows: np.ndarray, most: int) -> Iterator[np.ndarray]:
 def _pack(width: int, most: int, keep_rest: bool) -> Callable:
     """Arrow batches (key, id, vector) to groups: keys, ids, matrix, mean direction, greatest and least angle to it.
 
-    Groups are cut from stretches of ``STRETCH`` groups. Rows without a usable vector are dropped or, with
+    Groups are cut from stretches of ``STRETCH`` groups, fewer where those are large. Rows without a usable vector are dropped or, with
     ``keep_rest``, go on in groups without a matrix.
     """
+    held_rows = max(most, min(most * STRETCH, HELD_BYTES // (8 * max(1, width))))
+
     def emit(keys: pa.Array, ids: pa.Array, m: np.ndarray | None) -> pa.RecordBatch:
         near = far = mean = data = None
         if m is not None:
@@ -88,7 +93,7 @@ def _pack(width: int, most: int, keep_rest: bool) -> Callable:
             if len(good):
                 held.append((batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good)), m))
                 n += len(good)
-            if n >= most * STRETCH:
+            if n >= held_rows:
                 yield from cut(held)
                 held, n = [], 0
         if held:
@@ -123,6 +128,21 @@ def _reachable(block_mean: Column, block_far: Column, tiles: Column) -> Column:
     return F.transform(F.filter(bounds, lambda b: b["a"] - block_far - b["far"] <= reach), lambda b: b["tile"])
 
 
+def _nearest(probes: np.ndarray, gallery: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position of the largest rounded similarity of every probe, the first of equal ones, and that similarity."""
+    at, sim = np.empty(len(probes), dtype="int64"), np.empty(len(probes))
+    step = max(1, PAIRS // max(1, len(gallery)))
+    for first in range(0, len(probes), step):
+        s = probes[first:first + step] @ gallery.T
+        top = s.max(axis=1)
+        best = np.round(top, DIGITS)
+        row, col = np.nonzero(s >= (top - 2 * 10.0 ** -DIGITS)[:, None])  # only these can be equal when rounded
+        same = np.round(s[row, col], DIGITS) == best[row]
+        _, where = np.unique(row[same], return_index=True)
+        at[first:first + step], sim[first:first + step] = col[same][where], best + 0.0
+    return at, sim
+
+
 def _best(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Best gallery id of a tile for every row of a block, ties to the lowest; NULL where there is no tile or vector."""
     for batch in batches:
@@ -134,20 +154,19 @@ def _best(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
                 probes = np.frombuffer(matrix[i].as_buffer()).reshape(-1, width)
                 numbers = gallery[i].values.to_numpy()
                 order = np.argsort(numbers, kind="stable")
-                s = np.round(probes @ np.frombuffer(tile[i].as_buffer()).reshape(-1, width)[order].T, DIGITS) + 0.0
-                at = s.argmax(axis=1)
-                idx, sim = numbers[order][at], s[np.arange(len(s)), at]
+                at, sim = _nearest(probes, np.frombuffer(tile[i].as_buffer()).reshape(-1, width)[order])
+                idx = numbers[order][at]
             none = np.isnan(sim)
             yield pa.RecordBatch.from_arrays([rows, names, pa.array(idx, pa.int64(), mask=none), pa.array(sim, mask=none)], ["row", "id", "idx", "sim"])
 
 
-def _visits(probes: DataFrame, probe_id: str, vector: str, width: int, tiles: DataFrame, pages: int) -> DataFrame:
-    """Blocks of probes, once for every tile they have to meet (NULL: none)."""
+def _visits(probes: DataFrame, probe_id: str, vector: str, width: int, tiles: DataFrame, pages: int, block_rows: int = 1) -> DataFrame:
+    """Blocks of probes, of ``block_rows`` or more, once for every tile they have to meet (NULL: none)."""
     directory = (tiles.groupBy(F.pmod(F.xxhash64("tile"), F.lit(pages)).alias("page"))
                  .agg(F.collect_list(F.struct("tile", "mean", "far", "near")).alias("listed")))
     kind = probes.schema[probe_id].dataType.simpleString()
     rows = probes.select(F.monotonically_increasing_id().alias("k"), F.col(probe_id).alias("i"), F.col(vector).cast("array<double>").alias("v"))
-    blocks = rows.mapInArrow(_pack(width, max(1, BLOCK_BYTES // (8 * max(1, width))), True),
+    blocks = rows.mapInArrow(_pack(width, max(block_rows, BLOCK_BYTES // (8 * max(1, width))), True),
                              f"keys array<long>, ids array<{kind}>, matrix binary, mean array<double>, far double, near double")
     return (blocks.withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(pages - 1)))).join(directory, "page", "left")
             .withColumn("tile", F.explode_outer(F.when(F.col("matrix").isNotNull(), _reachable(F.col("mean"), F.col("far"), F.col("listed"))))))
@@ -163,13 +182,17 @@ def top_match(probes: DataFrame, gallery: DataFrame, probe_id: str, gallery_id:
     direction or with a component that is not finite match nothing.
 
     Tasks pack the gallery into tiles and the probes into blocks, neighbours together. A block meets the tiles that can
-    hold a best match of its rows, and no others; the best of its tiles is each row's result. No vector meets the
-    driver. A small table of tiles travels to the probes, a large one is joined by tile number.
+    hold a best match of its rows, and no others; the best of its tiles is each row's result. ``tile_bytes`` is the
+    least size of a tile: a large gallery lies in about ``TILES`` larger ones, up to ``MOST_BYTES``, and blocks grow with
+    them, so that what travels grows with the rows and not with their pairs. No vector meets the driver. A small table of tiles travels to the probes, a large one is joined by tile number.
     """
     size, width = gallery.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vector)), F.lit(0))).first()
     width = max(width, 0)
-    tiles = _tiles(gallery, gallery_id, vector, width, max(1, tile_bytes // (8 * max(1, width))))
-    visits = _visits(probes, probe_id, vector, width, tiles, 1 + size * width * 8 // (tile_bytes * PAGE_TILES))
+    row_bytes = 8 * max(1, width)
+    spread = min(-(-size // TILES), MOST_BYTES // row_bytes)
+    most = max(1, tile_bytes // row_bytes, spread)
+    tiles = _tiles(gallery, gallery_id, vector, width, most)
+    visits = _visits(probes, probe_id, vector, width, tiles, 1 + size // (most * PAGE_TILES), max(1, spread))
     right = tiles.select("tile", F.col("keys").alias("gallery"), F.col("matrix").alias("vectors"))
     kind = probes.schema[probe_id].dataType.simpleString()
     scored = visits.join(right, "tile", "left").select("keys", "ids", "matrix", "gallery", "vectors").mapInArrow(

@@ -160,3 +160,21 @@ def test_splits(spark):
     assert folds == {0: 201, 1: 201, 2: 201, 3: 200, 4: 200}
     small = {r["id"]: r["fold"] for r in split.with_folds(df, "id", 5).collect()}
     assert small == {r["id"]: r["fold"] for r in split.with_folds(df.repartition(7), "id", 5).collect()}
+
+
+def test_what_probes_travel_follows_the_rows(spark, monkeypatch):
+    """Vectors without structure in a gallery of many small tiles: larger ones take their place, the result stays."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 6))
+    x[100:120] = x[0]  # equal gallery rows: the lowest wins
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").coalesce(2)
+    seen, visits = [], search._visits
+    monkeypatch.setattr(search, "_visits", lambda *a: seen.append(visits(*a)) or seen[-1])
+    got = {r["id"]: (r["idx"], r["sim"]) for r in search.top_match(
+        df.filter("id % 2 = 1"), df.filter("id % 2 = 0"), "id", "id", "v", -1.0, tile_bytes=6 * 8 * 2).collect()}
+    travelled = seen[0].filter("tile IS NOT NULL").selectExpr("sum(size(keys))").first()[0]
+    assert travelled <= 3000 * 4 * search.TILES  # 1500 tiles of two rows before
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    s = np.round(unit[1::2] @ unit[::2].T, 9)
+    assert {i: v[0] for i, v in got.items()} == {2 * i + 1: 2 * int(j) for i, j in enumerate(s.argmax(axis=1))}
+    assert all(abs(got[2 * i + 1][1] - m) < 2e-9 for i, m in enumerate(s.max(axis=1)))
