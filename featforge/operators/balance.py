@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,11 @@ from .ordered import dense_position
 
 #: Rows of a tile, and reference points at most; a class uses as many of them as it has tiles.
 TILE_ROWS, PIVOTS = 1024, 64
+#: The rows of a large class would fill so many tiles, larger than asked for: a row travels at most once for each. Bytes of
+#: the largest tiles; distances looked at and computed at once.
+TILES, MOST_BYTES, PAIRS, EXACT = 32, 1 << 22, 1 << 20, 1 << 14
+#: Rows that look together at a stretch of a tile.
+LOOKING = 256
 DISTANCE_DIGITS = 9
 
 
@@ -29,8 +35,49 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(out, DISTANCE_DIGITS)
 
 
+def _below(a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows (of ``a``, of ``b``) and their squared distances, all whose distance is at most ``limit`` of the row of ``a``.
+
+    A matrix product finds the pairs, with room for its error; their distances are those of ``_distances``.
+    """
+    centre = b.mean(axis=0)
+    x, y = a - centre, b - centre
+    with np.errstate(over="ignore", invalid="ignore"):
+        nx, ny = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        room = 1e-13 * (a.shape[1] + 16) * (nx + ny.max(initial=0)) + 10.0 ** -DISTANCE_DIGITS
+        most = limit ** 2 * (1 + 1e-9) + room
+    plain = not (np.isfinite(nx).all() and np.isfinite(ny).all())  # the product says nothing: look at every pair
+    step = max(1, PAIRS // max(1, len(b)))
+    for first in range(0, len(a), step):
+        part = slice(first, first + step)
+        if plain:
+            row, col = (g.ravel() for g in np.indices((len(a[part]), len(b))))
+        else:
+            row, col = np.nonzero(nx[part, None] + ny[None, :] - 2 * (x[part] @ y.T) <= most[part, None])
+        d = np.empty(len(row))
+        with np.errstate(over="ignore", invalid="ignore"):
+            for i in range(0, len(row), EXACT):
+                diff = a[first + row[i:i + EXACT]] - b[col[i:i + EXACT]]
+                d[i:i + EXACT] = np.einsum("ij,ij->i", diff, diff)
+        d = np.round(d, DISTANCE_DIGITS)
+        near = np.isfinite(d)
+        near[near] = np.sqrt(d[near]) <= limit[first + row[near]]
+        yield first + row[near], col[near], d[near]
+
+
+def _first(row: np.ndarray, col: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of the ``k`` smallest distances of each row, ties to the lower column, in order."""
+    order = np.lexsort((col, d, row))
+    starts = np.flatnonzero(np.append(True, np.diff(row[order]) != 0)) if len(order) else np.zeros(0, int)
+    rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    return order[rank < k]
+
+
 def _vectors(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype="float64").reshape(len(column), -1)
+    widths = np.unique(pc.list_value_length(column).to_numpy(zero_copy_only=False))
+    if len(widths) > 1:
+        raise ValueError(f"vectors of several lengths: {widths.tolist()}")
+    return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), int(widths[0]) if len(widths) else 0)
 
 
 def _matrix(cell: pa.Scalar, rows: int) -> np.ndarray:
@@ -45,8 +92,9 @@ def _tiles(base: DataFrame, pivots: np.ndarray, tile_rows: int) -> DataFrame:
     """The rows of each class by nearest reference point and distance to it, in tiles (one row each), written once."""
     ktype, ltype = (base.schema[c].dataType.simpleString() for c in ("_k", "_l"))
     counts = stored(base.groupBy(F.col("_l").alias("_cl")).agg(F.count("*").alias("_n")), "classes")  # one row per class
-    used = F.least(F.lit(len(pivots)), F.ceil(F.col("_n") / tile_rows)).cast("int")
-    sized = base.join(counts, F.col("_l").eqNullSafe(F.col("_cl"))).select("_k", "_l", "_w", "_v", used.alias("_u"))
+    most = F.greatest(F.lit(tile_rows), F.least(F.ceil(F.col("_n") / TILES), F.lit(max(1, MOST_BYTES // (8 * max(1, pivots.shape[1]))))))
+    used = F.least(F.lit(len(pivots)), F.ceil(F.col("_n") / most)).cast("int")
+    sized = base.join(counts, F.col("_l").eqNullSafe(F.col("_cl"))).select("_k", "_l", "_w", "_v", used.alias("_u"), most.cast("int").alias("_t"))
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,28 +105,29 @@ def _tiles(base: DataFrame, pivots: np.ndarray, tile_rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(near, pa.int32()), pa.array(d[np.arange(len(own)), near])], [*batch.schema.names, "_p", "_r"])
 
-    placed = stored(sized.mapInArrow(place, f"_k {ktype}, _l {ltype}, _w boolean, _v array<double>, _u int, _p int, _r double"), "placed")
+    placed = stored(sized.mapInArrow(place, f"_k {ktype}, _l {ltype}, _w boolean, _v array<double>, _u int, _t int, _p int, _r double"), "placed")
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, on = [], 0, None
 
         def tile() -> pa.RecordBatch:
             t = pa.concat_batches(held)
-            r = t.column(6).to_numpy()
+            r = t.column(7).to_numpy()
             return pa.RecordBatch.from_arrays(
-                [t.column(1)[:1], t.column(5)[:1], t.column(4)[:1], pa.array([len(r)]), pa.array([r.min()]), pa.array([r.max()]),
+                [t.column(1)[:1], t.column(6)[:1], t.column(4)[:1], pa.array([len(r)]), pa.array([r.min()]), pa.array([r.max()]),
                  _listed(t.column(0)), _listed(t.column(2)), pa.array([_vectors(t.column(3)).tobytes()], pa.binary())],
                 ["l", "p", "used", "n", "lo", "hi", "keys", "wanted", "matrix"])
 
         for batch in batches:
-            cells = list(zip(batch.column(1).to_pylist(), batch.column(5).to_pylist()))
+            cells = list(zip(batch.column(1).to_pylist(), batch.column(6).to_pylist()))
+            most = batch.column(5).to_numpy()
             at = 0
             while at < len(cells):
-                if n and (cells[at] != on or n == tile_rows):
+                if n and (cells[at] != on or n == most[at]):
                     yield tile()
                     held, n = [], 0
                 on, end = cells[at], at
-                while end < len(cells) and cells[end] == on and end - at < tile_rows - n:
+                while end < len(cells) and cells[end] == on and end - at < most[at] - n:
                     end += 1
                 held.append(batch.slice(at, end - at))
                 n, at = n + end - at, end
@@ -111,7 +160,9 @@ def _asking(tiles: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
                 to = np.sqrt(_distances(own, pivots[:used]))
                 bound = np.full(len(own), np.inf)
                 if len(every) > k:
-                    bound = np.sqrt(np.partition(_distances(own, every), k, axis=1)[:, k])  # one of them is the row itself
+                    step = max(1, 4 * PAIRS // every.size)
+                    for i in range(0, len(own), step):  # one of the k + 1 nearest is the row itself
+                        bound[i:i + step] = np.sqrt(np.partition(_distances(own[i:i + step], every), k, axis=1)[:, k])
                 for f in full.as_py() or []:
                     bound = np.minimum(bound, to[:, f["p"]] + f["hi"])
                 bound = bound * (1 + 1e-6) + 1e-6
@@ -187,8 +238,10 @@ def class_neighbours(df: DataFrame, key: str, label: str, vector: str, wanted: C
     vector take no part. Rows belong to the nearest of a few reference points (rows chosen by hash) and lie in tiles by
     their distance from it. The own tile, or a whole tile elsewhere, bounds how far the k-th neighbour is; by the
     triangle inequality only rows whose distance from a reference point lies in a band can be nearer, so a tile meets
-    the tiles whose rings touch the band, and sends them only the rows that need them. What leaves a task are at most
-    ``k`` rows within the bound for each row and tile.
+    the tiles whose rings touch the band, and sends them only the rows that need them. ``tile_rows`` is the least size of
+    a full tile; the tiles of a large class are larger, so that what travels grows with the rows and not with their pairs,
+    and rows look at the stretch of a tile in their reach. What leaves a task are at most ``k`` rows within the bound for
+    each row and tile.
     """
     base = df.select(F.col(key).alias("_k"), F.col(label).alias("_l"), F.col(vector).cast("array<double>").alias("_v"),
                      F.coalesce(wanted, F.lit(False)).alias("_w")).filter("_v IS NOT NULL")
@@ -198,24 +251,33 @@ def class_neighbours(df: DataFrame, key: str, label: str, vector: str, wanted: C
     tiles = _tiles(base, points, tile_rows)
     asking = _asking(tiles, points, k)
     visits = _visitors(asking, _meetings(asking, tiles), points)
-    met = visits.join(tiles.select(F.col("tile").alias("other"), F.col("keys").alias("others"), F.col("matrix").alias("vectors")), "other")
+    met = visits.join(tiles.select(F.col("tile").alias("other"), "p", F.col("keys").alias("others"), F.col("matrix").alias("vectors")), "other")
 
     def nearest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, matrix, bound, others, vectors = (c[i] for c in batch.columns)
-                mine, names = keys.values, others.values
-                order = names.to_numpy(zero_copy_only=False).argsort(kind="stable")
-                names = names.take(pa.array(order))
-                d = _distances(_matrix(matrix, len(mine)), _matrix(vectors, len(names))[order])
-                d[mine.to_numpy(zero_copy_only=False)[:, None] == names.to_numpy(zero_copy_only=False)[None, :]] = np.inf
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                near = np.take_along_axis(d, best, axis=1)
-                row, at = np.nonzero(np.isfinite(near) & (np.sqrt(near) <= bound.values.to_numpy()[:, None]))
-                yield pa.RecordBatch.from_arrays(
-                    [mine.take(pa.array(row)), names.take(pa.array(best[row, at])), pa.array(near[row, at])], ["_k", "neighbour", "distance"])
-
-    found = met.select("keys", "matrix", "bound", "others", "vectors").mapInArrow(nearest, f"_k {ktype}, neighbour {ktype}, distance double")
+                keys, matrix, bound, p, others, vectors = (c[i] for c in batch.columns)
+                mine, names, reach = keys.values, others.values, bound.values.to_numpy()
+                # Rows of a tile rise by their distance from its reference point: some rows look at a stretch of it.
+                own, every = _matrix(matrix, len(mine)), _matrix(vectors, len(names))
+                far, ring = (np.sqrt(_distances(x, points[[p.as_py()]])[:, 0]) for x in (own, every))
+                ids, other_ids = mine.to_numpy(zero_copy_only=False), names.to_numpy(zero_copy_only=False)
+                by_key = other_ids.argsort(kind="stable").argsort(kind="stable")
+                turn = np.argsort(far, kind="stable")
+                for first in range(0, len(turn), LOOKING):
+                    rows = turn[first:first + LOOKING]
+                    low, high = (far[rows] - reach[rows]).min(), (far[rows] + reach[rows]).max()
+                    inside = (np.searchsorted(ring, low), np.searchsorted(ring, high, "right")) if np.isfinite(high - low) else (0, len(names))
+                    for row, col, d in _below(own[rows], every[slice(*inside)], reach[rows]):
+                        row, col = rows[row], col + inside[0]
+                        other = ids[row] != other_ids[col]
+                        row, col, d = row[other], col[other], d[other]
+                        best = _first(row, by_key[col], d, k)
+                        if len(best):
+                            yield pa.RecordBatch.from_arrays(
+                                [mine.take(pa.array(row[best])), names.take(pa.array(col[best])), pa.array(d[best])], ["_k", "neighbour", "distance"])
+
+    found = met.select("keys", "matrix", "bound", "p", "others", "vectors").mapInArrow(nearest, f"_k {ktype}, neighbour {ktype}, distance double")
     # The rank limit is applied before rows are shuffled to their key, too.
     rank = F.row_number().over(Window.partitionBy("_k").orderBy("distance", "neighbour"))
     return (found.withColumn("rank", rank).filter(F.col("rank") <= k)

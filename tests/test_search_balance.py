@@ -178,3 +178,36 @@ def test_what_probes_travel_follows_the_rows(spark, monkeypatch):
     s = np.round(unit[1::2] @ unit[::2].T, 9)
     assert {i: v[0] for i, v in got.items()} == {2 * i + 1: 2 * int(j) for i, j in enumerate(s.argmax(axis=1))}
     assert all(abs(got[2 * i + 1][1] - m) < 2e-9 for i, m in enumerate(s.max(axis=1)))
+
+
+def test_rows_travel_to_few_tiles(spark):
+    """A class without structure, cut into many small tiles before: rows go to a bounded number of larger ones."""
+    rng = np.random.default_rng(13)
+    x = np.round(rng.normal(size=(3000, 32)), 3)
+    x[50:70] = x[7]  # more copies than neighbours
+    df = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(x)], "_k long, _l string, _v array<double>").withColumn("_w", F.lit(True))
+    points = x[:64]
+    tiles = balance._tiles(df, points, 8)
+    assert tiles.agg(F.sum("n")).first()[0] == 3000
+    asking = balance._asking(tiles, points, 5)
+    visits = balance._visitors(asking, balance._meetings(asking, tiles), points)
+    assert visits.agg(F.sum(F.size("keys"))).first()[0] <= 3000 * 4 * balance.TILES  # 375 tiles and more before
+    got = balance.class_neighbours(df, "_k", "_l", "_v", F.lit(True), 5, 8).toPandas().sort_values(["_k", "rank"])
+    d = np.array([np.round(((x - v) ** 2).sum(axis=1), 9) for v in x])
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1, kind="stable")[:, :5]
+    assert (got["neighbour"].to_numpy().reshape(3000, 5) == want).all()
+    assert np.allclose(got["distance"].to_numpy().reshape(3000, 5), np.take_along_axis(d, want, axis=1))
+
+
+def test_pairs_below_a_limit_far_from_the_origin_and_without_numbers():
+    """Close rows with a large common part, components that overflow when squared, NaN."""
+    rng = np.random.default_rng(14)
+    x = np.round(rng.normal(size=(60, 3)), 2) + 1e6
+    limit = rng.uniform(0, 2, 60)
+    odd = np.array([[1e200, 0, 0], [1e200, 0, 0], [1, 0, 0], [1.5, 0, 0], [np.nan, 0, 0]])
+    for a, most in ((x, limit), (odd, np.full(5, np.inf))):
+        with np.errstate(all="ignore"):
+            d = np.array([np.round(((a - v) ** 2).sum(axis=1), 9) for v in a])
+        got = {(int(i), int(j)): v for row, col, near in balance._below(a, a, most) for i, j, v in zip(row, col, near)}
+        assert got == {(i, j): d[i, j] for i in range(len(a)) for j in range(len(a)) if np.isfinite(d[i, j]) and np.sqrt(d[i, j]) <= most[i]}
