@@ -65,9 +65,9 @@ def s4_line_files(spark, t):
     """Text files of many documents each, written and read back line by line."""
     path = scratch_path(spark, "lines")
     part = (F.col("doc_id") % 8).alias("part")
-    (t.documents.select("doc_id", "text", part).repartition(8, "part").sortWithinPartitions("part", "doc_id")
-     .select("text", "part").write.partitionBy("part").text(path))
-    back = readers.read_lines(spark, f"{path}/*/*.txt", drop_last=True)
+    (t.documents.select("doc_id", "text", part).repartitionByRange("part", "doc_id").sortWithinPartitions("part", "doc_id")
+     .select("text", "part").write.partitionBy("part").text(path))  # files of a part, by name, in order of doc_id
+    back = readers.read_lines(spark, f"{path}/*/*.txt", drop_last=True, by_folder=True)
     number = F.split(readers.directory_value(F.col(readers.SOURCE)), "=")[1].cast("int")
     return back.select(number.alias("part"), "pos", "word")
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from featforge.functions import fixed_values as V
 from featforge.functions import text as X
 from featforge.operators import sequence
 from featforge.sources import readers
@@ -115,3 +116,15 @@ def test_chunks_pad_argmax_one_hot(spark):
                     sequence.argmax(F.col("s")).alias("a"), sequence.one_hot(F.lit(1), 3).alias("h")).collect()
     assert got[0]["c"] == [["a", "b"], ["c", "d"], ["e"]] and got[1]["c"] == []
     assert got[0]["p"] == [1, 3, 3, 0, 0] and got[0]["a"] == 1 and got[0]["h"] == [0, 1, 0]
+
+
+def test_lines_are_numbered_through_the_files_of_a_folder(spark, tmp_path):
+    files = {"a/1.txt": "x\ny\n", "a/2.txt": "z\nopen", "a/3.txt": "v\n", "b/1.txt": "w\n"}
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    for drop_last, want in ((True, ["x", "y", "z", "v"]), (False, ["x", "y", "_", "z", "open", "v", "_"])):
+        got = readers.read_lines(spark, f"{tmp_path}/*/*.txt", drop_last, by_folder=True).collect()
+        lines = {(r["source_file"].split("/")[-2], r["pos"]): r["word"] for r in got}
+        assert [lines["a", i] for i in range(len(want))] == want
+        assert [lines["b", i] for i in range(len(got) - len(want))] == (["w"] if drop_last else ["w", "_"])
