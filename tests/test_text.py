@@ -118,6 +118,25 @@ def test_chunks_pad_argmax_one_hot(spark):
     assert got[0]["p"] == [1, 3, 3, 0, 0] and got[0]["a"] == 1 and got[0]["h"] == [0, 1, 0]
 
 
+def test_quick_patterns_are_the_same_patterns(spark):
+    """Every alternative of the name rules, at the start, inside, at the end and cut short: as the pattern alone."""
+    patterns = list(V.STARTS)
+    assert {V.DEGREES, V.TITLES_FIRST, V.TITLES_SECOND, V.SECOND_DELIMITERS, V.ISOLATED_MA} <= set(patterns)
+    parts = {a.replace("\\", "").strip("()^$") for p in patterns for a in p.replace("\\|", "|").split("|")} | {" MA ", "MA", "xMAx"}
+    texts = sorted({t for a in parts if a for t in (a, f"x {a} y", f"{a} y", f" x {a}", f"x{a}y", a[:-1], f"{a}{a}")})
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in patterns:
+        plain, quick = (F.regexp_replace("t", F.lit(x), F.lit("<>")) for x in (p, X._quick(p)))
+        assert df.filter(plain != F.col("t")).count() > 0
+        assert df.filter(~plain.eqNullSafe(quick)).collect() == []
+
+
+def test_blanks_are_unicode_white_space(spark):
+    rows = [(chr(i),) for i in [*range(1, 0xD800), *range(0xE000, 0x11000)]]
+    df = spark.createDataFrame(rows, "t string")
+    assert df.filter(F.col("t").rlike(r"^(?U)\s+$") != F.col("t").rlike(f"^{X.BLANKS}$")).collect() == []
+
+
 def test_lines_are_numbered_through_the_files_of_a_folder(spark, tmp_path):
     files = {"a/1.txt": "x\ny\n", "a/2.txt": "z\nopen", "a/3.txt": "v\n", "b/1.txt": "w\n"}
     for name, text in files.items():
