@@ -147,3 +147,11 @@ def test_lines_are_numbered_through_the_files_of_a_folder(spark, tmp_path):
         lines = {(r["source_file"].split("/")[-2], r["pos"]): r["word"] for r in got}
         assert [lines["a", i] for i in range(len(want))] == want
         assert [lines["b", i] for i in range(len(got) - len(want))] == (["w"] if drop_last else ["w", "_"])
+
+
+def test_chain_reads_names_that_are_cleaned_already(spark):
+    """The rules stand in no plan of the joins: names were cleaned once, before."""
+    from featforge.plans import catalog
+
+    plan = catalog.QUERIES["chain_author_names"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cover SNRUJST" not in plan
