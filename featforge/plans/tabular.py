@@ -103,9 +103,9 @@ def s7_manifest(spark, t):
     path = scratch_path(spark, "images")
     images = t.documents.select(F.concat(F.lit("d"), F.col("doc_id"), F.lit(".v1.jpg")).alias("name"), F.repeat(F.lit("."), F.coalesce(F.col("n_chars"), F.lit(0)).cast("int") + 3).alias("content"))
     marks = t.labels.select(F.concat(F.lit("d"), F.col("doc_id"), F.lit(".txt")).alias("name"), F.lit("0 0 0 1 1").alias("content"))
-    named_files.write_named_files(images, "name", "content", f"{path}/images")
-    named_files.write_named_files(marks, "name", "content", f"{path}/labels")
-    return readers.read_image_manifest(spark, f"{path}/images", f"{path}/labels")
+    named_files.write_named_files(images, "name", "content", f"{path}/images", folders=256)
+    named_files.write_named_files(marks, "name", "content", f"{path}/labels", folders=256)
+    return readers.read_image_manifest(spark, f"{path}/images", f"{path}/labels", recursive=True)
 
 
 @query("s8_literal_table", """SELECT o_orderkey, v.code FROM orders JOIN (VALUES ('F', 0), ('O', 1), ('P', 2)) v(s, code)
