@@ -85,6 +85,35 @@ def test_any_rules_in_any_blocks(spark, size):
         assert {(r["doc"], r["pos"]): r["fixed"] for r in got} == want and {r["_row"] for r in got} == {"kept"}
 
 
+@pytest.mark.parametrize("dealt, moved", [(True, False), (False, True)])
+def test_rows_that_lie_together_stay_where_they_are(spark, monkeypatch, dealt, moved):
+    """A table dealt out by group is sorted in place; only another one is shuffled, and no row goes to the function."""
+    plans, keep = {}, tags.stored
+    monkeypatch.setattr(tags, "stored", lambda df, name: plans.setdefault(name, df) and keep(df, name))
+    df = spark.createDataFrame([(d, i, "x", "a") for d in range(6) for i in range(9)], "doc int, pos long, w string, o string")
+    df = df.repartition(5, "doc") if dealt else df
+    got = tags.apply_rules(df, ["doc"], "pos", "w", "o", [tags.Rule((1, "b"), label="a")], block_rows=4).collect()
+    assert {(r["pos"], r["fixed"]) for r in got} == {(0, "a"), *((i, "ab"[i % 2]) for i in range(9))}
+    plan = plans["ruled"]._jdf.queryExecution().executedPlan().toString()
+    assert ("ENSURE_REQUIREMENTS" in plan) == moved and "MapInArrow" not in plan
+
+
+def test_many_rows_and_long_chains(spark):
+    """Maps with one value and maps that hand a state on, over borders of Arrow batches."""
+    rng = random.Random(8)
+    rules = [tags.Rule((1, "b"), label="b"), tags.Rule((1, "b"), words=("go",)), tags.Rule((0, "c"), words=("stop",))]
+    rows, want = [], {}
+    for doc, n in enumerate((25_000, 1, 12_000)):
+        w = rng.choices(["x", "go", "stop"], weights=[5000, 3, 1], k=n)
+        want.update({(doc, i): x for i, x in enumerate(walked(rules, w, ["a"] * n))})
+        rows += [(doc, i, a, "a") for i, a in enumerate(w)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc int, pos long, w string, o string")
+    for size in (7_000, 1 << 20):
+        got = tags.apply_rules(df, ["doc"], "pos", "w", "o", rules, block_rows=size).collect()
+        assert {(r["doc"], r["pos"]): r["fixed"] for r in got} == want
+
+
 def test_rules_that_reach_too_far(spark):
     df = spark.createDataFrame([], "d int, p long, w string, o string")
     for rule in (tags.Rule((2, "a")), tags.Rule((0, "a"), label_at=(1, "b"))):
