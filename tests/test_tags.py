@@ -151,6 +151,31 @@ def test_entity_spans(spark, size):
     assert got == want
 
 
+@pytest.mark.parametrize("size", [5, 1 << 20])
+def test_spans_read_every_row_once(spark, size):
+    """Two tag columns, NULL groups and tags, spans over several blocks."""
+    rng = random.Random(size)
+    rows, want = [], set()
+    for doc in [None, *range(6)]:
+        n = rng.choice([1, 7, 40])
+        for name in ("p", "y"):
+            seq = [rng.choice(["O", None, "B_P", "E_P"] + ["I_P"] * 12) for _ in range(n)]
+            want |= {(doc, name, *s) for s in spans_of([t or "O" for t in seq])}
+            rows.append(seq)
+        rows[-2:] = [(doc, i, p, y) for i, (p, y) in enumerate(zip(*rows[-2:]))]
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    df = spark.createDataFrame(rows, "doc int, pos long, p string, y string").coalesce(1).mapInPandas(count, "doc double, pos long, p string, y string")
+    spans = tags.entity_spans(df.withColumn("doc", df["doc"].cast("int")), ["doc"], "pos", ["p", "y"], size)
+    assert {tuple(r) for r in spans.select("doc", "column", "type", "start", "end").collect()} == want
+    assert read.value == len(rows)
+
+
 def test_tag_list_order(spark):
     df = spark.createDataFrame([("['E_A', 'B_Z', 'O', 'X_Q', 'I_A', 'B_A']\n",)], "v string")
     got = df.select(tags.tag_list(df["v"]).alias("t")).first()["t"]
